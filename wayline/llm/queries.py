@@ -19,8 +19,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wayline.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op5_exact_dedup": op5_exact_dedup}
+    return {"op5_exact_dedup": op5_exact_dedup, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
