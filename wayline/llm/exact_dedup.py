@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.shared import materialize, shuffle_partitions
+from wayline.llm.shared import materialize, prepare, shuffle_partitions
 
 #: What one space replaces: tab, line feed, vertical tab, form feed, carriage return, space.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -112,6 +112,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both are kept. A row without an id takes part in its group but is kept only if no row of the group has an id. An
     empty table gives an empty result; other columns, whatever their names, are ignored.
     """
+    prepare(docs.sparkSession)
     entries = materialize(digests(docs, id_col, text_col), "digests")
     groups = materialize(merged_runs(entries, fan_in).where("group_size > 1"), "groups")
     # Copies of one text may be a large part of all rows: both sides are plain exchanges, so that adaptive execution splits them.

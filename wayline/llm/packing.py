@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.bpe import PairTable, merge_all
 from wayline.llm.ragged import RaggedCache
-from wayline.llm.shared import bound_batches
+from wayline.llm.shared import prepare
 
 CAPACITY = 4096
 END_ID = 2
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     unique over all workers. An empty table gives no pieces; other columns are ignored. Each worker reads its rows as a
     stream and holds at most one open bin of each class.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(tokenizer_path)

@@ -19,6 +19,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,7 +34,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_exact_dedup": op5_exact_dedup, "op7_packing": op7_packing}
+    return {"op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:

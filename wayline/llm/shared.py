@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayline.session import ship
+
 _roots: dict[str, str] = {}
 
 
@@ -66,8 +68,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes, not only by rows, so that a batch of very long texts stays small."""
+def prepare(spark: SparkSession) -> None:
+    """For operators with Python code: sends the package to the executors, and has Arrow batches bounded by bytes, not
+    only by rows, so that a batch of very long texts stays small."""
+    ship(spark)
     if "spark.sql.execution.arrow.maxBytesPerBatch" not in _user_set(spark):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

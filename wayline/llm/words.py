@@ -7,6 +7,8 @@ multi-byte character, so splitting the encoded text is exact, and ``bytes.split(
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Words that one worker remembers the hash of before it starts afresh; bounds the worker's memory only.
@@ -61,3 +63,19 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
         out += hashes[j : j + n]
         out ^= out >> np.uint64(29)
     return mix(out)
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of an Arrow array of texts, one text after the other, and the number of words of each.
+    The same hashes as :func:`hash_words` gives; each distinct word of the batch is hashed once."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    words = pc.dictionary_encode(lists.flatten())
+    distinct = words.dictionary.cast(pa.binary()).to_pylist()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
+    index = words.indices.to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    if b"" in distinct:  # what stands before a leading and after a trailing space
+        real = index != distinct.index(b"")
+        index, of = index[real], of[real]
+    return known[index], np.bincount(of, minlength=len(texts))
