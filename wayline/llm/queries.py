@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.exact_dedup import exact_dedup
 
@@ -40,7 +46,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing, "op9_substring_dedup": op9_substring_dedup}
+    return {"op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing, "op9_substring_dedup": op9_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
