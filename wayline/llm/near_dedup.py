@@ -331,7 +331,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = materialize(grouped.join(sets.select("rep", "n_shingles"), "rep"), "grouped")
     texts = (
         tiled(grouped, "candidates", "rep", "n_shingles", group_shingles)
-        .join(rows.select(F.col("doc_id").alias("rep"), "text"), "rep")
+        .hint("merge").join(rows.select(F.col("doc_id").alias("rep"), "text"), "rep")  # one plan at every size
         .select("candidates", "tile_a", "tile_b", "rep", "text")
         .repartition(parts, "candidates", "tile_a", "tile_b").sortWithinPartitions("candidates", "tile_a", "tile_b", "rep")
     )
