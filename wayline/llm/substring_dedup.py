@@ -244,7 +244,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         .groupBy(F.col("at.doc_id").alias("doc_id"))
         .agg(F.collect_list(F.struct("mini", "seg", "at.start", "at.windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     )
-    cut = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut(window), _CUT)
+    cut = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut(window), _CUT)
     shards = max(parts, -(-distinct.count() // SHARD_SEGMENTS))
     found = (
         cut.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "mini", "seg", "first", "min_doc", "words")
@@ -269,6 +269,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = materialize(repeated_spans(rows, window, anchor, hot_segments), "spans")
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    return rows.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
         _strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
