@@ -25,6 +25,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chat(turns)).drop("valid")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.toxicity import toxicity
 
@@ -63,8 +69,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wayline.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_chat_format": op1_chat_format, "op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup}
+    return {"op1_chat_format": op1_chat_format, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
 
 
 def _url_sql() -> str:
@@ -102,6 +116,13 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                    CAST(sum(length(line)) AS BIGINT) AS formatted_chars
             FROM f GROUP BY conv_id""",
+        "op2_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages)
+            SELECT page_id, strlen(t) AS payload_bytes,
+                   list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5))::INT >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), 'string_agg', '') AS payload_digest,
+                   CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+            FROM p WINDOW w AS (PARTITION BY t)""",
         "op5_exact_dedup": """
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
