@@ -77,8 +77,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_chat_format": op1_chat_format, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
+    return {"pipeline": pipeline, "op1_chat_format": op1_chat_format, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
 
 
 def _url_sql() -> str:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.llm.fm_index import FMIndex
 from wayline.llm.ragged import spread
@@ -219,10 +220,10 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined = b" ".join(kept)
             n_words.append(len(words))
             n_removed.append(len(words) - len(kept))
-            kept_text.append(joined)
+            kept_text.append(joined.decode("utf-8", "replace") if spans else text)
             digest.append(hashlib.sha256(joined).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept_text, pa.binary()).cast(pa.string()), *batch.columns[3:]],
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept_text, pa.string()), *batch.columns[3:]],
             names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *batch.schema.names[3:]],
         )
 
@@ -255,9 +256,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return hits.where(F.size("runs") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("spans"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and kept_text, the words that stay
-    joined by one space.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_segments: int = HOT_SEGMENTS, carry: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256, the digest of the words that stay
+    joined by one space, and kept_text, these words or, where all of them stay, the text itself; with ``carry`` also a
+    struct ``row`` of all columns of ``docs``.
 
     A word is removed when a window that covers it has the same words as one that starts in a document with a smaller
     id; windows are judged on the input. A null text has no words. A row without an id is neither searched nor matched
@@ -267,8 +269,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 < anchor <= window:
         raise ValueError("the anchor must fit into the window")
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = materialize(repeated_spans(rows, window, anchor, hot_segments), "spans")
-    return rows.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
-        _strip, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
+    spans = materialize(repeated_spans(rows.select("doc_id", "text"), window, anchor, hot_segments), "spans")
+    kinds = (("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))
+    schema = T.StructType([*(T.StructField(n, k) for n, k in kinds), *rows.schema.fields[2:]])
+    return rows.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans", *["row"] * carry).mapInArrow(_strip, schema)

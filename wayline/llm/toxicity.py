@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayline.llm.ragged import RaggedCache, spread
 from wayline.llm.shared import prepare
@@ -270,13 +271,14 @@ def _apply(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 score, spans = tagger.score(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(spans, kind), *part.columns[1:]], names=["doc_id", "score", "spans", *part.schema.names[1:]])
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limits: tuple[int, int] = SAMPLE, folds: int = 5, held_fold: int = 0) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, score, predicted, spans.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limits: tuple[int, int] = SAMPLE, folds: int = 5, held_fold: int = 0, carry: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, held_out, score, predicted, spans; with ``carry`` also a struct ``row``
+    of all its columns, so that what is decided here needs no join to take effect.
 
     Labels come only from rows whose id's checksum modulo ``folds`` is not ``held_fold``; null and other labels than 0
     and 1 are ignored, and of several labels of one id the largest counts. A null text counts as empty; an empty text
@@ -286,7 +288,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     prepare(docs.sparkSession)
     model = train(*sample(docs, labels, id_col, text_col, label_col, limits, folds, held_fold))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(_apply(model), "doc_id long, score double, spans array<struct<begin:int,end:int>>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
+    spans = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("spans", spans), *rows.schema.fields[1:]])
+    scored = rows.mapInArrow(_apply(model), schema)
     held = F.coalesce(fold("doc_id", folds) == held_fold, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans", *["row"] * carry)
