@@ -13,6 +13,7 @@ smallest hashes, with their whole texts. Everything else sees all documents.
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -123,6 +124,18 @@ def forward_backward(unary: np.ndarray, counts: np.ndarray, pair: np.ndarray) ->
     return joint[1] / joint.sum(axis=0), both[:, :, inside].sum(axis=2)
 
 
+def _marginals(unary: np.ndarray, counts: np.ndarray, pair: np.ndarray, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`forward_backward`, over groups of whole sequences, which bounds the memory of a pass."""
+    end = np.cumsum(counts)
+    out, pairs = [], np.zeros((2, 2))
+    for own in np.split(np.arange(len(counts)), np.flatnonzero(np.diff(end // most)) + 1):
+        if len(own):
+            p, c = forward_backward(unary[end[own[0]] - counts[own[0]] : end[own[-1]]], counts[own], pair)
+            out.append(p)
+            pairs += c
+    return np.concatenate(out) if out else np.empty(0), pairs
+
+
 @dataclass
 class Model:
     """The field's weights, and those of the document score; ``constant`` replaces the score where one class is absent."""
@@ -192,7 +205,7 @@ def train_field(texts: list[str | None], labels: np.ndarray) -> Model:
     known = positive + negative >= RARE
     for _ in range(ROUNDS):  # gradient ascent with a step size for each weight
         unary = (np.bincount(word_of, weights=weights[flat], minlength=len(words)) + bias)[index]
-        p, pair_counts = forward_backward(unary, counts, pair)
+        p, pair_counts = _marginals(unary, counts, pair)
         rest = np.bincount(index, weights=tag - p, minlength=len(words))
         slope = np.bincount(flat, weights=rest[word_of], minlength=BUCKETS) - RIDGE * weights
         squares += slope**2
@@ -217,8 +230,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50)
     return w
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limits: tuple[int, int], folds: int, held_fold: int) -> tuple[list[str | None], np.ndarray]:
-    """At most ``limits`` labelled documents of the classes 1 and 0, none of them in the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limits: tuple[int, int], folds: int, held_fold: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``limits`` labelled documents of the classes 1 and 0, none of them in the
+    held-out fold."""
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -228,9 +242,25 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     known = known.join(text.select("doc_id").distinct(), "doc_id", "left_semi")
     parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, limits[0]), (0, limits[1]))]
     chosen = parts[0].unionByName(parts[1])  # as many rows as the limits allow: small enough to broadcast
-    rows = text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
+    return text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches([b for b in batches if b.num_rows], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("label", pa.int32())]))
+    model = train(table.column("text").to_pylist(), table.column("label").to_numpy().astype(np.int64))
+    raw = io.BytesIO()
+    np.savez(raw, weights=model.weights, bias=model.bias, pair=model.pair, document=model.document, constant=np.nan if model.constant is None else model.constant)
+    yield pa.RecordBatch.from_arrays([pa.array([raw.getvalue()], pa.binary())], names=["model"])
+
+
+def fitted(rows: DataFrame) -> Model:
+    """The model of a sample, trained in one task of an executor; only its weights, whose number is fixed, are fetched."""
+    made = rows.select("doc_id", "text", "label").repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit, "model binary").first()
+    if made is None:
+        return train([], np.empty(0, dtype=np.int64))
+    with np.load(io.BytesIO(made["model"])) as m:
+        constant = float(m["constant"])
+        return Model(m["weights"], float(m["bias"]), m["pair"], m["document"], None if np.isnan(constant) else constant)
 
 
 def fold(id_col: str, folds: int):
@@ -287,7 +317,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     gives an empty result; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    model = train(*sample(docs, labels, id_col, text_col, label_col, limits, folds, held_fold))
+    model = fitted(sample(docs, labels, id_col, text_col, label_col, limits, folds, held_fold))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
     spans = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("spans", spans), *rows.schema.fields[1:]])
