@@ -249,7 +249,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     shards = max(parts, -(-distinct.count() // SHARD_SEGMENTS))
     found = (
         cut.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "mini", "seg", "first", "min_doc", "words")
-        .repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_search(window), _FOUND)
+        .repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_search(window), _FOUND)
     )
     hits = shared.join(found, ["mini", "seg"]).select("doc_id", "start", F.filter("runs", lambda r: r["min_doc"] < F.col("doc_id")).alias("runs"))
     spans = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("a"), (F.col("start") + r["last"] + window).alias("b")))
