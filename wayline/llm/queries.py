@@ -37,6 +37,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
 
 
+def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.media import media_copies, pictures
+
+    return media_copies(pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.exact_dedup import exact_dedup
 
@@ -84,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"pipeline": pipeline, "op1_chat_format": op1_chat_format, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
+    return {"pipeline": pipeline, "op1_chat_format": op1_chat_format, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_media_copies": op4_media_copies, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
 
 
 def _url_sql() -> str:
