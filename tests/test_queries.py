@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from wayline.plans import registry
+from wayline.plans import registry, reports  # noqa: F401  (reports registers its queries)
 
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="the driver tables are not here")
