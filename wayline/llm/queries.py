@@ -135,6 +135,24 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
             FROM p WINDOW w AS (PARTITION BY t)""",
+        "op6_near_dedup": """
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                                 ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+            n AS (SELECT doc_id, count(s.s) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+            c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+            l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+            r AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT l.b, r.to_id FROM r JOIN l ON l.a = r.doc_id)
+            SELECT doc_id, n AS n_shingles, min(to_id) AS component_id, doc_id = min(to_id) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id, n""",
+        "op9_substring_dedup": """
+            WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+            i AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+            v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM i),
+            f AS (SELECT h, min(doc_id) AS first_id FROM v GROUP BY h),
+            c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM v JOIN f USING (h) WHERE first_id < doc_id),
+            t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+            k AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS kept FROM t ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+            SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
         "op5_exact_dedup": """
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS t FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
