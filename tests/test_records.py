@@ -54,3 +54,23 @@ def test_controls(spark):
     assert s == {1: True, 2: False}
     m = spark.createDataFrame([("a", "x", 0.8), ("a", "w", 0.8), ("b", "x", 0.1), ("c", "x", None)], "g string, i string, auroc double")
     assert {r.g: (r.strongest, r.verdict) for r in controls.negative_control(m, ["g"], "i").collect()} == {"a": ("w", "FAIL"), "b": ("x", "PASS"), "c": (None, "NOT AVAILABLE")}
+
+
+def test_checkpoint_positions(spark):
+    from wayline.functions import text
+
+    rows = spark.createDataFrame([([1, 5, 9, 7, 6, 2],), ([5, 6],), ([2, 9],), ([],)], "t array<int>")
+    got = [tuple(r.p) for r in rows.select(text.checkpoint_positions(F.col("t"), [1, 2], 9).alias("p")).collect()]
+    assert got == [(1, 4), (None, 1), (None, None), (None, None)]
+    assert spark.range(1).select(text.checkpoint_scopes(F.array(F.lit("a"), F.lit("b")), ["a"]).alias("m")).first().m == {"a": "prompt", "b": "generation"}
+
+
+def test_review_forms(spark):
+    from wayline.operators import review
+
+    expected = spark.createDataFrame([("p",), ("q",), ("r",)], "pair string")
+    forms = spark.createDataFrame([("p", 1, "ann", "yes"), ("p", 2, "bob", "no"), ("q", 1, "ann", "maybe"), ("q", 2, "ann", None), ("z", 1, "ann", "yes")], "pair string, slot int, reviewer string, verdict string")
+    found = {(r.rule_id, r.key) for r in review.form_violations(forms, expected, ["pair"], "slot", "reviewer", {"verdict": ["yes", "no"]}).collect()}
+    assert found == {
+        ("coverage", "r|1"), ("coverage", "r|2"), ("coverage", "z|1"), ("required", "q|2"), ("allowed:verdict", "q|1"), ("distinct_reviewers", "q"), ("distinct_reviewers", "z"),
+    }

@@ -182,3 +182,18 @@ def insertion_span(clean: Column, changed: Column, wording: Column) -> Column:
 
 def spliced(text: Column, offset: Column, payload: Column) -> Column:
     return F.concat(F.left(text, offset), payload, F.substr(text, offset + 1))
+
+
+def checkpoint_positions(tokens: Column, special: Sequence[int], close: int) -> Column:
+    """(before_close, last): the last position without a special token before the last closing mark, and in all tokens;
+    null where there is none (without a closing mark, before_close is)."""
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    plain = F.filter(placed, lambda p: ~p["t"].isin(*special, close))
+    closed = F.array_max(F.transform(F.filter(placed, lambda p: p["t"] == close), lambda p: p["i"]))
+    before = F.filter(plain, lambda p: p["i"] < closed)
+    return F.struct(F.array_max(F.transform(before, lambda p: p["i"])).alias("before_close"), F.array_max(F.transform(plain, lambda p: p["i"])).alias("last"))
+
+
+def checkpoint_scopes(names: Column, prompt: Sequence[str]) -> Column:
+    """A map from checkpoint name to ``prompt`` or ``generation``."""
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.when(n.isin(*prompt), "prompt").otherwise("generation")))

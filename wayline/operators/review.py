@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.operators import contracts
+from wayline.operators.pairs import coverage
+
 
 def blind_order(rows: DataFrame, pair: Sequence[str], key: str, name: str = "sample") -> DataFrame:
     """Letters A, B, ... within each pair, by a digest of pair and key, which tells nothing of the treatment."""
@@ -28,3 +31,15 @@ def disagreements(reviews: DataFrame, key: Sequence[str], slot: str, fields: Seq
     )
     differing = F.array_compact(F.array(*[F.when(~F.col(f"{f}_1").eqNullSafe(F.col(f"{f}_2")), F.lit(f)) for f in fields]))
     return per.select(*key, differing.alias("differing"), "n_slots")
+
+
+def form_violations(forms: DataFrame, expected: DataFrame, key: Sequence[str], slot: str, reviewer: str, allowed: dict[str, Sequence[str]], reviewers: int = 2) -> DataFrame:
+    """What is wrong with filled review forms: pairs that are missing or not expected, values outside the lists, rows
+    that are there twice, forms without a reviewer, and pairs whose forms name one reviewer only."""
+    cells = coverage(expected.withColumn(slot, F.explode(F.sequence(F.lit(1), F.lit(reviewers)))), forms, [*key, slot])
+    named = forms.groupBy(*key).agg(F.countDistinct(reviewer).alias("n"))
+    return contracts.violations(
+        contracts.holds(cells, [*key, slot], "coverage", F.col("status") == "present", F.col("status")), contracts.required(forms, [*key, slot], [reviewer, *allowed]),
+        *[contracts.allowed(forms.where(F.col(f).isNotNull()), [*key, slot], f, values) for f, values in allowed.items()],
+        contracts.holds(named, key, "distinct_reviewers", F.col("n") == reviewers, F.col("n")),
+    )
