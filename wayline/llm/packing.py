@@ -28,8 +28,10 @@ from wayline.llm.shared import prepare
 
 CAPACITY = 4096
 END_ID = 2
-#: Words, and white-space-free chunks of text, whose ids a worker remembers.
-CACHE_WORDS = 500_000
+#: Words, and white-space-free chunks of text, whose ids a worker remembers within a task.
+CACHE_WORDS = 200_000
+#: Texts that are looked up at once.
+SLICE = 1000
 #: Characters of a chunk above which the library encodes it.
 LONGEST = 100
 #: Up to here letters lower-case one by one and no two characters compose.
@@ -108,6 +110,11 @@ class ChunkTokenizer:
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         return self._chunks.gather(rows).astype("<u4"), np.diff(size[np.concatenate([[0], ends])])
 
+    def forget(self) -> None:
+        """Empties the memory of words: a worker lives on after a task, for tasks of other kinds."""
+        self._words.reset()
+        self._chunks.reset()
+
 
 def byte_alphabet() -> list[str]:
     """The character that byte-level vocabularies write for each byte: itself if it prints, else the next one from U+0100."""
@@ -210,19 +217,20 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(tokenizer_path)
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 40)
-        for batch in batches:
+        for part in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             out: list[tuple] = []
-            ids, sizes = tokenizer.encode(batch.column(1))
+            ids, sizes = tokenizer.encode(part.column(1))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, np.array(end_id, dtype="<u4"))
             at = 0
-            for doc_id, size in zip(batch.column(0).to_pylist(), (sizes + 1).tolist(), strict=True):
-                out += packer.add(doc_id, ids[at : at + size])
+            for doc_id, size in zip(part.column(0).to_pylist(), (sizes + 1).tolist(), strict=True):
+                out += packer.add(doc_id, ids[at : at + size].copy())
                 at += size
             if out:
                 yield _rows(out)
         if out := packer.finish():
             yield _rows(out)
+        tokenizer.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT)
 

@@ -24,9 +24,9 @@ class RaggedCache(dict):
     def __init__(self, compute: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int) -> None:
         super().__init__()
         self._compute, self._limit = compute, limit
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         self.clear()
         self._pending: list[Hashable] = []
         self._flat = np.empty(1 << 16, dtype=np.int32)
@@ -43,7 +43,7 @@ class RaggedCache(dict):
     def begin(self) -> None:
         """To be called before a batch: rows handed out earlier lose their meaning when the cache starts afresh."""
         if len(self) >= self._limit:
-            self._reset()
+            self.reset()
 
     def rows(self, keys: Sequence[Hashable]) -> np.ndarray:
         """The row of each key; the missing ones are computed."""

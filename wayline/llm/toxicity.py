@@ -124,7 +124,7 @@ def forward_backward(unary: np.ndarray, counts: np.ndarray, pair: np.ndarray) ->
     return joint[1] / joint.sum(axis=0), both[:, :, inside].sum(axis=2)
 
 
-def _marginals(unary: np.ndarray, counts: np.ndarray, pair: np.ndarray, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+def _marginals(unary: np.ndarray, counts: np.ndarray, pair: np.ndarray, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`forward_backward`, over groups of whole sequences, which bounds the memory of a pass."""
     end = np.cumsum(counts)
     out, pairs = [], np.zeros((2, 2))
@@ -174,7 +174,7 @@ def train(texts: list[str | None], labels: np.ndarray) -> Model:
     held = order if order.any() else ~order
     index, words, counts = tokens(pa.array([t for t, h in zip(texts, held, strict=True) if h], pa.string()))
     unary = _Tagger(model).unary(words)[index] if len(words) else np.empty(0)
-    model.document = logistic(document_inputs(forward_backward(unary, counts, model.pair)[0], counts), labels[held])
+    model.document = logistic(document_inputs(_marginals(unary, counts, model.pair)[0], counts), labels[held])
     return model
 
 
@@ -194,6 +194,7 @@ def train_field(texts: list[str | None], labels: np.ndarray) -> Model:
     negative = np.bincount(pairs[~of_class] % BUCKETS, minlength=BUCKETS)
     ratio = np.log((positive + 0.5) / (labels.sum() + 1)) - np.log((negative + 0.5) / ((1 - labels).sum() + 1))
     marked = (ratio >= LOG_RATIO) & (positive >= np.log(CHANCE) / np.log(labels.mean()))
+    del seen, seen_word, seen_document, pairs, of_class
     toxic_word = np.bincount(word_of, weights=marked[flat], minlength=len(words)) > 0
     tag = toxic_word[index] & (labels[document] == 1)
 
@@ -269,7 +270,7 @@ def fold(id_col: str, folds: int):
 
 class _Tagger:
     def __init__(self, model: Model) -> None:
-        self.model, self._cache = model, RaggedCache(_features_of, 300_000)
+        self.model, self._cache = model, RaggedCache(_features_of, 200_000)
 
     def unary(self, words: list[str]) -> np.ndarray:
         self._cache.begin()
@@ -283,7 +284,7 @@ class _Tagger:
         if self.model.constant is not None:
             return np.full(len(texts), self.model.constant), spans
         index, words, counts = tokens(texts)
-        p, _ = forward_backward(self.unary(words)[index] if len(words) else np.empty(0), counts, self.model.pair)
+        p, _ = _marginals(self.unary(words)[index] if len(words) else np.empty(0), counts, self.model.pair)
         begin = np.cumsum(counts) - counts
         found = np.flatnonzero(p >= 0.5)
         document = np.searchsorted(np.cumsum(counts), found, "right")
@@ -298,8 +299,8 @@ def _apply(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         tagger = _Tagger(model)
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 score, spans = tagger.score(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(spans, kind), *part.columns[1:]], names=["doc_id", "score", "spans", *part.schema.names[1:]])
 
