@@ -90,7 +90,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"pipeline": pipeline, "op1_chat_format": op1_chat_format, "op2_warc": op2_warc, "op3_toxicity": op3_toxicity, "op4_media_copies": op4_media_copies, "op5_exact_dedup": op5_exact_dedup, "op6_near_dedup": op6_near_dedup, "op7_packing": op7_packing, "op8_url_filter": op8_url_filter, "op9_substring_dedup": op9_substring_dedup, "op10_sentencepiece": op10_sentencepiece}
+    every = (
+        pipeline, op1_chat_format, op2_warc, op3_toxicity, op4_media_copies, op5_exact_dedup, op6_near_dedup, op7_packing, op8_url_filter, op9_substring_dedup, op10_sentencepiece,
+    )
+    return {f.__name__: f for f in every}
 
 
 def _url_sql() -> str:
