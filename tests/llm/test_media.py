@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from wayline.llm.media import descriptors, edited, media_copies, picture, pictures, read_pgm, resized, write_pgm
+from wayline.llm.media import _CORNER, descriptors, edited, matches, media_copies, picture, pictures, read_pgm, resized, write_pgm
 
 
 def test_pgm():
@@ -50,3 +50,31 @@ def test_pictures_of_vectors(spark):
 
 def test_empty(spark):
     assert media_copies(spark.createDataFrame([], "media_id long, media binary")).collect() == []
+
+
+def _described(spark, rows):
+    return spark.createDataFrame([(i, [(float(k), 0.0, 0, 0, *d) for k, d in enumerate(ds)]) for i, ds in rows], f"id long, corners array<{_CORNER}>")
+
+
+def _found(frame):
+    return sorted((r.a, int(r.ax), r.b, int(r.bx)) for r in frame.collect())
+
+
+def _all_pairs(rows):
+    bits = lambda d: (d[0] & (1 << 64) - 1) | (d[1] & (1 << 64) - 1) << 64
+    every = [(i, k, bits(d)) for i, ds in rows for k, d in enumerate(ds)]
+    return sorted((i, k, j, m) for i, k, d in every for j, m, e in every if i > j and (d ^ e).bit_count() <= 10)
+
+
+def test_copies_in_the_middle_of_a_bucket_meet(spark):
+    low, high = (1 << 43) - 1, -1 << 22
+    hub = [(0, -1), (low, high), (-1, (1 << 22) - 1)]  # shares every chunk with the copies, and is near to none
+    rows = [(1, hub), (2, [(0, 0)]), (3, [(0, 1)]), (4, [(0, 1), (0, 0)]), (5, [(0, 1)]), (9, hub)]
+    assert _found(matches(_described(spark, rows))) == _all_pairs(rows)
+
+
+def test_buckets_in_tiles_give_each_pair_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [(int(rng.integers(0, 4)) << 50, int(rng.integers(0, 4))) for _ in range(3)]) for i in range(30)]
+    want = _all_pairs(rows)
+    assert _found(matches(_described(spark, rows), bucket=4)) == _found(matches(_described(spark, rows))) == want

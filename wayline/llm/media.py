@@ -3,10 +3,9 @@ neighbourhoods agree and whose places agree on one similarity transform.
 
 For each image, at several scales, the strongest Harris corners are taken; a corner's orientation is the direction of the
 intensity centroid around it, and its descriptor are 128 comparisons of smoothed pixels at fixed places, turned by that
-orientation. Descriptors are joined by Hamming tables: three chunks of 42 or 43 bits, so that two descriptors that differ in
-at most two bits share a chunk (neighbouring comparisons agree so often that shorter chunks would be those of very many
-images). In a bucket nothing but the smallest and the largest image meets the others, so a pattern
-that very many images have gives as many rows as images, never all pairs. Matches vote for bins of rotation, scale and
+orientation. Descriptors are joined by Hamming tables: three chunks of 42 or 43 bits, so that two descriptors
+that differ in at most two bits share a chunk. Equal descriptors are one row to the tables, and all those of a
+bucket are compared with each other, large buckets by pairs of tiles. Matches vote for bins of rotation, scale and
 translation, and images with enough votes in one bin are linked.
 """
 
@@ -22,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.graph import components
-from wayline.llm.shared import materialize, prepare
+from wayline.llm.near_dedup import _groups, tiled
+from wayline.llm.shared import materialize, prepare, shuffle_partitions
 
 #: Scales that are looked at, and corners of each.
 SCALES, CORNERS = (1.0, 1 / 1.5, 1 / 2.25), (28, 12, 8)
@@ -30,6 +30,12 @@ SCALES, CORNERS = (1.0, 1 / 1.5, 1 / 2.25), (28, 12, 8)
 BITS, RADIUS, TURNS = 128, 12, 24
 #: Bits in which two matching descriptors may differ, pixels of a translation bin, and votes for a link.
 DIFFERENT, BIN, VOTES = 10, 16, 4
+#: Pixels of a side of what counts as one place.
+PLACE = 6
+#: Chunks of a descriptor; two that differ in fewer bits share one.
+CHUNKS = 3
+#: Descriptors of a bucket that one task compares; above it, tiles of half as many.
+BUCKET = 8192
 #: A longer side is reduced to this many pixels.
 LARGEST = 1024
 _MARGIN = 18
@@ -137,24 +143,87 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), corners)], names=["id", "same", "corners"])
 
 
-def matches(described: DataFrame) -> DataFrame:
-    """Matching corners (a, b, ax, ay, ..., bx, by, ...) of two images, a > b, each pair of corners once."""
-    middle = F.shiftrightunsigned("c.d0", 43).bitwiseOR(F.shiftleft(F.col("c.d1").bitwiseAND(F.lit((1 << 22) - 1)), 21))
-    chunks = [F.col("c.d0").bitwiseAND(F.lit((1 << 43) - 1)), middle, F.shiftrightunsigned("c.d1", 22)]
-    corner = described.select("id", F.explode("corners").alias("c"))
-    keyed = corner.select("id", "c", F.explode(F.array(*[F.xxhash64(F.lit(k), v) for k, v in enumerate(chunks)])).alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = materialize(keyed.join(ends.hint("merge"), "key").select("key", "id", "c", "low", "high"), "shared-corners")
-    hubs = shared.where("id = low OR id = high").select("key", F.col("id").alias("hub"), F.col("c").alias("h"))
-    met = shared.join(hubs, "key").where("id <> hub")
-    apart = F.bit_count(F.col("c.d0").bitwiseXOR(F.col("h.d0"))) + F.bit_count(F.col("c.d1").bitwiseXOR(F.col("h.d1")))
-    own, other = F.struct("id", "c"), F.struct(F.col("hub").alias("id"), F.col("h").alias("c"))
-    near = met.where(apart <= DIFFERENT).select(F.greatest(own, other).alias("p"), F.least(own, other).alias("q"))
-    return near.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), *[F.col(f"{s}.c.{c}").alias(n + c) for s, n in (("p", "a"), ("q", "b")) for c in ("x", "y", "level", "turn")]).distinct()
+def _chunks() -> list[tuple[int, int]]:
+    """(first bit, number of bits) of each chunk; together they have every bit once."""
+    size = [len(x) for x in np.array_split(np.arange(BITS), CHUNKS)]
+    return list(zip(np.cumsum([0, *size[:-1]]).tolist(), size, strict=True))
+
+
+def _chunk(first: int, size: int):
+    """The bits of a chunk as a column of a number below 2 ** size; d0 has the bits 0 to 63, d1 those from 64."""
+    if first >= 64:
+        value = F.shiftrightunsigned("d1", first - 64)
+    elif first + size <= 64:
+        value = F.shiftrightunsigned("d0", first)
+    else:
+        value = F.shiftrightunsigned("d0", first).bitwiseOR(F.shiftleft("d1", 64 - first))
+    return value.bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+
+
+_PAIR = ["p0", "p1", "q0", "q1"]
+
+
+def near_pairs(words: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The places (i, j), i < j, of all descriptors (two words each) within ``DIFFERENT`` bits of each other."""
+    d0, d1 = np.ascontiguousarray(words[:, 0]).view(np.uint64), np.ascontiguousarray(words[:, 1]).view(np.uint64)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(d0), block):
+        apart = np.bitwise_count(d0[at : at + block, None] ^ d0[None, at:])
+        i, j = np.nonzero(apart <= DIFFERENT)
+        i, j = i[i < j], j[i < j]
+        near = apart[i, j] + np.bitwise_count(d1[at + i] ^ d1[at + j]) <= DIFFERENT
+        left.append(at + i[near])
+        right.append(at + j[near])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of descriptors of rows that agree in key, tile_a and tile_b, from rows sorted by them. A pair that shares
+    several chunks is given by the first of them only."""
+    chunks = _chunks()
+    for group in _groups(batches, 3):
+        words = np.stack([group.column(c).to_numpy() for c in ("d0", "d1")], axis=1)
+        i, j = near_pairs(words)
+        x = (words[i] ^ words[j]).view(np.uint64)
+        first = np.ones(len(i), dtype=bool)
+        for begin, size in chunks[: int(group.column("key")[0].as_py()) >> 44]:
+            low = x[:, begin // 64] >> np.uint64(begin % 64)
+            if begin < 64 < begin + size:
+                low = low | x[:, 1] << np.uint64(64 - begin)
+            first &= (low & np.uint64((1 << size) - 1)) != 0
+        i, j = i[first], j[first]
+        for at in range(0, len(i), 50_000):
+            p, q = words[i[at : at + 50_000]], words[j[at : at + 50_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in (p[:, 0], p[:, 1], q[:, 0], q[:, 1])], names=_PAIR)
+
+
+def matches(described: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Matching corners (a, b, ax, ay, ..., bx, by, ...) of two images, a > b, each pair of corners once: all that
+    share a chunk and differ in at most ``DIFFERENT`` bits. Corners of one descriptor meet the tables once."""
+    parts = shuffle_partitions(described.sparkSession)
+    corner = materialize(described.select("id", F.explode("corners").alias("c")).select("id", "c.*"), "media-corners")
+    kinds = materialize(corner.groupBy("d0", "d1").agg((F.min("id") < F.max("id")).alias("shared")), "descriptors")
+    keys = F.array(*[F.lit(k << 44).cast("long").bitwiseOR(_chunk(*c)) for k, c in enumerate(_chunks())])
+    keyed = kinds.select(F.explode(keys).alias("key"), "d0", "d1").withColumns({"rep": F.xxhash64("d0", "d1"), "one": F.lit(1)})
+    dealt = (
+        tiled(keyed, "key", "rep", "one", bucket).select("key", "tile_a", "tile_b", "d0", "d1")
+        .repartition(parts, "key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b")
+    )
+    near = dealt.mapInArrow(_near, "p0 long, p1 long, q0 long, q1 long")
+    p, q = (F.struct(F.col(s + "0").alias("d0"), F.col(s + "1").alias("d1")) for s in ("p", "q"))
+    near = near.select(F.greatest(p, q).alias("p"), F.least(p, q).alias("q")).distinct()  # two tiles' own pairs come more than once
+    near = near.select(*[F.col(f"{s}.d{i}").alias(f"{s}{i}") for s in ("p", "q") for i in (0, 1)])
+    equal = kinds.where("shared").select(F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("d0").alias("q0"), F.col("d1").alias("q1"))
+    place = F.struct("id", "x", "y", "level", "turn")
+    ends = [corner.select(F.col("d0").alias(s + "0"), F.col("d1").alias(s + "1"), place.alias(s)) for s in ("p", "q")]
+    met = near.unionByName(equal).join(ends[0].hint("merge"), ["p0", "p1"]).join(ends[1].hint("merge"), ["q0", "q1"])
+    met = met.where("p.id > q.id OR (p.id < q.id AND (p0 <> q0 OR p1 <> q1))").select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q"))
+    return met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), *[F.col(f"{s}.{c}").alias(n + c) for s, n in (("p", "a"), ("q", "b")) for c in ("x", "y", "level", "turn")])
 
 
 def linked(found: DataFrame, votes: int = VOTES) -> DataFrame:
-    """(a, b, votes) of the images that enough different corners put into one bin of transforms."""
+    """(a, b, votes) of the images that enough different corners put into one bin of transforms. Corners that are found
+    at one place at several scales are one vote, and so are several corners that match a single one."""
     ratio = F.pow(F.lit(1.5), F.col("blevel") - F.col("alevel"))  # a corner found at a smaller scale is larger in the image
     turn = F.pmod(F.col("aturn") - F.col("bturn"), F.lit(TURNS))
     angle = turn * (2 * np.pi / TURNS)
@@ -162,8 +231,10 @@ def linked(found: DataFrame, votes: int = VOTES) -> DataFrame:
     dx = F.col("ax") - size * (F.cos(angle) * F.col("bx") - F.sin(angle) * F.col("by"))
     dy = F.col("ay") - size * (F.sin(angle) * F.col("bx") + F.cos(angle) * F.col("by"))
     shifts = F.array(*[F.struct(F.lit(2 * i + j).alias("s"), F.floor(dx / BIN + i / 2).alias("u"), F.floor(dy / BIN + j / 2).alias("v")) for i in (0, 1) for j in (0, 1)])
-    voted = found.select("a", "b", "ax", "ay", (F.col("alevel") - F.col("blevel")).alias("l"), turn.alias("t"), F.explode(shifts).alias("w")).distinct()
-    bins = voted.groupBy("a", "b", "l", "t", "w").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+    dealt = found.repartition("a", "b")  # all that follows keeps this dealing
+    own, other = (F.struct(F.floor(F.col(s + "x") / PLACE).alias("x"), F.floor(F.col(s + "y") / PLACE).alias("y")) for s in ("a", "b"))
+    voted = dealt.select("a", "b", own.alias("own"), other.alias("other"), (F.col("alevel") - F.col("blevel")).alias("l"), turn.alias("t"), F.explode(shifts).alias("w"))
+    bins = voted.groupBy("a", "b", "l", "t", "w").agg(F.least(F.size(F.collect_set("own")), F.size(F.collect_set("other"))).cast("long").alias("votes")).where(F.col("votes") >= votes)
     return bins.groupBy("a", "b").agg(F.max("votes").alias("votes"))
 
 
