@@ -78,3 +78,39 @@ def test_buckets_in_tiles_give_each_pair_once(spark):
     rows = [(i, [(int(rng.integers(0, 4)) << 50, int(rng.integers(0, 4))) for _ in range(3)]) for i in range(30)]
     want = _all_pairs(rows)
     assert _found(matches(_described(spark, rows), bucket=4)) == _found(matches(_described(spark, rows))) == want
+
+
+def test_descriptors_that_differ_in_every_chunk_but_one_meet(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(0, 40, 2):
+        base = [int(v) for v in rng.integers(-(1 << 62), 1 << 62, 2)]
+        for j, n in ((i, 0), (i + 1, 10 + i % 4 // 2)):  # 10 bits apart, or 11
+            d = list(base)
+            for bit in rng.permutation(128)[:n].tolist():
+                d[bit // 64] ^= (1 << bit % 64) - (1 << 64 if bit % 64 == 63 else 0)
+            rows.append((j, [tuple(d)]))
+    got = _found(matches(_described(spark, rows)))
+    assert got == _all_pairs(rows) and len(got) == 10
+
+
+def _large(seed, rows=9, columns=10):
+    return np.block([[picture(b"%d-%d-%d" % (seed, r, c)) for c in range(columns)] for r in range(rows)])
+
+
+def test_corners_grow_with_the_area():
+    small, large = len(descriptors(picture(b"0-0-0"))[1]), descriptors(read_pgm(write_pgm(_large(0))))
+    assert len(large[1]) > 45 * small
+    assert len(set(map(tuple, np.c_[large[0], large[1]]))) == len(large[1])  # blocks share no corner
+
+
+def test_small_noisy_crops_of_large_images(spark):
+    rng, rows, n = np.random.default_rng(8), [], 6
+    for i in range(n):
+        x = _large(i)
+        r, c = int(rng.integers(0, 1152 - 364)), int(rng.integers(0, 1280 - 404))
+        crop = x[r : r + 364, c : c + 404]  # a tenth of the area
+        rows += [(10 * i, write_pgm(x)), (10 * i + 1, write_pgm(crop)), (10 * i + 2, write_pgm(crop + rng.normal(0, 6, crop.shape)))]
+    by = {r.media_id: r for r in media_copies(spark.createDataFrame(rows, "media_id long, media binary").repartition(3)).collect()}
+    assert [by[10 * i + k].component_id for i in range(n) for k in range(3)] == [10 * i for i in range(n) for _ in range(3)]
+    assert all(r.n_links == 2 for r in by.values())

@@ -1,12 +1,14 @@
 """Copies among images by local descriptors: cropped, brightened, noisy or turned copies share corners whose
 neighbourhoods agree and whose places agree on one similarity transform.
 
-For each image, at several scales, the strongest Harris corners are taken; a corner's orientation is the direction of the
-intensity centroid around it, and its descriptor are 128 comparisons of smoothed pixels at fixed places, turned by that
-orientation. Descriptors are joined by Hamming tables: three chunks of 42 or 43 bits, so that two descriptors
-that differ in at most two bits share a chunk. Equal descriptors are one row to the tables, and all those of a
+For each image, at several scales, the strongest Harris corners of each cell of about ``CELL`` pixels a side are taken, so
+that their number grows with the area and a crop keeps its share; large images are looked at block by block. A corner's
+orientation is the direction of the intensity centroid around it, and its descriptor are 128 comparisons of smoothed pixels at fixed places, turned by that
+orientation. Descriptors are joined by Hamming tables: ``DIFFERENT + 1`` chunks of 11 or 12 bits, so that two descriptors
+that differ in at most ``DIFFERENT`` bits share a chunk. Equal descriptors are one row to the tables, and all those of a
 bucket are compared with each other, large buckets by pairs of tiles. Matches vote for bins of rotation, scale and
-translation, and images with enough votes in one bin are linked.
+translation, and images with enough votes in one bin are linked: ``VOTES``, and more than chance may put there, as images with very many
+corners match at random in some.
 """
 
 from __future__ import annotations
@@ -17,27 +19,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.graph import components
 from wayline.llm.near_dedup import _groups, tiled
 from wayline.llm.shared import materialize, prepare, shuffle_partitions
 
-#: Scales that are looked at, and corners of each.
+#: Scales that are looked at, and corners of each in a cell.
 SCALES, CORNERS = (1.0, 1 / 1.5, 1 / 2.25), (28, 12, 8)
 #: Comparisons, radius of their places, and steps of a full turn.
 BITS, RADIUS, TURNS = 128, 12, 24
 #: Bits in which two matching descriptors may differ, pixels of a translation bin, and votes for a link.
 DIFFERENT, BIN, VOTES = 10, 16, 4
+#: Bins of a pair of images, a scale and a rotation that chance may fill, on average.
+BY_CHANCE = 0.05
 #: Pixels of a side of what counts as one place.
 PLACE = 6
 #: Chunks of a descriptor; two that differ in fewer bits share one.
-CHUNKS = 3
+CHUNKS = DIFFERENT + 1
 #: Descriptors of a bucket that one task compares; above it, tiles of half as many.
 BUCKET = 8192
-#: A longer side is reduced to this many pixels.
-LARGEST = 1024
+#: Pixels of a cell's side, of a block's, and around a block what its corners may need at the smallest scale.
+CELL, BLOCK, AROUND = 128, 1024, 64
 _MARGIN = 18
 _HEADER = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*([0-9]{1,6})\s+([0-9]{1,6})\s+([0-9]{1,6})\s")
 _places = np.random.default_rng(20240611).normal(0, RADIUS / 2.5, (BITS, 2, 2)).clip(-RADIUS, RADIUS)
@@ -56,7 +60,7 @@ def read_pgm(data: bytes | None) -> np.ndarray | None:
     raw = (data or b"")[head.end() :]
     if not width or not height or not 0 < most < 256 or len(raw) != width * height:
         return None
-    return np.frombuffer(raw, np.uint8).reshape(height, width).astype(np.float64)
+    return np.frombuffer(raw, np.uint8).reshape(height, width)
 
 
 def write_pgm(image: np.ndarray) -> bytes:
@@ -79,8 +83,9 @@ def resized(x: np.ndarray, scale: float) -> np.ndarray:
     return top * (1 - fr) + low * fr
 
 
-def _corners(x: np.ndarray, most: int) -> np.ndarray:
-    """(row, column) of the strongest local maxima of the Harris response."""
+def _corners(x: np.ndarray, most: int, cells: tuple[int, int] = (1, 1)) -> np.ndarray:
+    """(row, column) of the strongest local maxima of the Harris response, at most ``most`` in each of so many rows and
+    columns of cells."""
     if min(x.shape) <= 2 * _MARGIN:
         return np.empty((0, 2), dtype=int)
     gy, gx = np.gradient(_box(x, 1))
@@ -91,21 +96,50 @@ def _corners(x: np.ndarray, most: int) -> np.ndarray:
         top = np.max([np.roll(top, k, axis) for k in range(-2, 3)], axis=0)
     inside = np.zeros(x.shape, dtype=bool)
     inside[_MARGIN:-_MARGIN, _MARGIN:-_MARGIN] = True
-    at = np.flatnonzero((r == top) & inside & (r > max(1e-6, 0.005 * r.max())))
-    at = at[np.lexsort((at, -r.flat[at]))[:most]]
+    at = np.flatnonzero((r == top) & inside & (r > 1e-6))
+    row, column = np.unravel_index(at, x.shape)
+    cell = row * cells[0] // x.shape[0] * cells[1] + column * cells[1] // x.shape[1]
+    strongest = np.zeros(cells[0] * cells[1])
+    np.maximum.at(strongest, cell, r.flat[at])
+    strong = r.flat[at] > 0.005 * strongest[cell]
+    at, cell = at[strong], cell[strong]
+    order = np.lexsort((at, -r.flat[at], cell))
+    at, cell = at[order], cell[order]
+    first = np.searchsorted(cell, cell, "left")
+    at = at[np.arange(len(at)) - first < most]
     return np.stack(np.unravel_index(at, x.shape), axis=1)
 
 
+def _blocks(size: int) -> list[tuple[int, int]]:
+    """Begin and end of the blocks of a side, all of about one length."""
+    n = -(-size // BLOCK)
+    return [(i * size // n, (i + 1) * size // n) for i in range(n)]
+
+
 def descriptors(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(x, y) in pixels of the image, scale number, turn number and 16 descriptor bytes of each corner."""
+    if image is None or max(image.shape) <= BLOCK:
+        return _of_block(image)
+    out = []
+    for top, bottom in _blocks(image.shape[0]):
+        for left, right in _blocks(image.shape[1]):
+            y, x = max(0, top - AROUND), max(0, left - AROUND)
+            xy, level, turn, bits = _of_block(image[y : bottom + AROUND, x : right + AROUND])
+            xy = xy + (x, y)
+            own = (xy[:, 0] >= left) & (xy[:, 0] < right) & (xy[:, 1] >= top) & (xy[:, 1] < bottom)
+            out.append((xy[own], level[own], turn[own], bits[own]))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
+
+
+def _of_block(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     places, levels, turns, packed = [], [], [], []
-    if image is not None and max(image.shape) > LARGEST:
-        shrink = LARGEST / max(image.shape)
-        xy, level, turn, bits = descriptors(resized(image, shrink))
-        return xy / shrink, level, turn, bits
+    if image is not None:
+        image = image.astype(np.float64)
+        cells = tuple(max(1, round(n / CELL)) for n in image.shape)
+        share = max(1.0, image.size / (cells[0] * cells[1] * CELL * CELL))
     for level, (scale, most) in enumerate(zip(SCALES, CORNERS, strict=True) if image is not None else ()):
         x = image if scale == 1 else resized(image, scale)
-        at = _corners(x, most)
+        at = _corners(x, int(np.ceil(most * share)), cells)
         if not len(at):
             continue
         smooth = _box(x, 2)
@@ -201,7 +235,9 @@ def matches(described: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Matching corners (a, b, ax, ay, ..., bx, by, ...) of two images, a > b, each pair of corners once: all that
     share a chunk and differ in at most ``DIFFERENT`` bits. Corners of one descriptor meet the tables once."""
     parts = shuffle_partitions(described.sparkSession)
-    corner = materialize(described.select("id", F.explode("corners").alias("c")).select("id", "c.*"), "media-corners")
+    side = [F.array_max(v) - F.array_min(v) + BIN for v in (F.col("corners.x"), F.col("corners.y"))]
+    span = F.sqrt(side[0] * side[1]).cast("float")
+    corner = materialize(described.select("id", span.alias("span"), F.explode("corners").alias("c")).select("id", "span", "c.*"), "media-corners")
     kinds = materialize(corner.groupBy("d0", "d1").agg((F.min("id") < F.max("id")).alias("shared")), "descriptors")
     keys = F.array(*[F.lit(k << 44).cast("long").bitwiseOR(_chunk(*c)) for k, c in enumerate(_chunks())])
     keyed = kinds.select(F.explode(keys).alias("key"), "d0", "d1").withColumns({"rep": F.xxhash64("d0", "d1"), "one": F.lit(1)})
@@ -214,11 +250,11 @@ def matches(described: DataFrame, bucket: int = BUCKET) -> DataFrame:
     near = near.select(F.greatest(p, q).alias("p"), F.least(p, q).alias("q")).distinct()  # two tiles' own pairs come more than once
     near = near.select(*[F.col(f"{s}.d{i}").alias(f"{s}{i}") for s in ("p", "q") for i in (0, 1)])
     equal = kinds.where("shared").select(F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("d0").alias("q0"), F.col("d1").alias("q1"))
-    place = F.struct("id", "x", "y", "level", "turn")
+    place = F.struct("id", "x", "y", "level", "turn", "span")
     ends = [corner.select(F.col("d0").alias(s + "0"), F.col("d1").alias(s + "1"), place.alias(s)) for s in ("p", "q")]
     met = near.unionByName(equal).join(ends[0].hint("merge"), ["p0", "p1"]).join(ends[1].hint("merge"), ["q0", "q1"])
     met = met.where("p.id > q.id OR (p.id < q.id AND (p0 <> q0 OR p1 <> q1))").select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q"))
-    return met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), *[F.col(f"{s}.{c}").alias(n + c) for s, n in (("p", "a"), ("q", "b")) for c in ("x", "y", "level", "turn")])
+    return met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), *[F.col(f"{s}.{c}").alias(n + c) for s, n in (("p", "a"), ("q", "b")) for c in ("x", "y", "level", "turn", "span")])
 
 
 def linked(found: DataFrame, votes: int = VOTES) -> DataFrame:
@@ -231,10 +267,15 @@ def linked(found: DataFrame, votes: int = VOTES) -> DataFrame:
     dx = F.col("ax") - size * (F.cos(angle) * F.col("bx") - F.sin(angle) * F.col("by"))
     dy = F.col("ay") - size * (F.sin(angle) * F.col("bx") + F.cos(angle) * F.col("by"))
     shifts = F.array(*[F.struct(F.lit(2 * i + j).alias("s"), F.floor(dx / BIN + i / 2).alias("u"), F.floor(dy / BIN + j / 2).alias("v")) for i in (0, 1) for j in (0, 1)])
-    dealt = found.repartition("a", "b")  # all that follows keeps this dealing
+    level = F.col("alevel") - F.col("blevel")
+    alike = Window.partitionBy("a", "b", level, turn)
+    dealt = found.repartition("a", "b").withColumn("n", F.count("*").over(alike))  # all that follows keeps this dealing
     own, other = (F.struct(F.floor(F.col(s + "x") / PLACE).alias("x"), F.floor(F.col(s + "y") / PLACE).alias("y")) for s in ("a", "b"))
-    voted = dealt.select("a", "b", own.alias("own"), other.alias("other"), (F.col("alevel") - F.col("blevel")).alias("l"), turn.alias("t"), F.explode(shifts).alias("w"))
-    bins = voted.groupBy("a", "b", "l", "t", "w").agg(F.least(F.size(F.collect_set("own")), F.size(F.collect_set("other"))).cast("long").alias("votes")).where(F.col("votes") >= votes)
+    voted = dealt.select("a", "b", own.alias("own"), other.alias("other"), "n", F.pow(F.col("aspan") + size * F.col("bspan"), F.lit(2)).alias("room"), level.alias("l"), turn.alias("t"), F.explode(shifts).alias("w"))
+    # The chance that one of the bins has v votes is at most bins * (e * mean / v) ** v; the middle is four times as dense.
+    mean = 4 * BIN**2 * F.col("n") / F.col("room")
+    chance = F.log(4 * F.col("room") / BIN**2) + F.col("votes") * (1 + F.log(mean / F.col("votes")))
+    bins = voted.groupBy("a", "b", "l", "t", "w").agg(F.first("n").alias("n"), F.first("room").alias("room"), F.least(F.size(F.collect_set("own")), F.size(F.collect_set("other"))).cast("long").alias("votes")).where((F.col("votes") >= votes) & (F.col("votes") > mean) & (chance <= float(np.log(BY_CHANCE))))
     return bins.groupBy("a", "b").agg(F.max("votes").alias("votes"))
 
 
