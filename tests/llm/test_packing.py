@@ -90,3 +90,20 @@ def test_classes():
     assert all(sum(cuts(n, 4096)) == n for n in range(1, 9000, 7)) and inner_classes(4096)[-1] == 4096
     with pytest.raises(ValueError, match="power of two"):
         HarmonicPacker(1000, 0)
+
+
+def test_ids_of_documents_are_in_the_sequences(docs, library):
+    rows = [r for r in pack(docs, PATH).collect() if r.doc_id is not None]
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, {})[r.start, r.length] = np.frombuffer(r.ids, "<u4").tolist()
+    once = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count = 1").select("doc_id")
+    for r in docs.join(once, "doc_id").collect():
+        assert sum((by[r.doc_id][k] for k in sorted(by[r.doc_id])), []) == [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+
+
+def test_the_last_stage_keeps_ids(spark, docs):
+    import corpus_pipeline
+
+    assert "ids" in corpus_pipeline.pack_documents(spark, docs, "").columns

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +37,9 @@ LONGEST = 100
 LAST_LATIN = "\u024f"
 #: The word pattern of the tokenizer file (a fixed value), and the line feed that separates chunks here.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
-_OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_NAMES = [c.split()[0] for c in _OUT.split(", ")]
+_OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+_FIELDS = [tuple(c.split()) for c in _OUT.split(", ")]
+_KINDS = {"long": pa.int64(), "binary": pa.binary()}
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 
@@ -179,7 +179,7 @@ class HarmonicPacker:
     def _sequence(self, pieces: list[tuple]) -> list[tuple]:
         out, offset = [], 0
         for doc_id, start, ids, whole in pieces:
-            out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), whole, self.sequence, offset))
+            out.append((doc_id, start, len(ids), ids.tobytes(), whole, self.sequence, offset))
             offset += len(ids)
         self.sequence += 1
         return out
@@ -204,7 +204,10 @@ class HarmonicPacker:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row for each piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset, ids_crc32.
+
+    ``ids`` are the piece's token ids as little-endian unsigned 32-bit integers, and ``ids_crc32`` is their checksum; a
+    sequence's pieces one after the other in order of ``offset`` are its training tokens.
 
     A document is its text's ids and then ``end_id``; a null text counts as empty, so every row gives at least one
     piece. Rows with a null id are packed under a null id; repeated rows are packed as often as they are there. A
@@ -232,8 +235,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield _rows(out)
         tokenizer.forget()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT).withColumn("ids_crc32", F.crc32("ids"))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], names=[name for name, _ in _FIELDS])

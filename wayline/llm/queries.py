@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: What the contract asks for of packed pieces.
+_PACKED = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,7 +64,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from wayline.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select(*_PACKED)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +90,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus_pipeline.run(spark, sf_dir).select(*_PACKED)
 
 
 def queries() -> dict[str, Query]:
