@@ -339,3 +339,24 @@ def test_principal_directions(spark):
     assert np.allclose(np.abs(directions), np.abs(want[2][:2]), atol=1e-6) and np.allclose(share, want[1][:2] ** 2 / (want[1] ** 2).sum())
 
 
+
+
+def test_permutation_null_scores_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x, group, label = rng.normal(size=(60, 3)), np.arange(60) % 3, np.arange(60) // 3 % 2
+    v = spark.createDataFrame([(i, int(group[i]), int(label[i]), x[i].tolist()) for i in range(60)], "i long, g int, y int, v array<double>")
+    fitted = [r.i for r in v.orderBy(F.xxhash64("i"), "i").limit(40).collect()]
+    want = {}
+    for replicate in range(5):
+        y = np.zeros(60, int)
+        for r in resample.permuted_labels(v, "g", "i", "y", 5).where(F.col("replicate") == replicate).collect():
+            y[r.i] = r.permuted
+        own = []
+        for g in range(3):
+            train, test = [i for i in fitted if group[i] != g], np.flatnonzero(group == g)
+            w, b = probes.fit_centroid(x[train], y[train], np.zeros(len(train)))
+            z = x[test] @ w + b
+            own.append(np.mean([(p > n) + (p == n) / 2 for p in z[y[test] == 1] for n in z[y[test] == 0]]))
+        want[replicate] = np.mean(own)
+    got = {r.replicate: r.mean_auroc for r in probes.permutation_null(v, "g", "i", "y", "v", 5, "centroid", max_rows=40).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -476,8 +476,10 @@ def residual_probe(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     v = vector_rows(spark, d).select("vec_id", "grp", "label", "embedding")
-    samples = probes.permutation_null(v, "grp", "vec_id", "label", "embedding", 19, "centroid")
-    seen = spark.createDataFrame([(0.5,)], "observed double")
+    samples = probes.permutation_null(v, "grp", "vec_id", "label", "embedding", 999, "centroid", max_rows=2000)
+    one = v.withColumn("layer", F.lit(0))
+    models = probes.fit_leaving_out(one, ["layer"], "grp", "vec_id", "label", "embedding", "centroid", max_rows=2000)
+    seen = metrics.fold_summary(probes.held_out_scores(one, models, ["layer"], "grp", "embedding"), ["layer"], "grp").select(F.col("mean_auroc").alias("observed"))
     return rounded(resample.null_summary(samples, seen, [], "mean_auroc", "observed"), "mean", "sd", "q025", "q50", "q975", "p", places=4)
 
 
