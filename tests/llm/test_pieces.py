@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayline.llm.pieces import CharacterMap, encode_pieces, encoder_of
 
@@ -89,3 +90,32 @@ def test_normalising_with_a_map_remembers_the_source():
     encoder.map, encoder._plain, encoder._squeeze = CharacterMap(_trie({b"ab": b"X Y", "é".encode(): b"e"})), False, True
     out, where = encoder.normalize("  ab  é ")
     assert out.decode() == "▁X▁Y▁e" and where.tolist() == [2, 2, 2, 2, 2, 2, 2, 2, 4, 4, 4, 6, 8]
+
+
+def test_normalising_without_a_map_is_the_general_way(texts):
+    encoder = type(encoder_of(PATH))(PATH)
+    every = [t or "" for t in texts if len(t or "") < 20_000] + ODD + ["\ud800 a", "", " "]
+    fast = [encoder.normalize(t) for t in every]
+    encoder._plain = False
+    for t, (data, where) in zip(every, fast, strict=True):
+        want = encoder.normalize(t)
+        assert data == want[0] and where.tolist() == want[1].tolist()
+
+
+def test_the_query_aligns_every_document(spark, monkeypatch, tmp_path, docs):
+    from wayline.llm import pieces, queries
+
+    kept, encode = [], pieces.encode_pieces
+
+    def spy(*args, **named):
+        made = encode(*args, **named)
+        kept.append(made)
+        return made
+
+    monkeypatch.setattr(pieces, "encode_pieces", spy)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op10_sentencepiece(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    encoder = encoder_of(PATH)
+    for r in kept[0].where("doc_id IS NOT NULL").collect():
+        text = docs.where(F.col("doc_id") == r.doc_id).first().text
+        assert [tuple(p) for p in r.pieces] == encoder.spans(text)

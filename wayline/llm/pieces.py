@@ -120,6 +120,8 @@ class PieceEncoder:
         """The normalised bytes and, for each of them and the end, the source byte that it comes from. Both bytes of a
         replacement come from the start of what was replaced."""
         source = text.encode("utf-8", "replace")
+        if self._plain and not self._squeeze:
+            return self._unmapped(source)
         out, where = bytearray(), []
         begin, last = 0, len(source)
         pieces: list[tuple[bytes, int, int]] = []
@@ -158,6 +160,16 @@ class PieceEncoder:
                 del where[len(out) :]
         return bytes(out), np.array([*where, end], dtype=np.int64)
 
+    def _unmapped(self, source: bytes) -> tuple[bytes, np.ndarray]:
+        """What ``normalize`` gives where no entry can be found, as the map is empty: all characters at once."""
+        if not source:
+            return b"", np.zeros(1, dtype=np.int32)
+        space, raw = SPACE if self._escape else b" ", np.frombuffer(source, dtype=np.uint8)
+        first = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, np.arange(len(raw), dtype=np.int32), np.int32(0)))
+        where = np.repeat(first, np.where(raw == 0x20, len(space), 1))
+        lead = space if self._prefix else b""
+        return lead + source.replace(b" ", space), np.concatenate([np.zeros(len(lead), np.int32), where, np.array([len(source)], np.int32)])
+
     def _merge(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of normalised chunks."""
         texts = [c.decode() for c in chunks]
@@ -189,8 +201,24 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each from the begin id to the end id, one text after the other, and their numbers."""
+        return self._encode([self.normalize(t or "")[0] for t in texts])
+
+    def encode_aligned(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``encode``, and the first source byte and the byte after the last of each id but the begin and end ids."""
+        made = [self.normalize(t or "") for t in texts]
+        flat, sizes = self._encode([data for data, _ in made])
+        if not len(sizes):
+            return flat, sizes, np.empty(0, np.int64), np.empty(0, np.int64)
+        where = np.concatenate([w for _, w in made])
+        edge = np.zeros(len(flat), dtype=bool)
+        edge[np.cumsum(sizes) - 1] = edge[np.cumsum(sizes) - sizes] = True
+        size = self.piece_bytes[flat[~edge]]
+        end = np.cumsum(size) + np.repeat(np.arange(len(sizes)), sizes - 2)  # each text has one place more than bytes
+        return flat, sizes, where[end - size], where[end]
+
+    def _encode(self, normalized: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         self._chunks.begin()
-        chunks = [self._chunks_of(t or "") for t in texts]
+        chunks = [self._chunks_of(data) for data in normalized]
         rows = self._chunks.rows([c for own in chunks for c in own])
         size = np.concatenate([[0], np.cumsum(self._chunks.sizes(rows))])
         ends = np.cumsum(np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)))
@@ -200,13 +228,7 @@ class PieceEncoder:
         ids = np.insert(ids, np.stack([stop - per, stop], axis=1).ravel(), np.tile([self.begin, self.end], len(per)))
         return ids.astype("<u4"), per + 2
 
-    def _chunks_of(self, text: str) -> list[bytes]:
-        if not text:
-            return []
-        if self._plain and self._prefix and self._escape and not self._squeeze:  # nothing to replace but spaces
-            data = SPACE + text.encode("utf-8", "replace").replace(b" ", SPACE)
-        else:
-            data = self.normalize(text)[0]
+    def _chunks_of(self, data: bytes) -> list[bytes]:
         return (_LINES if self._line_alone else _WORDS).findall(data)
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
@@ -242,14 +264,15 @@ def _encode(path: str, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column(1).to_pylist()
-                flat, sizes = encoder.encode(texts)
+                flat, sizes, begin, end = encoder.encode_aligned(texts) if keep else (*encoder.encode(texts), None, None)
                 own = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
                 decoded = [encoder.decode(ids.tolist()) for ids in own]
                 columns = [part.column(0), pa.array(sizes), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in own]), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep:
-                    spans = [[{"id": i, "begin": b, "end": e} for i, b, e in encoder.spans(t)] for t in texts]
-                    columns += [pa.array(spans, pa.list_(pa.struct([("id", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]))), pa.array(decoded, pa.string())]
+                    inner = np.concatenate([x[1:-1] for x in own]) if own else np.empty(0)
+                    spans = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (inner, begin, end)], fields=[pa.field(n, pa.int32()) for n in ("id", "begin", "end")])
+                    columns += [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - 2)]), pa.int32()), spans), pa.array(decoded, pa.string())]
                     names += ["pieces", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         encoder.forget()

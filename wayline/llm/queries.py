@@ -84,7 +84,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from wayline.llm.pieces import encode_pieces
 
-    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    made = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=True)
+    return made.drop("pieces", "decoded")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
