@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -54,3 +56,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_texts_of_every_language_and_length(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    digest = {i: None if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in docs.items()}
+    got = {r.doc_id: (r.n, r.digest) for r in registry.QUERIES["collapsed_text_all"](spark, str(FOLDER)).collect()}
+    assert got == {i: (None if t is None else len(re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ")), digest[i]) for i, t in docs.items()}
+    for r in registry.QUERIES["tag_values_whole"](spark, str(FOLDER)).collect():
+        clean = None if docs[r.doc_id] is None else re.sub(r"[^A-Za-z0-9._-]+", "-", docs[r.doc_id])
+        assert r.tag == (clean if clean is None or len(clean) <= 63 else clean[:54] + "-" + digest[r.doc_id][:8])

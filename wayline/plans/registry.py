@@ -404,6 +404,12 @@ def collapsed_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.length(text.collapse_space(F.col("text"))).cast("long").alias("n"), hashing.text_sha256(F.col("text")).alias("digest"))
 
 
+@query()
+def collapsed_text_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``collapsed_text``, of documents in every language."""
+    return table(spark, d, "documents").select("doc_id", F.length(text.collapse_space(F.col("text"))).cast("long").alias("n"), hashing.text_sha256(F.col("text")).alias("digest"))
+
+
 @query("""SELECT conv_id, string_agg(upper(role) || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id""")
 def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
     messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
@@ -417,6 +423,12 @@ def tag_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.tag_value(cut).alias("tag"))
 
 
+@query()
+def tag_values_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As ``tag_values``, of whole texts."""
+    return table(spark, d, "documents").select("doc_id", text.tag_value(F.col("text")).alias("tag"))
+
+
 @query()
 def insertion_diff(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
