@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.bpe import PairTable, merge_all
 from wayline.llm.ragged import RaggedCache
-from wayline.llm.shared import prepare
+from wayline.llm.shared import prepare, released
 
 CAPACITY = 4096
 END_ID = 2
@@ -168,7 +168,7 @@ class HarmonicPacker:
     def add(self, doc_id: int | None, ids: np.ndarray) -> list[tuple]:
         out, start = [], 0
         for length in cuts(len(ids), self.capacity):
-            j, piece = self.class_of(length), (doc_id, start, ids[start : start + length], len(ids))
+            j, piece = self.class_of(length), (doc_id, start, ids[start : start + length].copy(), len(ids))  # a slice would hold the whole document
             start += length
             held = self._open.setdefault(j, [])
             held.append(piece)
@@ -227,7 +227,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             ids = np.insert(ids, ends, np.array(end_id, dtype="<u4"))
             at = 0
             for doc_id, size in zip(part.column(0).to_pylist(), (sizes + 1).tolist(), strict=True):
-                out += packer.add(doc_id, ids[at : at + size].copy())
+                out += packer.add(doc_id, ids[at : at + size])
                 at += size
             if out:
                 yield _rows(out)
@@ -235,7 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield _rows(out)
         tokenizer.forget()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT).withColumn("ids_crc32", F.crc32("ids"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), _OUT).withColumn("ids_crc32", F.crc32("ids"))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -17,13 +17,13 @@ class RaggedCache(dict):
     """key -> row number; rows are integer arrays that ``compute`` makes for the keys that were missing.
 
     ``compute`` gets a list of distinct keys and returns the integers of all of them, one after the other, and the
-    number of integers of each. At ``limit`` keys the cache starts afresh before the next batch; that bounds memory and
-    never changes a result.
+    number of integers of each. At ``limit`` keys, or ``most`` integers, the cache starts afresh before the next batch;
+    that bounds memory and never changes a result.
     """
 
-    def __init__(self, compute: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int) -> None:
+    def __init__(self, compute: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int, most: int = 4_000_000) -> None:
         super().__init__()
-        self._compute, self._limit = compute, limit
+        self._compute, self._limit, self._most = compute, limit, most
         self.reset()
 
     def reset(self) -> None:
@@ -42,7 +42,7 @@ class RaggedCache(dict):
 
     def begin(self) -> None:
         """To be called before a batch: rows handed out earlier lose their meaning when the cache starts afresh."""
-        if len(self) >= self._limit:
+        if len(self) >= self._limit or self._used >= self._most:
             self.reset()
 
     def rows(self, keys: Sequence[Hashable]) -> np.ndarray:

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayline.session import ship
 
@@ -76,5 +81,44 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+#: Keys that may be heavy at most: each of them has more than this part of all rows.
+HEAVY = 1000
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, heavy: DataFrame, salts: int) -> DataFrame:
+    """A join whose heavy keys are dealt to ``salts`` tasks: rows of ``left`` by a hash of all their columns, and those
+    of ``right``, few for a key, to each of them. ``heavy`` has the keys ``on`` that hold more than one in ``HEAVY`` of
+    the rows of ``left``; there are no more than ``HEAVY`` of them, so that they may be broadcast."""
+    mark = F.broadcast(heavy.select(*on, F.lit(True).alias("_heavy")))
+    own = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(0).cast("int")
+    every = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = left.join(mark, on, "left").withColumn("_salt", own).drop("_heavy")
+    copied = right.join(mark, on, "left").withColumn("_salt", F.explode(every)).drop("_heavy")
+    return dealt.hint("merge").join(copied, [*on, "_salt"], how).drop("_salt")
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(run: Run) -> Run:
+    """``run``, and after it what the task no longer needs goes back to the system: a Python worker lives on for tasks of
+    other kinds, and what its allocators hold back would be added to their memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def _user_set(spark: SparkSession) -> set[str]:
     return {k for k, _ in spark.sparkContext.getConf().getAll()}

@@ -8,7 +8,9 @@ probability of being toxic, words at 0.5 or more are the offending spans, and a
 and maximum, fitted to the document labels, gives the document's score.
 
 The model is trained on a bounded sample: ``SAMPLE`` labelled documents of each class at most, those whose ids have the
-smallest hashes, with their whole texts. Everything else sees all documents.
+smallest hashes, with their whole texts, and of these no more than make ``SAMPLE_WORDS`` words. A sampled document counts
+in the document score as often as its class was thinned, so that a score means the same whatever the number of labels.
+Everything else sees all documents.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayline.llm.ragged import RaggedCache, spread
-from wayline.llm.shared import prepare
+from wayline.llm.shared import materialize, prepare, released
 
 #: Training documents of each class (toxic, other).
 SAMPLE = (1500, 3000)
+#: Words of the sample from which on no more of its documents are read; the last one is read whole.
+SAMPLE_WORDS = 20_000_000
 BUCKETS = 1 << 17
 #: Beginnings of a word, in characters, that are features besides the word.
 BEGINNINGS = (4, 5, 6)
@@ -162,52 +166,97 @@ def document_inputs(marginals: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+class Corpus:
+    """Tokenised documents: each distinct word once and the number of a word, in four bytes, for each token. Texts are
+    tokenised as they come and not held."""
+
+    def __init__(self, texts: pa.Array | None = None) -> None:
+        self.words: dict[str, int] = {}
+        self.n_tokens = 0
+        self._index: list[np.ndarray] = []
+        self._counts: list[np.ndarray] = []
+        if texts is not None:
+            self.add(texts)
+
+    def add(self, texts: pa.Array) -> None:
+        index, distinct, counts = tokens(texts)
+        known = np.fromiter((self.words.setdefault(w, len(self.words)) for w in distinct), dtype=np.int32, count=len(distinct))
+        self._index.append(known[index])
+        self._counts.append(counts)
+        self.n_tokens += len(index)
+
+    def blocks(self, chosen: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(documents, words of their tokens, tokens of each) of the chosen documents: as many whole documents at a time
+        as have ``most`` tokens, or one."""
+        first = 0
+        for index, counts in zip(self._index, self._counts, strict=True):
+            end = np.cumsum(counts)
+            own = np.flatnonzero(chosen[first : first + len(counts)])
+            for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(counts[own]) // most)) + 1):
+                if len(part):
+                    yield first + part, index[spread(end[part] - counts[part], counts[part])], counts[part]
+            first += len(counts)
+
+
 def train(texts: list[str | None], labels: np.ndarray) -> Model:
     """The model of these documents and their labels, 0 or 1."""
+    return trained(Corpus(pa.array(texts, pa.string())), labels, np.ones(len(labels)))
+
+
+def trained(corpus: Corpus, labels: np.ndarray, weight: np.ndarray) -> Model:
+    """The model of these documents, their labels, 0 or 1, and the number of labelled documents that each stands for."""
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), 0.0, np.zeros((2, 2)), np.zeros(3), float(labels.mean()) if len(labels) else 0.0)
     # Of each class every fourth document is kept for the score, so that it sees the field on texts it wasn't fitted to.
     order = np.where(labels == 1, np.cumsum(labels), np.cumsum(1 - labels)) % SCORE_EVERY == 0
     if len({*labels[order]}) < 2:
         order = np.zeros(len(labels), dtype=bool)
-    model = train_field([t for t, o in zip(texts, order, strict=True) if not o], labels[~order])
-    held = order if order.any() else ~order
-    index, words, counts = tokens(pa.array([t for t, h in zip(texts, held, strict=True) if h], pa.string()))
-    unary = _Tagger(model).unary(words)[index] if len(words) else np.empty(0)
-    model.document = logistic(document_inputs(_marginals(unary, counts, model.pair)[0], counts), labels[held])
+    words = list(corpus.words)
+    flat, sizes = _features_of(words)
+    model = train_field(corpus, ~order, labels, flat.astype(np.int32), sizes)
+    score = np.bincount(np.repeat(np.arange(len(words)), sizes), weights=model.weights[flat], minlength=len(words)) + model.bias
+    held, x = order if order.any() else ~order, np.zeros((len(labels), 3))
+    for documents, index, counts in corpus.blocks(held):
+        x[documents] = document_inputs(forward_backward(score[index], counts, model.pair)[0], counts)
+    model.document = logistic(x[held], labels[held], weight=weight[held] / weight[held].mean())
     return model
 
 
-def train_field(texts: list[str | None], labels: np.ndarray) -> Model:
-    """The field of these documents, both of whose classes are there."""
-    index, words, counts = tokens(pa.array(texts, pa.string()))
-    flat, sizes = _features_of(words)
-    word_of = np.repeat(np.arange(len(words)), sizes)
-    document = np.repeat(np.arange(len(counts)), counts)
-    # In how many documents of each class each feature is: distinct (document, feature) pairs by way of (document, word).
-    seen = np.unique(document * len(words) + index)
-    seen_word, seen_document = seen % len(words), seen // len(words)
+def train_field(corpus: Corpus, chosen: np.ndarray, labels: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> Model:
+    """The field of the chosen documents, both of whose classes are there. ``flat`` are the features of the corpus's
+    words, ``sizes[w]`` of them for the word w; no more than a block of documents is looked at at once."""
+    n_words = len(sizes)
+    word_of = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
     starts = np.cumsum(sizes) - sizes
-    pairs = np.unique(np.repeat(seen_document, sizes[seen_word]) * BUCKETS + flat[spread(starts[seen_word], sizes[seen_word])])
-    of_class = labels[pairs // BUCKETS] == 1
-    positive = np.bincount(pairs[of_class] % BUCKETS, minlength=BUCKETS)
-    negative = np.bincount(pairs[~of_class] % BUCKETS, minlength=BUCKETS)
-    ratio = np.log((positive + 0.5) / (labels.sum() + 1)) - np.log((negative + 0.5) / ((1 - labels).sum() + 1))
-    marked = (ratio >= LOG_RATIO) & (positive >= np.log(CHANCE) / np.log(labels.mean()))
-    del seen, seen_word, seen_document, pairs, of_class
-    toxic_word = np.bincount(word_of, weights=marked[flat], minlength=len(words)) > 0
-    tag = toxic_word[index] & (labels[document] == 1)
+    # In how many documents of each class each feature is: distinct (document, feature) pairs by way of (document, word).
+    negative, positive = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for documents, index, counts in corpus.blocks(chosen):
+        seen = np.unique(np.repeat(np.arange(len(counts)), counts) * n_words + index)
+        document, word = seen // n_words, seen % n_words
+        pairs = np.unique(np.repeat(document, sizes[word]) * BUCKETS + flat[spread(starts[word], sizes[word])])
+        of_class = labels[documents[pairs // BUCKETS]] == 1
+        positive += np.bincount(pairs[of_class] % BUCKETS, minlength=BUCKETS)
+        negative += np.bincount(pairs[~of_class] % BUCKETS, minlength=BUCKETS)
+    n_toxic, n_other = (int((labels[chosen] == c).sum()) for c in (1, 0))
+    ratio = np.log((positive + 0.5) / (n_toxic + 1)) - np.log((negative + 0.5) / (n_other + 1))
+    marked = (ratio >= LOG_RATIO) & (positive >= np.log(CHANCE) / np.log(n_toxic / (n_toxic + n_other)))
+    toxic_word = np.bincount(word_of, weights=marked[flat], minlength=n_words) > 0
 
     weights, bias, pair = np.zeros(BUCKETS), -3.0, np.zeros((2, 2))
-    inside = np.ones(max(len(tag) - 1, 0), dtype=bool)
-    inside[(np.cumsum(counts)[:-1] - 1)[(np.cumsum(counts)[:-1] > 0) & (np.cumsum(counts)[:-1] < len(tag))]] = False
-    wanted = np.array([[(inside & (tag[:-1] == i) & (tag[1:] == j)).sum() for j in range(2)] for i in range(2)])
     squares, bias_square, pair_square = np.full(BUCKETS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     known = positive + negative >= RARE
     for _ in range(ROUNDS):  # gradient ascent with a step size for each weight
-        unary = (np.bincount(word_of, weights=weights[flat], minlength=len(words)) + bias)[index]
-        p, pair_counts = _marginals(unary, counts, pair)
-        rest = np.bincount(index, weights=tag - p, minlength=len(words))
+        score = np.bincount(word_of, weights=weights[flat], minlength=n_words) + bias
+        rest, wanted, pair_counts = np.zeros(n_words), np.zeros((2, 2)), np.zeros((2, 2))
+        for documents, index, counts in corpus.blocks(chosen):
+            tag = toxic_word[index] & np.repeat(labels[documents] == 1, counts)
+            p, expected = forward_backward(score[index], counts, pair)
+            rest += np.bincount(index, weights=tag - p, minlength=n_words)
+            pair_counts += expected
+            inside = np.ones(max(len(tag) - 1, 0), dtype=bool)
+            edge = np.cumsum(counts)[:-1]
+            inside[edge[(edge > 0) & (edge < len(tag))] - 1] = False
+            wanted += np.bincount((tag[:-1] * 2 + tag[1:])[inside], minlength=4).reshape(2, 2)
         slope = np.bincount(flat, weights=rest[word_of], minlength=BUCKETS) - RIDGE * weights
         squares += slope**2
         weights += np.where(known, slope / np.sqrt(squares), 0)
@@ -220,35 +269,47 @@ def train_field(texts: list[str | None], labels: np.ndarray) -> Model:
     return Model(weights, bias, pair, np.zeros(3))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression, by Newton steps of bounded length."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a ridge logistic regression, by Newton steps of bounded length; a row counts ``weight`` times."""
+    w, times = np.zeros(x.shape[1]), np.ones(len(y)) if weight is None else weight
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        slope = x.T @ (times * (y - p)) - ridge * w
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
         w += step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
     return w
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limits: tuple[int, int], folds: int, held_fold: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``limits`` labelled documents of the classes 1 and 0, none of them in the
-    held-out fold."""
+    """(doc_id, text, label, weight) of at most ``limits`` labelled documents of the classes 1 and 0, none of them in the
+    held-out fold. ``weight`` is the number of labelled documents of its class that a row stands for. Of several texts of
+    one id the smallest is taken."""
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
         .where(fold("doc_id", folds) != held_fold)
     )
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = known.join(text.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = materialize(known.join(text.select("doc_id").distinct(), "doc_id", "left_semi"), "known-labels")
     parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, limits[0]), (0, limits[1]))]
-    chosen = parts[0].unionByName(parts[1])  # as many rows as the limits allow: small enough to broadcast
-    return text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    limit = F.when(F.col("label") == 1, limits[0]).otherwise(limits[1])
+    classes = known.groupBy("label").agg(F.count("*").alias("total"))  # two rows
+    weight = (F.col("total") / F.least("total", limit)).alias("weight")
+    chosen = parts[0].unionByName(parts[1]).join(F.broadcast(classes), "label").select("doc_id", "label", weight)
+    # As many rows as the limits allow: small enough to broadcast.
+    return text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"), F.first("weight").alias("weight"))
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches([b for b in batches if b.num_rows], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("label", pa.int32())]))
-    model = train(table.column("text").to_pylist(), table.column("label").to_numpy().astype(np.int64))
+    corpus, labels, weights = Corpus(), [np.empty(0, np.int64)], [np.empty(0)]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            if corpus.n_tokens < SAMPLE_WORDS:
+                part = batch.slice(at, 200)
+                corpus.add(part.column(1))
+                labels.append(part.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
+                weights.append(part.column(3).to_numpy(zero_copy_only=False))
+    model = trained(corpus, np.concatenate(labels), np.concatenate(weights))
     raw = io.BytesIO()
     np.savez(raw, weights=model.weights, bias=model.bias, pair=model.pair, document=model.document, constant=np.nan if model.constant is None else model.constant)
     yield pa.RecordBatch.from_arrays([pa.array([raw.getvalue()], pa.binary())], names=["model"])
@@ -256,7 +317,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fitted(rows: DataFrame) -> Model:
     """The model of a sample, trained in one task of an executor; only its weights, whose number is fixed, are fetched."""
-    made = rows.select("doc_id", "text", "label").repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit, "model binary").first()
+    ordered = rows.select("doc_id", "text", "label", "weight").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    made = ordered.mapInArrow(released(_fit), "model binary").first()
     if made is None:
         return train([], np.empty(0, dtype=np.int64))
     with np.load(io.BytesIO(made["model"])) as m:
@@ -322,6 +384,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
     spans = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("spans", spans), *rows.schema.fields[1:]])
-    scored = rows.mapInArrow(_apply(model), schema)
+    scored = rows.mapInArrow(released(_apply(model)), schema)
     held = F.coalesce(fold("doc_id", folds) == held_fold, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans", *["row"] * carry)
