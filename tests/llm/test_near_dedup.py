@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import re
 
 import numpy as np
@@ -127,3 +128,27 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame([*chain, *star, (5, 5)], "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 7 for i in (7, *range(1000, 1040))) and 5 not in got
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (7, b), (3, a), (9, "other words altogether"), (9, ""), (9, None), (11, ""), (11, b + " end"), (12, None), (12, ""), (13, f"{a}\n{b}"), (None, a), (None, a)]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+    want = [(5, 116, 5), (5, 116, 5), (7, 58, 7), (3, 58, 3), *[(9, 1, 9)] * 3, (11, 59, 7), (11, 59, 7), (12, 0, 12), (12, 0, 12), (13, 118, 5), (None, 58, None), (None, 58, None)]
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted((str(i), n, str(c)) for i, n, c in want)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_dense_groups_take_about_linear_time():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+
+    def compared(n):
+        sets = [np.unique(np.append(base, rng.integers(0, 2**63, 1).astype(np.uint64))) for _ in range(n)]
+        began = time.process_time()
+        assert len(nd.links(sets, 85)) == n - 1
+        return time.process_time() - began
+
+    compared(200)
+    small, large = compared(500), compared(4000)
+    assert large < 40 * small  # 64 times would be quadratic

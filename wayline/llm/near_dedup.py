@@ -22,12 +22,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.graph import components
-from wayline.llm.shared import prepare, materialize, shuffle_partitions
+from wayline.llm.shared import materialize, prepare, released, shuffle_partitions
 from wayline.llm.words import hashed_words, mix, rolling
 
 SYMBOLS = 64
@@ -43,7 +44,10 @@ _BLOCK = 1 << 16
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: of each run of ``size`` words, A-Z lower-cased, or of the
-    whole word sequence if it is shorter; none without words."""
+    whole word sequence if it is shorter; none without words. Of a list of texts, those of all of them."""
+    if pa.types.is_list(texts.type):
+        own, end = shingle_sets(texts.flatten(), size), np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))
+        return [np.unique(np.concatenate([np.empty(0, np.uint64), *own[a:b]])) for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
     words, counts = hashed_words(texts, lower=True)
     runs, out, at = rolling(words, size), [], 0
     for n in counts.tolist():
@@ -258,27 +262,50 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             root[x] = x = root[root[x]]
         return x
 
-    seen: dict[int, list[int]] = {}
+    # Element -> root -> the sets below that root that have it: a set that is connected with a root skips all of them at
+    # once, so that a group whose members are all alike costs a comparison or two for each member, not one for each pair.
+    seen: dict[int, dict[int, list[int]]] = {}
     mark = np.zeros(len(distinct), dtype=bool)
     out: list[tuple[int, int]] = []
     for x in np.argsort(sizes, kind="stable").tolist():
         n, own = int(sizes[x]), ranked[x]
         prefix = own[: n - -(-percent * n // 100) + 1]
         prefix = prefix[prefix >= alone].tolist()
-        candidates = sorted({y for e in prefix for y in seen.get(e, ()) if int(sizes[y]) * 100 >= n * percent})
         mark[own] = True
-        for y in candidates:
-            if (rx := find(x)) != (ry := find(y)):
-                both = int(mark[ranked[y]].sum())
-                if both * 100 >= (n + int(sizes[y]) - both) * percent:
-                    root[max(rx, ry)] = min(rx, ry)
-                    out.append((x, y))
+        tried: set[int] = set()
+        for e in prefix:
+            for r in (held := _rooted(seen, e, find)):
+                for y in held[r]:
+                    if find(x) == find(r):
+                        break
+                    if y in tried or int(sizes[y]) * 100 < n * percent:
+                        continue
+                    tried.add(y)
+                    both = int(mark[ranked[y]].sum())
+                    if both * 100 >= (n + int(sizes[y]) - both) * percent:
+                        rx, ry = find(x), find(y)
+                        root[max(rx, ry)] = min(rx, ry)
+                        out.append((x, y))
         mark[own] = False
         for e in prefix:
-            seen.setdefault(e, []).append(x)
+            seen.setdefault(e, {}).setdefault(find(x), []).append(x)
     return out
 
 
+def _rooted(seen: dict[int, dict[int, list[int]]], e: int, find: Callable[[int], int]) -> dict[int, list[int]]:
+    """The sets that have ``e``, by their present roots: the shorter of two lists whose roots were joined goes to the longer."""
+    held = seen.get(e)
+    if held is None:
+        return {}
+    for r in [r for r in held if find(r) != r]:
+        own = held.pop(r)
+        other = held.get(find(r), [])
+        longer, shorter = (own, other) if len(own) > len(other) else (other, own)
+        longer.extend(shorter)
+        held[find(r)] = longer
+    return held
+
+
 def _links(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -297,7 +324,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``percent`` is the least similarity of a link in hundredths. A text without words, or a null one, has no shingles
     and is linked with nothing. A row without an id is linked with nothing either: its component_id is null and it is
-    kept. Rows with the same id are one document. ``component_id`` is the smallest id reachable by links, and
+    kept. Rows with the same id are one document, whose set has the shingles of all its texts; each of them gets the
+    document's result. ``component_id`` is the smallest id reachable by links, and
     ``kept`` marks the rows whose own id it is. An empty table gives an empty result; other columns are ignored.
     """
     if percent < 80:
@@ -309,7 +337,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prepare(spark)
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(rows.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, set_hash binary, signature binary"), "signed")
+    several = materialize(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    repeated = bool(several.take(1))
+    if repeated:
+        own = rows.join(several.select("doc_id"), "doc_id").groupBy("doc_id").agg(F.collect_set("text").alias("text"))
+        rows = rows.join(several, "doc_id", "left_anti").select("doc_id", F.array("text").alias("text")).unionByName(own)
+    signed = materialize(rows.mapInArrow(released(_sign(shingle)), "doc_id long, n_shingles long, set_hash binary, signature binary"), "signed")
     sets = materialize(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
@@ -317,15 +350,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     chunks = -(-(distance + 1) // 2)
     found = (
-        sets.select("rep", "signature").mapInArrow(_enter(chunks), "key long, rep long")
-        .repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(_buckets, "bucket long, rep long")
+        sets.select("rep", "signature").mapInArrow(released(_enter(chunks)), "key long, rep long")
+        .repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(released(_buckets), "bucket long, rep long")
     )
     members = materialize(found.repartition(parts, "rep").dropDuplicates(["rep", "bucket"]).join(sets.select("rep", "n_shingles", "signature"), "rep"), "members")
     near = (
         tiled(members.withColumn("one", F.lit(1)), "bucket", "rep", "one", bucket)
         .select("bucket", "tile_a", "tile_b", "rep", "n_shingles", "signature")
         .repartition(parts, "bucket", "tile_a", "tile_b").sortWithinPartitions("bucket", "tile_a", "tile_b", "rep")
-        .mapInArrow(_forests(distance, percent), "a long, b long")
+        .mapInArrow(released(_forests(distance, percent)), "a long, b long")
     )
     grouped = components(near).withColumnsRenamed({"node": "rep", "component": "candidates"})
     grouped = materialize(grouped.join(sets.select("rep", "n_shingles"), "rep"), "grouped")
@@ -335,8 +368,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("candidates", "tile_a", "tile_b", "rep", "text")
         .repartition(parts, "candidates", "tile_a", "tile_b").sortWithinPartitions("candidates", "tile_a", "tile_b", "rep")
     )
-    linked = components(texts.mapInArrow(_links(shingle, percent), "a long, b long")).withColumnRenamed("node", "rep")
+    linked = components(texts.mapInArrow(released(_links(shingle, percent)), "a long, b long")).withColumnRenamed("node", "rep")
     label = sets.select("set_hash", "rep").join(linked, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(label, "set_hash", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    if repeated:
+        out = out.join(several, "doc_id", "left").withColumn("_row", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1))))).drop("n", "_row")
+    return out
