@@ -108,3 +108,10 @@ def test_segments_cover_each_window_once_and_equal_windows_meet():
             seen.add((d, s + i))
             assert meet.setdefault(tuple(docs[d][s + i : s + i + 50]), m) == m
     assert seen == {(i, j) for i, d in enumerate(docs) for j in range(len(d) - 49)} and len(seen) == windows.sum()
+
+
+def test_texts_of_one_id_are_judged_each_by_itself(spark):
+    words = [f"w{i}" for i in range(130)]
+    rows = [(5, " ".join(words[:60])), (5, " ".join(words[60:64])), (5, " ".join(words[50:120])), (5, " ".join(words[:60])), (7, " ".join(words)), (3, " ".join(words[64:115]))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 51, 0), (5, 4, 0), (5, 60, 0), (5, 60, 0), (5, 70, 51), (7, 130, 120)]

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from wayline.llm.fm_index import FMIndex
 from wayline.llm.ragged import spread
-from wayline.llm.shared import materialize, prepare, shuffle_partitions
+from wayline.llm.shared import HEAVY, materialize, prepare, released, salted_join, shuffle_partitions
 from wayline.llm.words import hashed_words, mix, rolling, words_of
 
 WINDOW = 50
@@ -36,8 +36,10 @@ WINDOW = 50
 ANCHOR = 8
 #: Different segments of one minimiser above which its windows are dealt one by one.
 HOT_SEGMENTS = 4000
-#: Segments of a shard: about a million words.
-SHARD_SEGMENTS = 12_000
+#: Tasks that the rows of one heavy key are dealt to.
+SALTS = 16
+#: Segments of a shard: about 300,000 words.
+SHARD_SEGMENTS = 4_000
 
 
 def segments(words: np.ndarray, counts: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -75,7 +77,7 @@ def segments(words: np.ndarray, counts: np.ndarray, window: int, anchor: int) ->
     return document[begin], begin - starts[document[begin]], windows, mix(low[begin]).view(np.int64), whole.view(np.int64)
 
 
-_PLACE = "mini long, seg long, doc_id long, start int, windows int"
+_PLACE = "mini long, seg long, doc_id long, part int, start int, windows int"
 
 
 def _scan(window: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -85,8 +87,11 @@ def _scan(window: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 part = batch.slice(at, 500)
                 document, start, windows, mini, seg = segments(*hashed_words(part.column(1)), window, anchor)
                 if len(mini):
-                    ids = part.column(0).to_numpy(zero_copy_only=False)[document]
-                    yield pa.RecordBatch.from_arrays([pa.array(mini), pa.array(seg), pa.array(ids), pa.array(start, pa.int32()), pa.array(windows, pa.int32())], names=["mini", "seg", "doc_id", "start", "windows"])
+                    ids, texts = (part.column(c).to_numpy(zero_copy_only=False)[document] for c in (0, 2))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mini), pa.array(seg), pa.array(ids), pa.array(texts, pa.int32()), pa.array(start, pa.int32()), pa.array(windows, pa.int32())],
+                        names=["mini", "seg", "doc_id", "part", "start", "windows"],
+                    )
 
     return run
 
@@ -214,8 +219,8 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 for s in spans:
-                    edge[s["a"]] += 1
-                    edge[s["b"]] -= 1
+                    edge[min(s["a"], len(words))] += 1
+                    edge[min(s["b"], len(words))] -= 1
                 kept = [w for w, covered in zip(words, np.cumsum(edge).tolist(), strict=False) if not covered]
             joined = b" ".join(kept)
             n_words.append(len(words))
@@ -229,31 +234,38 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """(doc_id, spans) of ``docs`` (doc_id, text): the word ranges [a, b) to remove, for documents that have any."""
+    """(doc_id, part, spans) of ``docs`` (doc_id, text, part): the word ranges [a, b) to remove, for those that have any.
+    ``part`` tells the texts of one id apart."""
     parts = shuffle_partitions(docs.sparkSession)
     known = docs.where("doc_id IS NOT NULL")
     marked = materialize(
-        known.mapInArrow(_scan(window, anchor), _PLACE).sortWithinPartitions("mini", "doc_id", "start").mapInArrow(_mark, _PLACE + ", state int"),
+        known.mapInArrow(released(_scan(window, anchor)), _PLACE).sortWithinPartitions("mini", "doc_id", "part", "start").mapInArrow(released(_mark), _PLACE + ", state int"),
         "places",
     )
-    others = marked.where("state < 2").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(_shared, _PLACE)
+    others = marked.where("state < 2").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(released(_shared), _PLACE)
     shared = materialize(marked.where("state > 0").drop("state").unionByName(others), "shared")
-    distinct = materialize(shared.groupBy("mini", "seg").agg(F.min(F.struct("doc_id", "start", "windows")).alias("at")), "segments")
-    per = distinct.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("mini", F.lit(True).alias("hot"))
+    distinct = materialize(shared.groupBy("mini", "seg").agg(F.min(F.struct("doc_id", "part", "start", "windows")).alias("at"), F.count("*").alias("copies")), "segments")
+    # Minimisers with more segments than the limit are dealt to all tasks, so that none of them is one task's alone.
+    hot = materialize(distinct.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("mini", F.lit(True).alias("hot")), "hot")
+    if hot.take(1):
+        flagged = distinct.withColumn("salt", F.pmod("seg", F.lit(SALTS))).join(hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["mini", "salt"], "left")
+    else:
+        flagged = distinct.withColumn("hot", F.lit(False))
     wanted = (
-        distinct.join(per, "mini", "left")
-        .groupBy(F.col("at.doc_id").alias("doc_id"))
+        flagged.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.part").alias("part"))
         .agg(F.collect_list(F.struct("mini", "seg", "at.start", "at.windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     )
-    cut = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut(window), _CUT)
+    cut = docs.join(wanted.hint("merge"), ["doc_id", "part"]).select("doc_id", "text", "wanted").mapInArrow(released(_cut(window)), _CUT)
     shards = max(parts, -(-distinct.count() // SHARD_SEGMENTS))
     found = (
         cut.select(F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "mini", "seg", "first", "min_doc", "words")
-        .repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(_search(window), _FOUND)
+        .repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(released(_search(window)), _FOUND)
     )
-    hits = shared.join(found, ["mini", "seg"]).select("doc_id", "start", F.filter("runs", lambda r: r["min_doc"] < F.col("doc_id")).alias("runs"))
+    heavy = distinct.where(F.col("copies") > max(shared.count() // HEAVY, 1))
+    hits = salted_join(shared, found, ["mini", "seg"], "inner", heavy, SALTS)
+    hits = hits.select("doc_id", "part", "start", F.filter("runs", lambda r: r["min_doc"] < F.col("doc_id")).alias("runs"))
     spans = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("a"), (F.col("start") + r["last"] + window).alias("b")))
-    return hits.where(F.size("runs") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("spans"))
+    return hits.where(F.size("runs") > 0).groupBy("doc_id", "part").agg(F.flatten(F.collect_list(spans)).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot_segments: int = HOT_SEGMENTS, carry: bool = False) -> DataFrame:
@@ -263,14 +275,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word is removed when a window that covers it has the same words as one that starts in a document with a smaller
     id; windows are judged on the input. A null text has no words. A row without an id is neither searched nor matched
-    and stays whole; rows with the same id are one document and must have one text. Texts shorter than a window stay as
+    and stays whole. Of rows with the same id each is judged by its own text, and none of them removes words of another. Texts shorter than a window stay as
     they are, an empty table gives an empty result, and other columns are ignored.
     """
     if not 0 < anchor <= window:
         raise ValueError("the anchor must fit into the window")
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
-    spans = materialize(repeated_spans(rows.select("doc_id", "text"), window, anchor, hot_segments), "spans")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.hash(text_col).alias("part"), *[F.struct(*docs.columns).alias("row")] * carry)
+    spans = materialize(repeated_spans(rows.select("doc_id", "text", "part"), window, anchor, hot_segments), "spans")
     kinds = (("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))
-    schema = T.StructType([*(T.StructField(n, k) for n, k in kinds), *rows.schema.fields[2:]])
-    return rows.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans", *["row"] * carry).mapInArrow(_strip, schema)
+    schema = T.StructType([*(T.StructField(n, k) for n, k in kinds), *rows.schema.fields[3:]])
+    return rows.join(spans.hint("merge"), ["doc_id", "part"], "left").select("doc_id", "text", "spans", *["row"] * carry).mapInArrow(released(_strip), schema)
