@@ -32,13 +32,13 @@ def test_escapes_are_reversible(spark, text):
 @pytest.mark.parametrize("piece", [1, 2, 256])
 def test_reads_back_what_was_told(spark, piece):
     rows = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(NASTY)]
-    rows += [(2, 0, "system", "s"), (2, 1, "user", None), (2, 2, "assistant", "x"), (3, 0, None, None), (4, 0, "Narrator: @###", "t"), (5, None, "user", "q"), (5, 0, "assistant", "r"), (6, 0, "user", "same"), (6, 0, "user", "same")]
+    rows += [(2, 0, "system", "s"), (2, 1, "user", None), (2, 2, "assistant", "x"), (3, 0, None, None), (4, 0, "Narrator: @###", "t"), (5, None, "user", "q"), (5, 0, "assistant", "r"), (6, 0, "user", "same"), (6, 0, "user", "same"), (7, -300, "assistant", "late"), (7, None, "user", "first")]
     rows += [(None, 0, "user", "lost")]
     got = {r.conv_id: r for r in chat_digests(format_chat(conversation(spark, rows), piece=piece)).collect()}
     assert set(got) == {r[0] for r in rows}
     for c, r in got.items():
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == expected([x for x in rows if x[0] == c]), c
-    assert {c: r.valid for c, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, None: True}
+    assert {c: r.valid for c, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True, None: True}
 
 
 def test_roles_read_back(spark):

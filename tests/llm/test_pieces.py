@@ -114,8 +114,10 @@ def test_the_query_aligns_every_document(spark, monkeypatch, tmp_path, docs):
 
     monkeypatch.setattr(pieces, "encode_pieces", spy)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    assert queries.op10_sentencepiece(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert queries.op10_sentencepiece(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
     encoder = encoder_of(PATH)
     for r in kept[0].where("doc_id IS NOT NULL").collect():
         text = docs.where(F.col("doc_id") == r.doc_id).first().text
-        assert [tuple(p) for p in r.pieces] == encoder.spans(text)
+        spans = encoder.spans(text)
+        assert [tuple(p) for p in r.pieces] == spans
+        assert r.spans_sha256 == hashlib.sha256(np.array([p[1:] for p in spans], dtype="<u4").tobytes()).hexdigest()

@@ -90,8 +90,8 @@ def format_chat(turns: DataFrame, template: Template | None = None, conv_col: st
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), escape(text, template).alias("body"),
         _header(role, template).alias("header"), F.col(text_col).isNull().alias("no_text"),
     )
-    # A piece holds consecutive turn numbers; rows that repeat one number go to one piece.
-    piece_of = F.floor(F.coalesce("turn", F.lit(-1)) / F.lit(piece))
+    # A piece holds consecutive turn numbers, rows that repeat one number go to one piece, and those without one come first.
+    piece_of = F.coalesce(F.floor(F.col("turn") / F.lit(piece)), F.lit(-(1 << 62)))
     turn = F.struct("turn", "role", "no_text", "body", "header")
     pieces = rows.groupBy("conv_id", piece_of.alias("piece")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     loss = F.array(*[F.lit(r) for r in template.loss])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from wayline.llm.bpe import PairTable, merge_all
 from wayline.llm.ragged import RaggedCache
-from wayline.llm.shared import prepare
+from wayline.llm.shared import prepare, released
 
 #: The space sign and the replacement character (fixed values of the format).
 SPACE, UNKNOWN_CHARACTER = "▁".encode(), "�".encode()
@@ -272,8 +272,9 @@ def _encode(path: str, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 if keep:
                     inner = np.concatenate([x[1:-1] for x in own]) if own else np.empty(0)
                     spans = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (inner, begin, end)], fields=[pa.field(n, pa.int32()) for n in ("id", "begin", "end")])
-                    columns += [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - 2)]), pa.int32()), spans), pa.array(decoded, pa.string())]
-                    names += ["pieces", "decoded"]
+                    digests = [hashlib.sha256(x.tobytes()) for x in np.split(np.stack([begin, end], axis=1).astype("<u4"), np.cumsum(sizes - 2)[:-1])] if own else []
+                    columns += [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - 2)]), pa.int32()), spans), pa.array(decoded, pa.string()), pa.array([d.hexdigest() for d in digests], pa.string())]
+                    names += ["pieces", "decoded", "spans_sha256"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         encoder.forget()
 
@@ -282,13 +283,15 @@ def _encode(path: str, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep`` also ``pieces``,
-    an array of (id, begin, end) with each piece's source bytes, and ``decoded``, the text that the ids decode to.
+    an array of (id, begin, end) with each piece's source bytes, ``decoded``, the text that the ids decode to, and
+    ``spans_sha256``, the digest of all (begin, end) as little-endian unsigned 32-bit integers.
 
-    A null text counts as empty and gives the begin and end ids only. Null ids and repeated rows are encoded like
-    others; an empty table gives an empty result; other columns are ignored.
+    A null text counts as empty and gives the begin and end ids only. A very long text is encoded whole; it is cut only
+    where no piece can cross. Null ids and repeated rows are encoded like others; an empty table gives an empty result;
+    other columns are ignored.
     """
     prepare(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep:
-        schema += ", pieces array<struct<id:int,begin:int,end:int>>, decoded string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(model_path, keep), schema)
+        schema += ", pieces array<struct<id:int,begin:int,end:int>>, decoded string, spans_sha256 string"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(_encode(model_path, keep)), schema)

@@ -26,7 +26,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.col("turn").cast("long").alias("turn"), "role", F.lit(told).alias("text")
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat_digests(format_chat(turns)).drop("valid")
+    return chat_digests(format_chat(turns))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.toxicity import toxicity
 
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
 def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,13 +129,14 @@ def oracle_sql() -> dict[str, str]:
                 SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                 UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
             f AS (
-                SELECT *, '### ' || CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'tool' THEN 'Tool'
+                SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS state, '### ' || CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'tool' THEN 'Tool'
                        ELSE '@' || role END || ': ' || replace(replace(replace(text, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e') || ' </turn>' || chr(10) AS line
                 FROM t)
             SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-                   CAST(sum(length(line)) AS BIGINT) AS formatted_chars
+                   CAST(sum(length(line)) AS BIGINT) AS formatted_chars,
+                   bool_and((state, role) IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'), ('assistant', 'tool'), ('tool', 'assistant'))) AS valid
             FROM f GROUP BY conv_id""",
         "op2_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages)
