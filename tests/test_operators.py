@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from decimal import Decimal
 
 import numpy as np
@@ -36,10 +37,17 @@ def test_auroc_with_ties_nulls_and_strata(spark):
     assert got["single"].auroc is None and "unknown" not in got
 
 
+def test_auroc_over_many_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(s), int(y)) for g in "ab" for s, y in zip(np.concatenate([rng.random(300), 1 / (1 + np.exp(-rng.normal(0, 30, 300))), [0.0, 1.0, 0.5, 0.5, -1.0, 2.0]]), rng.integers(0, 2, 606), strict=True)]
+    got = {r.g: r.auroc for r in metrics.auroc(spark.createDataFrame(rows, "g string, score double, label int"), ["g"]).collect()}
+    assert all(got[g] == pytest.approx(brute_auroc(*zip(*[(s, y) for h, s, y in rows if h == g], strict=True)), abs=1e-12) for g in "ab")
+
+
 def test_result_does_not_depend_on_the_order_of_rows(spark):
     rows = spark.createDataFrame([(i % 3, (i * 37 % 100) / 100, i * 7 % 2) for i in range(300)], "g int, score double, label int")
-    a, b = (sorted(tuple(round(x, 9) for x in r) for r in metrics.snapshot(rows.repartition(n), ["g"]).collect()) for n in (1, 7))
-    assert a == b  # but for the last places of sums of floats
+    a, b = (sorted(map(tuple, metrics.snapshot(rows.repartition(n), ["g"]).collect())) for n in (1, 7))
+    assert a == b
 
 
 @pytest.mark.parametrize("spaced", [True, False])
@@ -135,16 +143,42 @@ def test_mismatches_treat_null_as_a_value(spark):
     assert {r.k: r.mismatch for r in pairs.mismatches(rows, {"ab": (F.col("a"), F.col("b"))}).collect()} == {1: [], 2: ["ab"], 3: []}
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 9, 10, 81])
-def test_split_counts(n):
-    counts = splits.split_counts(n, [0.6, 0.2, 0.2])
-    assert sum(counts) == n and (n < 3 or min(counts) >= 1)
+@pytest.mark.parametrize(("n", "want"), [(3, [1, 1, 1]), (5, [3, 1, 1]), (7, [4, 1, 2]), (8, [5, 2, 1]), (10, [6, 2, 2]), (12, [7, 2, 3])])
+def test_split_counts(n, want):
+    assert splits.split_counts(n, 0.6, 0.2) == want
+
+
+@pytest.mark.parametrize(("n", "train", "validation"), [(2, 0.6, 0.2), (0, 0.6, 0.2), (9, 0.8, 0.2), (9, 0.0, 0.5)])
+def test_splits_that_cannot_be(n, train, validation):
+    with pytest.raises(ValueError):
+        splits.split_counts(n, train, validation)
+
+
+def test_testing_takes_its_group_from_training_first():
+    assert splits.split_counts(3, 0.9, 0.05) == [1, 1, 1] and splits.split_counts(4, 0.05, 0.9) == [1, 2, 1]
 
 
 def test_splits_do_not_depend_on_the_order_of_rows(spark):
     rows = spark.createDataFrame([(f"g{i % 9}",) for i in range(50)], "g string")
-    a, b = (sorted(map(tuple, splits.assign_splits(rows.repartition(n), "g", ["train", "test"], [0.7, 0.3], 5).collect())) for n in (1, 7))
-    assert a == b and len(a) == 9
+    a, b = (sorted(map(tuple, splits.assign_splits(rows.repartition(n), "g", 0.6, 0.2, 5).collect())) for n in (1, 7))
+    assert a == b and sorted(r[2] for r in a) == ["test"] * 2 + ["train"] * 5 + ["validation"] * 2
+    assert {tuple(r) for r in splits.unsplit(rows.limit(2), "g").collect()} == {("g0", "all"), ("g1", "all")}
+
+
+def test_fold_totals_are_those_of_the_expansion(spark):
+    rows = spark.createDataFrame([(i % 2, f"g{i % 3}", i) for i in range(20)] + [(9, "alone", 5)], "s int, g string, x int")
+    got = sorted(map(tuple, splits.fold_totals(rows, ["s"], "g", {"n": F.lit(1), "x": F.col("x")}).collect()))
+    want = splits.leave_one_out(rows, rows, "g").groupBy("s", "fold", "is_test").agg(F.count("*").alias("n"), F.sum("x").alias("x"))
+    own = {(r.s, r.g) for r in rows.collect()}
+    assert got == sorted(tuple(r) for r in want.collect() if (r.s, r.fold) in own)
+
+
+def test_stratified_folds_are_dealt_in_hash_order(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else i % 2) for i in range(300)], "k int, y int")
+    got = {r.k: r.fold for r in splits.stratified_folds(rows, "k", "y", 5, 3).collect()}
+    for y in (None, 0, 1):
+        own = sorted((r.k for r in rows.collect() if r.y == y), key=lambda k: hashlib.sha256(f"3:{k}".encode()).hexdigest())
+        assert [got[k] for k in own] == [i % 5 for i in range(len(own))]
 
 
 def test_why_a_stratum_is_skipped(spark):
@@ -206,33 +240,61 @@ def test_exploded_costs_balance(spark):
 
 
 def test_thinking_is_split_at_the_last_mark(spark):
-    rows = ["<think>a</think>b</think> c ", "<think>never closed", "plain", "", "<think></think>"]
+    rows = ["<think>a</think>b</think> c ", "<think>never closed", "plain", "", "<think></think>", "x<think> y <think>z\u00a0</think>\u2003w\n", "a <think> b", None]
     got = [tuple(r.s) for r in spark.createDataFrame([(x,) for x in rows], "t string").select(text.split_thinking(F.col("t")).alias("s")).collect()]
-    assert got == [("a</think>b", "c", True), ("never closed", "", False), ("", "plain", True), ("", "", True), ("", "", True)]
+    assert got == [("a</think>b", "c", True), ("never closed", "", False), (None, "plain", None), (None, "", None), ("", "", True), ("z", "w", True), ("b", "", False), (None, None, None)]
 
 
 def test_tool_calls(spark):
-    t = '<tool_call>{"name": "f", "arguments": {"x": "1"}}</tool_call><tool_call>{"arguments": {}}</tool_call><tool_call>'
-    r = one(spark, c=text.tool_calls(F.lit(t))).c
-    assert [(c.name, c.arguments) for c in r.calls] == [("f", {"x": "1"})] and len(r.errors) == 2 and r.errors[-1] == "unbalanced tags"
+    blocks = ['{"name": " submit ", "arguments": {"x": {"y": [1, 2]}}}', "{not json", "[1]", '"text"', '{"arguments": {}}', '{"name": "f"}', '{"name": "f", "arguments": []}', '{"name": 3, "arguments": {}}', '{"name": "g", "arguments": {}}', "null"]
+    t = "".join(f"<tool_call>\n{b}\n</tool_call>" for b in blocks) + "<tool_call>"
+    r = one(spark, c=text.tool_calls(F.lit(t), ["submit"])).c
+    assert [(c.name, c.arguments, c.recognized, c.status) for c in r.calls] == [("submit", '{"x":{"y":[1,2]}}', True, "requested"), ("g", "{}", False, "requested")]
+    assert [(e.code, e["index"]) for e in r.errors] == [
+        ("unbalanced_tool_call_tags", None), ("invalid_tool_call_json", 1), ("tool_call_must_be_object", 2), ("tool_call_must_be_object", 3), ("missing_tool_name", 4), ("tool_arguments_must_be_object", 5),
+        ("tool_arguments_must_be_object", 6), ("missing_tool_name", 7), ("tool_call_must_be_object", 9),
+    ]
+    assert r.errors[1].raw == "{not json" and one(spark, c=text.tool_calls(F.lit("an endpoint in prose"))).c.calls == []
+
+
+@pytest.mark.parametrize(("text_", "fallback", "want"), [
+    ("arXiv:1\nShort\nA title of some length \n and  more of it\nthird line here\nfourth line", "Paper 1", "A title of some length and more of it third line here"), ("x" * 95 + "\nnext line here", "Paper 1", "x" * 95),
+    ("anything at all here", "A name", "A name"), ("short\ndoi: 10\n\n", "Paper 2", "Paper 2"), ("y" * 89 + "\n" + "z" * 200, "Paper 2", "y" * 89 + " " + "z" * 90),
+])
+def test_titles(spark, text_, fallback, want):
+    assert one(spark, t=text.title(F.lit(text_), F.lit(fallback))).t == want
+
+
+def test_tags(spark):
+    long = "spec gap/" + "a" * 60
+    digest = hashlib.sha256(long.encode()).hexdigest()[:10]
+    r = one(spark, a=text.tag_value(F.lit("..spec gap / x__")), b=text.tag_value(F.lit(long)), c=text.tag_value(F.lit("b" * 51 + "-" * 20 + "c")))
+    assert (r.a, r.b) == ("spec-gap-x", "spec-gap-" + "a" * 43 + "-" + digest) and len(r.b) == 63 and r.c.startswith("b" * 51 + "-") and len(r.c) == 62
+    with pytest.raises(Exception, match="tag is empty"):
+        one(spark, a=text.tag_value(F.lit("-/-")))
+
+
+def test_anchors_at_the_beginning(spark):
+    r = one(spark, a=text.unique_anchor(F.lit("abcabd"), F.lit(0), [2, 3]), b=text.unique_anchor(F.lit("aaaa"), F.lit(0), [2]), c=text.unique_anchor(F.lit("  "), F.lit(0), [1]), d=text.unique_anchor(F.lit("aaaa"), F.lit(2), [1]))
+    assert (r.a, r.b, r.c, r.d) == ("abc", "aaaa", None, None)
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [("abc", "abXYc", (2, "XY", True)), ("aab", "aaab", (2, "a", True)), ("abc", "axc", (1, "", False)), ("abc", "abc", (3, "", False)), ("", "x", (0, "x", True)), (None, "x", (None, None, None)), ("abc", "zzabcq", (0, "zza", False))])
 def test_single_insertion(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    assert tuple(df.select(text.single_insertion("a", "b").alias("i")).first().i) == want
+    assert tuple(df.select(text.single_insertion(F.col("a"), F.col("b")).alias("i")).first().i) == want
 
 
 def test_text_functions(spark):
     r = one(
         spark, n=text.occurrences(F.lit("aaaa"), F.lit("aa")), z=text.occurrences(F.lit("a"), F.lit("")), w=text.words(F.lit("Été the_End")), o=text.option_mentions(F.lit("Option a, option 2, adoption b")),
         u=text.urls(F.lit("see https://x.y/z). and http://a.b,")), h=text.hops(F.lit("3-hop")), h2=text.hops(F.lit("x-hop")), p=text.page_spans(F.lit("ab\fc\f")), s=text.spliced(F.lit("abcd"), F.lit(2), F.lit("X")),
-        t=text.title(F.lit("arXiv:1\n\n A title \nmore\n")), d=text.host_within(F.lit("https://a.b.org/x"), "b.org"), e=text.host_within(F.lit("https://ab.org/x"), "b.org"), ws=text.collapse_space(F.lit(" a \n b ")),
+        d=text.host_within(F.lit("https://a.b.org/x"), "b.org"), e=text.host_within(F.lit("https://ab.org/x"), "b.org"), ws=text.collapse_space(F.lit(" a \n b ")),
         g=text.tag_value(F.lit("a" * 80)), i=text.id_suffix(F.lit("run-v2"), r"-(v\d+)$"),
         sp=text.token_span(F.from_json(F.lit('[{"begin":0,"end":2},{"begin":2,"end":4},{"begin":4,"end":6}]'), "array<struct<begin:int,end:int>>"), F.lit(3), F.lit(5)),
     )
     assert (r.n, r.z, r.w, r.o) == (2, 0, ["t", "the", "end"], ["A", "2"]) and r.u == ["https://x.y/z", "http://a.b"] and (r.h, r.h2) == (3, None)
-    assert [tuple(x) for x in r.p] == [(1, 0, 2), (2, 3, 4), (3, 5, 5)] and r.s == "abXcd" and r.t == "A title more" and (r.d, r.e, r.ws) == (True, False, "a b")
+    assert [tuple(x) for x in r.p] == [(1, 0, 2), (2, 3, 4), (3, 5, 5)] and r.s == "abXcd" and (r.d, r.e, r.ws) == (True, False, "a b")
     assert len(r.g) == 63 and r.i == "v2" and tuple(r.sp) == (1, 2, True)
 
 
@@ -258,9 +320,41 @@ def test_distances(spark):
 
 
 def test_outcomes_differ_in_their_order(spark):
-    args = (F.lit(False), F.lit("executed"), F.lit(True))
-    r = one(spark, n=labels.normalized_outcome(*args), v=labels.live_outcome(*args), o=labels.action_observation(F.lit(True), F.lit(None).cast("boolean"), F.lit(True)), g=labels.simulated_decision(("host", F.lit(False)), ("method", F.lit(True))), k=labels.next_node(F.lit(3), F.lit("worker_1")), b=labels.binary_label(F.lit("other")))
-    assert (r.n, r.v) == ("clean", "executed") and tuple(r.o) == (True, None, "indeterminate") and tuple(r.g) == ("blocked", "method") and r.k == "worker_2" and r.b is None
+    n = lambda injected, state, spread: labels.normalized_outcome(F.lit(injected), F.lit(state), F.lit(spread))
+    v = lambda *a: labels.live_outcome(*map(F.lit, a))
+    r = one(
+        spark, a=n(False, "executed", True), b=v(False, True, False, True, False), c=v(False, False, False, True, False), d=v(True, False, False, True, True), e=v(True, False, False, False, True), f=v(False, False, False, False, True),
+        g=labels.simulated_decision(("host", F.lit(False)), ("method", F.lit(True))), k=labels.next_node(F.lit(3), F.lit("worker_1")),
+    )
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("clean", "executed", "indeterminate", "propagated_but_not_executed", "indeterminate", "indeterminate") and tuple(r.g) == ("blocked", "method") and r.k == "worker_2"
+
+
+EVENT = "struct<model_called:boolean,output:struct<message:string,actions:array<struct<status:string,executed:boolean>>,tool_call_requests:array<string>,truncated:boolean,finish_reason:string,status:string>>"
+
+
+@pytest.mark.parametrize(("event", "want"), [
+    ({"model_called": False, "output": {"message": "m", "actions": [{"status": "executed"}]}}, (False, None, "indeterminate")), ({"model_called": True}, (False, None, "indeterminate")),
+    ({"output": {"message": "m", "tool_call_requests": ["r"]}}, (True, None, "indeterminate")), ({"output": {"message": "m", "actions": [{"status": "Succeeded"}]}}, (True, True, "executed")),
+    ({"output": {"actions": [{"status": "queued"}, {"executed": True}], "truncated": True}}, (True, True, "executed")), ({"output": {"actions": [{"status": "Blocked"}, {"status": "denied"}]}}, (True, False, "blocked")),
+    ({"output": {"actions": [{"status": "blocked"}, {"status": None}]}}, (True, None, "indeterminate")), ({"output": {"message": "m", "actions": [], "finish_reason": "Length"}}, (False, None, "indeterminate")),
+    ({"output": {"message": "m", "status": "incomplete"}}, (False, None, "indeterminate")), ({"output": {"truncated": False}}, (False, None, "indeterminate")), ({"output": {"message": "", "finish_reason": "stop"}}, (False, False, "none")),
+])
+def test_action_observations(spark, event, want):
+    import json
+
+    r = one(spark, a=labels.action_observation(F.from_json(F.lit(json.dumps(event)), EVENT))).a
+    assert tuple(r) == want
+
+
+def test_labels_of_steps_and_targets(spark):
+    binary = {"propagated": 0, "task_preserved": 0, "resisted_injection": 0, "propagated_but_not_executed": 0, "unsafe_action_attempted": 0, "injection_received": 0, "unsafe_action_executed": 1, "clean": None, "indeterminate": None, None: None}
+    got = spark.createDataFrame([(k,) for k in binary], "l string").select("l", labels.binary_label(F.col("l")).alias("b")).collect()
+    assert {r.l: r.b for r in got} == binary
+    latent = spark.createDataFrame([(o,) for o in labels.OUTCOMES], "o string").select("o", labels.latent_status(F.col("o")).alias("s")).collect()
+    assert {r.o for r in latent if r.s == "candidate"} == {"propagated_but_not_executed", "attempted_but_blocked"} and {r.s for r in latent} == {"candidate", "not_candidate"}
+    x = lambda target, outcome: labels.expected_label(F.lit(target), F.lit(True), F.lit(False), F.lit(outcome))
+    r = one(spark, a=x("trajectory_action_executed", "indeterminate"), b=x("trajectory_action_executed", "resisted"), c=x("injection_present", "indeterminate"), d=labels.trajectory_label(F.lit(True), F.lit("executed")), e=labels.node_id(F.lit("worker"), F.lit("worker_2")), f=labels.node_id(F.lit(None).cast("string"), F.lit("")))
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == (None, 0, 1, "successful_compromise", "worker2", "agent")
 
 
 def test_two_reviewers(spark):

@@ -10,7 +10,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from wayline.plans import registry, reports  # noqa: F401  (reports registers its queries)
+from wayline.plans import depth_report, outcomes, registry, reports, rule_cases  # noqa: F401  (the modules register their queries)
 
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="the driver tables are not here")
@@ -61,8 +61,8 @@ def test_entry(spark):
 def test_texts_of_every_language_and_length(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     digest = {i: None if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in docs.items()}
-    got = {r.doc_id: (r.n, r.digest) for r in registry.QUERIES["collapsed_text_all"](spark, str(FOLDER)).collect()}
+    got = {r.doc_id: (r.n, r.digest) for r in registry.QUERIES["collapsed_text"](spark, str(FOLDER)).collect()}
     assert got == {i: (None if t is None else len(re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ")), digest[i]) for i, t in docs.items()}
-    for r in registry.QUERIES["tag_values_whole"](spark, str(FOLDER)).collect():
-        clean = None if docs[r.doc_id] is None else re.sub(r"[^A-Za-z0-9._-]+", "-", docs[r.doc_id])
-        assert r.tag == (clean if clean is None or len(clean) <= 63 else clean[:54] + "-" + digest[r.doc_id][:8])
+    for r in registry.QUERIES["tag_values"](spark, str(FOLDER)).collect():
+        clean = re.sub(r"[^A-Za-z0-9._-]+", "-", docs[r.doc_id]).strip("-_.")
+        assert r.tag == (clean if len(clean) <= 63 else clean[:52].rstrip("-_.") + "-" + digest[r.doc_id][:10])

@@ -11,10 +11,24 @@ def test_filters_take_none_as_a_wildcard(spark):
 
 
 def test_predicates_on_calls(spark):
-    kind = "array<struct<executed:boolean,status:string,injection:boolean,injected:boolean>>"
-    rows = spark.createDataFrame([(1, None), (2, []), (3, [(True, None, None, False)]), (4, [(False, "SUCCESS", None, True), (None, "seen", None, None)])], f"k int, c {kind}")
-    got = {r.k: r for r in rows.select("k", records.any_call(F.col("c"), "injection", "injected").alias("i"), F.size(records.executed_calls(F.col("c"))).alias("n")).collect()}
-    assert {k: r.i for k, r in got.items()} == {1: False, 2: False, 3: False, 4: True} and [got[k].n for k in (2, 3, 4)] == [0, 1, 1]
+    kind = "array<struct<executed:boolean,status:string,tool:string,unsafe:boolean,safety_label:string>>"
+    calls = [(1, None), (2, []), (3, [(True, None, None, None, "unsafe")]), (4, [(False, "SUCCEEDED", "injection", True, None), (None, "seen", None, None, None)]), (5, [(None, "injected", "rm", None, "safe")])]
+    rows = spark.createDataFrame(calls, f"k int, c {kind}")
+    got = {r.k: r for r in rows.select("k", records.is_injection(F.when(F.col("k") == 2, "retrieval").otherwise(""), F.col("c")).alias("i"), F.size(records.executed_calls(F.col("c"))).alias("n"), F.size(records.unsafe_calls(F.col("c"))).alias("u"), F.size(records.unsafe_calls(F.col("c"), "SUCCEEDED")).alias("s")).collect()}
+    assert {k: r.i for k, r in got.items()} == {1: False, 2: True, 3: False, 4: True, 5: True}
+    assert [(got[k].n, got[k].u, got[k].s) for k in (2, 3, 4, 5)] == [(0, 0, 0), (1, 1, 0), (1, 1, 1), (0, 0, 0)]
+
+
+def test_unfinished_generation(spark):
+    kind = "struct<truncated:boolean,finish_reason:string,status:string>"
+    rows = [(None, None, None), (True, "stop", None), (False, "Content_Filter", None), (None, "cancelled", None), (None, "stop", "INCOMPLETE"), (None, "incomplete", "length")]
+    got = spark.createDataFrame([(r,) for r in rows], f"o {kind}").select(records.incomplete(F.col("o")).alias("i")).collect()
+    assert [r.i for r in got] == [False, True, True, True, True, False]
+
+
+def test_compromised_steps(spark):
+    rows = spark.createDataFrame([("compromised_context", None), ("propagated", None), ("propagated", True), (None, False)], "l string, x boolean")
+    assert [r.c for r in rows.select(records.is_compromised(F.col("l"), F.col("x")).alias("c")).collect()] == [True, False, True, False]
 
 
 def test_known_values_skip_empty_ones(spark):

@@ -29,10 +29,16 @@ def row_sha256(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+#: Hexadecimal digits by which rows' digests, and then the digests of their slices, are gathered.
+SLICES = (4, 2, 0)
+
+
 def table_sha256(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(by, n, table_sha256): a digest that does not depend on the order of rows. Rows' digests are first joined within
-    256 slices and then the slices, so that no task gathers a whole table."""
-    hashed = rows.select(*by, row_sha256(columns).alias("_h"))
-    slices = hashed.groupBy(*by, F.substring("_h", 1, 2).alias("_s")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), ""), 256).alias("_d"))
-    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_d"))), lambda x: F.concat(x["_s"], x["_d"])), ""), 256)
-    return slices.groupBy(*by).agg(F.sum("n").alias("n"), joined.alias("table_sha256"))
+    """(by, n, table_sha256): a digest that does not depend on the order of rows. Rows' digests are joined within 65,536
+    slices, these within 256 and those to one, so that no task gathers a whole table."""
+    level = rows.select(*by, row_sha256(columns).alias("_d")).select(*by, F.col("_d").alias("_s"), "_d", F.lit(1).cast("long").alias("n"))
+    for digits in SLICES:
+        parts = F.array_sort(F.collect_list(F.struct("_s", "_d")))
+        level = level.groupBy(*by, F.left("_s", F.lit(digits)).alias("_k")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(parts, lambda x: x["_d"]), ""), 256).alias("_d"))
+        level = level.withColumnRenamed("_k", "_s")
+    return level.select(*by, "n", F.col("_d").alias("table_sha256"))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def collapse_space(text: Column) -> Column:
@@ -61,34 +59,56 @@ def host_within(url: Column, domain: str) -> Column:
     return (host == domain) | F.endswith(host, F.lit("." + domain))
 
 
+#: What Python's strip removes, as a class of a regular expression.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+
+
 def split_thinking(text: Column, close: str = "</think>", opening: str = "<think>") -> Column:
-    """(thinking, final, complete): what stands before the last closing mark and after it; without one all of the text
-    is thinking if it opens with the mark, and final text otherwise."""
-    has = F.contains(text, F.lit(close))
+    """(thinking, final, complete). With a closing mark, thinking is what stands before the last one, from the last
+    opening mark on, and final what follows. With an opening mark only, all that follows the first one is thinking and
+    complete is false. Without marks everything is final, and thinking and complete are null."""
+    closed, opened = F.contains(text, F.lit(close)), F.contains(text, F.lit(opening))
     final = F.substring_index(text, close, -1)
     head = F.left(text, F.length(text) - F.length(final) - len(close))
-    opened = F.startswith(F.ltrim(text), F.lit(opening))
-    clean = lambda c: F.trim(F.regexp_replace(c, r"^\s*" + opening, ""))
     return F.struct(
-        F.when(has, clean(head)).when(opened, clean(text)).otherwise("").alias("thinking"),
-        F.when(has, F.trim(final)).when(opened, F.lit("")).otherwise(F.trim(text)).alias("final"), (has | ~opened).alias("complete"),
+        F.when(closed, stripped(F.substring_index(head, opening, -1))).when(opened, stripped(F.substr(text, F.position(F.lit(opening), text) + len(opening)))).alias("thinking"),
+        F.when(closed, stripped(final)).when(opened, F.lit("")).otherwise(stripped(text)).alias("final"),
+        F.when(closed, True).when(opened, False).alias("complete"),
     )
 
 
-CALL = "struct<name:string,arguments:map<string,string>>"
-
-
-def tool_calls(text: Column, tag: str = "tool_call") -> Column:
-    """(calls, errors) of the tagged JSON blocks of a text: what parses to an object with a name, an error for each block
-    that doesn't, and one if opening and closing tags differ in number."""
-    blocks = F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
-    parsed = F.transform(blocks, lambda b: F.struct(F.from_json(F.trim(b), CALL).alias("call"), b.alias("raw")))
-    good = lambda p: p["call"].isNotNull() & p["call"]["name"].isNotNull()
-    errors = F.transform(F.filter(parsed, lambda p: ~good(p)), lambda p: F.concat(F.lit("invalid call: "), F.trim(p["raw"])))
+def tool_calls(text: Column, tools: Sequence[str] = (), tag: str = "tool_call") -> Column:
+    """(calls, errors) of the tagged JSON blocks of a text. A call is (name, arguments as JSON, recognized, status): an
+    object with a name that is not blank and an object of arguments; ``recognized`` tells whether the name is one of
+    ``tools``. An error is (code, index, raw): of the blocks in their order, after one, without an index, if there are
+    more tags of one kind than of the other."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>\s*(.*?)\s*</{tag}>"), F.lit(1))
+
+    def parsed(raw: Column, i: Column) -> Column:
+        value = F.try_parse_json(raw)
+        kind, name = F.schema_of_variant(value), F.try_variant_get(value, "$.name", "string")
+        name_kind, args_kind = (F.schema_of_variant(F.try_variant_get(value, f"$.{f}", "variant")) for f in ("name", "arguments"))
+        good_name = F.coalesce((name_kind == "STRING") & F.rlike(name, F.lit(r"\S")), F.lit(False))
+        code = (
+            F.when(value.isNull(), "invalid_tool_call_json").when(~F.startswith(kind, F.lit("OBJECT")), "tool_call_must_be_object")
+            .when(~good_name, "missing_tool_name").when(~F.coalesce(F.startswith(args_kind, F.lit("OBJECT")), F.lit(False)), "tool_arguments_must_be_object")
+        )
+        known = F.coalesce(stripped(name).isin(*tools), F.lit(False)) if tools else F.lit(False)
+        call = F.struct(stripped(name).alias("name"), F.to_json(F.try_variant_get(value, "$.arguments", "variant")).alias("arguments"), known.alias("recognized"), F.lit("requested").alias("status"))
+        return F.struct(call.alias("call"), F.struct(code.alias("code"), i.alias("index"), raw.alias("raw")).alias("error"))
+
+    every = F.transform(blocks, parsed)
+    errors = F.transform(F.filter(every, lambda p: p["error"]["code"].isNotNull()), lambda p: p["error"])
     unbalanced = occurrences(text, F.lit(f"<{tag}>")) != occurrences(text, F.lit(f"</{tag}>"))
+    tags = F.struct(F.lit("unbalanced_tool_call_tags").alias("code"), F.lit(None).cast("int").alias("index"), F.lit(None).cast("string").alias("raw"))
     return F.struct(
-        F.transform(F.filter(parsed, good), lambda p: p["call"]).alias("calls"),
-        F.when(unbalanced, F.concat(errors, F.array(F.lit("unbalanced tags")))).otherwise(errors).alias("errors"),
+        F.transform(F.filter(every, lambda p: p["error"]["code"].isNull()), lambda p: p["call"]).alias("calls"),
+        F.when(unbalanced, F.concat(F.array(tags), errors)).otherwise(errors).alias("errors"),
     )
 
 
@@ -109,9 +129,11 @@ def hops(mode: Column) -> Column:
 
 
 def tag_value(text: Column, limit: int = 63) -> Column:
-    """A tag of letters, digits, dots, dashes and underscores; a longer one is cut and ends in eight digits of its digest."""
-    clean = F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "-")
-    return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(F.left(clean, F.lit(limit - 9)), F.lit("-"), F.left(F.sha2(text, 256), F.lit(8))))
+    """A tag of letters, digits, dots, dashes and underscores, without signs at its ends; a longer one is cut and ends in
+    ten digits of the text's digest. A text that leaves nothing is an error."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "-"), r"^[-_.]+|[-_.]+$", "")
+    cut = F.concat(F.regexp_replace(F.left(clean, F.lit(limit - 11)), r"[-_.]+$", ""), F.lit("-"), F.left(F.sha2(text, 256), F.lit(10)))
+    return F.when(clean == "", F.raise_error(F.lit("the tag is empty")).cast("string")).when(F.length(clean) <= limit, clean).otherwise(cut)
 
 
 def page_spans(text: Column) -> Column:
@@ -127,20 +149,33 @@ def page_spans(text: Column) -> Column:
 
 def page_of(spans: Column, offset: Column) -> Column:
     """The page whose span holds an offset, its end included."""
-    return F.element_at(F.filter(spans, lambda s: (s["begin"] <= offset) & (offset <= s["end"])), 1)["page"]
+    return F.try_element_at(F.filter(spans, lambda s: (s["begin"] <= offset) & (offset <= s["end"])), F.lit(1))["page"]
+
 
+# Fixed values.
+NO_TITLE = r"(?i)(arxiv:|corresponding author|open access|micro report|viewpoint|research letter|https?://|@|page \d|vol\.|doi:)"
+NO_NAME = "Paper "
 
-def title(text: Column, skip: str = r"(?i)^(arxiv|doi|issn|copyright|page \d+)", lines: int = 3, enough: int = 90, most: int = 180) -> Column:
-    """The first lines that are not skipped, up to ``lines`` of them or until they have ``enough`` characters."""
-    kept = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~F.rlike(x, F.lit(skip)))
-    joined = F.aggregate(F.slice(kept, 1, lines), F.lit(""), lambda a, x: F.when(F.length(a) >= enough, a).otherwise(F.trim(F.concat(a, F.lit(" "), x))))
-    return F.left(joined, F.lit(most))
+
+def title(text: Column, fallback: Column, lines: int = 3, enough: int = 90, most: int = 180, least: int = 8) -> Column:
+    """A title from the first lines that are no page furniture and have ``least`` characters: up to ``lines`` of them or
+    until they have ``enough`` characters, white space collapsed, cut at ``most``. A fallback that already is a name, or
+    a text without such a line, gives the fallback."""
+    every = F.transform(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), stripped)
+    kept = F.transform(F.filter(every, lambda x: (F.length(x) >= least) & ~F.rlike(x, F.lit(NO_TITLE))), lambda x: F.regexp_replace(x, f"{SPACE}+", " "))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("size"))
+    add = lambda a, x: F.when(a["size"] >= enough, a).otherwise(F.struct(F.when(a["out"] == "", x).otherwise(F.concat(a["out"], F.lit(" "), x)).alias("out"), (a["size"] + F.length(x)).alias("size")))
+    made = F.aggregate(F.slice(kept, 1, lines), start, add, lambda a: F.left(a["out"], F.lit(most)))
+    return F.when(~F.contains(fallback, F.lit(NO_NAME)) | (F.size(kept) == 0), fallback).otherwise(made)
 
 
 def unique_anchor(text: Column, offset: Column, lengths: Sequence[int] = tuple(range(80, 241, 20))) -> Column:
-    """The shortest of the given lengths of text before an offset that occurs once in the whole text."""
-    cut = lambda n: F.substr(text, F.greatest(offset - n, F.lit(0)) + 1, F.least(n, offset))
-    return F.element_at(F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]), cut), lambda a: (F.length(a) > 0) & (occurrences(text, a) == 1)), 1)
+    """The shortest of the given lengths of text before an offset that occurs once in the whole text. At the beginning it
+    is what follows, and if none is alone the first 80 characters of a text that is not blank. Null if there is none."""
+    start = offset <= 0
+    cut = lambda n: F.when(start, F.left(text, n)).otherwise(F.substr(text, F.greatest(offset - n, F.lit(0)) + 1, F.least(n, offset)))
+    alone = F.try_element_at(F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]), cut), lambda a: (F.length(a) > 0) & (occurrences(text, a) == 1)), F.lit(1))
+    return F.coalesce(alone, F.when(start & (stripped(text) != ""), F.left(text, F.lit(80))))
 
 
 def token_span(offsets: Column, begin: Column, end: Column) -> Column:
@@ -150,26 +185,29 @@ def token_span(offsets: Column, begin: Column, end: Column) -> Column:
     return F.when(F.size(at) > 0, F.struct(F.array_min(at).alias("first"), F.array_max(at).alias("last"), (F.array_max(at) - F.array_min(at) + 1 == F.size(at)).alias("contiguous")))
 
 
-_INSERTION = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("inserted", T.StringType()), T.StructField("single", T.BooleanType())])
-
-
-@F.pandas_udf(_INSERTION)
-def single_insertion(clean: pd.Series, changed: pd.Series) -> pd.DataFrame:
-    """Where one text was put into another: the common beginning, what follows it in the longer text, and whether that
-    insertion alone makes one of the other. Nulls give nulls."""
-    out = []
-    for a, b in zip(clean, changed, strict=True):
-        if a is None or b is None:
-            out.append((None, None, None))
-            continue
-        low, high = 0, min(len(a), len(b))
-        while low < high:  # the longest common beginning, by halving: slices compare at memory speed
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
-        size = len(b) - len(a)
-        single = size > 0 and a[low:] == b[low + size :]
-        out.append((low, b[low : low + size] if size > 0 else "", single))
-    return pd.DataFrame(out, columns=["position", "inserted", "single"])
+def common_prefix(a: Column, b: Column) -> Column:
+    """The length of the longest common beginning, by halving: a comparison of two slices for each bit of the length."""
+    start = F.struct(F.lit(0).alias("low"), F.least(F.length(a), F.length(b)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"] + 1, 1)
+        same = F.left(a, middle) == F.left(b, middle)
+        narrowed = F.when(same, F.struct(middle.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), (middle - 1).alias("high")))
+        return F.when(s["low"] >= s["high"], s).otherwise(narrowed)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halve, lambda s: s["low"])
+
+
+def single_insertion(clean: Column, changed: Column) -> Column:
+    """(position, inserted, single): where one text was put into another, the common beginning, what follows it in the
+    longer text, and whether that insertion alone makes one of the other. Nulls give nulls."""
+    size = F.length(changed) - F.length(clean)
+    at = common_prefix(clean, changed)
+    known = clean.isNotNull() & changed.isNotNull()
+    single = (size > 0) & (F.substr(clean, at + 1) == F.substr(changed, at + size + 1))
+    return F.struct(
+        F.when(known, at).alias("position"), F.when(known, F.when(size > 0, F.substr(changed, at + 1, size)).otherwise("")).alias("inserted"), F.when(known, single).alias("single"),
+    )
 
 
 def insertion_span(clean: Column, changed: Column, wording: Column) -> Column:

@@ -1,7 +1,7 @@
 """Exact discrimination and calibration metrics of scored rows, by any strata.
 
-A row has a score in [0, 1] and a binary label; rows whose label is null take no part. Nothing here gathers the rows of
-a stratum in one task: scores are first counted by (stratum, score), and windows run over distinct scores.
+A row has a score in [0, 1] and a binary label; rows whose label is null take no part. Nothing here gathers the rows or
+the scores of a stratum in one task: scores are first counted by (stratum, score), and ranked block by block.
 """
 
 from __future__ import annotations
@@ -33,20 +33,45 @@ def score_counts(rows: DataFrame, by: Sequence[str], score: str, label: str, wei
     )
 
 
+def block_of(score: Column) -> Column:
+    """A number that grows with the score: its log odds in steps of 1/64, so that blocks stay small where scores crowd
+    near 0 or 1. All scores outside of (0, 1) on one side share a block."""
+    inside = F.least(F.greatest(F.floor(F.log2(score / (1 - score)) * 64), F.lit(-9000)), F.lit(9000))
+    return F.when(score <= 0, -9999).when(score >= 1, 9999).otherwise(inside).cast("int")
+
+
 def auroc(rows: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
     """(by, n_pos, n_neg, auroc): the probability that a positive outranks a negative, ties counting one half; null
-    where a class is absent. Weighted rows count as that many copies."""
-    counts = score_counts(rows, by, score, label, weight)
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = F.col("w1") * (F.coalesce(F.sum("w0").over(below), F.lit(0)) + F.col("w0") / 2)
-    ranked = counts.withColumn("pairs", pairs)
+    where a class is absent. Weighted rows count as that many copies.
+
+    Scores are ranked inside blocks of neighbouring scores, and the blocks of a stratum, at most some thousand, by their
+    totals; so a stratum with any number of different scores is spread over many tasks.
+    """
+    counts = score_counts(rows, by, score, label, weight).withColumn("_block", block_of(F.col("score")))
+    below = Window.partitionBy(*by, "_block").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    inner = counts.withColumn("pairs", F.col("w1") * (F.coalesce(F.sum("w0").over(below), F.lit(0)) + F.col("w0") / 2))
+    blocks = inner.groupBy(*by, "_block").agg(F.sum("pairs").alias("pairs"), F.sum("w1").alias("w1"), F.sum("w0").alias("w0"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = blocks.withColumn("pairs", F.col("pairs") + F.col("w1") * F.coalesce(F.sum("w0").over(before), F.lit(0)))
     total = ranked.groupBy(*by).agg(F.sum("pairs").alias("pairs"), F.sum("w1").alias("n_pos"), F.sum("w0").alias("n_neg"))
     return total.select(*by, "n_pos", "n_neg", F.try_divide("pairs", F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
 
+def exact(score: Column) -> Column:
+    """A score as a decimal of 12 places: sums do not depend on the order of rows, and a mean that lies between two
+    rounded values stays there."""
+    return score.cast("decimal(18,12)")
+
+
+def mean(total: Column, n: Column) -> Column:
+    """The quotient of a decimal sum and a number, as the nearest double."""
+    return F.try_divide(total.cast("decimal(38,18)"), n.cast("decimal(20,0)")).cast("double")
+
+
 def brier(score: Column, label: Column) -> Column:
     """The mean squared distance, as an aggregate."""
-    return F.avg(F.when(label.isNotNull(), (score - label) * (score - label)))
+    d = exact(score) - label.cast("decimal(1,0)")
+    return mean(F.sum(F.when(label.isNotNull(), (d * d).cast("decimal(28,18)"))), F.count(label))
 
 
 def accuracy(score: Column, label: Column) -> Column:
@@ -55,15 +80,20 @@ def accuracy(score: Column, label: Column) -> Column:
 
 def bins(rows: DataFrame, by: Sequence[str], n_bins: int = 10, spaced: bool = True, score: str = "score", label: str = "label") -> DataFrame:
     """(by, bin, n, mean_score, mean_label, gap) of the bins that have rows: a reliability diagram."""
+    return _bins(rows, by, n_bins, spaced, score, label).drop("apart")
+
+
+def _bins(rows: DataFrame, by: Sequence[str], n_bins: int, spaced: bool, score: str, label: str) -> DataFrame:
     used = rows.where(F.col(label).isNotNull()).withColumn("bin", bin_of(F.col(score), n_bins, spaced))
-    out = used.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("mean_label"))
-    return out.withColumn("gap", F.abs(F.col("mean_score") - F.col("mean_label")))
+    sums = used.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum(exact(F.col(score))).alias("_s"), F.sum(F.col(label).cast("decimal(18,0)")).alias("_l"))
+    apart = F.abs(F.col("_s") - F.col("_l"))
+    return sums.select(*by, "bin", "n", mean(F.col("_s"), F.col("n")).alias("mean_score"), mean(F.col("_l"), F.col("n")).alias("mean_label"), mean(apart, F.col("n")).alias("gap"), apart.alias("apart"))
 
 
 def calibration(rows: DataFrame, by: Sequence[str], n_bins: int = 10, spaced: bool = True, score: str = "score", label: str = "label") -> DataFrame:
     """(by, n, ece, mce): expected and largest calibration error. A stratum without labelled rows does not appear."""
-    b = bins(rows, by, n_bins, spaced, score, label).groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("gap")).alias("weighted"), F.max("gap").alias("mce"))
-    return b.select(*by, "n", (F.col("weighted") / F.col("n")).alias("ece"), "mce")
+    b = _bins(rows, by, n_bins, spaced, score, label).groupBy(*by).agg(F.sum("n").alias("n"), F.sum("apart").alias("apart"), F.max("gap").alias("mce"))
+    return b.select(*by, "n", mean(F.col("apart"), F.col("n")).alias("ece"), "mce")
 
 
 def snapshot(rows: DataFrame, by: Sequence[str], n_bins: int = 10, spaced: bool = True) -> DataFrame:

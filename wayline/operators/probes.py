@@ -6,10 +6,12 @@ one task holds. Scoring joins the fitted weights, one row for each (stratum, fol
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +92,16 @@ FITS: dict[str, Callable] = {"logistic": fit_logistic, "centroid": fit_centroid,
 
 
 def _bounded(rows: DataFrame, by: Sequence[str], key: str, max_rows: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= max_rows).drop("_place")
+    """At most ``max_rows`` rows of a stratum, those whose keys have the smallest hashes. A threshold on the hash, which
+    leaves a few more than are wanted, comes before the ranking, so that no task sorts a whole stratum."""
+    share = (max_rows + 8 * max_rows**0.5 + 64) / F.col("_n")
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    sizes = rows.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.count("*").alias("_n"))
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+    few = rows.join(sizes, reduce(lambda a, b: a & b, same)) if by else rows.crossJoin(sizes)
+    few = few.withColumn("_at", place).where(F.col("_at") <= share).drop(*[f"_{b}" for b in by], "_n")
+    w = Window.partitionBy(*by).orderBy("_at", key)
+    return few.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= max_rows).drop("_place", "_at")
 
 
 def _residual(x: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -134,6 +144,43 @@ def held_out_scores(rows: DataFrame, models: DataFrame, by: Sequence[str], group
     return joined.withColumn("score", 1 / (1 + F.exp(-(dot(F.col(vector), F.col("weights")) + F.col("intercept"))))).drop("weights", "intercept")
 
 
+def scored_layers(rows: DataFrame, by: Sequence[str], group: str, key: str, label: str, vector: str, probes: Sequence[str], pair: str | None = None, residual: bool = False, max_rows: int = MAX_ROWS) -> DataFrame:
+    """All rows with the held-out score of every probe, ``probe_name``: one fit for each stratum (thinking mode, agent,
+    layer, ...) and held-out group, all of them side by side. Strata where a fold lacks a class have no score there."""
+    parts = [held_out_scores(rows, fit_leaving_out(rows, by, group, key, label, vector, p, pair, residual, max_rows), by, group, vector).withColumn("probe_name", F.lit(p)) for p in probes]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def layer_scan(rows: DataFrame, by: Sequence[str], layer: str, group: str, key: str, label: str, vector: str, probes: Sequence[str], pair: str | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(by, layer, probe_name, status, reason, n, n_folds, pooled, mean, deviation and range of the folds' AUROC): a probe
+    for every stratum and layer that can be cross-validated by group, and the reason why the others cannot."""
+    from wayline.operators.metrics import fold_summary
+    from wayline.operators.splits import fold_skips
+
+    strata = [*by, layer]
+    skips = fold_skips(rows, strata, group, label)
+    blocked = skips.where("reason IS NOT NULL")
+    usable = rows.join(blocked, strata, "left_anti")
+    found = fold_summary(scored_layers(usable, strata, group, key, label, vector, probes, pair, max_rows=max_rows), [*strata, "probe_name"], group)
+    every = skips.select(*strata, "reason", F.explode(F.array(*[F.lit(p) for p in probes])).alias("probe_name"))
+    return every.join(found, [*strata, "probe_name"], "left").withColumn("status", F.when(F.col("reason").isNull(), "completed").otherwise("skipped"))
+
+
+def cohort_refits(rows: DataFrame, cohorts: dict[str, Sequence[str]], group: str, key: str, label: str, vector: str, probe: str = "logistic", max_rows: int = MAX_ROWS) -> DataFrame:
+    """(cohort, kind, n, n_folds, the AUROCs): each cohort of groups twice, as ``fold_filter`` with the scores of probes
+    that saw all groups but the row's own, and as ``full_refit`` with probes that saw the cohort's groups only."""
+    from wayline.operators.metrics import fold_summary
+    from wayline.operators.pairs import membership
+
+    one = rows.withColumn("cohort", F.lit("all"))
+    scored = held_out_scores(one, fit_leaving_out(one, ["cohort"], group, key, label, vector, probe, max_rows=max_rows), ["cohort"], group, vector)
+    kept = membership(scored.drop("cohort"), cohorts, group)
+    own = membership(rows, cohorts, group)
+    refitted = held_out_scores(own, fit_leaving_out(own, ["cohort"], group, key, label, vector, probe, max_rows=max_rows), ["cohort"], group, vector)
+    both = kept.select("cohort", group, label, "score", F.lit("fold_filter").alias("kind")).unionByName(refitted.select("cohort", group, label, "score", F.lit("full_refit").alias("kind")))
+    return fold_summary(both.withColumnRenamed(label, "label"), ["cohort", "kind"], group)
+
+
 def permutation_null(rows: DataFrame, group: str, key: str, label: str, vector: str, replicates: int, probe: str = "logistic", seed: int = 0, max_rows: int = 2000) -> DataFrame:
     """(replicate, mean_auroc) of complete refits under labels permuted within groups. Labels of all rows are permuted
     and all rows are scored; a fit uses at most ``max_rows`` of them. Keys are unique."""
@@ -148,15 +195,35 @@ def permutation_null(rows: DataFrame, group: str, key: str, label: str, vector:
     return fold_summary(scored.join(dealt, ["replicate", "_key"]), ["replicate"], "_group").select("replicate", "mean_auroc")
 
 
+def _products(vector_at: int) -> Callable:
+    """For each partition: the number of its vectors, their sum and the sum of their products, as rows (i, values)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(vector_at).to_pylist(), dtype=float)
+                x = np.hstack([np.ones((len(x), 1)), x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "values"])
+
+    return run
+
+
 def principal(rows: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first k directions and their shares of the variance, from sums of products: d * d numbers reach the driver."""
+    """The first k directions and their shares of the variance. Each partition sums its products, and d * d numbers reach
+    the driver."""
+    ship(rows.sparkSession)
     v = rows.where(F.col(vector).isNotNull()).select(F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    cells = v.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y")).where("i <= j")
-    sums = {(r["i"], r["j"]): r["s"] for r in cells.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()}
-    means = {r["i"]: (r["m"], r["n"]) for r in v.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.count("*").alias("n")).collect()}
-    d = len(means)
-    mean, n = np.array([means[i][0] for i in range(d)]), means[0][1]
-    cov = np.array([[sums[min(i, j), max(i, j)] for j in range(d)] for i in range(d)]) / n - np.outer(mean, mean)
+    parts = v.mapInArrow(_products(0), "i int, values array<double>").select("i", F.posexplode("values").alias("j", "x"))
+    sums = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    d = max(r["i"] for r in sums)
+    total = np.zeros((d + 1, d + 1))
+    for r in sums:
+        total[r["i"], r["j"]] = r["x"]
+    n, mean = total[0, 0], total[0, 1:] / total[0, 0]
+    cov = total[1:, 1:] / n - np.outer(mean, mean)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[:k]
     return vectors[:, order].T, values[order] / values.sum()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,35 +13,51 @@ def hash_key(seed: int | str, value: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), value.cast("string")), 256)
 
 
-def split_counts(n: int, shares: Sequence[float]) -> list[int]:
-    """How many of n groups each share gets: rounded half to even, at least one each if n allows, adding up to n. What
-    is over goes to the first share, what is missing comes from the largest."""
-    total = sum(Fraction(str(s)) for s in shares)
-    counts = [round(Fraction(str(s)) * n / total) for s in shares]
-    if n >= len(shares):
-        counts = [max(1, c) for c in counts]
-    while sum(counts) > n:
-        counts[counts.index(max(counts))] -= 1
-    counts[0] += n - sum(counts)
-    return counts
+def split_counts(n: int, train: float, validation: float) -> list[int]:
+    """How many of n groups are for training, validation and testing: the first two are rounded, half to even, to at
+    least one, and testing has what is left. It gets its one group from training, then from validation. Fewer than three
+    groups, or a share that is not positive, are an error."""
+    if min(train, validation, 1.0 - train - validation) <= 0:
+        raise ValueError("all shares must be positive")
+    if n < 3:
+        raise ValueError("at least three groups are needed for three splits")
+    counts = [max(1, round(n * train)), max(1, round(n * validation))]
+    for i in (0, 1):
+        short = max(0, 1 - (n - sum(counts)))
+        counts[i] -= min(short, counts[i] - 1)
+    return [*counts, n - sum(counts)]
 
 
-def assign_splits(groups: DataFrame, group: str, names: Sequence[str], shares: Sequence[float], seed: int = 0) -> DataFrame:
+def assign_splits(groups: DataFrame, group: str, train: float = 0.6, validation: float = 0.2, seed: int = 42, names: Sequence[str] = ("train", "validation", "test")) -> DataFrame:
     """(group, place, split) of the distinct groups in hash order. The groups of a design are few; their ranks need one
     sorted list of them, not of the rows."""
     distinct = groups.select(group).where(F.col(group).isNotNull()).distinct()
-    n = distinct.count()
-    bounds = [sum(split_counts(n, shares)[: i + 1]) for i in range(len(shares))]
+    counts = split_counts(distinct.count(), train, validation)
     ranked = distinct.withColumn("place", F.row_number().over(Window.orderBy(hash_key(seed, F.col(group)))))
-    split = F.coalesce(*[F.when(F.col("place") <= b, F.lit(name)) for b, name in zip(bounds, names, strict=True)])
+    split = F.coalesce(*[F.when(F.col("place") <= sum(counts[: i + 1]), F.lit(name)) for i, name in enumerate(names)])
     return ranked.select(group, "place", split.alias("split"))
 
 
+def unsplit(groups: DataFrame, group: str, name: str = "all") -> DataFrame:
+    """(group, split) with one split, for designs that are too small for three."""
+    return groups.select(group).where(F.col(group).isNotNull()).distinct().withColumn("split", F.lit(name))
+
+
 def leave_one_out(rows: DataFrame, groups: DataFrame, group: str, fold: str = "fold") -> DataFrame:
-    """Each row once for each group, with ``is_test`` where the group is its own. For rows without their vectors: those
-    are joined inside the fold."""
+    """Each row once for each group, with ``is_test`` where the group is its own. For small tables of keys, and rows
+    without their vectors; what only needs sums over a fold's rows is :func:`fold_totals`."""
     folds = groups.select(F.col(group).alias(fold)).distinct()
-    return rows.crossJoin(F.broadcast(folds)).withColumn("is_test", F.col(group) == F.col(fold))
+    return rows.crossJoin(folds).withColumn("is_test", F.col(group) == F.col(fold))
+
+
+def fold_totals(rows: DataFrame, by: Sequence[str], group: str, sums: dict[str, Column], fold: str = "fold") -> DataFrame:
+    """(by, fold, is_test, sums) over the rows that leave-one-group-out expansion would give, from each group's own sums:
+    a fold's training rows are all rows less the group's. A side without rows does not appear."""
+    own = rows.groupBy(*by, F.col(group).alias(fold)).agg(F.count("*").alias("_n"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    total = own.groupBy(*by).agg(*[F.sum(c).alias(f"_{c}_all") for c in ("_n", *sums)])
+    both = own.join(total, list(by)) if by else own.crossJoin(total)  # one row
+    side = lambda test: F.struct(F.lit(test).alias("is_test"), *[(F.col(c) if test else F.col(f"_{c}_all") - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("_n", *sums)])
+    return both.select(*by, fold, F.explode(F.array(side(True), side(False))).alias("_side")).where("_side._n > 0").select(*by, fold, "_side.is_test", *[f"_side.{c}" for c in sums])
 
 
 def fold_skips(rows: DataFrame, by: Sequence[str], group: str, label: str) -> DataFrame:
@@ -62,6 +77,12 @@ def fold_skips(rows: DataFrame, by: Sequence[str], group: str, label: str) -> Da
 
 
 def stratified_folds(rows: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
-    """Adds ``fold``, 0 to k - 1: within each class rows are dealt round in hash order."""
-    w = Window.partitionBy(label).orderBy(hash_key(seed, F.col(key)), key)
-    return rows.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    """Adds ``fold``, 0 to k - 1: within each class rows are dealt round in hash order. Rows are ranked among those that
+    share the beginning of their hash, and the beginnings, at most 4,096 of a class, by their numbers of rows."""
+    hashed = rows.withColumn("_h", hash_key(seed, F.col(key))).withColumn("_p", F.left("_h", F.lit(3)))
+    sizes = hashed.groupBy(label, "_p").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(label).alias("_l"), F.col("_p").alias("_q"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", key)) - 1)
+    placed = ranked.join(starts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_p") == F.col("_q")))
+    return placed.withColumn("fold", ((F.col("_start") + F.col("_r")) % k).cast("int")).drop("_h", "_p", "_l", "_q", "_start", "_r")

@@ -18,7 +18,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "source", "score", hop.alias("hop"), F.col("quality").alias("label"), "toxic")
 
 
-P = """p AS (SELECT d.doc_id, d.lang, d.source, CAST((d.doc_id * 7919 + d.n_chars) % 1000 AS DOUBLE) / 1000 AS score,
+P = """p AS (SELECT d.doc_id, d.lang, d.source, (d.doc_id * 7919 + d.n_chars) % 1000 AS k, CAST((d.doc_id * 7919 + d.n_chars) % 1000 AS DOUBLE) / 1000 AS score,
                 CASE WHEN d.doc_id % 2 = 0 THEN '2-hop' ELSE '3-hop' END AS hop, l.quality AS label, l.toxic
          FROM documents d JOIN labels l USING (doc_id))"""
 

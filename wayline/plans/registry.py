@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import hashing, text, vectors
-from wayline.operators import contracts, labels, ledger, metrics, pairs, probes, resample, review, sequence, splits
+from wayline.operators import contracts, ledger, metrics, pairs, probes, resample, review, sequence, splits
 from wayline.plans.frames import E, L, P, S, event_steps, ledger_rows, predictions, steps, table
 from wayline.plans.frames import vectors as vector_rows
 
@@ -33,6 +34,16 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
+def snapped(df: DataFrame, *names: str, places: int = 5) -> DataFrame:
+    """As :func:`rounded`, by way of ten exact places: where a quotient lies between two rounded values, the last bits of
+    a sum of floats don't decide."""
+    return df.withColumns({n: F.round(F.col(n).cast("decimal(18,10)"), places).cast("double") for n in names})
+
+
+def snapped_sql(value: str, places: int = 5) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(18,10)), {places}) AS DOUBLE)"
+
+
 def _pairs_sql(by: str) -> str:
     """AUROC by its definition: every positive against every negative."""
     return f"""SELECT {by}, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS auroc
@@ -43,6 +54,11 @@ def _bin_sql(spaced: bool = True) -> str:
     return " + ".join(f"(score >= {e!r}::DOUBLE)::INT" for e in metrics.edges(10, spaced)[1:])
 
 
+def exact_sql(num: str, den: str) -> str:
+    """A quotient of integers, not below 0, rounded half up to six places, in integers."""
+    return f"CAST((2 * CAST({num} AS HUGEINT) * 1000000 + ({den})) // (2 * CAST({den} AS HUGEINT)) AS DOUBLE) / 1000000"
+
+
 # --- metrics
 
 
@@ -51,8 +67,8 @@ def auroc_by_stratum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.auroc(predictions(spark, d), ["lang"]), "auroc")
 
 
-@query(f"""WITH {P}, b AS (SELECT lang, {_bin_sql()} AS bin, count(*) AS n, avg(score) AS ms, avg(CAST(label AS DOUBLE)) AS ml FROM p GROUP BY 1, 2)
-    SELECT lang, CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(ms - ml)) / sum(n), 6) AS ece, round(max(abs(ms - ml)), 6) AS mce FROM b GROUP BY lang""")
+@query(f"""WITH {P}, b AS (SELECT lang, {_bin_sql()} AS bin, count(*) AS n, abs(sum(k) - 1000 * sum(label)) AS gap FROM p GROUP BY 1, 2)
+    SELECT lang, CAST(sum(n) AS BIGINT) AS n, {exact_sql('sum(gap)', '1000 * sum(n)')} AS ece, max({exact_sql('gap', '1000 * n')}) AS mce FROM b GROUP BY lang""")
 def ece_by_stratum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.calibration(predictions(spark, d), ["lang"]), "ece", "mce")
 
@@ -72,30 +88,30 @@ def heldout_fold_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc")
 
 
-_SNAPSHOT = f"""SELECT lang, hop, count(*) AS n, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, avg(pow(score - label, 2)) AS brier,
-    avg(CAST((score >= 0.5)::INT = label AS DOUBLE)) AS accuracy FROM p GROUP BY lang, hop"""
-_ECE = f"""SELECT lang, hop, sum(n * abs(ms - ml)) / sum(n) AS ece, max(abs(ms - ml)) AS mce
-    FROM (SELECT lang, hop, {_bin_sql()} AS bin, count(*) AS n, avg(score) AS ms, avg(CAST(label AS DOUBLE)) AS ml FROM p GROUP BY 1, 2, 3) GROUP BY lang, hop"""
+_SNAPSHOT = f"""SELECT lang, hop, count(*) AS n, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, sum((k - 1000 * label) * (k - 1000 * label)) / 1000000 / count(*) AS brier,
+    {exact_sql('sum((k - 1000 * label) * (k - 1000 * label))', '1000000 * count(*)')} AS brier6, avg(CAST((score >= 0.5)::INT = label AS DOUBLE)) AS accuracy FROM p GROUP BY lang, hop"""
+_ECE = f"""SELECT lang, hop, {exact_sql('sum(gap)', '1000 * sum(n)')} AS ece, max({exact_sql('gap', '1000 * n')}) AS mce
+    FROM (SELECT lang, hop, {_bin_sql()} AS bin, count(*) AS n, abs(sum(k) - 1000 * sum(label)) AS gap FROM p GROUP BY 1, 2, 3) GROUP BY lang, hop"""
 
 
 @query(f"""WITH {P}, a AS ({_pairs_sql('lang, hop')}), f AS ({_SNAPSHOT}), c AS ({_ECE})
-    SELECT lang, hop, n, n_pos, n_neg, round(auroc, 6) AS auroc, round(brier, 6) AS brier, round(accuracy, 6) AS accuracy, round(ece, 6) AS ece, round(mce, 6) AS mce
+    SELECT lang, hop, n, n_pos, n_neg, round(auroc, 6) AS auroc, brier6 AS brier, round(accuracy, 6) AS accuracy, ece, mce
     FROM f JOIN c USING (lang, hop) LEFT JOIN a USING (lang, hop)""")
 def agent_layer_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.snapshot(predictions(spark, d), ["lang", "hop"]), "auroc", "brier", "accuracy", "ece", "mce")
 
 
-@query(f"""WITH {P}, a AS ({_pairs_sql('source, lang')}), f AS (SELECT source, lang, count(*) AS n, avg(score) AS mean_score, avg(pow(score - label, 2)) AS brier FROM p GROUP BY source, lang)
-    SELECT source, lang, n, round(mean_score, 6) AS mean_score, round(brier, 6) AS brier, round(auroc, 6) AS auroc FROM f LEFT JOIN a USING (source, lang)""")
+@query(f"""WITH {P}, a AS ({_pairs_sql('source, lang')}), f AS (SELECT source, lang, count(*) AS n, avg(score) AS mean_score, {exact_sql('sum((k - 1000 * label) * (k - 1000 * label))', '1000000 * count(*)')} AS brier FROM p GROUP BY source, lang)
+    SELECT source, lang, n, round(mean_score, 6) AS mean_score, brier, round(auroc, 6) AS auroc FROM f LEFT JOIN a USING (source, lang)""")
 def domain_metrics(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d)
     flat = p.groupBy("source", "lang").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), metrics.brier(F.col("score"), F.col("label")).alias("brier"))
     return rounded(flat.join(metrics.auroc(p, ["source", "lang"]).select("source", "lang", "auroc"), ["source", "lang"]), "mean_score", "brier", "auroc")
 
 
-@query(f"""WITH {P}, a AS ({_pairs_sql('lang, hop')}), f AS ({_SNAPSHOT}), m AS (SELECT lang, hop, auroc, brier FROM f LEFT JOIN a USING (lang, hop))
+@query(f"""WITH {P}, a AS ({_pairs_sql('lang, hop')}), f AS ({_SNAPSHOT}), m AS (SELECT lang, hop, auroc, brier, brier6 FROM f LEFT JOIN a USING (lang, hop))
     SELECT lang, round(x.auroc, 6) AS auroc_low, round(y.auroc, 6) AS auroc_high, round(y.auroc - x.auroc, 6) AS auroc_delta,
-           round(x.brier, 6) AS brier_low, round(y.brier, 6) AS brier_high, round(y.brier - x.brier, 6) AS brier_delta
+           x.brier6 AS brier_low, y.brier6 AS brier_high, round(y.brier - x.brier, 6) AS brier_delta
     FROM m x JOIN m y USING (lang) WHERE x.hop = '2-hop' AND y.hop = '3-hop'""")
 def depth_delta(spark: SparkSession, d: str) -> DataFrame:
     out = metrics.deltas(metrics.snapshot(predictions(spark, d), ["lang", "hop"]), ["lang"], "hop", "2-hop", "3-hop", ["auroc", "brier"])
@@ -103,7 +119,7 @@ def depth_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {P}, f AS ({_SNAPSHOT}) SELECT 'metric' AS record_type, lang, hop, m AS metric, round(v, 6) AS value
-    FROM (SELECT lang, hop, unnest(['brier', 'accuracy', 'n']) AS m, unnest([brier, accuracy, CAST(n AS DOUBLE)]) AS v FROM f)""")
+    FROM (SELECT lang, hop, unnest(['brier', 'accuracy', 'n']) AS m, unnest([brier6, accuracy, CAST(n AS DOUBLE)]) AS v FROM f)""")
 def tidy_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.tidy(metrics.snapshot(predictions(spark, d), ["lang", "hop"]), ["lang", "hop"], ["brier", "accuracy", "n"], "metric"), "value")
 
@@ -253,20 +269,31 @@ def lookup_missing(spark: SparkSession, d: str) -> DataFrame:
     return pairs.looked_up(predictions(spark, d), t, ["source"]).groupBy("split", "missing").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {P}, q AS (SELECT doc_id, CAST(label AS VARCHAR) AS a, CAST(toxic AS VARCHAR) AS b, lang, source FROM p)
-    SELECT doc_id, CASE WHEN a IS DISTINCT FROM b THEN 'label' ELSE '' END AS mismatch FROM q""")
+@query("""SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_returnflag IS DISTINCT FROM l_linestatus THEN 'flag' END, CASE WHEN l_shipdate IS DISTINCT FROM o_orderdate THEN 'date' END,
+    CASE WHEN (CASE WHEN l_quantity > 40 THEN NULL ELSE l_linenumber END) IS DISTINCT FROM (CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST(l_quantity AS BIGINT) END) THEN 'number' END) AS mismatch
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def request_result_mismatches(spark: SparkSession, d: str) -> DataFrame:
-    out = pairs.mismatches(predictions(spark, d), {"label": (F.col("label"), F.col("toxic")), "lang": (F.col("lang"), F.col("lang"))})
-    return out.select("doc_id", F.array_join("mismatch", ",").alias("mismatch"))
+    both = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    number = (F.when(F.col("l_quantity") <= 40, F.col("l_linenumber").cast("long")), F.when(F.col("o_orderstatus") != "F", F.col("l_quantity").cast("long")))
+    out = pairs.mismatches(both, {"flag": (F.col("l_returnflag"), F.col("l_linestatus")), "date": (F.col("l_shipdate"), F.col("o_orderdate")), "number": number})
+    return out.select("l_orderkey", "l_linenumber", F.array_join("mismatch", ",").alias("mismatch"))
 
 
 # --- splits
 
 
-@query("""WITH g AS (SELECT DISTINCT source FROM documents), r AS (SELECT source, row_number() OVER (ORDER BY sha256('7:' || source)) AS place, count(*) OVER () AS n FROM g)
-    SELECT source, place, CASE WHEN place <= round_even(n * 0.6, 0) + (n - round_even(n * 0.6, 0) - 2 * round_even(n * 0.2, 0)) THEN 'train' WHEN place <= n - round_even(n * 0.2, 0) THEN 'validation' ELSE 'test' END AS split FROM r""")
+#: Counts of the three splits by number of groups, for 60 % and 20 % (fixed values of the design).
+SPLIT_COUNTS = {3: (1, 1, 1), 4: (2, 1, 1), 5: (3, 1, 1), 6: (4, 1, 1), 7: (4, 1, 2), 8: (5, 2, 1), 9: (5, 2, 2), 10: (6, 2, 2), 11: (7, 2, 2), 12: (7, 2, 3)}
+
+
+@query(f"""WITH d AS (SELECT DISTINCT source FROM documents), m(m) AS (VALUES {', '.join(f'({m})' for m in SPLIT_COUNTS)}), t(m, train, validation) AS (VALUES {', '.join(f'({m}, {c[0]}, {c[1]})' for m, c in SPLIT_COUNTS.items())}),
+    g AS (SELECT m, source FROM d CROSS JOIN m WHERE CAST(replace(source, 'src', '') AS INT) < m), r AS (SELECT m, source, row_number() OVER (PARTITION BY m ORDER BY sha256('7:' || source)) AS place FROM g)
+    SELECT m AS n_groups, source, place, CASE WHEN place <= train THEN 'train' WHEN place <= train + validation THEN 'validation' ELSE 'test' END AS split FROM r JOIN t USING (m)""")
 def hash_split_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return splits.assign_splits(table(spark, d, "documents"), "source", ["train", "validation", "test"], [0.6, 0.2, 0.2], 7)
+    """The sources below a number, for several numbers of groups."""
+    sources = table(spark, d, "documents").select("source").distinct().withColumn("i", F.replace("source", F.lit("src"), F.lit("")).cast("int"))
+    made = [splits.assign_splits(sources.where(F.col("i") < m), "source", 0.6, 0.2, 7).withColumn("n_groups", F.lit(m)) for m in SPLIT_COUNTS]
+    return reduce(DataFrame.unionByName, made)
 
 
 @query(f"""WITH {P}, g AS (SELECT lang, source, count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic = 0) AS n FROM p GROUP BY lang, source),
@@ -281,10 +308,10 @@ def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
     return splits.stratified_folds(predictions(spark, d), "doc_id", "toxic", 5, 3).groupBy("fold", "toxic").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query(f"""WITH {P}, g AS (SELECT DISTINCT source AS fold FROM p) SELECT fold, source = fold AS is_test, count(*) AS n, round(avg(score), 6) AS mean_score FROM p CROSS JOIN g GROUP BY 1, 2""")
+@query(f"""WITH {P}, g AS (SELECT DISTINCT source AS fold FROM p) SELECT fold, source = fold AS is_test, count(*) AS n, {exact_sql('sum(k)', '1000 * count(*)')} AS mean_score FROM p CROSS JOIN g GROUP BY 1, 2""")
 def leave_one_group_out(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d)
-    return rounded(splits.leave_one_out(p, p, "source").groupBy("fold", "is_test").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")), "mean_score")
+    out = splits.fold_totals(predictions(spark, d), [], "source", {"n": F.lit(1), "total": metrics.exact(F.col("score"))})
+    return out.select("fold", "is_test", "n", F.round(metrics.mean(F.col("total"), F.col("n")), 6).alias("mean_score"))
 
 
 # --- contracts
@@ -385,28 +412,44 @@ def url_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.urls(F.concat(F.lit("go to "), "url", F.lit(". Or ("), "url", F.lit(")"))).alias("urls"))
 
 
-@query("SELECT conv_id, turn, length(trim(text)) AS thinking_chars, role AS final, true AS complete FROM (SELECT *, text AS t FROM conversations)")
+@query("""SELECT conv_id, turn, form, CASE form WHEN 0 THEN 'a ' || text || '</think>b' WHEN 1 THEN ltrim(text, chr(10) || ' ') || ' <think> y' WHEN 3 THEN trim(text, chr(10) || ' ') WHEN 4 THEN '' END AS thinking,
+           CASE form WHEN 0 THEN role WHEN 2 THEN trim(text, chr(10) || chr(9) || ' ') WHEN 4 THEN role ELSE '' END AS final, CASE WHEN form IN (0, 3, 4) THEN true WHEN form = 1 THEN false END AS complete
+    FROM conversations CROSS JOIN range(6) AS f(form)""")
 def block_split(spark: SparkSession, d: str) -> DataFrame:
-    s = text.split_thinking(F.concat(F.lit("<think>"), "text", F.lit("</think> "), "role"))
-    return steps(spark, d).select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", F.length("s.thinking").cast("long").alias("thinking_chars"), "s.final", "s.complete")
-
-
-@query("SELECT conv_id, turn, 'call_' || role AS name, CAST(turn AS VARCHAR) AS argument, 1 AS n_errors FROM conversations")
+    """Marks in six forms around every text: two closing marks, none, no marks at all, two opening marks, a closing mark
+    alone, and nothing."""
+    t = F.col("text")
+    forms = [
+        F.concat(F.lit("<think>a "), t, F.lit("</think>b</think> "), "role", F.lit("\n")), F.concat(F.lit("x <think>\n"), t, F.lit(" <think> y")), F.concat(F.lit("  "), t, F.lit("\t")),
+        F.concat(F.lit("p <think>q<think> "), t, F.lit("\n</think>")), F.concat(F.lit("</think>"), "role"), F.lit(""),
+    ]
+    rows = steps(spark, d).select("conv_id", "turn", F.posexplode(F.array(*forms)).alias("form", "t"))
+    return rows.select("conv_id", "turn", F.col("form").cast("long").alias("form"), text.split_thinking(F.col("t")).alias("s")).select("conv_id", "turn", "form", "s.*")
+
+
+@query("""WITH b(i, block, code) AS (VALUES (0, '{"name": " call ", "arguments": {"step": {"n": 1}}}', NULL), (1, 'no json', 'invalid_tool_call_json'), (2, '[1]', 'tool_call_must_be_object'), (3, '{"name": " ", "arguments": {}}', 'missing_tool_name'),
+        (4, '{"name": 7, "arguments": {}}', 'missing_tool_name'), (5, '{"name": "call", "arguments": "x"}', 'tool_arguments_must_be_object'), (6, '{"name": "call"}', 'tool_arguments_must_be_object'), (7, '{"name": "other", "arguments": {}}', NULL)),
+    u AS (SELECT conv_id, turn, i, code, block, length(text) % 8 AS first, (length(text) // 8) % 8 AS second, turn % 2 = 0 AS open FROM conversations CROSS JOIN b),
+    e AS (SELECT conv_id, turn, code, block, 0 AS place FROM u WHERE i = first UNION ALL SELECT conv_id, turn, code, block, 1 FROM u WHERE i = second)
+    SELECT conv_id, turn, coalesce(string_agg(CASE WHEN code IS NULL THEN CASE WHEN block LIKE '%other%' THEN 'other:{}:false' ELSE 'call:{"step":{"n":1}}:true' END END, ' ' ORDER BY place), '') AS calls,
+           concat_ws(' ', CASE WHEN turn % 2 = 0 THEN 'unbalanced_tool_call_tags' END, string_agg(code || '@' || place, ' ' ORDER BY place)) AS errors FROM e GROUP BY conv_id, turn""")
 def tool_call_parse(spark: SparkSession, d: str) -> DataFrame:
-    made = F.concat(F.lit('a <tool_call>{"name": "call_'), "role", F.lit('", "arguments": {"step": "'), F.col("turn").cast("string"), F.lit('"}}</tool_call> b <tool_call>no json</tool_call>'))
-    c = steps(spark, d).select("conv_id", "turn", text.tool_calls(made).alias("c"))
-    return c.select("conv_id", "turn", F.element_at("c.calls", 1)["name"].alias("name"), F.element_at(F.element_at("c.calls", 1)["arguments"], "step").alias("argument"), F.size("c.errors").alias("n_errors"))
+    """Two of eight blocks in each turn's text, and an opening tag too many in every other one."""
+    blocks = ['{"name": " call ", "arguments": {"step": {"n": 1}}}', "no json", "[1]", '{"name": " ", "arguments": {}}', '{"name": 7, "arguments": {}}', '{"name": "call", "arguments": "x"}', '{"name": "call"}', '{"name": "other", "arguments": {}}']
+    block = lambda i: F.concat(F.lit("<tool_call>\n "), F.element_at(F.array(*[F.lit(b) for b in blocks]), (i + 1).cast("int")), F.lit(" </tool_call>"))
+    size = F.length("text")
+    made = F.concat(F.lit("a "), block(size % 8), F.lit(" b "), block(F.floor(size / 8) % 8), F.when(F.col("turn") % 2 == 0, " <tool_call> c").otherwise(""))
+    c = steps(spark, d).select("conv_id", "turn", text.tool_calls(made, ["call"]).alias("c"))
+    calls = F.transform("c.calls", lambda x: F.concat_ws(":", x["name"], x["arguments"], x["recognized"].cast("string")))
+    errors = F.transform("c.errors", lambda x: F.concat_ws("@", x["code"], x["index"].cast("string")))
+    return c.select("conv_id", "turn", F.array_join(calls, " ").alias("calls"), F.array_join(errors, " ").alias("errors"))
 
 
-@query("SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n, sha256(text) AS digest FROM documents WHERE lang = 'en'")
-def collapsed_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.length(text.collapse_space(F.col("text"))).cast("long").alias("n"), hashing.text_sha256(F.col("text")).alias("digest"))
+_COLLAPSED = "trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
-@query()
-def collapsed_text_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``collapsed_text``, of documents in every language."""
+@query(f"SELECT doc_id, length({_COLLAPSED}) AS n, sha256(text) AS digest FROM documents")
+def collapsed_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(text.collapse_space(F.col("text"))).cast("long").alias("n"), hashing.text_sha256(F.col("text")).alias("digest"))
 
 
@@ -416,24 +459,20 @@ def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
     return steps(spark, d).groupBy("conv_id").agg(messages.alias("m")).select("conv_id", text.render_messages(F.col("m")).alias("rendered"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(c) <= 63 THEN c ELSE left(c, 54) || '-' || left(sha256(t), 8) END AS tag
-    FROM (SELECT doc_id, left(text, 40 + CAST(doc_id % 60 AS INT)) AS t, regexp_replace(left(text, 40 + CAST(doc_id % 60 AS INT)), '[^A-Za-z0-9._-]+', '-', 'g') AS c FROM documents)""")
+@query("""WITH c AS (SELECT doc_id, text AS t, trim(regexp_replace(text, '[^A-Za-z0-9._-]+', '-', 'g'), '-_.') AS c FROM documents)
+    SELECT doc_id, CASE WHEN length(c) <= 63 THEN c ELSE rtrim(left(c, 52), '-_.') || '-' || left(sha256(t), 10) END AS tag FROM c WHERE c <> ''""")
 def tag_values(spark: SparkSession, d: str) -> DataFrame:
-    cut = F.left("text", F.lit(40) + (F.col("doc_id") % 60).cast("int"))
-    return table(spark, d, "documents").select("doc_id", text.tag_value(cut).alias("tag"))
-
-
-@query()
-def tag_values_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As ``tag_values``, of whole texts."""
-    return table(spark, d, "documents").select("doc_id", text.tag_value(F.col("text")).alias("tag"))
+    """Tags of whole texts that have a letter, digit or another sign that may stand in one."""
+    return table(spark, d, "documents").where(F.rlike("text", F.lit("[A-Za-z0-9]"))).select("doc_id", text.tag_value(F.col("text")).alias("tag"))
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, text, left(text, CAST(doc_id % 50 AS INT)) || '[inserted]' || substr(text, CAST(doc_id % 50 AS INT) + 1) AS changed FROM documents),
+    p AS (SELECT *, list_max(list_filter(range(0, 80), lambda n: n <= length(text) AND left(text, CAST(n AS INT)) = left(changed, CAST(n AS INT)))) AS position FROM c)
+    SELECT doc_id, CAST(position AS INT) AS position, substr(changed, CAST(position + 1 AS INT), 10) AS inserted, left(changed, CAST(position AS INT)) || substr(changed, CAST(position + 11 AS INT)) = text AS single FROM p""")
 def insertion_diff(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     changed = text.spliced(F.col("text"), (F.col("doc_id") % 50).cast("int"), F.lit("[inserted]"))
-    return docs.select("doc_id", text.single_insertion("text", changed).alias("i")).select("doc_id", "i.*")
+    return docs.select("doc_id", text.single_insertion(F.col("text"), changed).alias("i")).select("doc_id", "i.*")
 
 
 # --- vectors
@@ -463,11 +502,34 @@ def contrast_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("grp", "pair_id", vectors.norm(F.col("difference")).alias("norm")), "norm", places=5)
 
 
+def layered(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors in two modes, of two agents and at two layers, the second of which carries more of the label."""
+    v = vector_rows(spark, d).withColumns({"mode": F.when(F.floor(F.col("vec_id") / 9) % 2 == 0, "off").otherwise("on"), "agent": F.when(F.floor(F.col("vec_id") / 18) % 2 == 0, "worker_1").otherwise("executor_1")})
+    layers = F.explode(F.array(F.lit(32), F.lit(40))).alias("layer")
+    shifted = F.transform("embedding", lambda x: x.cast("double") + F.when(F.col("layer") == 40, F.col("label") * 0.2).otherwise(0.0))
+    rows = v.select("vec_id", "grp", "label", "mode", "agent", "embedding", layers).withColumn("embedding", shifted)
+    return rows.withColumn("pair", F.concat_ws("-", F.col("grp").cast("string"), F.row_number().over(Window.partitionBy("mode", "agent", "layer", "grp", "label").orderBy("vec_id")).cast("string")))
+
+
 @query()
 def probe_scores_logo(spark: SparkSession, d: str) -> DataFrame:
-    v = vector_rows(spark, d).withColumn("layer", F.lit(0))
-    models = probes.fit_leaving_out(v, ["layer"], "grp", "vec_id", "label", "embedding")
-    return rounded(probes.held_out_scores(v, models, ["layer"], "grp", "embedding").select("vec_id", "grp", "label", "score"), "score")
+    """Held-out scores for every mode, agent, layer and group by two probes."""
+    scored = probes.scored_layers(layered(spark, d), ["mode", "agent", "layer"], "grp", "vec_id", "label", "embedding", ["logistic", "contrast"], "pair")
+    return rounded(scored.select("vec_id", "mode", "agent", "layer", "grp", "label", "probe_name", "score"), "score")
+
+
+@query()
+def layer_scan_refits(spark: SparkSession, d: str) -> DataFrame:
+    """A probe for every mode, agent and layer; the strata of a mode whose labels are all alike are skipped."""
+    one_class = layered(spark, d).where("mode = 'on'").withColumns({"mode": F.lit("one_class"), "label": F.lit(1)})
+    out = probes.layer_scan(layered(spark, d).unionByName(one_class), ["mode", "agent"], "layer", "grp", "vec_id", "label", "embedding", ["logistic", "contrast"], "pair")
+    return rounded(out, "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", places=4)
+
+
+@query()
+def cohort_refits(spark: SparkSession, d: str) -> DataFrame:
+    out = probes.cohort_refits(vector_rows(spark, d), {"all": list(range(9)), "seven": list(range(7)), "odd": [1, 3, 5, 7]}, "grp", "vec_id", "label", "embedding")
+    return rounded(out, "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", places=4)
 
 
 @query()
@@ -485,12 +547,16 @@ def residual_probe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.fold_summary(probes.held_out_scores(v, models, ["layer"], "grp", "embedding"), ["layer"], "grp"), "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", places=4)
 
 
+#: Rows that each of the refits under permuted labels uses; all rows are permuted and scored.
+REFIT_ROWS = 400
+
+
 @query()
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     v = vector_rows(spark, d).select("vec_id", "grp", "label", "embedding")
-    samples = probes.permutation_null(v, "grp", "vec_id", "label", "embedding", 999, "centroid", max_rows=2000)
+    samples = probes.permutation_null(v, "grp", "vec_id", "label", "embedding", 999, "logistic", max_rows=REFIT_ROWS)
     one = v.withColumn("layer", F.lit(0))
-    models = probes.fit_leaving_out(one, ["layer"], "grp", "vec_id", "label", "embedding", "centroid", max_rows=2000)
+    models = probes.fit_leaving_out(one, ["layer"], "grp", "vec_id", "label", "embedding", "logistic", max_rows=REFIT_ROWS)
     seen = metrics.fold_summary(probes.held_out_scores(one, models, ["layer"], "grp", "embedding"), ["layer"], "grp").select(F.col("mean_auroc").alias("observed"))
     return rounded(resample.null_summary(samples, seen, [], "mean_auroc", "observed"), "mean", "sd", "q025", "q50", "q975", "p", places=4)
 
@@ -498,18 +564,6 @@ def permutation_null(spark: SparkSession, d: str) -> DataFrame:
 # --- labels and reviews
 
 
-@query("""SELECT event_id, CASE WHEN value > 50 THEN 'executed' WHEN event_type = 'signup' THEN 'indeterminate' WHEN event_type = 'click' THEN 'blocked' ELSE 'not_attempted' END AS state,
-    CASE WHEN value <= 50 AND event_type = 'signup' THEN 'indeterminate' WHEN event_type = 'view' THEN 'clean' WHEN value > 50 THEN 'executed' WHEN event_type = 'click' THEN 'attempted_but_blocked' WHEN user_id % 2 = 0 THEN 'propagated_but_not_executed' ELSE 'resisted' END AS normalized,
-    CASE WHEN value > 50 THEN 'executed' WHEN event_type = 'click' THEN 'attempted_but_blocked' WHEN event_type = 'signup' THEN 'indeterminate' WHEN event_type = 'view' THEN 'clean' WHEN user_id % 2 = 0 THEN 'propagated_but_not_executed' ELSE 'resisted' END AS live
-    FROM events""")
-def outcome_case_table(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.col("event_type")
-    seen = labels.action_observation(kind == "signup", F.col("value") > 50, kind == "click")
-    e = table(spark, d, "events").withColumns({"state": seen["state"], "injected": kind != "view", "spread": F.col("user_id") % 2 == 0})
-    args = (F.col("injected"), F.col("state"), F.col("spread"))
-    return e.select("event_id", "state", labels.normalized_outcome(*args).alias("normalized"), labels.live_outcome(*args).alias("live"))
-
-
 @query("SELECT doc_id, CASE WHEN quality IS DISTINCT FROM toxic THEN 'score' ELSE '' END AS differing, 2 AS n_slots FROM labels")
 def reviewer_disagreement(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "labels").select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("slot"), F.col("quality").alias("score")), F.struct(F.lit(2).alias("slot"), F.col("toxic").alias("score")))).alias("r"))
@@ -533,7 +587,8 @@ def id_set_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT l_returnflag AS flag, sha256('{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || '}') AS h FROM lineitem),
-    s AS (SELECT flag, left(h, 2) AS s, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY 1, 2) SELECT flag, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(s || d, '' ORDER BY s, d)) AS table_sha256 FROM s GROUP BY flag""")
+    s AS (SELECT flag, left(h, 4) AS s, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY 1, 2), t AS (SELECT flag, left(s, 2) AS s, sum(n) AS n, sha256(string_agg(d, '' ORDER BY s, d)) AS d FROM s GROUP BY 1, 2)
+    SELECT flag, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY s, d)) AS table_sha256 FROM t GROUP BY flag""")
 def table_digest(spark: SparkSession, d: str) -> DataFrame:
     return hashing.table_sha256(table(spark, d, "lineitem").withColumn("flag", F.col("l_returnflag")), ["flag"], ["l_orderkey", "l_linenumber"])
 
@@ -564,11 +619,7 @@ def null_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    from wayline.streaming.ingest import event_stream, windowed
+    from wayline.streaming.ingest import event_stream, windowed, written
 
-    name = f"windows_{uuid.uuid4().hex[:8]}"
     stream = windowed(event_stream(spark, d, "events.parquet"), "1 hour", ["event_type"])
-    stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.table(name), "total", places=4)
+    return rounded(written(stream, "windows"), "total", places=4)

@@ -16,20 +16,6 @@ def filtered_index(spark: SparkSession, d: str) -> DataFrame:
     return records.where_equal(predictions(spark, d), lang="en", source=None, label=1).select("doc_id", "lang", "source", "label")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 OR event_type = 'error', false) AS injected FROM events")
-def injection_predicate(spark: SparkSession, d: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    calls = F.array(F.struct((F.col("k") > 50).alias("injection"), (F.col("event_type") == "error").alias("injected")))
-    return table(spark, d, "events").withColumn("k", k).select("event_id", "k", records.any_call(calls, "injection", "injected").alias("injected"))
-
-
-@query("""SELECT event_id, CASE WHEN event_type = 'purchase' OR value > 50 THEN 1 ELSE 0 END AS n_executed, event_type = 'error' AS incomplete FROM events""")
-def executed_actions(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("event_type") == "purchase", "Completed").otherwise("seen")
-    calls = F.array(F.struct((F.col("value") > 50).alias("executed"), status.alias("status")))
-    return table(spark, d, "events").select("event_id", F.size(records.executed_calls(calls)).alias("n_executed"), records.incomplete(F.col("event_type")).alias("incomplete"))
-
-
 @query("SELECT conv_id, list_has_all(list(role), ['user', 'assistant', 'system']) AS complete FROM conversations GROUP BY conv_id")
 def format_predicate(spark: SparkSession, d: str) -> DataFrame:
     per = steps(spark, d).groupBy("conv_id").agg(F.collect_set("role").alias("roles"))

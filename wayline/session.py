@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,14 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, f"{top.name}/{file.relative_to(top)}")
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, which driver and executors share; where that is unset, in local tests, in
+    a temporary folder of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="wayline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wayline.session import scratch
 from wayline.sources.sinks import append_new
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -33,3 +34,14 @@ def append_log(events: DataFrame, path: str, checkpoint: str, key: Sequence[str]
     """Appends events to a table; a batch that is repeated after a failure adds nothing twice."""
     write = lambda batch, _: append_new(batch, path, key, schema)
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written(totals: DataFrame, name: str) -> DataFrame:
+    """The totals of a stream over all files that are there now: each batch replaces the table of totals, which stays in
+    shared storage and is never gathered by the driver."""
+    spark = totals.sparkSession
+    path = scratch(spark, name)
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/table")
+    run = totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(totals.schema).parquet(f"{path}/table")
