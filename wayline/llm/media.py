@@ -3,12 +3,15 @@ neighbourhoods agree and whose places agree on one similarity transform.
 
 For each image, at several scales, the strongest Harris corners of each cell of about ``CELL`` pixels a side are taken, so
 that their number grows with the area and a crop keeps its share; large images are looked at block by block. A corner's
-orientation is the direction of the intensity centroid around it, and its descriptor are 128 comparisons of smoothed pixels at fixed places, turned by that
-orientation. Descriptors are joined by Hamming tables: ``DIFFERENT + 1`` chunks of 11 or 12 bits, so that two descriptors
-that differ in at most ``DIFFERENT`` bits share a chunk. Equal descriptors are one row to the tables, and all those of a
-bucket are compared with each other, large buckets by pairs of tiles. Matches vote for bins of rotation, scale and
-translation, and images with enough votes in one bin are linked: ``VOTES``, and more than chance may put there, as images with very many
-corners match at random in some.
+orientation is the direction of the intensity centroid around it, and its descriptor are 128 comparisons of smoothed
+pixels at places drawn evenly from the disc around it, turned by that orientation.
+
+Descriptors are joined by Hamming tables: ``DIFFERENT + 1`` chunks of 11 or 12 bits, so that two descriptors that differ
+in at most ``DIFFERENT`` bits share a chunk. Equal descriptors are one row to the tables. A bucket's descriptors travel as
+packed bytes, without identifiers, and all of them are compared with each other; a bucket with very many is dealt to tiles
+and compared by pairs of tiles. Each pair within the distance is found once. Only then are the corners that have these
+descriptors joined in. Matches vote for bins of rotation, scale and translation, and images with enough votes in one bin
+are linked: ``VOTES``, and more than chance may put there, as images with very many corners match at random in some.
 """
 
 from __future__ import annotations
@@ -19,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.graph import components
-from wayline.llm.near_dedup import _groups, tiled
-from wayline.llm.shared import materialize, prepare, shuffle_partitions
+from wayline.llm.near_dedup import _groups
+from wayline.llm.shared import Run, discard, materialize, prepare, released, shuffle_partitions
+from wayline.llm.words import mix
 
 #: Scales that are looked at, and corners of each in a cell.
 SCALES, CORNERS = (1.0, 1 / 1.5, 1 / 2.25), (28, 12, 8)
 #: Comparisons, radius of their places, and steps of a full turn.
-BITS, RADIUS, TURNS = 128, 12, 24
+BITS, RADIUS, TURNS = 128, 17, 24
 #: Bits in which two matching descriptors may differ, pixels of a translation bin, and votes for a link.
 DIFFERENT, BIN, VOTES = 10, 16, 4
 #: Bins of a pair of images, a scale and a rotation that chance may fill, on average.
@@ -40,11 +44,15 @@ PLACE = 6
 CHUNKS = DIFFERENT + 1
 #: Descriptors of a bucket that one task compares; above it, tiles of half as many.
 BUCKET = 8192
+#: Descriptors that a task sorts into buckets at once.
+HELD = 500_000
 #: Pixels of a cell's side, of a block's, and around a block what its corners may need at the smallest scale.
 CELL, BLOCK, AROUND = 128, 1024, 64
 _MARGIN = 18
 _HEADER = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*([0-9]{1,6})\s+([0-9]{1,6})\s+([0-9]{1,6})\s")
-_places = np.random.default_rng(20240611).normal(0, RADIUS / 2.5, (BITS, 2, 2)).clip(-RADIUS, RADIUS)
+_draw = np.random.default_rng(20240611)
+_far, _way = RADIUS * np.sqrt(_draw.random((BITS, 2))), 2 * np.pi * _draw.random((BITS, 2))
+_places = np.stack([_far * np.cos(_way), _far * np.sin(_way)], axis=-1)
 _angles = 2 * np.pi * np.arange(TURNS) / TURNS
 _turned = np.stack([np.rint(_places @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(int) for a in _angles])
 _disc = np.stack(np.meshgrid(np.arange(-9, 10), np.arange(-9, 10)), axis=-1).reshape(-1, 2)
@@ -183,78 +191,154 @@ def _chunks() -> list[tuple[int, int]]:
     return list(zip(np.cumsum([0, *size[:-1]]).tolist(), size, strict=True))
 
 
-def _chunk(first: int, size: int):
-    """The bits of a chunk as a column of a number below 2 ** size; d0 has the bits 0 to 63, d1 those from 64."""
+def chunk_of(words: np.ndarray, first: int, size: int) -> np.ndarray:
+    """The bits of a chunk of each descriptor (two words) as a number below 2 ** size; the second word has the bits from 64."""
+    low, high = words[:, 0], words[:, 1]
     if first >= 64:
-        value = F.shiftrightunsigned("d1", first - 64)
+        value = high >> np.uint64(first - 64)
     elif first + size <= 64:
-        value = F.shiftrightunsigned("d0", first)
+        value = low >> np.uint64(first)
     else:
-        value = F.shiftrightunsigned("d0", first).bitwiseOR(F.shiftleft("d1", 64 - first))
-    return value.bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+        value = low >> np.uint64(first) | high << np.uint64(64 - first)
+    return (value & np.uint64((1 << size) - 1)).astype(np.int64)
+
+
+def _words(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)], axis=1).view(np.uint64)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The descriptors of a task in parts of about ``HELD``."""
+    parts: list[np.ndarray] = []
+    for batch in batches:
+        parts.append(_words(batch))
+        if sum(map(len, parts)) >= HELD:
+            yield np.concatenate(parts)
+            parts = []
+    if parts:
+        yield np.concatenate(parts)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of a task's descriptors; a key is a chunk's number and its bits."""
+    for words in _held(batches):
+        for k, (first, size) in enumerate(_chunks()):
+            n = np.bincount(chunk_of(words, first, size), minlength=1)
+            value = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(value + (k << 44)), pa.array(n[value])], names=["key", "n"])
+
+
+_ENTERED = "key long, tile_a int, tile_b int, own int, packed binary"
+
+
+def _rows(key: np.ndarray, tiles: tuple[int, int, int], sizes: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum(sizes * 16)]).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words))])
+    return pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.full(len(key), t, np.int32)) for t in tiles], packed], names=["key", "tile_a", "tile_b", "own", "packed"])
+
+
+def _enter(tiles: dict[int, int]) -> Run:
+    """The descriptors of each bucket, packed. Those of a key with tiles are dealt to them by a hash, and each tile goes to
+    every pair of tiles that it is in."""
+    hot = np.array(sorted(tiles), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words in _held(batches):
+            for k, (first, size) in enumerate(_chunks()):
+                value = chunk_of(words, first, size) + (k << 44)
+                order = np.argsort(value, kind="stable")
+                value, own = value[order], words[order]
+                large = np.isin(value, hot)
+                cold = value[~large]
+                if len(cold):
+                    start = np.flatnonzero(np.concatenate([[True], cold[1:] != cold[:-1]]))
+                    yield _rows(cold[start], (0, 0, 0), np.diff(np.append(start, len(cold))), own[~large])
+                for key in np.unique(value[large]).tolist():
+                    mine, n = own[value == key], tiles[key]
+                    tile = (mix(mine[:, 0] ^ mix(mine[:, 1])) % np.uint64(n)).astype(np.int64)
+                    for t in np.unique(tile).tolist():
+                        part = mine[tile == t]
+                        for other in range(n):
+                            yield _rows(np.array([key]), (min(t, other), max(t, other), t), np.array([len(part)]), part)
+
+    return run
 
 
 _PAIR = ["p0", "p1", "q0", "q1"]
 
 
-def near_pairs(words: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """The places (i, j), i < j, of all descriptors (two words each) within ``DIFFERENT`` bits of each other."""
+def near_pairs(words: np.ndarray, split: int | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The places (i, j), i < j, of all descriptors (two words each) within ``DIFFERENT`` bits of each other; with
+    ``split`` only those with i before it and j from it on."""
     d0, d1 = np.ascontiguousarray(words[:, 0]).view(np.uint64), np.ascontiguousarray(words[:, 1]).view(np.uint64)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in range(0, len(d0), block):
-        apart = np.bitwise_count(d0[at : at + block, None] ^ d0[None, at:])
+    for at in range(0, len(d0) if split is None else split, block):
+        end, begin = min(at + block, len(d0) if split is None else split), at if split is None else split
+        apart = np.bitwise_count(d0[at:end, None] ^ d0[None, begin:])
         i, j = np.nonzero(apart <= DIFFERENT)
-        i, j = i[i < j], j[i < j]
-        near = apart[i, j] + np.bitwise_count(d1[at + i] ^ d1[at + j]) <= DIFFERENT
-        left.append(at + i[near])
-        right.append(at + j[near])
+        near = apart[i, j] + np.bitwise_count(d1[at + i] ^ d1[begin + j]) <= DIFFERENT
+        i, j = at + i[near], begin + j[near]
+        left.append(i[i < j])
+        right.append(j[i < j])
     return np.concatenate(left), np.concatenate(right)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of descriptors of rows that agree in key, tile_a and tile_b, from rows sorted by them. A pair that shares
-    several chunks is given by the first of them only."""
+    """Pairs of descriptors within the distance of rows that agree in key, tile_a and tile_b, from rows sorted by them. A
+    pair that shares several chunks is given by the first of them only; one inside a tile by the tile's pair with itself."""
     chunks = _chunks()
     for group in _groups(batches, 3):
-        words = np.stack([group.column(c).to_numpy() for c in ("d0", "d1")], axis=1)
-        i, j = near_pairs(words)
-        x = (words[i] ^ words[j]).view(np.uint64)
+        own, packed = group.column("own").to_numpy(), group.column("packed").to_pylist()
+        a, b = group.column("tile_a")[0].as_py(), group.column("tile_b")[0].as_py()
+        sides = [np.frombuffer(b"".join(p for p, o in zip(packed, own, strict=True) if o == t), "<u8").reshape(-1, 2) for t in dict.fromkeys((a, b))]
+        words = np.concatenate(sides)
+        i, j = near_pairs(words, None if a == b else len(sides[0]))
+        x = words[i] ^ words[j]
         first = np.ones(len(i), dtype=bool)
         for begin, size in chunks[: int(group.column("key")[0].as_py()) >> 44]:
-            low = x[:, begin // 64] >> np.uint64(begin % 64)
-            if begin < 64 < begin + size:
-                low = low | x[:, 1] << np.uint64(64 - begin)
-            first &= (low & np.uint64((1 << size) - 1)) != 0
+            first &= chunk_of(x, begin, size) != 0
         i, j = i[first], j[first]
         for at in range(0, len(i), 50_000):
-            p, q = words[i[at : at + 50_000]], words[j[at : at + 50_000]]
+            p, q = (words[k[at : at + 50_000]].view(np.int64) for k in (i, j))
             yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in (p[:, 0], p[:, 1], q[:, 0], q[:, 1])], names=_PAIR)
 
 
+def _packed_place() -> Column:
+    """A corner's place in one number: sixteenths of pixels in 24 bits each, the scale and the turn."""
+    whole = lambda c: F.greatest(F.least(F.round(F.col(c) * 16), F.lit(float((1 << 24) - 1))), F.lit(0.0)).cast("long")
+    return F.shiftleft(whole("x"), 36).bitwiseOR(F.shiftleft(whole("y"), 12)).bitwiseOR(F.shiftleft(F.col("level").cast("long"), 8)).bitwiseOR(F.col("turn").cast("long"))
+
+
+def _unpacked(place: Column, name: str) -> list[Column]:
+    bits = lambda at, size: F.shiftright(place, at).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+    return [(bits(36, 24) / 16).alias(name + "x"), (bits(12, 24) / 16).alias(name + "y"), bits(8, 4).cast("int").alias(name + "level"), bits(0, 8).cast("int").alias(name + "turn")]
+
+
 def matches(described: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Matching corners (a, b, ax, ay, ..., bx, by, ...) of two images, a > b, each pair of corners once: all that
     share a chunk and differ in at most ``DIFFERENT`` bits. Corners of one descriptor meet the tables once."""
     parts = shuffle_partitions(described.sparkSession)
     side = [F.array_max(v) - F.array_min(v) + BIN for v in (F.col("corners.x"), F.col("corners.y"))]
     span = F.sqrt(side[0] * side[1]).cast("float")
-    corner = materialize(described.select("id", span.alias("span"), F.explode("corners").alias("c")).select("id", "span", "c.*"), "media-corners")
+    every = described.select("id", span.alias("span"), F.explode("corners").alias("c")).select("id", "span", "c.*")
+    corner = materialize(every.select("d0", "d1", "id", "span", _packed_place().alias("place")), "media-corners")
     kinds = materialize(corner.groupBy("d0", "d1").agg((F.min("id") < F.max("id")).alias("shared")), "descriptors")
-    keys = F.array(*[F.lit(k << 44).cast("long").bitwiseOR(_chunk(*c)) for k, c in enumerate(_chunks())])
-    keyed = kinds.select(F.explode(keys).alias("key"), "d0", "d1").withColumns({"rep": F.xxhash64("d0", "d1"), "one": F.lit(1)})
-    dealt = (
-        tiled(keyed, "key", "rep", "one", bucket).select("key", "tile_a", "tile_b", "d0", "d1")
-        .repartition(parts, "key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b")
-    )
-    near = dealt.mapInArrow(_near, "p0 long, p1 long, q0 long, q1 long")
-    p, q = (F.struct(F.col(s + "0").alias("d0"), F.col(s + "1").alias("d1")) for s in ("p", "q"))
-    near = near.select(F.greatest(p, q).alias("p"), F.least(p, q).alias("q")).distinct()  # two tiles' own pairs come more than once
-    near = near.select(*[F.col(f"{s}.d{i}").alias(f"{s}{i}") for s in ("p", "q") for i in (0, 1)])
+    words = kinds.select("d0", "d1")
+    large = words.mapInArrow(released(_count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > bucket)
+    tiles = {r.key: -(-2 * r.n // bucket) for r in large.collect()}  # no more than there are keys: 2 ** 12 for each chunk
+    dealt = words.mapInArrow(released(_enter(tiles)), _ENTERED).repartition(parts, "key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b")
+    near = materialize(dealt.mapInArrow(released(_near), "p0 long, p1 long, q0 long, q1 long"), "near-descriptors")
     equal = kinds.where("shared").select(F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("d0").alias("q0"), F.col("d1").alias("q1"))
-    place = F.struct("id", "x", "y", "level", "turn", "span")
-    ends = [corner.select(F.col("d0").alias(s + "0"), F.col("d1").alias(s + "1"), place.alias(s)) for s in ("p", "q")]
+    ends = [corner.select(F.col("d0").alias(s + "0"), F.col("d1").alias(s + "1"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "span", "place")]) for s in ("p", "q")]
     met = near.unionByName(equal).join(ends[0].hint("merge"), ["p0", "p1"]).join(ends[1].hint("merge"), ["q0", "q1"])
-    met = met.where("p.id > q.id OR (p.id < q.id AND (p0 <> q0 OR p1 <> q1))").select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q"))
-    return met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), *[F.col(f"{s}.{c}").alias(n + c) for s, n in (("p", "a"), ("q", "b")) for c in ("x", "y", "level", "turn", "span")])
+    met = met.where("p_id > q_id OR (p_id < q_id AND (p0 <> q0 OR p1 <> q1))").drop("p0", "p1", "q0", "q1")
+    ahead = F.col("p_id") > F.col("q_id")
+    pick = lambda c, first: F.when(ahead == first, F.col(f"p_{c}")).otherwise(F.col(f"q_{c}"))
+    met = met.select(*[pick(c, first).alias(f"{n}_{c}") for n, first in (("a", True), ("b", False)) for c in ("id", "span", "place")])
+    return met.select(
+        F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_span").alias("aspan"), F.col("b_span").alias("bspan"), F.col("a_place").alias("aplace"), F.col("b_place").alias("bplace"),
+        *[c for s in "ab" for c in _unpacked(F.col(f"{s}_place"), s)],
+    )
 
 
 def linked(found: DataFrame, votes: int = VOTES) -> DataFrame:
@@ -269,7 +353,8 @@ def linked(found: DataFrame, votes: int = VOTES) -> DataFrame:
     shifts = F.array(*[F.struct(F.lit(2 * i + j).alias("s"), F.floor(dx / BIN + i / 2).alias("u"), F.floor(dy / BIN + j / 2).alias("v")) for i in (0, 1) for j in (0, 1)])
     level = F.col("alevel") - F.col("blevel")
     alike = Window.partitionBy("a", "b", level, turn)
-    dealt = found.repartition("a", "b").withColumn("n", F.count("*").over(alike))  # all that follows keeps this dealing
+    short = found.select("a", "b", "aspan", "bspan", "aplace", "bplace").repartition("a", "b")  # all that follows keeps this dealing
+    dealt = short.select("a", "b", "aspan", "bspan", *[c for s in "ab" for c in _unpacked(F.col(s + "place"), s)]).withColumn("n", F.count("*").over(alike))
     own, other = (F.struct(F.floor(F.col(s + "x") / PLACE).alias("x"), F.floor(F.col(s + "y") / PLACE).alias("y")) for s in ("a", "b"))
     voted = dealt.select("a", "b", own.alias("own"), other.alias("other"), "n", F.pow(F.col("aspan") + size * F.col("bspan"), F.lit(2)).alias("room"), level.alias("l"), turn.alias("t"), F.explode(shifts).alias("w"))
     # The chance that one of the bins has v votes is at most bins * (e * mean / v) ** v; the middle is four times as dense.
@@ -290,16 +375,16 @@ def media_copies(media: DataFrame, id_col: str = "media_id", media_col: str = "m
     """
     prepare(media.sparkSession)
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media"))
-    described = materialize(rows.mapInArrow(_describe, _SCHEMA), "corners")
+    described = materialize(rows.mapInArrow(released(_describe), _SCHEMA), "corners")
+    keyed = materialize(described.select(F.col("id").alias("media_id"), F.when(F.col("id").isNotNull(), F.col("same")).alias("same"), F.size("corners").cast("long").alias("n_corners")), "media")
     known = described.where("id IS NOT NULL AND same IS NOT NULL")
-    images = known.groupBy("same").agg(F.min("id").alias("id"), F.first("corners").alias("corners"))
-    images = materialize(images, "images")
+    images = materialize(known.groupBy("same").agg(F.min("id").alias("id"), F.first("corners").alias("corners")), "images")
+    discard(described)
     links = materialize(linked(matches(images.select("id", "corners")), votes), "media-links")
     counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     label = components(links.select("a", "b")).withColumnRenamed("node", "id")
     named = images.select("same", "id").join(counts, "id", "left").join(label, "id", "left")
     named = named.select("same", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    keyed = described.select(F.col("id").alias("media_id"), F.when(F.col("id").isNotNull(), F.col("same")).alias("same"), F.size("corners").cast("long").alias("n_corners"))
     component = F.coalesce("component", "media_id")
     return keyed.join(named, "same", "left").select(
         "media_id", "n_corners", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -345,4 +430,4 @@ def pictures(embeddings: DataFrame) -> DataFrame:
     rows = embeddings.select(F.col("vec_id").alias("id"), "embedding")
     before = rows.where("id % 10 = 2").select((F.col("id") + 1).alias("id"), F.col("embedding").alias("earlier"))
     joined = rows.join(before.hint("merge"), "id", "left").select("id", F.coalesce("earlier", "embedding").alias("embedding"))
-    return joined.mapInArrow(_pictures, "media_id long, media binary")
+    return joined.mapInArrow(released(_pictures), "media_id long, media binary")

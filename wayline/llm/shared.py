@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from wayline.session import ship
 
 _roots: dict[str, str] = {}
+#: Whether a query's shuffle files go when it ends, instead of when the driver happens to collect its garbage.
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,10 +45,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once as Parquet to shared storage and read back: lineage ends here, and the
-    table is still there when an executor is lost."""
+    table is still there when an executor is lost. What was shuffled to make it is deleted."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_SWEEP, None)
+    spark.conf.set(_SWEEP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SWEEP, before) if before is not None else spark.conf.unset(_SWEEP)
     return spark.read.schema(df.schema).parquet(path)
 
 
