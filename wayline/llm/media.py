@@ -44,8 +44,8 @@ PLACE = 6
 CHUNKS = DIFFERENT + 1
 #: Descriptors of a bucket that one task compares; above it, tiles of half as many.
 BUCKET = 8192
-#: Descriptors that a task sorts into buckets at once.
-HELD = 500_000
+#: Descriptors that a task sorts into buckets.
+HELD = 100_000
 #: Pixels of a cell's side, of a block's, and around a block what its corners may need at the smallest scale.
 CELL, BLOCK, AROUND = 128, 1024, 64
 _MARGIN = 18
@@ -321,9 +321,10 @@ def matches(described: DataFrame, bucket: int = BUCKET) -> DataFrame:
     side = [F.array_max(v) - F.array_min(v) + BIN for v in (F.col("corners.x"), F.col("corners.y"))]
     span = F.sqrt(side[0] * side[1]).cast("float")
     every = described.select("id", span.alias("span"), F.explode("corners").alias("c")).select("id", "span", "c.*")
-    corner = materialize(every.select("d0", "d1", "id", "span", _packed_place().alias("place")), "media-corners")
+    corner = every.select("d0", "d1", "id", "span", _packed_place().alias("place"))
     kinds = materialize(corner.groupBy("d0", "d1").agg((F.min("id") < F.max("id")).alias("shared")), "descriptors")
-    words = kinds.select("d0", "d1")
+    # Small tasks: while a task puts its packed rows in order, they are on disk twice.
+    words = kinds.select("d0", "d1").repartition(max(1, -(-kinds.count() // HELD)), "d0", "d1")
     large = words.mapInArrow(released(_count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > bucket)
     tiles = {r.key: -(-2 * r.n // bucket) for r in large.collect()}  # no more than there are keys: 2 ** 12 for each chunk
     dealt = words.mapInArrow(released(_enter(tiles)), _ENTERED).repartition(parts, "key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b")
