@@ -88,7 +88,21 @@ def fit_contrast(x: np.ndarray, y: np.ndarray, pair: np.ndarray) -> tuple[np.nda
     return _calibrated(direction if (d @ direction).mean() >= 0 else -direction, x, y)
 
 
-FITS: dict[str, Callable] = {"logistic": fit_logistic, "centroid": fit_centroid, "contrast": fit_contrast}
+#: Components that a logistic regression on principal components keeps at most.
+COMPONENTS = 50
+
+
+def fit_pca(x: np.ndarray, y: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, float]:
+    """A logistic regression on the first principal components of the standardised columns, as weights of the raw ones."""
+    mean, sd = standardized(x)
+    z = (x - mean) / sd
+    directions = np.linalg.svd(z, full_matrices=False)[2][: min(COMPONENTS, len(x) - 1, x.shape[1])]
+    w, b = newton(z @ directions.T, y)
+    w = (w @ directions) / sd
+    return w, b - float(w @ mean)
+
+
+FITS: dict[str, Callable] = {"logistic": fit_logistic, "centroid": fit_centroid, "contrast": fit_contrast, "pca": fit_pca}
 
 
 def _bounded(rows: DataFrame, by: Sequence[str], key: str, max_rows: int) -> DataFrame:
@@ -166,6 +180,35 @@ def layer_scan(rows: DataFrame, by: Sequence[str], layer: str, group: str, key:
     return every.join(found, [*strata, "probe_name"], "left").withColumn("status", F.when(F.col("reason").isNull(), "completed").otherwise("skipped"))
 
 
+def baselines(rows: DataFrame, by: Sequence[str], group: str, pair: str, key: str, label: str, vector: str, probes: Sequence[str] = ("pca", "contrast"), k: int = 5, seed: int = 42, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(by, probe_name, scheme, n, n_folds, the AUROCs, accuracy) of every probe under three ways of cross-validation:
+    ``stratified`` folds, ``leave_group_out``, and ``pairs``, whose folds keep pairs whole."""
+    from wayline.operators.metrics import accuracy, fold_summary
+    from wayline.operators.splits import group_folds, stratified_folds
+
+    known = rows.where(F.col(label).isNotNull())
+    dealt = {"stratified": stratified_folds(known, key, label, k, seed), "leave_group_out": known.withColumn("fold", F.col(group)), "pairs": group_folds(known, pair, k, seed).where("fold IS NOT NULL")}
+    out = []
+    for scheme, folded in dealt.items():
+        cast = folded.withColumnRenamed("fold", "_fold").withColumn("_fold", F.col("_fold").cast("string"))
+        scored = scored_layers(cast, by, "_fold", key, label, vector, probes, pair, max_rows=max_rows).withColumnRenamed(label, "label")
+        strata = [*by, "probe_name"]
+        right = scored.groupBy(*strata).agg(accuracy(F.col("score"), F.col("label")).alias("accuracy"))
+        out.append(fold_summary(scored, strata, "_fold").join(right, strata).withColumn("scheme", F.lit(scheme)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def directions(models: DataFrame, weights: str = "weights") -> DataFrame:
+    """Models with ``direction``, their weights at length 1 (all zero if they are)."""
+    size = F.sqrt(dot(F.col(weights), F.col(weights)))
+    return models.withColumn("direction", F.transform(weights, lambda w: F.when(size > 0, w / size).otherwise(0.0)))
+
+
+def projected(rows: DataFrame, vector: str, axes: np.ndarray) -> DataFrame:
+    """Adds ``pc1``, ``pc2``, ...: the rows' places along some directions, few by design, inside the JVM."""
+    return rows.withColumns({f"pc{i + 1}": dot(F.col(vector), F.array(*[F.lit(float(x)) for x in axis])) for i, axis in enumerate(axes)})
+
+
 def cohort_refits(rows: DataFrame, cohorts: dict[str, Sequence[str]], group: str, key: str, label: str, vector: str, probe: str = "logistic", max_rows: int = MAX_ROWS) -> DataFrame:
     """(cohort, kind, n, n_folds, the AUROCs): each cohort of groups twice, as ``fold_filter`` with the scores of probes
     that saw all groups but the row's own, and as ``full_refit`` with probes that saw the cohort's groups only."""

@@ -86,3 +86,10 @@ def stratified_folds(rows: DataFrame, key: str, label: str, k: int, seed: int =
     ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", key)) - 1)
     placed = ranked.join(starts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_p") == F.col("_q")))
     return placed.withColumn("fold", ((F.col("_start") + F.col("_r")) % k).cast("int")).drop("_h", "_p", "_l", "_q", "_start", "_r")
+
+
+def group_folds(rows: DataFrame, group: str, k: int, seed: int = 0) -> DataFrame:
+    """Adds ``fold``, 0 to k - 1, by whole groups (match groups, pairs): the groups are dealt round in hash order, and rows
+    without a group have no fold."""
+    groups = rows.select(group).where(F.col(group).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    return rows.join(stratified_folds(groups, group, "_one", k, seed).drop("_one"), group, "left")

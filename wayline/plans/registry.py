@@ -532,6 +532,13 @@ def cohort_refits(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", places=4)
 
 
+@query()
+def baseline_probes(spark: SparkSession, d: str) -> DataFrame:
+    v = layered(spark, d).where("mode = 'off'").drop("mode", "agent").withColumn("pair", F.concat_ws("-", F.col("grp").cast("string"), F.floor(F.col("vec_id") / 36).cast("string")))
+    out = probes.baselines(v, ["layer"], "grp", "pair", "vec_id", "label", "embedding")
+    return rounded(out, "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", "accuracy", places=4)
+
+
 @query()
 def contrast_pair_lat(spark: SparkSession, d: str) -> DataFrame:
     v = vector_rows(spark, d).withColumns({"layer": F.lit(0), "pair": F.concat_ws("-", F.col("grp").cast("string"), F.col("pair_id").cast("string"))})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +44,46 @@ def append_new(rows: DataFrame, path: str, key: Sequence[str], schema: str) -> N
         if "PATH_NOT_FOUND" not in str(error):
             raise
     fresh.write.mode("append").parquet(path)
+
+
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """``write`` gets a path beside ``path`` to write to; only when it is done is the old table moved away and the new one
+    put in its place. A failure before that leaves the old table as it was."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = lambda p: hadoop.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex[:12]
+    new, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    write(new)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} cannot be moved")
+    if not fs.rename(at(new), at(path)):
+        fs.rename(at(old), at(path))
+        raise OSError(f"{new} cannot be moved")
+    fs.delete(at(old), True)
+
+
+def tiered_json(rows: DataFrame, path: str, by: Sequence[str] = ("analysis_tier", "thinking_mode")) -> None:
+    """JSON lines in a folder for each tier and mode."""
+    rows.write.partitionBy(*by).option("ignoreNullFields", "false").mode("append").json(path)
+
+
+def unresolved(manifest: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """The rows of a manifest whose path, relative to ``root``, is no file there, or leads out of it. Only names are read."""
+    spark = manifest.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("_file"))
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/"
+    there = files.select(F.substr(F.col("_file"), F.position(F.lit(base), F.col("_file")) + len(base)).alias(path)).distinct()
+    out = F.array_contains(F.split(path, "/"), "..") | F.startswith(path, F.lit("/"))
+    inside = manifest.where(~out).join(there, path, "left_anti")
+    return inside.unionByName(manifest.where(out))
+
+
+def markdown(rows: DataFrame, columns: Sequence[str], order: Sequence[str], most: int = 1000) -> str:
+    """A report's table in Markdown. Reports are small: more than ``most`` rows are an error, not cut."""
+    found = rows.orderBy(*order).select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    shown = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join([*lines, *("| " + " | ".join(shown(v) for v in r) + " |" for r in found)]) + "\n"
