@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from wayline.llm.fm_index import FMIndex, WaveletMatrix
+from wayline.llm.fm_index import BitVector, FMIndex, WaveletMatrix
 from wayline.llm.substring_dedup import earliest, segments, substring_dedup
 from wayline.llm.words import hash_words
 
@@ -72,7 +72,7 @@ def test_backward_search_finds_every_occurrence():
             for s in p[::-1]:
                 low, high = index.extend(np.array([s]), low, high)
             expected = [i for i in range(len(x) - n + 1) if (x[i : i + n] == p).all()]
-            assert sorted(index.suffix[low[0] : high[0]].tolist()) == expected
+            assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == expected
 
 
 def test_earliest_document_of_each_window():
@@ -90,10 +90,39 @@ def test_earliest_document_of_each_window():
         assert got.tolist() == [first[tuple(p[j : j + window])] for p in parts for j in range(len(p) - window + 1)]
 
 
-def test_a_sequence_outside_the_index_is_an_error():
-    index = FMIndex(np.array([1, 2, 3, 0]), 2)
-    with pytest.raises(ValueError, match="not in the index"):
-        index.matches(np.array([3, 1]), np.array([0]), np.array([2]))
+def test_matching_statistics_of_texts_that_are_not_indexed():
+    rng = np.random.default_rng(7)
+    for order in (3, 6, 50):
+        parts = [rng.integers(1, 4, rng.integers(1, 60)) for _ in range(12)]
+        owner = rng.integers(0, 5, 12) * 10
+        flat = np.concatenate([np.append(p, 0) for p in parts])
+        index = FMIndex(flat, order, np.repeat(owner, [len(p) + 1 for p in parts]))
+        streamed = [np.concatenate([parts[3][:20], rng.integers(1, 6, 30), parts[5]]), rng.integers(1, 4, 80), np.array([9]), np.empty(0, np.int64)]
+        size = np.array([len(x) for x in streamed])
+        length, low, high = index.matches(np.concatenate(streamed), np.cumsum(size) - size, size)
+        at = 0
+        has = lambda run: [o for p, o in zip(parts, owner, strict=True) if any((p[k : k + len(run)] == run).all() for k in range(len(p) - len(run) + 1))]
+        for x in streamed:
+            for i in range(len(x)):
+                want = max(n for n in range(min(order, len(x) - i) + 1) if n == 0 or has(x[i : i + n]))
+                assert length[at] == want
+                if want == order:
+                    assert index.smallest(low[at : at + 1], high[at : at + 1])[0] == min(has(x[i : i + order]))
+                at += 1
+
+
+def test_positions_of_ones_and_least_symbols():
+    rng = np.random.default_rng(2)
+    for n in (1, 63, 64, 65, 700):
+        bits = rng.random(n) < 0.3
+        v = BitVector(bits)
+        ones = np.flatnonzero(bits)
+        assert v.select(np.arange(len(ones) + 1)).tolist() == [*ones.tolist(), n] and v.get(np.arange(n)).tolist() == bits.tolist()
+    x = rng.integers(0, 23, 300)
+    w = WaveletMatrix(x, 22)
+    low = rng.integers(0, 299, 200)
+    high = low + 1 + rng.integers(0, 300 - low - 1 + 1, 200).clip(0, 299 - low)
+    assert w.least(low, high).tolist() == [int(x[a:b].min()) for a, b in zip(low, high, strict=True)] and w.get(np.arange(300)).tolist() == x.tolist()
 
 
 def test_segments_cover_each_window_once_and_equal_windows_meet():

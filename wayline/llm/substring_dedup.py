@@ -6,9 +6,10 @@ to shards by their minimiser, so that equal windows always meet in one shard and
 than the shards of its own segments. What only one place of the corpus has is left out beforehand: a minimiser that
 occurs once can't be in a repeated window.
 
-A shard indexes its different segments once and streams them through the backward search. For every window that gives
-the rows of its occurrences, and their smallest document. A segment's windows come back to all documents that have it,
-and words in a window that also starts in a smaller document are removed.
+A shard indexes its different segments once, in bits, and streams them through the backward search. That gives their
+matching statistics; the intervals of those that reach the window's length name, through the documents' own wavelet
+matrix, the smallest document that has the window. A segment's windows come back to all documents that have it, and words
+in a window that also starts in a smaller document are removed.
 
 A minimiser with very many different segments has its windows taken one by one; as equal windows have equal hashes, they
 can be dealt to any number of shards. Copies of a segment are joined before anything is gathered.
@@ -181,11 +182,10 @@ def earliest(words: list[bytes], documents: np.ndarray, window: int) -> tuple[np
     start = end - size + np.arange(len(size))  # every segment before has its separator
     flat = np.zeros(len(symbols) + len(size), dtype=np.int64)
     flat[spread(start, size)] = symbols
-    index = FMIndex(flat, window)
-    low, _ = index.matches(flat, start, size)
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    smallest = np.minimum.reduceat(documents[owner[index.suffix]], index._start[:-1])
-    return smallest[index._block[low]], np.maximum(size - window + 1, 0)
+    index = FMIndex(flat, window, np.repeat(documents, size + 1))
+    length, low, high = index.matches(flat, start, size)
+    full = length >= window
+    return index.smallest(low[full], high[full]), np.add.reduceat(full, end - size).astype(np.int64) if len(size) else np.empty(0, np.int64)
 
 
 _FOUND = "mini long, seg long, runs array<struct<first:int,last:int,min_doc:long>>"
