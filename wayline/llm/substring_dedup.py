@@ -36,7 +36,7 @@ WINDOW = 50
 #: Words of a minimiser.
 ANCHOR = 8
 #: Different segments of one minimiser above which its windows are dealt one by one.
-HOT_SEGMENTS = 4000
+HOT_SEGMENTS = 500
 #: Tasks that the rows of one heavy key are dealt to.
 SALTS = 16
 #: Segments of a shard: about 300,000 words.
