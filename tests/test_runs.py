@@ -258,3 +258,39 @@ def test_generated_text_becomes_a_result(spark):
     raw = "<think>why</think> done <tool_call>" + json.dumps({"name": "submit", "arguments": {"a": 1}}) + "</tool_call>"
     r = one(spark, g=runs.generation_result(F.lit(raw), F.lit(None).cast("string"), F.lit(10), F.lit(10), ["submit"]), h=runs.generation_result(F.lit("x"), F.lit("stop"), F.lit(10), F.lit(10)))
     assert (r.g.thinking, r.g.complete, r.g.truncated, r.g.finish_reason, r.g.calls[0].recognized) == ("why", True, True, "length", True) and (r.h.final, r.h.thinking, r.h.truncated) == ("x", None, False)
+
+
+def test_folders_and_unreadable_documents(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "empty").mkdir()
+        readers.json_folder(spark, str(tmp_path / "empty"), "a int")
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "b.jsonl").write_text('{"a": 2}\n\n')
+    (tmp_path / "x" / "a.jsonl").write_text('{"a": 1}\n')
+    assert [r.a for r in readers.json_folder(spark, str(tmp_path / "x"), "a int").orderBy("source_file").collect()] == [1, 2]
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "step_1.json").write_text('{"a": 1}')
+    (tmp_path / "y" / "step_2.json").write_text("{broken")
+    assert [r.a for r in readers.json_documents(spark, str(tmp_path / "y"), "a int", strict=False, pattern="step_*.json").collect()] == [1]
+
+
+def test_cohorts_of_probes(spark):
+    from wayline.operators import contracts
+
+    kind = "trajectory_id string, step_index int, checkpoint string, analysis_tier string, label int, layers array<int>"
+    good = [("a", 0, "c", "x", 1, [1, 2]), ("a", 1, "c", "x", 0, [2, 3]), ("b", 0, "c", "x", 0, [2])]
+    found = lambda rows: {r.rule_id for r in contracts.cohort(spark.createDataFrame(rows, kind), ["trajectory_id", "step_index"], "label", "layers").collect()}
+    assert found(good) == set()
+    assert found([*good, ("a", 0, "c", "x", 1, [2])]) == {"unique"} and found([*good, ("d", 0, "e", None, None, [2])]) == {"one_value:checkpoint", "one_value:analysis_tier", "allowed:label"}
+    assert found([*good, ("d", 0, "c", "x", 1, [9])]) == {"common_layer"}
+
+
+def test_controls_over_modes_and_prompts(spark):
+    from wayline.operators import contracts, controls
+
+    per = spark.createDataFrame([("p", "off", True), ("p", "on", None), ("q", "off", True)], "k string, m string, passed boolean")
+    assert {r.k: (r.n_modes, r.passed) for r in controls.strict_overall(per, ["k"]).collect()} == {"p": (2, False), "q": (1, True)}
+    rows = spark.createDataFrame([("a", "c", "h"), ("a", "i", "h"), ("b", "c", "h"), ("b", "i", "g"), ("d", "c", "h")], "k string, t string, h string")
+    assert {r.k for r in controls.prompt_mismatches(rows, ["k"], "t", "c", "i", "h").collect()} == {"b", "d"}
+    configs = spark.createDataFrame([("off", "x", 1), ("off", "x", 2)], "thinking_mode string, model string, seed int")
+    assert {(r.rule_id, r.detail) for r in contracts.equal_configs(configs, "thinking_mode", ["off", "on"], ["model", "seed"]).collect()} == {("depends", "seed"), ("covers:thinking_mode", "off")}

@@ -71,3 +71,39 @@ def enforce(rows: DataFrame, *rules: DataFrame, show: int = 5) -> DataFrame:
     if found := violations(*rules).limit(show).collect():
         raise ContractError("; ".join(f"{r['rule_id']} at {r['key']}: {r['detail']}" for r in found))
     return rows
+
+
+def cohort(index: DataFrame, sample: Sequence[str], label: str, layers: str) -> DataFrame:
+    """What keeps an index from being one cohort of probes: several checkpoints or tiers, a sample that is there twice, a
+    label that is not binary, and no layer that all samples have."""
+    shared = index.select(*sample, F.explode(layers).alias("_layer")).distinct().groupBy("_layer").agg(F.count("*").alias("_n"))
+    samples = index.select(*sample).distinct().agg(F.count("*").alias("_all"))
+    common = samples.join(shared.agg(F.max("_n").alias("_most"))).select((F.col("_all") == F.col("_most")).alias("ok"))  # one row each
+    return violations(
+        one_value(index, "checkpoint"), one_value(index.withColumn("analysis_tier", F.coalesce("analysis_tier", F.lit("unclassified"))), "analysis_tier"), unique(index, sample), allowed(index, sample, label, [0, 1]),
+        holds(common, [], "common_layer", F.col("ok")),
+    )
+
+
+def split_manifest(manifest: DataFrame, modes: Sequence[str] = ("train", "validation", "test"), group: str = "match_group_id", key: str = "trajectory_id") -> DataFrame:
+    """What a split manifest (group, split, thinking_mode, condition, hop_mode, key) breaks: splits outside of the list or
+    without groups, groups in several splits, cells that are missing or have several trajectories, and trajectories that
+    leak from one split into another."""
+    cells = manifest.groupBy(group, "thinking_mode").agg(F.countDistinct("condition", "hop_mode").alias("n"), F.countDistinct(key).alias("t"), F.count("*").alias("rows"))
+    every = manifest.select("split").distinct().agg(F.array_sort(F.collect_set("split")).alias("v"))
+    return violations(
+        allowed(manifest, [group], "split", modes), depends(manifest, [group], ["split"]), depends(manifest, [key], ["split"]),
+        holds(cells, [group, "thinking_mode"], "cells", (F.col("n") == 4) & (F.col("t") == 4) & (F.col("rows") == 4), F.concat_ws("/", F.col("n").cast("string"), F.col("t").cast("string"))),
+        holds(every, [], "every_split", F.size(F.array_except(F.array(*[F.lit(m) for m in modes]), "v")) == 0, F.array_join("v", ",")),
+    )
+
+
+def equal_configs(rows: DataFrame, by: str, values: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Settings that are not one for each value of ``by``, and values that have none."""
+    return violations(depends(rows, [by], fields), holds(rows.agg(F.collect_set(by).alias("v")), [], f"covers:{by}", F.size(F.array_except(F.array(*[F.lit(x) for x in values]), "v")) == 0, F.array_join(F.array_sort("v"), ",")))
+
+
+def seeds_repeat(turns: DataFrame, key: str, stated: str, used: str) -> DataFrame:
+    """(key, n, n_different) of the trajectories whose turns did not all use the seed that the trajectory states."""
+    per = turns.groupBy(key).agg(F.count("*").alias("n"), F.count_if(~F.col(stated).eqNullSafe(F.col(used))).alias("n_different"))
+    return per.where("n_different > 0")

@@ -35,3 +35,16 @@ def negative_control(metrics: DataFrame, by: Sequence[str], item: str, value: st
     per = metrics.groupBy(*by).agg(F.max(value).alias("largest"), F.min(F.when(F.col(value).isNotNull(), F.struct((-F.col(value)).alias("v"), F.col(item).alias("i")))).alias("s"))
     verdict = F.when(F.col("largest").isNull(), "NOT AVAILABLE").when(F.col("largest") >= limit, "FAIL").otherwise("PASS")
     return per.select(*by, F.col("s.i").alias("strongest"), "largest", verdict.alias("verdict"))
+
+
+def strict_overall(per: DataFrame, by: Sequence[str], passed: str = "passed") -> DataFrame:
+    """(by, n_modes, passed) over the modes of :func:`strict`: an AND of ANDs; without modes nothing passes."""
+    return per.groupBy(*by).agg(F.count("*").alias("n_modes"), F.bool_and(F.coalesce(passed, F.lit(False))).alias("passed"))
+
+
+def prompt_mismatches(rows: DataFrame, key: Sequence[str], side: str, low: str, high: str, digest: str) -> DataFrame:
+    """(key, <digest>_low, <digest>_high) of the pairs whose two sides did not see the same prompt, or lack a side."""
+    from wayline.operators.pairs import paired
+
+    p = paired(rows, key, side, low, high, [digest])
+    return p.where(~(F.col("status") == "complete") | ~F.col(f"{digest}_low").eqNullSafe(F.col(f"{digest}_high"))).drop("n_low", "n_high", "status")

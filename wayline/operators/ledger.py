@@ -74,3 +74,21 @@ def protocol_ledger(turns: DataFrame, by: Sequence[str], tokens: str, cost: str,
     largest = F.min(F.struct((-F.col(tokens)).alias("_t"), *order))
     per = turns.groupBy(*by).agg(F.count("*").alias("n_turns"), F.sum(tokens).alias("tokens"), F.sum(F.col(cost).cast(SUM)).alias("cost"), F.count_if(truncated).alias("n_truncated"), largest.alias("_l"))
     return per.select(*by, "n_turns", "tokens", "cost", "n_truncated", (-F.col("_l._t")).alias("largest_tokens"), *[F.col(f"_l.{o}").alias(f"largest_{o}") for o in order])
+
+
+def deduplicated_costs(rows: DataFrame, key: str, cost: str, tier: str, wanted: str) -> DataFrame:
+    """(n_rows, n_inputs, cost, n_conflicts, n_other_tier) in one row: cost records are read once for each input id, those
+    whose copies differ are counted as conflicts and left out, and so are those of other tiers."""
+    per = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(cost, tier)).alias("a"), F.max(F.struct(cost, tier)).alias("b"))
+    same = F.col("a").eqNullSafe(F.col("b"))
+    own = same & (F.col(f"a.{tier}") == wanted)
+    return per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count_if(own).alias("n_inputs"), F.coalesce(F.sum(F.when(own, F.col(f"a.{cost}").cast(SUM))), F.lit(0).cast(SUM)).alias("cost"),
+        F.count_if(~same).alias("n_conflicts"), F.count_if(same & ~F.coalesce(F.col(f"a.{tier}") == wanted, F.lit(False))).alias("n_other_tier"),
+    )
+
+
+def outcome_sizes(rows: DataFrame, treatment: str, outcome: str, agent: str, key: str) -> DataFrame:
+    """(kind, name, n): trajectories of each ``treatment:outcome``, and of each agent, in one pass."""
+    each = F.explode(F.array(F.struct(F.lit("outcome").alias("kind"), F.concat_ws(":", treatment, outcome).alias("name")), F.struct(F.lit("agent").alias("kind"), F.col(agent).alias("name"))))
+    return rows.select(key, each.alias("e")).groupBy("e.kind", "e.name").agg(F.countDistinct(key).alias("n"))

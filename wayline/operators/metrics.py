@@ -147,3 +147,11 @@ def error_bars(df: DataFrame, value: str, low: str, high: str) -> DataFrame:
     known = F.col(low).isNotNull() & F.col(high).isNotNull() & F.col(value).isNotNull()
     half = lambda x: F.when(known, F.greatest(x, F.lit(0.0))).otherwise(0.0)
     return df.withColumns({"bar_low": half(F.col(value) - F.col(low)), "bar_high": half(F.col(high) - F.col(value))})
+
+
+def agent_summary(rows: DataFrame, by: Sequence[str], fold: str, key: str, n_bins: int = 10) -> DataFrame:
+    """(by, n, n_trajectories, n_folds, pooled and the folds' AUROC, brier, ece) of scored rows, usually by thinking mode,
+    agent, probe and layer."""
+    known = rows.where("label IS NOT NULL")
+    counts = known.groupBy(*by).agg(F.countDistinct(key).alias("n_trajectories"), brier(F.col("score"), F.col("label")).alias("brier"))
+    return fold_summary(rows, by, fold).join(counts, list(by)).join(calibration(rows, by, n_bins, spaced=False).select(*by, "ece"), list(by))

@@ -39,6 +39,7 @@ def agent_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BIN = " + ".join(f"(score >= {e!r}::DOUBLE)::INT" for e in metrics.edges(10)[1:])
+_BIN_EVEN = " + ".join(f"(score >= {e!r}::DOUBLE)::INT" for e in metrics.edges(10, spaced=False)[1:])
 _SCORE = "CAST((k * 7919 + {} * 104729 + a) % 1000 AS DOUBLE) / 1000"
 T = f"""c AS (SELECT c_custkey AS k, c_custkey // 4 AS g, ((CAST(floor(c_acctbal) AS BIGINT) % 1000) + 1000) % 1000 AS a FROM customer),
     o AS (SELECT *, 'd' || (g % 25) AS domain, CASE WHEN g % 2 = 0 THEN 'off' ELSE 'on' END AS thinking_mode, CASE WHEN (k // 2) % 2 = 1 THEN '3-hop' ELSE '2-hop' END AS hop_mode, CASE WHEN k % 17 <> 0 THEN (k % 2 = 1 AND k % 3 = 1)::INT END AS label,
@@ -97,3 +98,55 @@ def prediction_violations(spark: SparkSession, d: str) -> DataFrame:
     count(DISTINCT (g % 25, (g // 25) % 3)) = count(DISTINCT g % 25) * count(DISTINCT (g // 25) % 3) AS crossed FROM c""")
 def sampling_grid(spark: SparkSession, d: str) -> DataFrame:
     return depth.sampling_grid(agent_scores(spark, d))
+
+
+@query(f"""WITH {T}, r AS (SELECT k, g, domain, thinking_mode, label, unnest(CASE hop_mode WHEN '2-hop' THEN ['planner_1', 'worker_1', 'executor_1'] ELSE ['planner_1', 'worker_1', 'worker_2', 'executor_1'] END) AS agent_id,
+        unnest(CASE hop_mode WHEN '2-hop' THEN [s0, s1, s2] ELSE [s0, s1, s2, s3] END) AS score FROM t WHERE label IS NOT NULL),
+    a AS (SELECT thinking_mode, agent_id, domain, x.label AS lx, y.label AS ly, x.score AS sx, y.score AS sy, y.domain AS dy FROM r x JOIN r y USING (thinking_mode, agent_id) WHERE x.label = 1 AND y.label = 0),
+    f AS (SELECT thinking_mode, agent_id, domain, avg(CASE WHEN sx > sy THEN 1.0 WHEN sx = sy THEN 0.5 ELSE 0 END) AS u FROM (SELECT x.thinking_mode, x.agent_id, x.domain, x.score AS sx, y.score AS sy FROM r x JOIN r y USING (thinking_mode, agent_id, domain) WHERE x.label = 1 AND y.label = 0) GROUP BY ALL),
+    p AS (SELECT thinking_mode, agent_id, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) AS pooled FROM r x JOIN r y USING (thinking_mode, agent_id) WHERE x.label = 1 AND y.label = 0 GROUP BY ALL),
+    m AS (SELECT thinking_mode, agent_id, count(u) AS n_folds, avg(u) AS mean, stddev_pop(u) AS sd, min(u) AS lo, max(u) AS hi FROM f GROUP BY ALL),
+    b AS (SELECT thinking_mode, agent_id, count(*) AS n, count(DISTINCT k) AS n_trajectories, avg((score - label) * (score - label)) AS brier FROM r GROUP BY ALL),
+    e AS (SELECT thinking_mode, agent_id, sum(gap) / sum(n) AS ece FROM (SELECT thinking_mode, agent_id, {_BIN_EVEN} AS bin, abs(sum(score - label)) AS gap, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL)
+    SELECT thinking_mode, agent_id, n, n_trajectories, coalesce(n_folds, 0) AS n_folds, {snapped_sql('pooled')} AS pooled_auroc, {snapped_sql('mean')} AS mean_auroc, {snapped_sql('sd')} AS sd_auroc, {snapped_sql('lo')} AS min_auroc, {snapped_sql('hi')} AS max_auroc, {snapped_sql('brier')} AS brier, {snapped_sql('ece')} AS ece
+    FROM b JOIN e USING (thinking_mode, agent_id) LEFT JOIN p USING (thinking_mode, agent_id) LEFT JOIN m USING (thinking_mode, agent_id)""")
+def agent_probe_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled and held-out metrics of every mode and agent, a domain being the held-out group."""
+    out = metrics.agent_summary(agent_scores(spark, d), ["thinking_mode", "agent_id"], "domain_id", "trajectory_id")
+    return snapped(out, "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", "brier", "ece")
+
+
+@query("""WITH k AS (SELECT c_custkey AS k, c_custkey // 4 AS g FROM customer) SELECT rule_id, n FROM (SELECT 'cells' AS rule_id, count(*) AS n FROM (SELECT g FROM k GROUP BY g HAVING count(*) <> 4) UNION ALL SELECT 'depends', count(*) FROM (SELECT g FROM k WHERE g % 11 = 0 GROUP BY g HAVING count(*) > 1 AND min(k) <> max(k) AND bool_or(k % 4 = 3) AND bool_or(k % 4 <> 3))
+    UNION ALL SELECT 'allowed:split', count(*) FROM k WHERE g % 11 = 0 AND k % 4 = 3 UNION ALL SELECT 'every_split', 1) WHERE n > 0""")
+def split_manifest_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest without a test split, one of whose trajectories is marked for a split that is not there."""
+    from wayline.operators import contracts
+
+    split = F.when((F.col("g") % 11 == 0) & (F.col("k") % 4 == 3), "other").when(F.col("g") % 2 == 0, "train").otherwise("validation")
+    rows = agent_scores(spark, d).where("hop_index = 0").withColumns({"g": F.substr("match_group_id", F.lit(2)).cast("long")}).withColumn("split", split)
+    return contracts.split_manifest(rows).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT o_orderkey % 100 AS i, CAST(o_totalprice AS DECIMAL(18,2)) AS c, o_orderstatus AS t FROM orders), p AS (SELECT i, count(*) AS n, min((c, t)) AS a, max((c, t)) AS b FROM c GROUP BY i)
+    SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (a = b AND a[2] = 'O') AS n_inputs, CAST(coalesce(sum(a[1]) FILTER (a = b AND a[2] = 'O'), 0) AS DOUBLE) AS cost, count(*) FILTER (a <> b) AS n_conflicts, count(*) FILTER (a = b AND a[2] <> 'O') AS n_other_tier FROM p""")
+def cost_inputs(spark: SparkSession, d: str) -> DataFrame:
+    from wayline.operators import ledger
+
+    rows = table(spark, d, "orders").select((F.col("o_orderkey") % 100).alias("i"), F.col("o_totalprice").cast("decimal(18,2)").alias("c"), F.col("o_orderstatus").alias("t"))
+    return ledger.deduplicated_costs(rows, "i", "c", "t", "O").withColumn("cost", F.col("cost").cast("double"))
+
+
+@query("""SELECT 'outcome' AS kind, o_orderstatus || ':' || left(o_orderpriority, 1) AS name, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'agent', CAST(o_orderkey % 3 AS VARCHAR), count(DISTINCT o_custkey) FROM orders GROUP BY 2""")
+def outcome_sizes(spark: SparkSession, d: str) -> DataFrame:
+    from wayline.operators import ledger
+
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.left("o_orderpriority", F.lit(1)).alias("p"), (F.col("o_orderkey") % 3).cast("string").alias("agent"))
+    return ledger.outcome_sizes(rows, "o_orderstatus", "p", "agent", "o_custkey")
+
+
+@query("""SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 5 = 3) AS n_different FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn % 5 = 3) > 0""")
+def seed_audit(spark: SparkSession, d: str) -> DataFrame:
+    from wayline.operators import contracts
+
+    rows = table(spark, d, "conversations").select("conv_id", F.col("conv_id").alias("seed"), F.when(F.col("turn") % 5 != 3, F.col("conv_id")).alias("used"))
+    return contracts.seeds_repeat(rows, "conv_id", "seed", "used")

@@ -25,9 +25,23 @@ def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: StructTy
     return read.json(paths if isinstance(paths, str) else list(paths)).withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def json_documents(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str) -> DataFrame:
-    """One JSON object a file."""
-    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(paths).withColumn("source_file", F.col("_metadata.file_path"))
+def json_folder(spark: SparkSession, folder: str, schema: StructType | str, pattern: str = "*.jsonl", strict: bool = True) -> DataFrame:
+    """As :func:`json_lines`, of all files of a folder that match; a folder without any is an error. Files are read side by
+    side; ``source_file`` orders their rows."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path")
+    if not found.take(1):
+        raise FileNotFoundError(f"no {pattern} below {folder}")
+    return json_lines(spark, folder, schema, strict, pattern)
+
+
+def json_documents(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str, strict: bool = True, pattern: str | None = None) -> DataFrame:
+    """One JSON object a file; without ``strict`` files that cannot be read, or are no object, are passed over."""
+    read = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST" if strict else "DROPMALFORMED")
+    if not strict:
+        read = read.option("ignoreCorruptFiles", "true")
+    if pattern:
+        read = read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    return read.json(paths).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def csv_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
