@@ -69,14 +69,15 @@ def stripped(text: Column) -> Column:
 
 
 def split_thinking(text: Column, close: str = "</think>", opening: str = "<think>") -> Column:
-    """(thinking, final, complete). With a closing mark, thinking is what stands before the last one, from the last
+    """(thinking, final, complete). With a closing mark, thinking is what stands before the last one, from the first
     opening mark on, and final what follows. With an opening mark only, all that follows the first one is thinking and
     complete is false. Without marks everything is final, and thinking and complete are null."""
     closed, opened = F.contains(text, F.lit(close)), F.contains(text, F.lit(opening))
     final = F.substring_index(text, close, -1)
     head = F.left(text, F.length(text) - F.length(final) - len(close))
+    after = lambda c: F.substr(c, F.position(F.lit(opening), c) + len(opening))
     return F.struct(
-        F.when(closed, stripped(F.substring_index(head, opening, -1))).when(opened, stripped(F.substr(text, F.position(F.lit(opening), text) + len(opening)))).alias("thinking"),
+        F.when(closed, stripped(F.when(F.contains(head, F.lit(opening)), after(head)).otherwise(head))).when(opened, stripped(after(text))).alias("thinking"),
         F.when(closed, stripped(final)).when(opened, F.lit("")).otherwise(stripped(text)).alias("final"),
         F.when(closed, True).when(opened, False).alias("complete"),
     )

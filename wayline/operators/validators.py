@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.functions.text import stripped
 from wayline.operators.labels import CANDIDATES, OUTCOMES, yes
 from wayline.operators.records import is_injection, unsafe_calls
 
@@ -54,7 +55,8 @@ def implies(a: Column, b: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return ~yes(F.rlike(c, F.lit(r"\S")))
+    """Null, empty, or white space of any kind only."""
+    return F.coalesce(stripped(c), F.lit("")) == ""
 
 
 def retrieved_ids(call: Column) -> Column:
@@ -259,7 +261,8 @@ def request_contract(requests: DataFrame, key: Sequence[str], model: str = MODEL
     poison = yes(c("raw_poison_exposed"))
     hits = _total(c("messages"), lambda m: (F.length(m["content"]) - F.length(F.replace(m["content"], c("injection_text"), F.lit("")))) / F.length("injection_text"))
     names = F.transform("tools", lambda t: F.trim(t["name"]))
-    text = lambda m: m["content"].isNotNull() | ((m["role"] == "assistant") & yes(F.size(m["tool_calls"]) > 0))
+    # A message that has tool calls is one of calls, whatever else it says.
+    text = lambda m: F.when(yes(m["role"] == "assistant") & m["tool_calls"].isNotNull(), F.size(m["tool_calls"]) > 0).otherwise(m["content"].isNotNull())
     rules = {
         "trajectory_id": safe(c("trajectory_id")), "agent_id": safe(c("agent_id")), "agent_role": c("agent_role").isin(*ROLES), "step_index": c("step_index") >= 0, "hop_index": c("hop_index") >= 0,
         "thinking_mode": F.lower("thinking_mode").isin("on", "off"), "model_id": F.coalesce(F.nullif("model_id", F.lit("")), F.lit(model)) == model, "analysis_tier": c("analysis_tier").isNull() | F.trim("analysis_tier").isin(*TIERS),

@@ -412,7 +412,7 @@ def url_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.urls(F.concat(F.lit("go to "), "url", F.lit(". Or ("), "url", F.lit(")"))).alias("urls"))
 
 
-@query("""SELECT conv_id, turn, form, CASE form WHEN 0 THEN 'a ' || text || '</think>b' WHEN 1 THEN ltrim(text, chr(10) || ' ') || ' <think> y' WHEN 3 THEN trim(text, chr(10) || ' ') WHEN 4 THEN '' END AS thinking,
+@query("""SELECT conv_id, turn, form, CASE form WHEN 0 THEN 'a ' || text || '</think>b' WHEN 1 THEN ltrim(text, chr(10) || ' ') || ' <think> y' WHEN 3 THEN 'q<think> ' || rtrim(text, chr(10) || ' ') WHEN 4 THEN '' END AS thinking,
            CASE form WHEN 0 THEN role WHEN 2 THEN trim(text, chr(10) || chr(9) || ' ') WHEN 4 THEN role ELSE '' END AS final, CASE WHEN form IN (0, 3, 4) THEN true WHEN form = 1 THEN false END AS complete
     FROM conversations CROSS JOIN range(6) AS f(form)""")
 def block_split(spark: SparkSession, d: str) -> DataFrame:

@@ -171,7 +171,7 @@ REQUESTS = [
     (REQUEST, ""), (REQUEST | {"trajectory_id": "-x"}, "trajectory_id"), (REQUEST | {"agent_role": "boss"}, "agent_role"), (REQUEST | {"step_index": -1}, "step_index"), (REQUEST | {"hop_index": None}, "hop_index"), (REQUEST | {"thinking_mode": "maybe"}, "thinking_mode"),
     (REQUEST | {"model_id": "other"}, "model_id"), (REQUEST | {"model_id": ""}, ""), (REQUEST | {"analysis_tier": "draft"}, "analysis_tier"), (REQUEST | {"messages": []}, "messages injection_once"),
     (REQUEST | {"messages": [{"role": "tool", "content": None}, {"role": "user", "content": "bad"}]}, "message"), (REQUEST | {"messages": [{"role": "assistant", "tool_calls": ["c"]}, {"role": "user", "content": "bad"}]}, ""),
-    (REQUEST | {"agent_id": "planner_1"}, "poison_agent"), (REQUEST | {"expected_poison_agent_id": "worker_2"}, "poison_agent"), (REQUEST | {"agent_id": "executor_1", "expected_poison_agent_id": "executor_1"}, "poison_executor"),
+    (REQUEST | {"messages": [{"role": "assistant", "content": "c", "tool_calls": []}, {"role": "user", "content": "bad"}]}, "message"), (REQUEST | {"agent_id": "planner_1"}, "poison_agent"), (REQUEST | {"expected_poison_agent_id": "worker_2"}, "poison_agent"), (REQUEST | {"agent_id": "executor_1", "expected_poison_agent_id": "executor_1"}, "poison_executor"),
     (REQUEST | {"injection_text": ""}, "injection_text"), (REQUEST | {"raw_poison_exposed": False}, "injection_text"), (REQUEST | {"messages": [{"role": "user", "content": "bad bad"}]}, "injection_once"), (REQUEST | {"tools": [{"name": "a"}, {"name": "a "}]}, "tool_names"),
     (REQUEST | {"tools": [{"name": "a b"}]}, "tools"), (REQUEST | {"generation_settings": {"temperature": 0.7}}, "temperature"), (REQUEST | {"generation_settings": {"do_sample": False, "max_new_tokens": 9000}}, "do_sample max_new_tokens"),
     (REQUEST | {"generation_settings": {"seed": -1}}, "seed"), (REQUEST | {"activation_layers": [63, 64]}, "layers"), (REQUEST | {"activation_layers": [1, 1]}, "layer_twice"), (REQUEST | {"activation_layers": []}, "layers"),
