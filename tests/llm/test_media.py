@@ -114,3 +114,39 @@ def test_small_noisy_crops_of_large_images(spark):
     by = {r.media_id: r for r in media_copies(spark.createDataFrame(rows, "media_id long, media binary").repartition(3)).collect()}
     assert [by[10 * i + k].component_id for i in range(n) for k in range(3)] == [10 * i for i in range(n) for _ in range(3)]
     assert all(r.n_links == 2 for r in by.values())
+
+
+def _other_picture(seed):
+    """A picture of another kind than the operator's own: waves, discs and lines over a gradient, 200 x 240 pixels."""
+    rng = np.random.default_rng(1000 + seed)
+    y, x = np.mgrid[:200, :240]
+    out = 60 + 100 * (x * rng.random() + y * rng.random()) / 240
+    for _ in range(5):
+        a, b = rng.normal(0, 0.15, 2)
+        out += 12 * np.sin(a * x + b * y + rng.random() * 6)
+    for _ in range(25):
+        cy, cx, r = rng.integers(0, 200), rng.integers(0, 240), rng.integers(4, 28)
+        out[(y - cy) ** 2 + (x - cx) ** 2 < r * r] += rng.normal(0, 45)
+    for _ in range(12):
+        a, c = rng.normal(0, 1), rng.integers(-100, 300)
+        out[np.abs(y - a * x - c) < rng.integers(1, 5)] += rng.normal(0, 50)
+    return np.clip(out, 0, 255)
+
+
+def _other_edits(x, rng):
+    r, c = int(rng.integers(0, 40)), int(rng.integers(0, 48))
+    return {
+        "crop": x[r : r + 160, c : c + 192], "gamma": 255 * (x / 255) ** 0.8, "noise": x + rng.normal(0, 5, x.shape), "half turn": np.rot90(x, 2)[7:, 5:], "levels": np.round(x / 6) * 6,
+        "noisy crop": x[r : r + 150, c : c + 180] + rng.normal(0, 3, (150, 180)), "smaller": resized(x, 1 / 1.5),
+    }
+
+
+def test_recall_on_other_pictures_and_edits(spark):
+    rng, rows, n = np.random.default_rng(21), [], 25
+    for i in range(n):
+        x = _other_picture(i)
+        rows += [(100 * i, write_pgm(x))] + [(100 * i + 1 + k, write_pgm(e)) for k, e in enumerate(_other_edits(x, rng).values())]
+    by = {r.media_id: r.component_id for r in media_copies(spark.createDataFrame(rows, "media_id long, media binary").repartition(4)).collect()}
+    found = {name: sum(by[100 * i + 1 + k] == 100 * i for i in range(n)) / n for k, name in enumerate(_other_edits(_other_picture(0), rng))}
+    assert sum(found.values()) / len(found) >= 0.9 and min(found.values()) >= 0.8, found
+    assert all(by[100 * i] == 100 * i for i in range(n))
