@@ -79,13 +79,14 @@ def fold_skips(rows: DataFrame, by: Sequence[str], group: str, label: str) -> Da
 def stratified_folds(rows: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """Adds ``fold``, 0 to k - 1: within each class rows are dealt round in hash order. Rows are ranked among those that
     share the beginning of their hash, and the beginnings, at most 4,096 of a class, by their numbers of rows."""
-    hashed = rows.withColumn("_h", hash_key(seed, F.col(key))).withColumn("_p", F.left("_h", F.lit(3)))
-    sizes = hashed.groupBy(label, "_p").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(label).alias("_l"), F.col("_p").alias("_q"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_p").orderBy("_h", key)) - 1)
-    placed = ranked.join(starts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_p") == F.col("_q")))
-    return placed.withColumn("fold", ((F.col("_start") + F.col("_r")) % k).cast("int")).drop("_h", "_p", "_l", "_q", "_start", "_r")
+    shown = F.when(F.col(label).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(label).cast("string")))
+    hashed = rows.withColumns({"_h": hash_key(seed, F.col(key)), "_c": shown}).withColumn("_p", F.left("_h", F.lit(3))).withColumn("_k", F.concat_ws(" ", "_p", "_c"))
+    sizes = hashed.groupBy("_k").agg(F.min("_c").alias("_c"), F.min("_p").alias("_p"), F.count("*").alias("_size"))
+    before = Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_k", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("_h", key)) - 1)
+    placed = ranked.join(starts, "_k")  # on the dealing that the ranks have already
+    return placed.withColumn("fold", ((F.col("_start") + F.col("_r")) % k).cast("int")).drop("_h", "_p", "_c", "_k", "_start", "_r")
 
 
 def group_folds(rows: DataFrame, group: str, k: int, seed: int = 0) -> DataFrame:
