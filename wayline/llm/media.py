@@ -4,7 +4,7 @@ neighbourhoods agree and whose places agree on one similarity transform.
 For each image, at several scales, the strongest Harris corners of each cell of about ``CELL`` pixels a side are taken, so
 that their number grows with the area and a crop keeps its share; large images are looked at block by block. A corner's
 orientation is the direction of the intensity centroid around it, and its descriptor are 128 comparisons of smoothed
-pixels at places drawn evenly from the disc around it, turned by that orientation.
+pixels in the disc around it, at pairs of places that lie across that orientation.
 
 Descriptors are joined by Hamming tables: ``DIFFERENT + 1`` chunks of 11 or 12 bits, so that two descriptors that differ
 in at most ``DIFFERENT`` bits share a chunk. Equal descriptors are one row to the tables. A bucket's descriptors travel as
@@ -34,6 +34,8 @@ from wayline.llm.words import mix
 SCALES, CORNERS = (1.0, 1 / 1.5, 1 / 2.25), (28, 12, 8)
 #: Comparisons, radius of their places, and steps of a full turn.
 BITS, RADIUS, TURNS = 128, 17, 24
+#: Pixels along the orientation between two places that are compared, at most.
+ASIDE = 3
 #: Bits in which two matching descriptors may differ, pixels of a translation bin, and votes for a link.
 DIFFERENT, BIN, VOTES = 10, 16, 4
 #: Bins of a pair of images, a scale and a rotation that chance may fill, on average.
@@ -43,16 +45,30 @@ PLACE = 6
 #: Chunks of a descriptor; two that differ in fewer bits share one.
 CHUNKS = DIFFERENT + 1
 #: Descriptors of a bucket that one task compares; above it, tiles of half as many.
-BUCKET = 8192
+BUCKET = 32_768
 #: Descriptors that a task sorts into buckets.
 HELD = 100_000
 #: Pixels of a cell's side, of a block's, and around a block what its corners may need at the smallest scale.
 CELL, BLOCK, AROUND = 128, 1024, 64
 _MARGIN = 18
 _HEADER = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*([0-9]{1,6})\s+([0-9]{1,6})\s+([0-9]{1,6})\s")
-_draw = np.random.default_rng(20240611)
-_far, _way = RADIUS * np.sqrt(_draw.random((BITS, 2))), 2 * np.pi * _draw.random((BITS, 2))
-_places = np.stack([_far * np.cos(_way), _far * np.sin(_way)], axis=-1)
+
+
+def _pairs_of_places() -> np.ndarray:
+    """The places that are compared: one drawn evenly from the disc, the other across the orientation from it, ``ASIDE``
+    pixels before or behind it at most. Along the orientation a corner is brighter by its definition; across it neither
+    place is likelier to be, so that a comparison tells something."""
+    rng, out = np.random.default_rng(20240611), []
+    while len(out) < BITS:
+        far, way = RADIUS * np.sqrt(rng.random()), 2 * np.pi * rng.random()
+        along = far * np.cos(way) + rng.uniform(-ASIDE, ASIDE)
+        if abs(along) < RADIUS:
+            half = np.sqrt(RADIUS**2 - along**2)
+            out.append(((far * np.cos(way), far * np.sin(way)), (along, rng.uniform(-half, half))))
+    return np.array(out)
+
+
+_places = _pairs_of_places()
 _angles = 2 * np.pi * np.arange(TURNS) / TURNS
 _turned = np.stack([np.rint(_places @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(int) for a in _angles])
 _disc = np.stack(np.meshgrid(np.arange(-9, 10), np.arange(-9, 10)), axis=-1).reshape(-1, 2)
@@ -267,9 +283,10 @@ def _enter(tiles: dict[int, int]) -> Run:
 _PAIR = ["p0", "p1", "q0", "q1"]
 
 
-def near_pairs(words: np.ndarray, split: int | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(words: np.ndarray, split: int | None = None, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """The places (i, j), i < j, of all descriptors (two words each) within ``DIFFERENT`` bits of each other; with
-    ``split`` only those with i before it and j from it on."""
+    ``split`` only those with i before it and j from it on. Compares about ``cells`` pairs at a time."""
+    block = max(1, cells // max(len(words), 1))
     d0, d1 = np.ascontiguousarray(words[:, 0]).view(np.uint64), np.ascontiguousarray(words[:, 1]).view(np.uint64)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for at in range(0, len(d0) if split is None else split, block):
