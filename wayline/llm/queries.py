@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; if they are few, on all cores."""
+    from wayline.llm.shared import spread
+
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.chat import chat_digests, format_chat
 
@@ -38,7 +45,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.toxicity import toxicity
 
-    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return scored.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
 
@@ -51,13 +58,13 @@ def op4_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.exact_dedup import exact_dedup
 
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(documents(spark, sf_dir))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.near_dedup import near_dedup
 
-    return near_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_dedup(documents(spark, sf_dir), shingle=3, percent=85)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +72,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from wayline.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select(*_PACKED)
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).select(*_PACKED)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +84,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.substring_dedup import substring_dedup
 
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +92,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from wayline.llm.pieces import encode_pieces
 
-    made = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=True)
+    made = encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), keep=True)
     return made.drop("pieces", "decoded")
 
 

@@ -76,6 +76,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Bytes a core below which a table is dealt out anew.
+SMALL = 8 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a table that is small for the cluster, dealt to all of its cores: a small file is one task, however much
+    work its rows are. Larger tables are read by many tasks as they are, and are not shuffled."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < SMALL * cores else rows
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
