@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wayline.llm.exact_dedup import exact_dedup
 from wayline.llm.near_dedup import near_dedup
 from wayline.llm.packing import pack
-from wayline.llm.shared import materialize
+from wayline.llm.shared import materialize, spread
 from wayline.llm.substring_dedup import substring_dedup
 from wayline.llm.toxicity import toxicity
 
@@ -62,12 +62,12 @@ STAGES = [
     ("packing", pack_documents),
 ]
 
-#: No stage but exact dedup can be stated in SQL; the tests compare each with a brute-force version.
+#: Not all stages can be stated in SQL; the tests compare each with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
