@@ -98,7 +98,7 @@ def prepare(spark: SparkSession) -> None:
     only by rows, so that a batch of very long texts stays small."""
     ship(spark)
     if "spark.sql.execution.arrow.maxBytesPerBatch" not in _user_set(spark):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 #: Keys that may be heavy at most: each of them has more than this part of all rows.
