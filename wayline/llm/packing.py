@@ -61,7 +61,7 @@ class ChunkTokenizer:
             model = json.load(file)["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
-        ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], dtype=np.int64)
+        self._merges = ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], dtype=np.int64)
         self._pairs = PairTable(ids[:, 0], ids[:, 1], np.arange(len(ids)), ids[:, 2], max(vocab.values()) + 1)
         alphabet = byte_alphabet()
         self._inside = np.array([vocab[c] for c in alphabet])
@@ -93,9 +93,13 @@ class ChunkTokenizer:
         if not odd:
             return flat, sizes
         parts = iter(np.split(flat, np.cumsum(sizes)[:-1]) if plain else [])
-        made = [np.array(self._tokenizer.encode(c, add_special_tokens=False).ids, np.int64) if self._is_odd(c) else next(parts) for c in chunks]
+        ids = iter(self._odd_ids([c for c in chunks if self._is_odd(c)]))
+        made = [next(ids) if self._is_odd(c) else next(parts) for c in chunks]
         return np.concatenate(made), np.fromiter(map(len, made), dtype=np.int64, count=len(made))
 
+    def _odd_ids(self, chunks: list[str]) -> list[np.ndarray]:
+        return [np.array(self._tokenizer.encode(c, add_special_tokens=False).ids, np.int64) for c in chunks]
+
     def _is_odd(self, chunk: str) -> bool:
         return "<|" in chunk or len(chunk) > LONGEST or max(chunk, default="") > LAST_LATIN
 
