@@ -112,6 +112,34 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", restored("output", "form")["text_sha256"].alias("restored_sha256"))
 
 
+#: The amount column of each shop table that is erased from.
+_AMOUNTS = {"clients": "balance", "clicks": "value", "sales": "total", "sale_lines": "amount"}
+
+
+def op13_cascading_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayline.llm.erasure import Link, erase, file_number, most_referenced, read_back, write_sorted
+    from wayline.session import scratch
+
+    folder = scratch(spark, "erasure")
+    tables = {name: table(spark, sf_dir, name) for name in _AMOUNTS}
+    owner = tables["sales"].where("sale_id IS NOT NULL").groupBy("sale_id").agg(F.min("client_id").alias("_client"))
+    paths = {}
+    for name, rows in tables.items():
+        client, columns = "client_id", rows.columns
+        if name == "sale_lines":
+            client, rows = "_client", rows.join(owner, "sale_id", "left")
+        if write_sorted(rows, F.crc32(F.coalesce(F.col(client).cast("string"), F.lit(""))), columns, f"{folder}/{name}"):
+            paths[name] = f"{folder}/{name}"
+    clients = tables["clients"]
+    masters = clients.select("master_id").where("master_id IS NOT NULL AND crc32(CAST(master_id AS string)) % 200 = 0")
+    forgotten = masters.unionByName(most_referenced(tables["clicks"], "client_id", clients, "master_id"))
+    links = [Link("clicks", "client_id", "clients", "client_id"), Link("sales", "client_id", "clients", "client_id"), Link("sale_lines", "sale_id", "sales", "sale_id")]
+    final = read_back(erase(spark, paths, "clients", forgotten, "master_id", links), _AMOUNTS)
+    return final.select(
+        file_number(F.col("path")).alias("file_no"), "n_rows", "n_erased", "cents", "rewritten", "table_name", "ids_sha256", "columns", F.regexp_replace("path", "^file:/+", "/").alias("path")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,7 +149,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         pipeline, op1_chat_format, op2_warc, op3_toxicity, op4_media_copies, op5_exact_dedup, op6_near_dedup, op7_packing, op8_url_filter, op9_substring_dedup, op10_sentencepiece,
-        op11_bpe, op12_fill_middle,
+        op11_bpe, op12_fill_middle, op13_cascading_erasure,
     )
     return {f.__name__: f for f in every}
 
