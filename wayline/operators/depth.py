@@ -3,19 +3,19 @@ by resampling clusters.
 
 A prediction row is one agent's score in a trajectory. A trajectory is classified by its executor's score, and by the
 mean of its scores from the anchor on (``path_mean``); its temporal statistics compare the scores before the anchor with
-those from it on. Replicates never copy rows: everything but the ranks is a sum that clusters add up to, so that a
-replicate only weighs clusters' sums, and ranks weigh counts of (cluster, score).
+those from it on. Clusters are drawn from each stratum's own. All replicates are computed at once, as vectors: everything
+but the ranks is a sum that clusters add up to, and ranks are prefix sums over counts of (cluster, score).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators import metrics
-from wayline.operators.resample import cluster_weights
+from wayline.operators import metrics, resample
 
 # Fixed values.
 EXECUTOR = "executor_1"
@@ -52,29 +52,50 @@ def _classified(rows: DataFrame, by: Sequence[str], cluster: str) -> DataFrame:
     return rows.where("label IS NOT NULL").select(*by, cluster, "label", two.alias("e")).select(*by, "e.kind", cluster, "e.score", "label")
 
 
-def _weighted(rows: DataFrame, by: Sequence[str], cluster: str, weights: DataFrame | None, n_bins: int) -> DataFrame:
-    """(by, replicate, the eleven metrics) of trajectories under the weights of clusters; without weights, replicate 0 is
-    the rows as they are."""
-    if weights is None:
-        weights = rows.select(cluster).distinct().select(F.lit(0).cast("long").alias("replicate"), cluster, F.lit(1).cast("long").alias("weight"))
-    keys = [*by, "replicate"]
-    w = F.col("weight")
-    scored = _classified(rows, by, cluster)
+def _placed_by(rows: DataFrame, by: Sequence[str], cluster: str) -> DataFrame:
+    """Trajectories with the place of their cluster among those of their stratum, as ``_i`` and ``_n``."""
+    return resample._placed(rows, resample.places(rows, by, cluster), by, cluster)
+
+
+def vectors(predictions: DataFrame, by: Sequence[str] = STRATA, key: str = "trajectory_id", cluster: str = "match_group_id", replicates: int = 1000, seed: int = 42, n_bins: int = 10) -> DataFrame:
+    """(by, the eleven metrics): each an array of the metric as it is and in every replicate, null without a value.
+
+    A replicate draws as many of the stratum's own clusters as it has, with replacement. Strata of the same clusters draw
+    the same ones, so that differences of replicates are paired.
+    """
+    rows = _placed_by(trajectories(predictions, by, key, cluster), by, cluster)
+    scored = _classified(rows, by, "_i").join(resample.places(rows, by, cluster).select(*by, "_n").distinct(), list(by))
     d = metrics.exact(F.col("score")) - F.col("label").cast("decimal(1,0)")
-    cells = scored.groupBy(*by, "kind", cluster, metrics.bin_of(F.col("score"), n_bins).alias("bin")).agg(
-        F.count("*").alias("n"), F.sum((d * d).cast("decimal(28,18)")).cast("double").alias("square"), F.sum(d).cast("double").alias("apart"),
-    ).join(weights, cluster)
-    binned = cells.groupBy(*keys, "kind", "bin").agg(F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("square")).alias("square"), F.abs(F.sum(w * F.col("apart"))).alias("apart"))
-    flat = binned.groupBy(*keys, "kind").agg((F.sum("square") / F.sum("n")).alias("brier"), (F.sum("apart") / F.sum("n")).alias("ece"))
-    counts = metrics.score_counts(scored, [*by, "kind", cluster], "score", "label").join(weights, cluster)
-    ends = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), (F.col(c) * w).alias("w")) for y, c in ((1, "w1"), (0, "w0"))]))
-    long = counts.select(*keys, "kind", "score", ends.alias("e")).select(*keys, "kind", "score", "e.label", "e.w").where("w > 0")
-    ranked = metrics.auroc(long, [*keys, "kind"], weight="w").select(*keys, "kind", "auroc")
-    wide = flat.join(ranked, [*keys, "kind"]).groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(m))).alias(f"{k}{m}") for k in _KINDS for m in CLASSIFIED])
-    sums = rows.groupBy(*by, cluster).agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TEMPORAL]).join(weights, cluster)
-    names = dict(zip(TEMPORAL, METRICS[6:], strict=True))
-    paths = sums.groupBy(*keys).agg(*[(F.sum(w * F.col(t)) / F.sum(w * F.col("n"))).alias(names[t]) for t in TEMPORAL])
-    return paths.join(wide, keys, "left").select(*keys, *METRICS)
+    cells = scored.groupBy(*by, "kind", "_i", "_n", metrics.bin_of(F.col("score"), n_bins).alias("bin")).agg(
+        F.count("*").alias("n"), F.sum((d * d).cast("decimal(28,18)")).cast("double").alias("square"), F.sum(d).cast("double").alias("apart")
+    )
+    sums = rows.groupBy(*by, "_i", "_n").agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TEMPORAL])
+    slot = lambda at, **named: F.array(*[F.struct((at + F.lit(k)).cast("int").alias("slot"), F.col(c).cast("double").alias("value")) for k, c in enumerate(named.values())])
+    base = F.when(F.col("kind") == "", 0).otherwise(3 * n_bins) + 3 * F.col("bin")
+    first = 6 * n_bins
+    long = cells.select(*by, "_i", "_n", F.inline(slot(base, a="n", b="square", c="apart"))).unionByName(
+        sums.select(*by, "_i", "_n", F.inline(slot(F.lit(first), n="n", **{t: t for t in TEMPORAL})))
+    )
+    stratum = resample._keyed(by)
+    summed = resample.sum_vectors(long, stratum, first + 1 + len(TEMPORAL), replicates, seed)
+    counts = metrics.score_counts(scored, [*by, "kind", "_i", "_n"], "score", "label")
+    found = resample.auroc_vectors(counts, F.concat("kind", F.lit(" "), stratum), replicates, seed)
+    ranked = found.select(F.substring_index("_key", " ", 1).alias("kind"), F.expr("substring(_key, instr(_key, ' ') + 1)").alias("_key"), "auroc")
+    ranked = ranked.groupBy("_key").agg(*[F.first(F.when(F.col("kind") == k, F.col("auroc")), ignorenulls=True).alias(f"{k}auroc") for k in _KINDS])
+    get = lambda at: F.get("sums", F.lit(at))
+    zipped = lambda a, b, f: F.zip_with(a, b, f)
+    total = lambda ats, f=lambda x: x: reduce(lambda a, b: zipped(a, b, lambda x, y: x + y), [F.transform(get(at), f) for at in ats])
+    ratio = lambda a, b: zipped(a, b, lambda x, y: F.try_divide(x, y))
+    out = {}
+    for k, at in zip(_KINDS, (0, 3 * n_bins), strict=True):
+        n = total([at + 3 * b for b in range(n_bins)])
+        out[f"{k}brier"] = ratio(total([at + 3 * b + 1 for b in range(n_bins)]), n)
+        out[f"{k}ece"] = ratio(total([at + 3 * b + 2 for b in range(n_bins)], F.abs), n)
+    out |= {name: ratio(get(first + 1 + i), get(first)) for i, name in enumerate(METRICS[6:])}
+    strata = rows.select(*by).distinct().withColumn("_key", stratum)
+    every = strata.join(summed.select("_key", *[c.alias(n) for n, c in out.items()]), "_key").join(ranked, "_key", "left")
+    empty = F.array_repeat(F.lit(None).cast("double"), replicates + 1)
+    return every.select(*by, *[F.coalesce(m, empty).alias(m) if m.endswith("auroc") else m for m in METRICS])
 
 
 def depth_metrics(predictions: DataFrame, by: Sequence[str] = STRATA, key: str = "trajectory_id", cluster: str = "match_group_id", n_bins: int = 10) -> DataFrame:
@@ -85,40 +106,62 @@ def depth_metrics(predictions: DataFrame, by: Sequence[str] = STRATA, key: str =
         F.count("*").alias("n_trajectories"), F.countDistinct(cluster).alias("n_match_groups"), F.count_if(known).alias("n_predictions"), F.count_if(~known).alias("n_excluded_unlabeled"),
         F.count_if(F.col("outcome") == "indeterminate").alias("n_indeterminate"), F.count_if(F.col("label") == 1).alias("n_positive"), F.count_if(F.col("label") == 0).alias("n_negative"),
     )
-    return counts.join(_weighted(rows, by, cluster, None, n_bins).drop("replicate"), list(by))
+    found = vectors(predictions, by, key, cluster, 0, 0, n_bins).select(*by, *[F.get(m, F.lit(0)).alias(m) for m in METRICS])
+    return counts.join(found, list(by))
 
 
 def bootstrap(predictions: DataFrame, by: Sequence[str] = STRATA, key: str = "trajectory_id", cluster: str = "match_group_id", replicates: int = 1000, seed: int = 42, n_bins: int = 10) -> DataFrame:
-    """(by, replicate, the eleven metrics): each replicate draws as many clusters as there are, the same ones for all
-    strata, and recomputes everything."""
-    rows = trajectories(predictions, by, key, cluster)
-    return _weighted(rows, by, cluster, cluster_weights(rows, cluster, replicates, seed), n_bins)
-
-
-def intervals(samples: DataFrame, by: Sequence[str], names: Sequence[str] = METRICS, confidence: float = 0.95) -> DataFrame:
-    """(by, metric, n, low, high): percentiles by linear interpolation; replicates without a value are left out, and a
-    metric without any has nulls."""
-    tail = (1 - confidence) / 2
-    long = metrics.tidy(samples, by, names, "sample")
-    return long.groupBy(*by, "metric").agg(F.count("value").alias("n"), F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"))
+    """(by, replicate, the eleven metrics): each replicate draws as many of the stratum's clusters as it has, and recomputes
+    everything."""
+    return resample.by_replicate(vectors(predictions, by, key, cluster, replicates, seed, n_bins), by, METRICS)
 
 
 def depth_deltas(snapshots: DataFrame, by: Sequence[str], over: str = "hop_mode", low: str = "2-hop", high: str = "3-hop", names: Sequence[str] = METRICS) -> DataFrame:
-    """(by, the metrics): each metric at the longer chain less that at the shorter one, null if either is; of replicates
-    too, if ``by`` has them, so that both sides come from one draw. A stratum without one of the two does not appear."""
+    """(by, the metrics): each metric at the longer chain less that at the shorter one, null if either is. A stratum
+    without one of the two does not appear."""
     side = lambda v, n: F.max(F.when(F.col(over) == v, F.col(n)))
     wide = snapshots.where(F.col(over).isin(low, high)).groupBy(*by).agg(*[(side(high, n) - side(low, n)).alias(n) for n in names], F.countDistinct(over).alias("_sides"))
     return wide.where("_sides = 2").drop("_sides")
 
 
-def report(predictions: DataFrame, by: Sequence[str] = STRATA, key: str = "trajectory_id", cluster: str = "match_group_id", replicates: int = 1000, confidence: float = 0.95, seed: int = 42, n_bins: int = 10) -> DataFrame:
+def coverage_violations(predictions: DataFrame, by: Sequence[str] = STRATA, cluster: str = "match_group_id", over: str = "hop_mode", low: str = "2-hop", high: str = "3-hop") -> DataFrame:
+    """(by without ``over``, cluster, sides): the clusters of a comparison that only one of its two chain lengths has."""
+    rest = [b for b in by if b != over]
+    held = predictions.where(F.col(over).isin(low, high)).groupBy(*rest, cluster).agg(F.collect_set(over).alias("sides"))
+    both = predictions.where(F.col(over).isin(low, high)).groupBy(*rest).agg(F.countDistinct(over).alias("_n")).where("_n = 2")
+    return held.where(F.size("sides") < 2).join(both, rest, "left_semi") if rest else held.where(F.size("sides") < 2).join(both, how="left_semi")
+
+
+def report(
+    predictions: DataFrame, by: Sequence[str] = STRATA, key: str = "trajectory_id", cluster: str = "match_group_id", replicates: int = 1000, confidence: float = 0.95, seed: int = 42, n_bins: int = 10, strict: bool = True
+) -> DataFrame:
     """(record, by, metric, value, n, low, high): every metric of every stratum (``depth``) and every difference of the
-    two chain lengths (``delta``, its hop_mode ``3-hop_minus_2-hop``), with intervals."""
+    two chain lengths (``delta``, its hop_mode ``3-hop_minus_2-hop``), with intervals of replicates (percentiles by linear
+    interpolation; ``n`` replicates have a value).
+
+    Both chain lengths of a comparison must have the same clusters, which then are drawn together; where they differ the
+    report fails, or leaves the comparison out if not ``strict``.
+    """
     rest = [b for b in by if b != "hop_mode"]
-    found, samples = depth_metrics(predictions, by, key, cluster, n_bins), bootstrap(predictions, by, key, cluster, replicates, seed, n_bins)
-    depth = metrics.tidy(found, by, METRICS, "depth").join(intervals(samples, by, confidence=confidence), [*by, "metric"])
-    apart = metrics.tidy(depth_deltas(found, rest), rest, METRICS, "delta").join(intervals(depth_deltas(samples, [*rest, "replicate"]), rest, confidence=confidence), [*rest, "metric"])
-    return depth.unionByName(apart.withColumn("hop_mode", F.lit("3-hop_minus_2-hop"))).withColumnRenamed("record_type", "record")
+    found = vectors(predictions, by, key, cluster, replicates, seed, n_bins)
+    odd = coverage_violations(predictions, by, cluster).select(*rest).distinct().withColumn("_odd", F.lit(True))
+    # A comparison's strata stand in one row, so that what they and their difference need is computed once.
+    sides = found.groupBy(*rest).agg(F.collect_list(F.struct("hop_mode", *METRICS)).alias("_s"))
+    side = lambda hop: F.get(F.filter("_s", lambda s: s["hop_mode"] == hop), F.lit(0))
+    sides = sides.withColumns({"_2": side("2-hop"), "_3": side("3-hop")})
+    sides = sides.join(odd, rest, "left") if rest else sides.join(odd, how="left")
+    both = F.col("_2").isNotNull() & F.col("_3").isNotNull()
+    if strict:
+        both = both & F.when(F.col("_odd"), F.raise_error(F.lit("a comparison of chain lengths needs the same clusters on both sides")).cast("boolean")).otherwise(True)
+    else:
+        both = both & F.col("_odd").isNull()
+    apart = F.struct(F.lit("delta").alias("record"), F.lit("3-hop_minus_2-hop").alias("hop_mode"), *[F.zip_with(F.col("_3")[m], F.col("_2")[m], lambda x, y: x - y).alias(m) for m in METRICS])
+    kept = F.transform("_s", lambda s: F.struct(F.lit("depth").alias("record"), *[s[c].alias(c) for c in ("hop_mode", *METRICS)]))
+    rows = sides.select(*rest, F.explode(F.concat(kept, F.when(both, F.array(apart)).otherwise(F.array()))).alias("r"))
+    tail = (1 - confidence) / 2
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.get(F.col(f"r.{n}"), F.lit(0)).alias("value"), F.array_sort(F.filter(F.slice(F.col(f"r.{n}"), 2, max(replicates, 1)), lambda x: x.isNotNull())).alias("s")) for n in METRICS])).alias("m")
+    told = rows.select("r.record", *[F.col("r.hop_mode") if b == "hop_mode" else F.col(b) for b in by], named)
+    return told.select("record", *by, "m.metric", "m.value", F.size("m.s").cast("long").alias("n"), resample.quantile(F.col("m.s"), tail, True).alias("low"), resample.quantile(F.col("m.s"), 1 - tail, True).alias("high"))
 
 
 def violations(predictions: DataFrame, key: str = "trajectory_id") -> DataFrame:

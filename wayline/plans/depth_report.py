@@ -25,6 +25,7 @@ def agent_scores(spark: SparkSession, d: str) -> DataFrame:
     agents = lambda *names: F.array(*[F.struct(F.lit(n).alias("agent_id"), F.lit(n.split("_")[0]).alias("agent_role"), F.lit(i).alias("hop_index")) for i, n in enumerate(names)])
     rows = c.select(
         k.cast("string").alias("trajectory_id"), "k", "a", F.concat(F.lit("m"), "g").alias("match_group_id"), F.concat(F.lit("d"), (F.col("g") % 25).cast("string")).alias("domain_id"),
+        F.when(F.col("g") % 2 == 0, F.concat(F.lit("d"), (F.col("g") % 25).cast("string"))).otherwise(F.concat(F.lit("e"), (F.col("g") % 9).cast("string"))).alias("site_id"),
         F.concat(F.lit("w"), (F.floor(F.col("g") / 25) % 3).cast("string")).alias("wording_id"), F.when(injected, "injected").otherwise("clean").alias("condition"), injected.alias("injection_present"),
         F.when(three, "3-hop").otherwise("2-hop").alias("hop_mode"), F.when(F.col("g") % 2 == 0, "off").otherwise("on").alias("thinking_mode"), outcome.alias("behavioral_outcome"),
         F.explode(F.when(three, agents("planner_1", "worker_1", "worker_2", "executor_1")).otherwise(agents("planner_1", "worker_1", "executor_1"))).alias("agent"),
@@ -42,23 +43,23 @@ _BIN = " + ".join(f"(score >= {e!r}::DOUBLE)::INT" for e in metrics.edges(10)[1:
 _BIN_EVEN = " + ".join(f"(score >= {e!r}::DOUBLE)::INT" for e in metrics.edges(10, spaced=False)[1:])
 _SCORE = "CAST((k * 7919 + {} * 104729 + a) % 1000 AS DOUBLE) / 1000"
 T = f"""c AS (SELECT c_custkey AS k, c_custkey // 4 AS g, ((CAST(floor(c_acctbal) AS BIGINT) % 1000) + 1000) % 1000 AS a FROM customer),
-    o AS (SELECT *, 'd' || (g % 25) AS domain, CASE WHEN g % 2 = 0 THEN 'off' ELSE 'on' END AS thinking_mode, CASE WHEN (k // 2) % 2 = 1 THEN '3-hop' ELSE '2-hop' END AS hop_mode, CASE WHEN k % 17 <> 0 THEN (k % 2 = 1 AND k % 3 = 1)::INT END AS label,
+    o AS (SELECT *, 'd' || (g % 25) AS domain, CASE WHEN g % 2 = 0 THEN 'd' || (g % 25) ELSE 'e' || (g % 9) END AS site, CASE WHEN g % 2 = 0 THEN 'off' ELSE 'on' END AS thinking_mode, CASE WHEN (k // 2) % 2 = 1 THEN '3-hop' ELSE '2-hop' END AS hop_mode, CASE WHEN k % 17 <> 0 THEN (k % 2 = 1 AND k % 3 = 1)::INT END AS label,
               {_SCORE.format(0)} AS s0, {_SCORE.format(1)} AS s1, {_SCORE.format(2)} AS s2, {_SCORE.format(3)} AS s3 FROM c),
     t AS (SELECT *, s0 AS pre, CASE hop_mode WHEN '2-hop' THEN s2 ELSE s3 END AS executor, CASE hop_mode WHEN '2-hop' THEN (s1 + s2) / 2 ELSE (s1 + s2 + s3) / 3 END AS post, CASE hop_mode WHEN '2-hop' THEN greatest(s1, s2) ELSE greatest(s1, s2, s3) END AS peak,
               CASE hop_mode WHEN '2-hop' THEN ((s1 > s0)::INT + (s2 > s0)::INT) / 2 ELSE ((s1 > s0)::INT + (s2 > s0)::INT + (s3 > s0)::INT) / 3 END AS persistence FROM o)"""
-_REPORT = f"""WITH {T}, n AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT domain FROM t)),
-    q AS (SELECT r AS replicate, ('0x' || left(sha256('42:' || r || ':' || q.i), 8))::UBIGINT % n AS i FROM range({REPLICATES}) x(r) CROSS JOIN n q),
-    w AS (SELECT replicate, domain, count(*) AS w FROM q JOIN n USING (i) GROUP BY 1, 2 UNION ALL SELECT -1, domain, 1 FROM n),
-    s AS (SELECT thinking_mode, hop_mode, domain, label, '' AS kind, executor AS score FROM t WHERE label IS NOT NULL UNION ALL SELECT thinking_mode, hop_mode, domain, label, 'path_mean_', post FROM t WHERE label IS NOT NULL),
-    u AS (SELECT thinking_mode, hop_mode, kind, x.domain AS a, y.domain AS b, sum(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END)::DOUBLE AS won, count(*) AS pairs
+_REPORT = f"""WITH {T}, n AS (SELECT *, row_number() OVER (PARTITION BY thinking_mode, hop_mode ORDER BY site) - 1 AS i, count(*) OVER (PARTITION BY thinking_mode, hop_mode) AS n FROM (SELECT DISTINCT thinking_mode, hop_mode, site FROM t)),
+    q AS (SELECT thinking_mode, hop_mode, r AS replicate, ('0x' || left(sha256('42:' || r || ':' || q.i), 8))::UBIGINT % n AS i FROM range({REPLICATES}) x(r) CROSS JOIN n q),
+    w AS (SELECT thinking_mode, hop_mode, replicate, site, count(*) AS w FROM q JOIN n USING (thinking_mode, hop_mode, i) GROUP BY ALL UNION ALL SELECT thinking_mode, hop_mode, -1, site, 1 FROM n),
+    s AS (SELECT thinking_mode, hop_mode, site, label, '' AS kind, executor AS score FROM t WHERE label IS NOT NULL UNION ALL SELECT thinking_mode, hop_mode, site, label, 'path_mean_', post FROM t WHERE label IS NOT NULL),
+    u AS (SELECT thinking_mode, hop_mode, kind, x.site AS a, y.site AS b, sum(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END)::DOUBLE AS won, count(*) AS pairs
           FROM s x JOIN s y USING (thinking_mode, hop_mode, kind) WHERE x.label = 1 AND y.label = 0 GROUP BY ALL),
-    m AS (SELECT thinking_mode, hop_mode, wa.replicate, kind || 'auroc' AS metric, sum(wa.w * wb.w * won) / sum(wa.w * wb.w * pairs) AS value FROM u JOIN w wa ON wa.domain = u.a JOIN w wb ON wb.domain = u.b AND wb.replicate = wa.replicate GROUP BY thinking_mode, hop_mode, wa.replicate, kind
-        UNION ALL SELECT thinking_mode, hop_mode, replicate, kind || 'brier', sum(w * e) / sum(w * n) FROM (SELECT thinking_mode, hop_mode, domain, kind, sum((score - label) * (score - label)) AS e, count(*) AS n FROM s GROUP BY ALL) JOIN w USING (domain) GROUP BY thinking_mode, hop_mode, replicate, kind
+    m AS (SELECT thinking_mode, hop_mode, replicate, kind || 'auroc' AS metric, sum(wa.w * wb.w * won) / sum(wa.w * wb.w * pairs) AS value FROM u JOIN w wa USING (thinking_mode, hop_mode) JOIN w wb USING (thinking_mode, hop_mode, replicate) WHERE wa.site = u.a AND wb.site = u.b GROUP BY thinking_mode, hop_mode, replicate, kind
+        UNION ALL SELECT thinking_mode, hop_mode, replicate, kind || 'brier', sum(w * e) / sum(w * n) FROM (SELECT thinking_mode, hop_mode, site, kind, sum((score - label) * (score - label)) AS e, count(*) AS n FROM s GROUP BY ALL) JOIN w USING (thinking_mode, hop_mode, site) GROUP BY thinking_mode, hop_mode, replicate, kind
         UNION ALL SELECT thinking_mode, hop_mode, replicate, kind || 'ece', sum(gap) / sum(n) FROM (SELECT thinking_mode, hop_mode, replicate, kind, bin, abs(sum(w * e)) AS gap, sum(w * n) AS n
-            FROM (SELECT thinking_mode, hop_mode, domain, kind, {_BIN} AS bin, sum(score - label) AS e, count(*) AS n FROM s GROUP BY ALL) JOIN w USING (domain) GROUP BY ALL) GROUP BY thinking_mode, hop_mode, replicate, kind
+            FROM (SELECT thinking_mode, hop_mode, site, kind, {_BIN} AS bin, sum(score - label) AS e, count(*) AS n FROM s GROUP BY ALL) JOIN w USING (thinking_mode, hop_mode, site) GROUP BY ALL) GROUP BY thinking_mode, hop_mode, replicate, kind
         UNION ALL SELECT thinking_mode, hop_mode, replicate, unnest(['temporal_pre_anchor_mean', 'temporal_post_anchor_mean', 'temporal_divergence_mean', 'temporal_peak_shift_mean', 'temporal_persistence_mean']),
             unnest([sum(w * p) / sum(w * n), sum(w * q) / sum(w * n), sum(w * (q - p)) / sum(w * n), sum(w * (h - p)) / sum(w * n), sum(w * z) / sum(w * n)])
-            FROM (SELECT thinking_mode, hop_mode, domain, sum(pre) AS p, sum(post) AS q, sum(peak) AS h, sum(persistence) AS z, count(*) AS n FROM t GROUP BY ALL) JOIN w USING (domain) GROUP BY thinking_mode, hop_mode, replicate),
+            FROM (SELECT thinking_mode, hop_mode, site, sum(pre) AS p, sum(post) AS q, sum(peak) AS h, sum(persistence) AS z, count(*) AS n FROM t GROUP BY ALL) JOIN w USING (thinking_mode, hop_mode, site) GROUP BY thinking_mode, hop_mode, replicate),
     e AS (SELECT 'depth' AS record, thinking_mode, hop_mode, replicate, metric, value FROM m
         UNION ALL SELECT 'delta', thinking_mode, '3-hop_minus_2-hop', replicate, metric, y.value - x.value FROM (FROM m WHERE hop_mode = '2-hop') x JOIN (FROM m WHERE hop_mode = '3-hop') y USING (thinking_mode, replicate, metric))
     SELECT record, thinking_mode, hop_mode, metric, {snapped_sql('max(value) FILTER (replicate = -1)')} AS value, count(value) FILTER (replicate >= 0) AS n, {snapped_sql('quantile_cont(value, 0.025) FILTER (replicate >= 0)')} AS low, {snapped_sql('quantile_cont(value, 0.975) FILTER (replicate >= 0)')} AS high
@@ -67,8 +68,9 @@ _REPORT = f"""WITH {T}, n AS (SELECT domain, row_number() OVER (ORDER BY domain)
 
 @query(_REPORT)
 def depth_report(spark: SparkSession, d: str) -> DataFrame:
-    """All eleven metrics of four strata and their differences, with intervals of 1,000 replicates of the domains."""
-    out = depth.report(agent_scores(spark, d), ["thinking_mode", "hop_mode"], cluster="domain_id", replicates=REPLICATES)
+    """All eleven metrics of four strata and their differences, with intervals of 1,000 replicates of the strata's sites: 25
+    in one mode, 9 others in the other."""
+    out = depth.report(agent_scores(spark, d), ["thinking_mode", "hop_mode"], cluster="site_id", replicates=REPLICATES)
     return snapped(out, "value", "low", "high")
 
 

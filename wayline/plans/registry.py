@@ -602,17 +602,19 @@ def table_digest(spark: SparkSession, d: str) -> DataFrame:
 
 # --- resampling
 
-_WEIGHTS = """c AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM p)),
-    k AS (SELECT r AS replicate, ('0x' || left(sha256('0:' || r || ':' || q.i), 8))::UBIGINT % n AS i FROM range(30) t(r) CROSS JOIN c q),
-    w AS (SELECT replicate, source, count(*) AS weight FROM k JOIN c USING (i) GROUP BY replicate, source),
-    b AS (SELECT x.lang, wx.replicate, sum(wx.weight * wy.weight * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END)::DOUBLE / sum(wx.weight * wy.weight) AS auroc
-          FROM p x JOIN p y USING (lang) JOIN w wx ON wx.source = x.source JOIN w wy ON wy.source = y.source AND wy.replicate = wx.replicate WHERE x.label = 1 AND y.label = 0 GROUP BY 1, 2)"""
+REPLICATES = 1000
+_WEIGHTS = f"""c AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT DISTINCT lang, source FROM p)),
+    k AS (SELECT lang, r AS replicate, ('0x' || left(sha256('0:' || r || ':' || q.i), 8))::UBIGINT % n AS i FROM range({REPLICATES}) t(r) CROSS JOIN c q),
+    w AS (SELECT lang, replicate, source, count(*) AS weight FROM k JOIN c USING (lang, i) GROUP BY ALL),
+    u AS (SELECT lang, x.source AS a, y.source AS b, sum(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0.0 END)::DOUBLE AS won, count(*) AS pairs FROM p x JOIN p y USING (lang) WHERE x.label = 1 AND y.label = 0 GROUP BY ALL),
+    b AS (SELECT lang, replicate, sum(wx.weight * wy.weight * won) / sum(wx.weight * wy.weight * pairs) AS auroc FROM u JOIN w wx USING (lang) JOIN w wy USING (lang, replicate) WHERE wx.source = u.a AND wy.source = u.b GROUP BY ALL)"""
 
 
-@query(f"WITH {P}, {_WEIGHTS} SELECT lang, count(auroc) AS n, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high FROM b GROUP BY lang")
+@query(f"WITH {P}, {_WEIGHTS} SELECT lang, count(auroc) AS n, {snapped_sql('quantile_cont(auroc, 0.025)')} AS low, {snapped_sql('quantile_cont(auroc, 0.975)')} AS high FROM b GROUP BY lang")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    samples = resample.bootstrap_auroc(predictions(spark, d), ["lang"], "source", 30).where("auroc IS NOT NULL")
-    return rounded(resample.interval(samples, ["lang"], "auroc"), "low", "high")
+    """Intervals of each language's AUROC, sources being drawn from those of the language."""
+    samples = resample.bootstrap_auroc(predictions(spark, d), ["lang"], "source", REPLICATES).where("auroc IS NOT NULL")
+    return snapped(resample.interval(samples, ["lang"], "auroc"), "low", "high")
 
 
 @query(f"""WITH {P}, {_WEIGHTS}, o AS ({_pairs_sql('lang')}) SELECT lang, count(b.auroc) AS n, round(avg(b.auroc), 6) AS mean, round(stddev_pop(b.auroc), 6) AS sd, round(quantile_cont(b.auroc, 0.5), 6) AS q50,
@@ -624,6 +626,13 @@ def null_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(resample.null_summary(samples, seen, ["lang"], "auroc", "seen").drop("q025", "q975"), "mean", "sd", "q50", "p")
 
 
+@query()
+def row_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of each language's AUROC when single rows are drawn."""
+    samples = resample.row_bootstrap_auroc(predictions(spark, d), ["lang"], REPLICATES)
+    return snapped(resample.interval(samples, ["lang"], "auroc"), "low", "high")
+
+
 @query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_event_windows(spark: SparkSession, d: str) -> DataFrame:
     from wayline.streaming.ingest import event_stream, windowed, written
