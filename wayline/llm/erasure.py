@@ -98,7 +98,9 @@ def victims(spark: SparkSession, paths: Mapping[str, str], root: str, forgotten:
         rows = spark.read.parquet(paths[table]).select(
             F.col(f"`{column}`").alias("_on"), F.struct(*[F.col(f"`{c}`") for c in needed]).alias("keys"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
         )
-        here = rows.join(keys.where("_on IS NOT NULL").distinct(), "_on", "left_semi")
+        # Written first: a join of two plain exchanges can be split where a key is hot.
+        wanted = materialize(keys.where("_on IS NOT NULL").distinct(), f"keys-{table}")
+        here = rows.join(wanted, "_on", "left_semi")
         if table in found:  # a table that several links reach
             here = here.select("_on", "keys", "file", "row").join(found[table].select("file", "row"), ["file", "row"], "left_anti").select("_on", "keys", "file", "row")
         here = materialize(here.select("keys", "file", "row"), f"victims-{table}")

@@ -118,11 +118,12 @@ _AMOUNTS = {"clients": "balance", "clicks": "value", "sales": "total", "sale_lin
 
 def op13_cascading_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.llm.erasure import Link, erase, file_number, most_referenced, read_back, write_sorted
+    from wayline.llm.shared import materialize
     from wayline.session import scratch
 
     folder = scratch(spark, "erasure")
     tables = {name: table(spark, sf_dir, name) for name in _AMOUNTS}
-    owner = tables["sales"].where("sale_id IS NOT NULL").groupBy("sale_id").agg(F.min("client_id").alias("_client"))
+    owner = materialize(tables["sales"].where("sale_id IS NOT NULL").groupBy("sale_id").agg(F.min("client_id").alias("_client")), "owners")
     paths = {}
     for name, rows in tables.items():
         client, columns = "client_id", rows.columns
