@@ -42,6 +42,15 @@ def test_recall_and_messy_rows(spark):
     assert by[None].component_id is None and by[None].kept
 
 
+def test_one_id_with_several_pictures(spark):
+    """Picture a and an unrelated b under id 7, a copy of a under 9, copies of b under 4 and 12."""
+    a, b = picture(b"first"), picture(b"second")
+    rows = [(7, a), (7, b), (9, edited(a, 1)), (4, edited(b, 0)), (12, edited(b, 2)), (7, picture(b"third"))]
+    df = spark.createDataFrame([(i, write_pgm(x)) for i, x in rows], "media_id long, media binary").repartition(3)
+    got = sorted((r.media_id, r.component_id, r.n_links, r.kept) for r in media_copies(df).collect())
+    assert got == [(4, 4, 2, True), (7, 4, 2, False), (7, 7, 0, True), (7, 7, 1, True), (9, 7, 1, False), (12, 4, 2, False)]
+
+
 def test_pictures_of_vectors(spark):
     e = spark.createDataFrame([(2, [1.0, 2.0]), (3, [3.0]), (13, [3.0]), (5, None)], "vec_id long, embedding array<float>")
     got = {r.media_id: r.media for r in pictures(e).collect()}

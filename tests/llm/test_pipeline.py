@@ -33,6 +33,13 @@ def test_stages_on_messy_rows(spark, docs, known, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "substring dedup", "packing"]
 
 
+def test_a_unique_text_of_a_repeated_id_stays(spark):
+    rows = [(3, "same text here"), (5, "same  text here"), (5, "a unique text of doc five"), (8, "another"), (8, "another"), (None, "another"), (None, "only here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_copies(spark, docs, "").collect())
+    assert kept == sorted([("3", "same text here"), ("5", "a unique text of doc five"), ("8", "another"), ("8", "another"), ("None", "only here")])
+
+
 @pytest.fixture(scope="module")
 def corpus():
     """Documents of ordinary words, a quarter of them toxic, with exact copies, near copies and shared passages."""
@@ -127,5 +134,5 @@ def test_each_stage_against_brute_force(spark, corpus, tmp_path):
 
 def test_registered_names():
     names = queries.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)

@@ -13,6 +13,7 @@ from wayline.llm.warc import read_warc, warc_round_trip, write_warc
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:666>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
 HTML = [
     "<p>a</p>", "<p>a</p>", None, "", f"<pre>{FAKE}</pre>", FAKE * 3, "WARC/1.1\r\n", "WARC/1.1\r\nWARC/1.1\r\n\r\n\r\n", "WWARC/1.1\r\n", "é漢" * 1000, "\r\n\r\n", "x" * 300_000, f"<pre>{FAKE}</pre>", "Content-Length: 7\r\n\r\n", "\x00\x01",
+    *(f"a WARC/1.1\r\nContent-Length: {n}\r\n\r\nx" for n in ("9999999999", "2147483648", "9" * 15, "9" * 19, "9" * 40)),
 ]
 
 
@@ -39,6 +40,8 @@ def expected(rows, least=0):
 @pytest.mark.parametrize("least", [0, 9])
 def test_round_trip(spark, least):
     rows = [*enumerate(HTML), (3, ""), (None, "no id"), (None, "<p>a</p>")]
+    # One id with two payloads, each of which a later page has too.
+    rows += [(100, "first payload"), (100, "second payload"), (101, "first payload"), (102, "second payload"), (102, "third"), (102, "third")]
     got = warc_round_trip(frame(spark, rows), least).collect()
     assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == expected(rows, least)
 

@@ -41,11 +41,13 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, check, n_bytes) of each row; ``check`` is a second, independent hash of the text."""
+def digests(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(doc_id, digest, check, n_bytes) of each row, with ``carry`` the whole row as ``row``; ``check`` is a second,
+    independent hash of the text."""
     text = normalized(F.col(text_col))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).select(
-        "doc_id", F.unhex(F.sha2(F.col("t"), 256)).alias("digest"), F.xxhash64("t").alias("check"), F.octet_length("t").cast("long").alias("n_bytes")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), *whole).select(
+        "doc_id", F.unhex(F.sha2(F.col("t"), 256)).alias("digest"), F.xxhash64("t").alias("check"), F.octet_length("t").cast("long").alias("n_bytes"), *(["row"] if carry else [])
     )
 
 
@@ -163,23 +165,27 @@ def merged_runs(entries: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     return runs.select("digest", F.when(F.col("keep_id") != _NO_ID, F.col("keep_id")).alias("keep_id"), "group_size")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN, carry: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, with ``carry`` also the row itself,
+    as the structure ``row``.
 
     Texts are equal when they are identical after white-space runs became one space; null counts as empty. Of equal
     texts the row with the smallest id stays. ``group_size`` counts rows, so a row that is there twice counts twice and
-    both are kept. A row without an id takes part in its group but is kept only if no row of the group has an id. An
-    empty table gives an empty result; other columns, whatever their names, are ignored.
+    both are kept. Rows of one id with different texts are judged each by itself. A row without an id takes part in its
+    group but is kept only if no row of the group has an id. An empty table gives an empty result; other columns, whatever
+    their names, are ignored. Two different texts of one SHA-256 end the job with an error instead of being joined.
     """
     prepare(docs.sparkSession)
     entries = materialize(digests(docs, id_col, text_col), "digests")
     groups = materialize(merged_runs(entries, fan_in).where("group_size > 1"), "groups")
     # Copies of one text may be a large part of all rows: the rows of such a text are dealt to several tasks.
     heavy = groups.where(F.col("group_size") > max(entries.count() // HEAVY, 1))
-    return salted_join(entries.drop("check", "n_bytes"), groups, ["digest"], "left", heavy, SALTS).select(
+    rows = digests(docs, id_col, text_col, True) if carry else entries
+    return salted_join(rows.drop("check", "n_bytes"), groups, ["digest"], "left", heavy, SALTS).select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *(["row"] if carry else []),
     )

@@ -388,7 +388,8 @@ def media_copies(media: DataFrame, id_col: str = "media_id", media_col: str = "m
     ``media`` holds binary PGM images. Images of the same bytes are one image to the join and one component. A null,
     broken or featureless image is linked with nothing but equal bytes (null with nothing). A row without an id is
     linked with nothing: its component_id is null and it is kept. ``n_links`` counts the images that geometric consensus
-    links with the row's image. Repeated rows are one image; an empty table gives an empty result; other columns are
+    links with the row's image. Repeated rows are one image; rows of one id with different images are judged each by its
+    own image, so that the id may stand for several components. An empty table gives an empty result; other columns are
     ignored.
     """
     prepare(media.sparkSession)
@@ -396,13 +397,16 @@ def media_copies(media: DataFrame, id_col: str = "media_id", media_col: str = "m
     described = materialize(rows.mapInArrow(released(_describe), _SCHEMA), "corners")
     keyed = materialize(described.select(F.col("id").alias("media_id"), F.when(F.col("id").isNotNull(), F.col("same")).alias("same"), F.size("corners").cast("long").alias("n_corners")), "media")
     known = described.where("id IS NOT NULL AND same IS NOT NULL")
-    images = materialize(known.groupBy("same").agg(F.min("id").alias("id"), F.first("corners").alias("corners")), "images")
+    # An image is known by a number of its own: two images may have one id.
+    images = materialize(known.groupBy("same").agg(F.min("id").alias("least"), F.first("corners").alias("corners")).withColumn("id", F.monotonically_increasing_id()), "images")
     discard(described)
     links = materialize(linked(matches(images.select("id", "corners")), votes), "media-links")
     counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     label = components(links.select("a", "b")).withColumnRenamed("node", "id")
-    named = images.select("same", "id").join(counts, "id", "left").join(label, "id", "left")
-    named = named.select("same", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    named = images.select("same", "id", "least").join(counts, "id", "left").join(label, "id", "left")
+    named = materialize(named.select("same", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("node")), "nodes")
+    first = materialize(named.groupBy("node").agg(F.min("least").alias("component")), "components")
+    named = named.join(first, "node").select("same", "n_links", "component")
     component = F.coalesce("component", "media_id")
     return keyed.join(named, "same", "left").select(
         "media_id", "n_corners", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

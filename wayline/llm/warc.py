@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm.shared import discard, fresh_path, materialize, prepare, shuffle_partitions
+from wayline.llm.shared import HEAVY, discard, fresh_path, materialize, prepare, salted_join, shuffle_partitions
 
 VERSION = "WARC/1.1\r\n"
 BLANK = "\r\n\r\n"
 #: Records of one archive file; bounds what is lost with a file and read by a task when archives are compressed.
 FILE_RECORDS = 20_000
+#: Tasks that the rows of one very common payload are dealt to.
+SALTS = 16
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -38,11 +40,16 @@ def base32(hexadecimal: Column, digits: int = 40) -> Column:
 
 
 def assigned(pages: DataFrame, least: int) -> DataFrame:
-    """(page_id, refers_to) of the pages that revisit another one: of equal payloads of at least ``least`` bytes the
-    largest id is the response. Payloads are equal when their SHA-256 is."""
-    keys = materialize(pages.where("page_id IS NOT NULL").select("page_id", F.unhex(F.sha2("payload", 256)).alias("same"), F.octet_length("payload").alias("size")).where(F.col("size") >= least), "payloads")
-    groups = keys.groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return keys.join(groups, "same").where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    """``pages`` (page_id, payload and others) with ``refers_to``: for a page that revisits another one the id of that one.
+    Of equal payloads of at least ``least`` bytes the largest id is the response. Payloads are equal when their SHA-256
+    is. Rows are judged by their own payload, also where several have one id; a payload that a large part of all rows has
+    is dealt to several tasks."""
+    same = F.unhex(F.sha2("payload", 256))
+    keys = materialize(pages.where("page_id IS NOT NULL").where(F.octet_length("payload") >= least).select("page_id", same.alias("same")), "payloads")
+    groups = materialize(keys.groupBy("same").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1"), "responses")
+    heavy = groups.where(F.col("n") > max(keys.count() // HEAVY, 1))
+    joined = salted_join(pages.withColumn("same", same), groups.drop("n"), ["same"], "left", heavy, SALTS)
+    return joined.withColumn("refers_to", F.when(F.col("page_id") < F.col("largest"), F.col("largest"))).drop("same", "largest")
 
 
 def _record_id(page_id: Column) -> Column:
@@ -58,7 +65,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, compression: str = "
     table writes an archive folder without records; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    joined = rows.join(assigned(rows, least).hint("merge"), "page_id", "left")
+    joined = assigned(rows, least)
     size = F.octet_length("payload").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(BLANK))
     revisit = F.col("refers_to").isNotNull()
@@ -113,11 +120,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 _COLUMNS = ["record_id", "record_type", "target_uri", "refers_to", "declared_digest", "payload_bytes", "payload_digest"]
 
 
+def _length(head: str) -> Column:
+    """The length that a header tells, null beyond 15 digits: inside a payload any number may stand."""
+    return F.expr(f"try_cast(regexp_extract({head}, '(?im)^Content-Length:[ \\\\t]*([0-9]{{1,15}})(?![0-9])', 1) AS bigint)")
+
+
 def _described(df: DataFrame, data: str) -> DataFrame:
     """Adds what a record's bytes say to rows with ``data``, the bytes after its version line."""
     head, size = _after_blank(F.col(data))
-    df = df.withColumns({"head": head, "head_bytes": size}).withColumn("length", F.expr("try_cast(regexp_extract(head, '(?im)^Content-Length:[ \\\\t]*([0-9]+)', 1) AS bigint)"))
-    df = df.withColumn("content", F.expr(f"substring({data}, head_bytes + 1, CAST(length AS INT))"))
+    df = df.withColumns({"head": head, "head_bytes": size}).withColumn("length", _length("head"))
+    # A length beyond the fragment is cut there, and the record is not whole.
+    df = df.withColumn("content", F.expr(f"substring({data}, head_bytes + 1, CAST(least(length, octet_length({data})) AS INT))"))
     http, skip = _after_blank(F.col("content"))
     df = df.withColumns({"http": http, "skip": F.coalesce(skip, F.lit(0))})
     payload = F.expr("substring(content, skip + 1, octet_length(content) - skip)")
@@ -126,7 +139,7 @@ def _described(df: DataFrame, data: str) -> DataFrame:
     return df.withColumns({
         "record_id": _field(F.col("head"), "WARC-Record-ID"), "record_type": F.lower(_field(F.col("head"), "WARC-Type")), "target_uri": _field(F.col("head"), "WARC-Target-URI"),
         "refers_to": _field(F.col("head"), "WARC-Refers-To"), "declared_digest": said,
-        "payload_bytes": F.when(revisit, F.expr("try_cast(regexp_extract(http, '(?im)^Content-Length:[ \\\\t]*([0-9]+)', 1) AS bigint)")).otherwise(F.octet_length(payload).cast("long")),
+        "payload_bytes": F.when(revisit, _length("http")).otherwise(F.octet_length(payload).cast("long")),
         "payload_digest": F.when(revisit, said).otherwise(base32(F.sha1(payload))),
         "whole": F.octet_length("content") == F.col("length"),
     })
