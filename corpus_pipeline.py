@@ -29,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that differ in white space only, the document with the smallest id stays."""
-    return _without(docs, exact_dedup(docs).where("NOT kept"))
+    """Of texts that differ in white space only, the rows of the document with the smallest id stay. Rows are judged, not
+    ids: another text of an id that has a copy elsewhere stays."""
+    return exact_dedup(docs, carry=True).where("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
