@@ -1,7 +1,7 @@
 """Linear probes on vectors, fitted leaving one group out and scored inside the JVM.
 
-Fitting gathers at most ``max_rows`` rows of a stratum, those whose keys have the smallest hashes; that bound is what
-one task holds. Scoring joins the fitted weights, one row for each (stratum, fold), to all rows and is a dot product.
+Fits use all rows of a stratum: small strata in one task, large ones by sums that partitions add up (``fits.fit_by_sums``).
+Only where ``max_rows`` is given, a fit uses that many, those whose keys have the smallest hashes. Scoring joins the fitted weights, one row for each (stratum, fold), to all rows and is a dot product.
 """
 
 from __future__ import annotations
@@ -123,8 +123,9 @@ def _residual(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     return x - frame
 
 
-def fit_leaving_out(rows: DataFrame, by: Sequence[str], group: str, key: str, label: str, vector: str, probe: str = "logistic", pair: str | None = None, residual: bool = False, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(by, fold, weights, intercept): for each group a probe fitted to the other groups' labelled rows.
+def fit_leaving_out(rows: DataFrame, by: Sequence[str], group: str, key: str, label: str, vector: str, probe: str = "logistic", pair: str | None = None, residual: bool = False, max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """(by, fold, weights, intercept): for each group a probe fitted to the other groups' labelled rows, gathered in one
+    task: at most ``max_rows`` of a stratum, or all if that is None.
 
     With ``residual`` training rows are taken relative to their own group's mean and the test row's vector relative to
     the training rows' mean, which goes into the intercept. A fold whose training rows have one class only is left out.
@@ -148,24 +149,48 @@ def fit_leaving_out(rows: DataFrame, by: Sequence[str], group: str, key: str, la
             out.append([*[data[c].iloc[0] for c in columns], fold, w.tolist(), b - (float(w @ x[train].mean(axis=0)) if residual else 0.0)])
         return pd.DataFrame(out, columns=[*columns, "fold", "weights", "intercept"])
 
-    used = _bounded(rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()), columns, key, max_rows)
+    known = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    used = known if max_rows is None else _bounded(known, columns, key, max_rows)
     return used.select(*{*columns, group, label, vector, *([pair] if pair else [])}).groupBy(*columns).applyInPandas(folds, schema)
 
 
+def fitted(
+    rows: DataFrame, by: Sequence[str], group: str, key: str, label: str, vector: str, probe: str = "logistic", pair: str | None = None, residual: bool = False, max_rows: int | None = None, gathered: int = MAX_ROWS
+) -> DataFrame:
+    """(by, fold, weights, intercept): for each group a probe fitted to the other groups' rows, all of them or, if given, at
+    most ``max_rows`` of a stratum. Strata of up to ``gathered`` rows are fitted by one task each, larger ones by sums over
+    partitions; the two agree."""
+    from wayline.operators.fits import fit_by_sums
+    from wayline.operators.resample import _keyed
+
+    if max_rows is not None:
+        return fit_leaving_out(rows, by, group, key, label, vector, probe, pair, residual, max_rows)
+    sizes = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).groupBy(_keyed(by).alias("_key")).agg(F.count("*").alias("n")).collect()  # a design's strata
+    large = [r["_key"] for r in sizes if r["n"] > gathered]
+    few = lambda part: fit_leaving_out(part, by, group, key, label, vector, probe, pair, residual, None)
+    many = lambda part: fit_by_sums(part, by, group, label, vector, probe, pair, residual)
+    if not large:
+        return few(rows)
+    if len(large) == len(sizes):
+        return many(rows)
+    is_large = _keyed(by).isin(large)
+    return few(rows.where(~is_large)).unionByName(many(rows.where(is_large)))
+
+
 def held_out_scores(rows: DataFrame, models: DataFrame, by: Sequence[str], group: str, vector: str) -> DataFrame:
     """All rows with the score of the probe that was fitted without their group."""
     joined = rows.join(models.withColumnRenamed("fold", group), [*by, group])
     return joined.withColumn("score", 1 / (1 + F.exp(-(dot(F.col(vector), F.col("weights")) + F.col("intercept"))))).drop("weights", "intercept")
 
 
-def scored_layers(rows: DataFrame, by: Sequence[str], group: str, key: str, label: str, vector: str, probes: Sequence[str], pair: str | None = None, residual: bool = False, max_rows: int = MAX_ROWS) -> DataFrame:
+def scored_layers(rows: DataFrame, by: Sequence[str], group: str, key: str, label: str, vector: str, probes: Sequence[str], pair: str | None = None, residual: bool = False, max_rows: int | None = None) -> DataFrame:
     """All rows with the held-out score of every probe, ``probe_name``: one fit for each stratum (thinking mode, agent,
     layer, ...) and held-out group, all of them side by side. Strata where a fold lacks a class have no score there."""
-    parts = [held_out_scores(rows, fit_leaving_out(rows, by, group, key, label, vector, p, pair, residual, max_rows), by, group, vector).withColumn("probe_name", F.lit(p)) for p in probes]
+    parts = [held_out_scores(rows, fitted(rows, by, group, key, label, vector, p, pair, residual, max_rows), by, group, vector).withColumn("probe_name", F.lit(p)) for p in probes]
     return reduce(DataFrame.unionByName, parts)
 
 
-def layer_scan(rows: DataFrame, by: Sequence[str], layer: str, group: str, key: str, label: str, vector: str, probes: Sequence[str], pair: str | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
+def layer_scan(rows: DataFrame, by: Sequence[str], layer: str, group: str, key: str, label: str, vector: str, probes: Sequence[str], pair: str | None = None, max_rows: int | None = None) -> DataFrame:
     """(by, layer, probe_name, status, reason, n, n_folds, pooled, mean, deviation and range of the folds' AUROC): a probe
     for every stratum and layer that can be cross-validated by group, and the reason why the others cannot."""
     from wayline.operators.metrics import fold_summary
@@ -180,7 +205,7 @@ def layer_scan(rows: DataFrame, by: Sequence[str], layer: str, group: str, key:
     return every.join(found, [*strata, "probe_name"], "left").withColumn("status", F.when(F.col("reason").isNull(), "completed").otherwise("skipped"))
 
 
-def baselines(rows: DataFrame, by: Sequence[str], group: str, pair: str, key: str, label: str, vector: str, probes: Sequence[str] = ("pca", "contrast"), k: int = 5, seed: int = 42, max_rows: int = MAX_ROWS) -> DataFrame:
+def baselines(rows: DataFrame, by: Sequence[str], group: str, pair: str, key: str, label: str, vector: str, probes: Sequence[str] = ("pca", "contrast"), k: int = 5, seed: int = 42, max_rows: int | None = None) -> DataFrame:
     """(by, probe_name, scheme, n, n_folds, the AUROCs, accuracy) of every probe under three ways of cross-validation:
     ``stratified`` folds, ``leave_group_out``, and ``pairs``, whose folds keep pairs whole."""
     from wayline.operators.metrics import accuracy, fold_summary
@@ -209,17 +234,17 @@ def projected(rows: DataFrame, vector: str, axes: np.ndarray) -> DataFrame:
     return rows.withColumns({f"pc{i + 1}": dot(F.col(vector), F.array(*[F.lit(float(x)) for x in axis])) for i, axis in enumerate(axes)})
 
 
-def cohort_refits(rows: DataFrame, cohorts: dict[str, Sequence[str]], group: str, key: str, label: str, vector: str, probe: str = "logistic", max_rows: int = MAX_ROWS) -> DataFrame:
+def cohort_refits(rows: DataFrame, cohorts: dict[str, Sequence[str]], group: str, key: str, label: str, vector: str, probe: str = "logistic", max_rows: int | None = None) -> DataFrame:
     """(cohort, kind, n, n_folds, the AUROCs): each cohort of groups twice, as ``fold_filter`` with the scores of probes
     that saw all groups but the row's own, and as ``full_refit`` with probes that saw the cohort's groups only."""
     from wayline.operators.metrics import fold_summary
     from wayline.operators.pairs import membership
 
     one = rows.withColumn("cohort", F.lit("all"))
-    scored = held_out_scores(one, fit_leaving_out(one, ["cohort"], group, key, label, vector, probe, max_rows=max_rows), ["cohort"], group, vector)
+    scored = held_out_scores(one, fitted(one, ["cohort"], group, key, label, vector, probe, max_rows=max_rows), ["cohort"], group, vector)
     kept = membership(scored.drop("cohort"), cohorts, group)
     own = membership(rows, cohorts, group)
-    refitted = held_out_scores(own, fit_leaving_out(own, ["cohort"], group, key, label, vector, probe, max_rows=max_rows), ["cohort"], group, vector)
+    refitted = held_out_scores(own, fitted(own, ["cohort"], group, key, label, vector, probe, max_rows=max_rows), ["cohort"], group, vector)
     both = kept.select("cohort", group, label, "score", F.lit("fold_filter").alias("kind")).unionByName(refitted.select("cohort", group, label, "score", F.lit("full_refit").alias("kind")))
     return fold_summary(both.withColumnRenamed(label, "label"), ["cohort", "kind"], group)
 

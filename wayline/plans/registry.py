@@ -534,15 +534,15 @@ def cohort_refits(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def baseline_probes(spark: SparkSession, d: str) -> DataFrame:
-    v = layered(spark, d).where("mode = 'off'").drop("mode", "agent").withColumn("pair", F.concat_ws("-", F.col("grp").cast("string"), F.floor(F.col("vec_id") / 36).cast("string")))
-    out = probes.baselines(v, ["layer"], "grp", "pair", "vec_id", "label", "embedding")
+    v = layered(spark, d).withColumn("pair", F.concat_ws("-", "mode", F.col("grp").cast("string"), F.floor(F.col("vec_id") / 36).cast("string")))
+    out = probes.baselines(v, ["mode", "layer"], "grp", "pair", "vec_id", "label", "embedding")
     return rounded(out, "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", "accuracy", places=4)
 
 
 @query()
 def contrast_pair_lat(spark: SparkSession, d: str) -> DataFrame:
     v = vector_rows(spark, d).withColumns({"layer": F.lit(0), "pair": F.concat_ws("-", F.col("grp").cast("string"), F.col("pair_id").cast("string"))})
-    models = probes.fit_leaving_out(v, ["layer"], "grp", "vec_id", "label", "embedding", "contrast", "pair")
+    models = probes.fitted(v, ["layer"], "grp", "vec_id", "label", "embedding", "contrast", "pair")
     scored = probes.held_out_scores(v, models, ["layer"], "grp", "embedding")
     return rounded(metrics.fold_summary(scored, ["layer"], "grp"), "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", places=4)
 
@@ -550,7 +550,7 @@ def contrast_pair_lat(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def residual_probe(spark: SparkSession, d: str) -> DataFrame:
     v = vector_rows(spark, d).withColumn("layer", F.lit(0))
-    models = probes.fit_leaving_out(v, ["layer"], "grp", "vec_id", "label", "embedding", "centroid", residual=True)
+    models = probes.fitted(v, ["layer"], "grp", "vec_id", "label", "embedding", "centroid", residual=True)
     return rounded(metrics.fold_summary(probes.held_out_scores(v, models, ["layer"], "grp", "embedding"), ["layer"], "grp"), "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", places=4)
 
 
