@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.functions import hashing, text, vectors
-from wayline.operators import contracts, labels, ledger, metrics, pairs, probes, resample, review, sequence, splits
+from wayline.operators import contracts, labels, ledger, metrics, nulls, pairs, probes, resample, review, sequence, splits
 
 
 def one(spark, **columns):
@@ -452,5 +452,36 @@ def test_permutation_null_scores_all_rows(spark):
             z = x[test] @ w + b
             own.append(np.mean([(p > n) + (p == n) / 2 for p in z[y[test] == 1] for n in z[y[test] == 0]]))
         want[replicate] = np.mean(own)
-    got = {r.replicate: r.mean_auroc for r in probes.permutation_null(v, "g", "i", "y", "v", 5, "centroid", max_rows=40).collect()}
-    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for group_rows in (500, 3):  # gathered by group, and by joins
+        got = {r.replicate: r.mean_auroc for r in nulls.permutation_null(v, "g", "i", "y", "v", 5, "centroid", max_rows=40, group_rows=group_rows).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_permuted_labels_of_fixed_scores(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "ab"[i % 2], int(i % 5 % 3), float(rng.integers(0, 9)) / 9, int(rng.random() < 0.4) if i % 13 else None) for i in range(120)]
+    frame = spark.createDataFrame(rows, "k int, s string, g int, score double, label int")
+    dealt = {(r.replicate, r.k): r.permuted for r in resample.permuted_labels(frame.where("label IS NOT NULL").withColumn("sg", F.concat("s", F.col("g").cast("string"))), "sg", "k", "label", 70, 3).collect()}
+    got = nulls.permuted_auroc(frame, ["s"], "g", "k", 70, 3).collect()
+    assert len(got) == 140
+    for r in got:
+        own = [(x[3], dealt[r.replicate, x[0]]) for x in rows if x[1] == r.s and x[4] is not None]
+        assert r.auroc == pytest.approx(np.mean([(p > q) + (p == q) / 2 for p, a in own if a for q, b in own if not b]))
+    assert nulls.permuted_auroc(frame.limit(0), ["s"], "g", "k", 5).count() == 0
+    one = nulls.permuted_auroc(frame.withColumn("label", F.lit(1)), [], "g", "k", 3).collect()
+    assert [r.auroc for r in one] == [None] * 3
+
+
+def test_aurocs_of_columns():
+    rng = np.random.default_rng(0)
+    z, y = rng.integers(0, 5, (30, 4)) / 5, rng.integers(0, 2, (30, 4))
+    y[:, 3] = 1
+    want = [np.mean([(p > q) + (p == q) / 2 for p in z[y[:, c] == 1, c] for q in z[y[:, c] == 0, c]]) for c in range(3)]
+    got = nulls.column_aurocs(z, y)
+    assert np.allclose(got[:3], want) and np.isnan(got[3])
+
+
+def test_nulls_make_no_table_of_rows_and_replicates(spark):
+    v = spark.createDataFrame([(i, i % 3, i // 3 % 2, [float(i), 1.0]) for i in range(30)], "i long, g int, y int, v array<double>")
+    plan = nulls.permutation_null(v, "g", "i", "y", "v", 7, "centroid")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Window" not in plan

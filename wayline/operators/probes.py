@@ -249,20 +249,6 @@ def cohort_refits(rows: DataFrame, cohorts: dict[str, Sequence[str]], group: str
     return fold_summary(both.withColumnRenamed(label, "label"), ["cohort", "kind"], group)
 
 
-def permutation_null(rows: DataFrame, group: str, key: str, label: str, vector: str, replicates: int, probe: str = "logistic", seed: int = 0, max_rows: int = 2000) -> DataFrame:
-    """(replicate, mean_auroc) of complete refits under labels permuted within groups. Labels of all rows are permuted
-    and all rows are scored; a fit uses at most ``max_rows`` of them. Keys are unique."""
-    from wayline.operators.metrics import fold_summary
-    from wayline.operators.resample import permuted_labels
-
-    used = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("_key"), F.col(group).alias("_group"), F.col(label).alias("_label"), F.col(vector).alias("_vector"))
-    dealt = permuted_labels(used.drop("_vector"), "_group", "_key", "_label", replicates, seed).select("replicate", "_key", F.col("permuted").alias("label"))
-    few = used.orderBy(F.xxhash64("_key"), "_key").limit(max_rows).select("_key", "_group", "_vector")
-    models = fit_leaving_out(dealt.join(few, "_key"), ["replicate"], "_group", "_key", "label", "_vector", probe, max_rows=max_rows)
-    scored = held_out_scores(used.select("_key", "_group", "_vector"), models, [], "_group", "_vector").drop("_vector")
-    return fold_summary(scored.join(dealt, ["replicate", "_key"]), ["replicate"], "_group").select("replicate", "mean_auroc")
-
-
 def _products(vector_at: int) -> Callable:
     """For each partition: the number of its vectors, their sum and the sum of their products, as rows (i, values)."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import hashing, text, vectors
-from wayline.operators import contracts, ledger, metrics, pairs, probes, resample, review, sequence, splits
+from wayline.operators import contracts, ledger, metrics, nulls, pairs, probes, resample, review, sequence, splits
 from wayline.plans.frames import E, L, P, S, event_steps, ledger_rows, predictions, steps, table
 from wayline.plans.frames import vectors as vector_rows
 
@@ -561,7 +561,7 @@ REFIT_ROWS = 400
 @query()
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     v = vector_rows(spark, d).select("vec_id", "grp", "label", "embedding")
-    samples = probes.permutation_null(v, "grp", "vec_id", "label", "embedding", 999, "logistic", max_rows=REFIT_ROWS)
+    samples = nulls.permutation_null(v, "grp", "vec_id", "label", "embedding", 999, "logistic", max_rows=REFIT_ROWS)
     one = v.withColumn("layer", F.lit(0))
     models = probes.fit_leaving_out(one, ["layer"], "grp", "vec_id", "label", "embedding", "logistic", max_rows=REFIT_ROWS)
     seen = metrics.fold_summary(probes.held_out_scores(one, models, ["layer"], "grp", "embedding"), ["layer"], "grp").select(F.col("mean_auroc").alias("observed"))
@@ -617,13 +617,18 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return snapped(resample.interval(samples, ["lang"], "auroc"), "low", "high")
 
 
-@query(f"""WITH {P}, {_WEIGHTS}, o AS ({_pairs_sql('lang')}) SELECT lang, count(b.auroc) AS n, round(avg(b.auroc), 6) AS mean, round(stddev_pop(b.auroc), 6) AS sd, round(quantile_cont(b.auroc, 0.5), 6) AS q50,
-    count(*) FILTER (b.auroc >= 0.5) AS n_reaching, round((count(*) FILTER (b.auroc >= 0.5) + 1) / (count(b.auroc) + 1), 6) AS p FROM b GROUP BY lang""")
+@query(f"""WITH {P}, c AS (SELECT lang, source, count(*) FILTER (label = 1) AS n1 FROM p WHERE label IS NOT NULL GROUP BY ALL),
+    x AS (SELECT lang, r AS replicate, score, (row_number() OVER (PARTITION BY lang, source, r ORDER BY sha256('0:' || r || ':' || doc_id), doc_id) <= n1)::INT AS y FROM p JOIN c USING (lang, source) CROSS JOIN range({REPLICATES}) t(r) WHERE label IS NOT NULL),
+    k AS (SELECT lang, score, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS place FROM p WHERE label IS NOT NULL),
+    b AS (SELECT lang, replicate, (sum(place) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auroc FROM x JOIN (SELECT DISTINCT * FROM k) USING (lang, score) GROUP BY ALL), o AS ({_pairs_sql('lang')})
+    SELECT lang, count(b.auroc) AS n, {snapped_sql('avg(b.auroc)')} AS mean, {snapped_sql('stddev_pop(b.auroc)')} AS sd, {snapped_sql('quantile_cont(b.auroc, 0.5)')} AS q50, {snapped_sql('quantile_cont(b.auroc, 0.975)')} AS q975,
+    count(*) FILTER (round(b.auroc, 9) >= round(o.auroc, 9)) AS n_reaching, {snapped_sql('(count(*) FILTER (round(b.auroc, 9) >= round(o.auroc, 9)) + 1) / (count(b.auroc) + 1)')} AS p FROM b JOIN o USING (lang) GROUP BY lang""")
 def null_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Each language's AUROC against those under labels permuted within its sources."""
     p = predictions(spark, d)
-    samples = resample.bootstrap_auroc(p, ["lang"], "source", 30).where("auroc IS NOT NULL")
-    seen = p.select("lang").distinct().withColumn("seen", F.lit(0.5))
-    return rounded(resample.null_summary(samples, seen, ["lang"], "auroc", "seen").drop("q025", "q975"), "mean", "sd", "q50", "p")
+    samples = rounded(nulls.permuted_auroc(p, ["lang"], "source", "doc_id", REPLICATES), "auroc", places=9)
+    seen = rounded(metrics.auroc(p, ["lang"]).select("lang", F.col("auroc").alias("seen")), "seen", places=9)
+    return snapped(resample.null_summary(samples, seen, ["lang"], "auroc", "seen").drop("q025"), "mean", "sd", "q50", "q975", "p")
 
 
 @query()
