@@ -10,7 +10,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from wayline.plans import depth_report, outcomes, record_checks, registry, reports, rule_cases, run_forms  # noqa: F401  (the modules register their queries)
+from wayline.plans import artifacts, depth_report, outcomes, record_checks, registry, reports, rule_cases, run_forms  # noqa: F401  (the modules register their queries)
 
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="the driver tables are not here")
