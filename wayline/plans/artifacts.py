@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayline.plans.frames import table
 from wayline.plans.registry import query
 from wayline.session import scratch
-from wayline.sources import tensors
+from wayline.sources import tensors, versions
 
 #: Vectors of an artifact, one to a layer.
 LAYERS = 16
@@ -36,3 +36,22 @@ def tensor_scan(spark: SparkSession, d: str) -> DataFrame:
     return back.join(written, "g").select(
         (F.col("g") * LAYERS + F.col("layer")).alias("vec_id"), "mode", "finite", (F.col("sha256") == F.col("told")).alias("as_written"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"), "problem"
     )
+
+
+@query()
+def metadata_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Activation metadata of events in a table of versions, written by two appends, of which every seventh event's is
+    repaired; some repairs expect another checksum than the event has, some are of events that are not there."""
+    path = scratch(spark, "live")
+    meta = F.struct(F.concat(F.lit("live/"), F.col("event_id").cast("string")).alias("storage_path"), F.lit(0).cast("long").alias("sequence_length"), F.array(F.lit(8)).alias("layers_extracted"), F.lit("kept").alias("note"))
+    live = table(spark, d, "events").select("event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("checksum"), meta.alias("meta"))
+    versions.append(live.where("event_id % 2 = 0"), path, ["event_id"])
+    versions.append(live, path, ["event_id"])
+    k = F.col("event_id")
+    new = F.struct(F.concat(F.lit("repaired/"), k.cast("string")).alias("storage_path"), F.col("user_id").cast("long").alias("sequence_length"), F.array(F.lit(8), F.lit(40)).alias("layers"))
+    was = F.when(k % 21 == 0, "another").otherwise(F.sha2(k.cast("string"), 256))
+    changes = table(spark, d, "events").where("event_id % 7 = 0").select(F.when(k % 35 == 0, -k - 1).otherwise(k).alias("event_id"), was.alias("was"), new.alias("new"))
+    update = lambda row, change: {"meta": versions.repaired_metadata(row("meta"), change("new"), ["storage_path", "sequence_length", "layers_extracted"])}
+    refused = versions.upsert(changes, path, ["event_id"], update, {"checksum": "was"})
+    rows = versions.read_version(spark, path).select("event_id", "meta.storage_path", "meta.sequence_length", F.size("meta.layers_extracted").alias("n_layers"))
+    return rows.join(refused, "event_id", "full_outer")

@@ -1,4 +1,4 @@
-"""Sinks whose output does not depend on how rows were partitioned, and appends that can be repeated."""
+"""Sinks whose output does not depend on how rows were partitioned. Appends and changes by key are in ``versions``."""
 
 from __future__ import annotations
 
@@ -34,18 +34,6 @@ def sparse_union(*parts: DataFrame) -> DataFrame:
     return out.select(*sorted(out.columns))
 
 
-def append_new(rows: DataFrame, path: str, key: Sequence[str], schema: str) -> None:
-    """Appends the rows whose key the table does not have yet: the same rows may come again."""
-    old = rows.sparkSession.read.schema(schema).option("ignoreMissingFiles", "true")
-    fresh = rows.dropDuplicates(list(key))
-    try:
-        fresh = fresh.join(old.parquet(path).select(*key), list(key), "left_anti")
-    except Exception as error:  # the table does not exist before its first rows
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    fresh.write.mode("append").parquet(path)
-
-
 def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """``write`` gets a path beside ``path`` to write to; only when it is done is the old table moved away and the new one
     put in its place. A failure before that leaves the old table as it was."""

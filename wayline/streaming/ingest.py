@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wayline.session import scratch
-from wayline.sources.sinks import append_new
+from wayline.sources.versions import append
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -30,9 +30,10 @@ def windowed(events: DataFrame, width: str, by: Sequence[str], at: str = "ts", v
     return out.select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
 
-def append_log(events: DataFrame, path: str, checkpoint: str, key: Sequence[str] = ("event_id",), schema: str = EVENTS) -> StreamingQuery:
-    """Appends events to a table; a batch that is repeated after a failure adds nothing twice."""
-    write = lambda batch, _: append_new(batch, path, key, schema)
+def append_log(events: DataFrame, path: str, checkpoint: str, key: Sequence[str] = ("event_id",)) -> StreamingQuery:
+    """Appends events to a table of versions; a batch that is repeated after a failure adds nothing twice, and other
+    writers may append meanwhile."""
+    write = lambda batch, _: append(batch, path, key) and None
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
