@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.text import stripped
+from wayline.operators.alignment import ELIGIBILITY, evidence_rules
 from wayline.operators.labels import CANDIDATES, OUTCOMES, yes
 from wayline.operators.records import is_injection, unsafe_calls
 
@@ -151,7 +152,9 @@ TURN = (
 RETRIEVAL = (
     "struct<canonical_ranking_treatment:string,ranking_used_injection_text:boolean,selected_chunk_ids:array<string>,selected_chunks:array<struct<chunk_id:string,doc_id:string,page_number:int,token_count:int>>,selected_chunk_count:int,"
     "selected_token_count:int,document_token_budget:int,max_new_tokens:int,non_document_reserve_tokens:int,context_window_tokens:int,candidate_chunk_count:int,eligible_candidate_chunk_count:int,excluded_candidate_chunk_count:int,"
-    "profile_id:string,injection_bearing_chunk_id:string,source_documents:array<struct<doc_id:string,candidate_chunk_count:int,page_count:int,indexed_page_numbers:array<int>>>>"
+    "profile_id:string,injection_bearing_chunk_id:string,source_documents:array<struct<doc_id:string,candidate_chunk_count:int,page_count:int,indexed_page_numbers:array<int>,"
+    "non_evidence_page_numbers:array<int>,evidence_eligible_page_numbers:array<int>,eligible_candidate_chunk_count:int,excluded_candidate_chunk_count:int>>,"
+    f"evidence_eligibility:{ELIGIBILITY},document_token_budgets:map<string,int>,source_pdf_verification_required:boolean,source_pdf_verification:struct<status:string>>"
 )
 #: A whole trajectory document, as the invariants read it.
 DOCUMENT = (
@@ -236,6 +239,7 @@ def _retrieval_rules() -> dict[str, Column]:
         "payload": hits == F.when(c("treatment") == "injected", 1).otherwise(0), "event": F.size(found) == 1,
         "event_ids": (F.size(found) != 1) | metric["selected_chunk_ids"].eqNullSafe(ids), "event_blind": (F.size(found) != 1) | metric["ranking_used_injection_text"].eqNullSafe(F.lit(False)),
         "event_metrics": (F.size(found) != 1) | reduce(lambda a, b: a & b, [metric[f].eqNullSafe(t[f]) for f in ("selected_chunk_count", "selected_token_count", "document_token_budget")]),
+        **evidence_rules(t, F.col("documents")),
     }
 
 

@@ -80,3 +80,77 @@ def run_acceptance(spark: SparkSession, d: str) -> DataFrame:
     """Acceptance of runs made of conversations, judged in the order in which their records are written."""
     out = validators.acceptance(run_records(spark, d), position="position")
     return out.select("trajectory_id", "n_records", F.array_join("errors", " ").alias("errors"), F.array_join("warnings", " ").alias("warnings"), "accepted")
+
+
+#: Characters of a page, of a chunk, and how many chunks a document selects.
+PAGE, CHUNK, CHOSEN = 600, 250, 2
+
+
+@query(f"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, doc_id % 9 AS b, doc_id % 4 AS r FROM documents),
+    k AS (SELECT *, [i * {CHUNK} FOR i IN range(0, CAST(ceil(n / {CHUNK}.0) AS BIGINT))] AS begins, CAST(ceil(n / {PAGE}.0) AS BIGINT) AS n_pages FROM d),
+    p AS (SELECT *, [x FOR x IN begins IF (1 + x // {PAGE}) % 4 <> r] AS yes, [x FOR x IN begins IF (1 + x // {PAGE}) % 4 = r] AS no, len([x FOR x IN range(1, n_pages + 1) IF x % 4 = r]) AS n_gone FROM k),
+    t AS (SELECT *, list_sum([least({CHUNK}, n - x) // 4 FOR x IN list_concat(yes[1:{CHOSEN}], CASE WHEN b = 2 THEN no[1:1] ELSE [] END)]) AS spent FROM p),
+    u AS (SELECT *, greatest(coalesce(spent, 0), 1) - CASE WHEN b = 3 THEN 1 ELSE 0 END AS budget FROM t)
+    SELECT doc_id, len(begins) AS n_chunks, len(yes) AS n_eligible, trim(CASE WHEN b = 5 THEN 'evidence_source ' ELSE '' END || CASE WHEN b = 6 AND n_gone > 0 THEN 'evidence_pages ' ELSE '' END || CASE WHEN b = 7 THEN 'evidence_unknown ' ELSE '' END
+        || CASE WHEN b = 1 AND n_gone > 0 THEN 'evidence_summary ' WHEN b = 7 AND n_gone > 0 THEN 'evidence_summary ' ELSE '' END || CASE WHEN b = 8 THEN 'evidence_counts ' ELSE '' END || CASE WHEN b = 2 AND len(no) > 0 THEN 'evidence_chunk ' ELSE '' END
+        || CASE WHEN b = 4 THEN 'pdf ' ELSE '' END || CASE WHEN budget < 1 THEN 'budgets ' WHEN coalesce(spent, 0) > budget THEN 'budget_each ' ELSE '' END) AS errors FROM u""")
+def evidence_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of documents, the pages that they begin on, and a retrieval of the first two of them that lie on pages that may
+    be evidence; every ninth document breaks one rule after another."""
+    from wayline.operators import alignment
+
+    c = F.col
+    t = table(spark, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), (c("doc_id") % 9).alias("b"), (c("doc_id") % 4).cast("int").alias("r"), c("doc_id").cast("string").alias("id"))
+    every = lambda step: F.when(c("n") > 0, F.sequence(F.lit(0), c("n") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    t = t.withColumns({"begins": every(CHUNK), "page_begins": every(PAGE)}).withColumn("page", alignment.pages_of(c("begins"), c("page_begins")))
+    chunk = F.transform("begins", lambda x, i: F.struct(F.get("page", i).alias("page_number"), (F.floor(F.least(F.lit(CHUNK), c("n") - x) / 4)).cast("int").alias("token_count"), c("id").alias("doc_id")))
+    t = t.withColumn("chunk", chunk).withColumns({"yes": F.filter("chunk", lambda x: x["page_number"] % 4 != c("r")), "no": F.filter("chunk", lambda x: x["page_number"] % 4 == c("r"))})
+    numbers = F.transform("page_begins", lambda _, i: i + 1)
+    gone = F.filter(numbers, lambda x: x % 4 == c("r"))
+    entries = F.transform(gone, lambda x: F.struct(x.alias("page_number"), F.when(c("b") == 6, " ").otherwise("front matter").alias("reason")))
+    t = t.withColumns({"gone": gone, "chosen": F.concat(F.slice("yes", 1, CHOSEN), F.when(c("b") == 2, F.slice("no", 1, 1)).otherwise(F.array()))})
+    spent = F.aggregate("chosen", F.lit(0), lambda a, x: a + x["token_count"])
+    budget = F.greatest(spent, F.lit(1)) - F.when(c("b") == 3, 1).otherwise(0)
+    source = F.struct(
+        c("id").alias("doc_id"), F.size("chunk").alias("candidate_chunk_count"), F.size("page_begins").alias("page_count"), numbers.alias("indexed_page_numbers"), F.when(c("b") == 1, F.slice("gone", 2, 1 << 20)).when(c("b") == 6, F.array()).otherwise(c("gone")).alias("non_evidence_page_numbers"),
+        F.when(c("b") == 6, numbers).otherwise(F.array_except(numbers, "gone")).alias("evidence_eligible_page_numbers"), F.size("yes").alias("eligible_candidate_chunk_count"), F.size("no").alias("excluded_candidate_chunk_count"),
+    )
+    trace = F.struct(
+        c("chosen").alias("selected_chunks"), F.size("chunk").alias("candidate_chunk_count"), (F.size("yes") + F.when(c("b") == 8, 1).otherwise(0)).alias("eligible_candidate_chunk_count"), F.size("no").alias("excluded_candidate_chunk_count"), F.array(source).alias("source_documents"),
+        F.struct(F.when(c("b") != 5, "clean_source_section_type").alias("determined_from"), F.lit(True).alias("all_pages_remain_indexed"), F.create_map(F.when(c("b") == 7, "nobody").otherwise(c("id")), entries).alias("non_evidence_pages")).alias("evidence_eligibility"),
+        F.create_map(c("id"), budget).alias("document_token_budgets"), F.lit(1 << 30).alias("document_token_budget"), F.lit(True).alias("source_pdf_verification_required"), F.struct(F.when(c("b") == 4, "pending").otherwise("verified").alias("status")).alias("source_pdf_verification"),
+    )
+    rows = t.select("doc_id", F.size("chunk").alias("n_chunks"), F.size("yes").alias("n_eligible"), trace.alias("trace"), F.array(F.struct(c("id").alias("doc_id"))).alias("documents"))
+    errors = validators.broken(alignment.evidence_rules(c("trace"), c("documents")))
+    return rows.select("doc_id", "n_chunks", "n_eligible", F.array_join(errors, " ").alias("errors"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, coalesce(text, '') AS t, string_split(coalesce(text, ''), ' ') AS w FROM conversations),
+    k AS (SELECT *, (conv_id * 3 + turn) % len(w) AS k, (conv_id * 7 + turn) % 8 AS b FROM w),
+    i AS (SELECT *, w[k + 1] || coalesce(' ' || w[k + 2], '') AS x, least(k + 2, len(w)) AS last, coalesce(list_sum([length(v) + 1 FOR v IN w[1:k]]), 0) AS pos FROM k),
+    o AS (SELECT *, x <> '' AND length(t) - length(replace(t, x, '')) = length(x) AND strpos(t, x) = pos + 1 AND NOT (w[k + 1] = '' OR x LIKE '% ') AS once FROM i)
+    SELECT conv_id, turn, once, CASE WHEN once THEN k END AS start_token, CASE WHEN once THEN last END AS end_token, trim(CASE WHEN b = 4 THEN 'presence ' ELSE '' END || CASE WHEN b = 3 THEN 'prompt_hash ' ELSE '' END || CASE WHEN b = 5 THEN 'convention ' ELSE '' END
+        || CASE WHEN b = 1 AND once THEN 'char_span ' ELSE '' END || CASE WHEN b = 2 AND once AND last + 1 > len(w) THEN 'token_span ' ELSE '' END || CASE WHEN b = 2 AND once THEN 'token_cover ' ELSE '' END) AS errors FROM o""")
+def token_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Two words of each turn as injected text, where they stand there once, aligned with the turn's words as tokens; some
+    alignments are then changed in one field."""
+    from wayline.operators import alignment
+
+    c = F.col
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("rendered_input")).withColumn("w", F.split("rendered_input", " ", -1))
+    begins = F.transform("w", lambda _, i: F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda a, v: a + F.length(v) + 1))
+    rows = rows.withColumns({"begins": begins, "k": ((c("conv_id") * 3 + c("turn")) % F.size("w")).cast("int"), "b": (c("conv_id") * 7 + c("turn")) % 8}).withColumn("ends", F.zip_with("begins", "w", lambda a, v: a + F.length(v)))
+    first = F.get("w", c("k"))
+    text = F.concat(first, F.coalesce(F.concat(F.lit(" "), F.get("w", c("k") + 1)), F.lit("")))
+    once = (text != "") & (F.length("rendered_input") - F.length(F.replace("rendered_input", text, F.lit(""))) == F.length(text)) & (F.position(text, c("rendered_input")) == F.get("begins", c("k")) + 1) & (first != "") & ~F.endswith(text, F.lit(" "))
+    rows = rows.withColumns({"injection_text": F.when(once, text), "raw_poison_exposed": once, "tokenizer_name": F.lit("words"), "tokenizer_revision": F.lit("1"), "input_token_ids": F.transform("w", lambda _, i: i), "rendered_input_sha256": F.sha2("rendered_input", 256)})
+    made = alignment.injection_alignment(c("rendered_input"), c("injection_text"), c("begins"), c("ends"), c("tokenizer_name"), c("tokenizer_revision"))
+    rows = rows.withColumn("told", made)
+    a = c("told")
+    changed = (
+        F.when((c("b") == 1) & c("raw_poison_exposed"), a.withField("char_span.start_char", a["char_span"]["start_char"] + 1)).when((c("b") == 2) & c("raw_poison_exposed"), a.withField("injection_token_span.end_token", a["injection_token_span"]["end_token"] + 1))
+        .when(c("b") == 3, a.withField("rendered_prompt_hash", F.lit("x"))).when(c("b") == 4, a.withField("injection_present_in_prompt", ~c("raw_poison_exposed"))).when(c("b") == 5, a.withField("span_convention", F.lit("closed"))).otherwise(a)
+    )
+    judged = rows.withColumn("token_alignment", changed).withColumn("key", F.struct("conv_id", "turn", "raw_poison_exposed", "told"))
+    span = c("key.told.injection_token_span")
+    return alignment.result_violations(judged, "key").select("key.conv_id", "key.turn", c("key.raw_poison_exposed").alias("once"), span["start_token"].alias("start_token"), span["end_token"].alias("end_token"), F.array_join("errors", " ").alias("errors"))
