@@ -593,11 +593,12 @@ def id_set_digest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), hashing.id_set_sha256("source").alias("ids_sha256"))
 
 
-@query("""WITH r AS (SELECT l_returnflag AS flag, sha256('{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || '}') AS h FROM lineitem),
-    s AS (SELECT flag, left(h, 4) AS s, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY 1, 2), t AS (SELECT flag, left(s, 2) AS s, sum(n) AS n, sha256(string_agg(d, '' ORDER BY s, d)) AS d FROM s GROUP BY 1, 2)
-    SELECT flag, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY s, d)) AS table_sha256 FROM t GROUP BY flag""")
+@query("""WITH r AS (SELECT l_returnflag AS flag, sha256('{"l_comment":' || coalesce('"' || l_returnflag || '"', 'null') || ',"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || '}') AS h FROM lineitem),
+    s AS (SELECT flag, count(*) AS n, [sum(('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 33, 16))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 49, 16))::UBIGINT::HUGEINT)] AS x FROM r GROUP BY flag)
+    SELECT flag, n, sha256(n || ':' || array_to_string([(v % 18446744073709551616::HUGEINT)::VARCHAR FOR v IN x], ':')) AS table_sha256 FROM s""")
 def table_digest(spark: SparkSession, d: str) -> DataFrame:
-    return hashing.table_sha256(table(spark, d, "lineitem").withColumn("flag", F.col("l_returnflag")), ["flag"], ["l_orderkey", "l_linenumber"])
+    rows = table(spark, d, "lineitem").withColumns({"flag": F.col("l_returnflag"), "l_comment": F.col("l_returnflag")})
+    return hashing.table_sha256(rows, ["flag"], ["l_orderkey", "l_linenumber", "l_comment"])
 
 
 # --- resampling
