@@ -272,10 +272,11 @@ def hold_out(rows: DataFrame, key: str, label: str, share: float = 0.3, seed: in
     return dealt.withColumn("is_test", F.col("fold") < int(share * folds)).drop("fold")
 
 
-def columns_of(rows: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row with an array for each column, in a total order; for small tables."""
+def columns_of(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(by, columns): of each group, a run or a stratum of a handful of rows, one row with an array for each column in a
+    total order."""
     sorted_rows = F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in columns])))
-    return rows.agg(sorted_rows.alias("r")).select(*[F.col(f"r._{c}").alias(c) for c in columns])
+    return rows.groupBy(*by).agg(sorted_rows.alias("r")).select(*by, *[F.col(f"r._{c}").alias(c) for c in columns])
 
 
 def declared(rows: DataFrame, by: Sequence[str], layers: str) -> DataFrame:

@@ -132,17 +132,17 @@ def stochastic_control(spark: SparkSession, d: str) -> DataFrame:
     return controls.counted(_distances(spark, d), ["grp"], {"near": F.col("relative") < 1.3, "aligned": F.col("cosine") > 0})
 
 
-@query(f"""WITH {P}, a AS ({_pairs_sql('lang, source')}), l AS (SELECT DISTINCT lang FROM p), m AS (SELECT lang, max(auroc) AS largest, max_by(source, (auroc, -CAST(replace(source, 'src', '') AS INT))) AS s FROM a GROUP BY lang)
-    SELECT lang, round(largest, 6) AS largest, CASE WHEN largest IS NULL THEN 'NOT AVAILABLE' WHEN largest >= 0.75 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM l LEFT JOIN m USING (lang)""")
+@query(f"""WITH {P}, a AS ({_pairs_sql('lang, source')}), l AS (SELECT DISTINCT lang FROM p), m AS (SELECT lang, max(auroc) AS largest, first(source ORDER BY auroc DESC, source) AS strongest FROM a GROUP BY lang)
+    SELECT lang, strongest, round(largest, 6) AS largest, CASE WHEN largest IS NULL THEN 'NOT AVAILABLE' WHEN largest >= 0.75 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM l LEFT JOIN m USING (lang)""")
 def negative_control(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(controls.negative_control(metrics.auroc(predictions(spark, d), ["lang", "source"]), ["lang"], "source").drop("strongest"), "largest")
+    return rounded(controls.negative_control(metrics.auroc(predictions(spark, d), ["lang", "source"]), ["lang"], "source"), "largest")
 
 
 @query(f"""WITH {P}, g AS (SELECT lang, hop, source, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM p GROUP BY 1, 2, 3),
     f AS (SELECT lang, hop, p, n, sum(p) OVER w - p AS lp, sum(n) OVER w - n AS ln FROM g WINDOW w AS (PARTITION BY lang, hop)),
     r AS (SELECT lang, hop, CASE WHEN sum(p) = 0 OR sum(n) = 0 THEN 'single_class' WHEN count(*) < 2 THEN 'too_few_groups' WHEN min(least(lp, ln)) = 0 THEN 'fold_lacks_class' END AS reason FROM f GROUP BY lang, hop),
     a AS ({_pairs_sql('lang, hop')}) SELECT lang, hop, reason, CASE WHEN reason IS NULL THEN 'completed' ELSE 'skipped' END AS status, CASE WHEN reason IS NULL THEN round(auroc, 6) END AS auroc FROM r LEFT JOIN a USING (lang, hop)""")
-def layer_scan(spark: SparkSession, d: str) -> DataFrame:
+def stratum_readiness(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d)
     scan = splits.fold_skips(p, ["lang", "hop"], "source", "label").join(metrics.auroc(p, ["lang", "hop"]).select("lang", "hop", "auroc"), ["lang", "hop"], "left")
     done = F.col("reason").isNull()

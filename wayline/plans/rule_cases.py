@@ -221,10 +221,10 @@ def policy_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as trajectories of domains (nations 0 to 2 of which only the first is managed), with ids that name their
+    """Customers as trajectories of domains (nations, of which only the first is managed), with ids that name their
     protocol and profile."""
     k = F.col("c_custkey")
-    rows = table(spark, d, "customer").where("c_nationkey < 3").select(
+    rows = table(spark, d, "customer").select(
         k, F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("domain_id"), F.when(k % 2 == 0, "clean").otherwise("injected").alias("treatment"), F.when(F.floor(k / 2) % 2 == 0, "2-hop").otherwise("3-hop").alias("delegation_depth"),
         F.when(F.floor(k / 4) % 2 == 0, "off").otherwise("on").alias("thinking_mode"), F.when(k % 3 == 0, "v1").otherwise("v2").alias("g"), F.when(k % 5 == 0, "odd").otherwise("neutral").alias("p"),
     )
@@ -234,19 +234,19 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _policy(spark: SparkSession) -> DataFrame:
-    rules = {"n0": _RULE, "n9": _RULE}
+    rules = {"n0": _RULE, "n99": _RULE}
     policy = spark.range(1).select(F.from_json(F.lit(json.dumps(_POLICY | {"domain_protocols": rules})), f"struct<{_as_struct(validators.POLICY)}>").alias("v")).select("v.*")
     return validators.policy_rules(policy)
 
 
 _RUNS = """r AS (SELECT c_custkey AS k, 'n' || c_nationkey AS domain_id, c_nationkey = 0 AS managed, CASE WHEN c_custkey % 3 = 0 THEN 'v1' ELSE 'v2' END AS g, CASE WHEN c_custkey % 5 = 0 THEN 'odd' ELSE 'neutral' END AS p, CASE WHEN (c_custkey // 4) % 2 = 0 THEN 'off' ELSE 'on' END AS mode,
-    c_nationkey <> 0 OR (c_custkey % 3 <> 0 AND c_custkey % 5 <> 0) AS selected FROM customer WHERE c_nationkey < 3),
+    c_nationkey <> 0 OR (c_custkey % 3 <> 0 AND c_custkey % 5 <> 0) AS selected FROM customer),
     i AS (SELECT *, 't' || k || '__prompt_' || p || '__gen_' || g || '__thinking_' || mode AS id FROM r)"""
 
 
 @query(f"""WITH {_RUNS}, a AS (SELECT CASE WHEN managed THEN domain_id END AS domain_id, count(*) AS n_input, count(*) FILTER (selected) AS n_selected, count(*) FILTER (NOT selected) AS n_excluded,
         string_agg(DISTINCT g, ',' ORDER BY g) FILTER (selected) AS protocols, sha256(coalesce(string_agg(DISTINCT id, chr(10) ORDER BY id) FILTER (selected), '')) AS selected_sha256 FROM i GROUP BY 1)
-    SELECT domain_id, n_input, n_selected, n_excluded, coalesce(protocols, '') AS protocols, CASE WHEN n_selected > 0 THEN 'complete' ELSE 'not_present' END AS status, selected_sha256 FROM a UNION ALL SELECT 'n9', 0, 0, 0, '', 'not_present', NULL""")
+    SELECT domain_id, n_input, n_selected, n_excluded, coalesce(protocols, '') AS protocols, CASE WHEN n_selected > 0 THEN 'complete' ELSE 'not_present' END AS status, selected_sha256 FROM a UNION ALL SELECT 'n99', 0, 0, 0, '', 'not_present', NULL""")
 def policy_audit(spark: SparkSession, d: str) -> DataFrame:
     return validators.policy_audit(_runs(spark, d), _policy(spark)).withColumn("protocols", F.array_join("protocols", ","))
 
@@ -305,11 +305,13 @@ def repair_contract(spark: SparkSession, d: str) -> DataFrame:
     return validators.repair_violations(asked, done, ["o_orderkey"], ["agent"]).withColumn("errors", F.array_join(F.array_compact("errors"), " "))
 
 
-@query("""WITH c AS (SELECT l_partkey AS k, count(*) FILTER (l_linestatus = 'O') AS lo, count(*) FILTER (l_linestatus = 'F') AS hi, min(l_returnflag) FILTER (l_linestatus = 'O') AS a, min(l_returnflag) FILTER (l_linestatus = 'F') AS b, min(l_linenumber) FILTER (l_linestatus = 'O') AS c, min(l_linenumber) FILTER (l_linestatus = 'F') AS d
-        FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
-    SELECT k AS l_partkey, lo = 1 AND hi = 1 AND a IS NOT DISTINCT FROM b AS l_returnflag, lo = 1 AND hi = 1 AND c IS NOT DISTINCT FROM d AS l_linenumber, lo = 1 AND hi = 1 AND a IS NOT DISTINCT FROM b AND c IS NOT DISTINCT FROM d AS passed FROM c WHERE lo + hi > 0""")
+@query("""WITH c AS (SELECT l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS quantity, count(*) FILTER (l_linestatus = 'O') AS lo, count(*) FILTER (l_linestatus = 'F') AS hi, min(l_returnflag) FILTER (l_linestatus = 'O') AS a, min(l_returnflag) FILTER (l_linestatus = 'F') AS b, min(l_linenumber) FILTER (l_linestatus = 'O') AS c, min(l_linenumber) FILTER (l_linestatus = 'F') AS d
+        FROM lineitem GROUP BY 1, 2, 3)
+    SELECT l_partkey, l_suppkey, quantity, lo = 1 AND hi = 1 AND a IS NOT DISTINCT FROM b AS l_returnflag, lo = 1 AND hi = 1 AND c IS NOT DISTINCT FROM d AS l_linenumber, lo = 1 AND hi = 1 AND a IS NOT DISTINCT FROM b AND c IS NOT DISTINCT FROM d AS passed FROM c WHERE lo + hi > 0""")
 def pair_controls(spark: SparkSession, d: str) -> DataFrame:
-    return validators.pair_controls(table(spark, d, "lineitem").where("l_linenumber = 1"), ["l_partkey"], "l_linestatus", "O", "F", ["l_returnflag", "l_linenumber"])
+    """Lines of one part, supplier and quantity as pairs of an open and a filled one."""
+    rows = table(spark, d, "lineitem").withColumn("quantity", F.col("l_quantity").cast("long"))
+    return validators.pair_controls(rows, ["l_partkey", "l_suppkey", "quantity"], "l_linestatus", "O", "F", ["l_returnflag", "l_linenumber"])
 
 
 @query("""SELECT 'rows' AS what, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 = 0 UNION ALL SELECT 'apps', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'none' END) > 1)""")

@@ -118,10 +118,10 @@ def completed_modes(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.array_join("modes", ",").alias("modes"), runs.scope_note(F.col("groups")).alias("note"), F.size("groups").cast("long").alias("n_groups"))
 
 
-@query(f"""WITH {P}, m AS (SELECT lang AS probe_name, hop AS hop_mode, avg(score) AS value FROM p WHERE lang <> 'fr' GROUP BY ALL), w AS (SELECT a.x AS probe_name, b.x AS hop_mode FROM (VALUES ('en'), ('de'), ('fr'), ('xx')) a(x) CROSS JOIN (VALUES ('2-hop'), ('3-hop')) b(x))
+@query(f"""WITH {P}, m AS (SELECT lang AS probe_name, hop AS hop_mode, avg(score) AS value FROM p GROUP BY ALL), w AS (SELECT a.x AS probe_name, b.x AS hop_mode FROM (VALUES ('en'), ('de'), ('fr'), ('xx')) a(x) CROSS JOIN (VALUES ('2-hop'), ('3-hop')) b(x))
     SELECT probe_name, hop_mode, 'mean' AS metric, {snapped_sql('value')} AS value, CASE WHEN value IS NULL THEN 'missing' WHEN probe_name = 'de' THEN 'no_interval' ELSE 'present' END AS status FROM w LEFT JOIN m USING (probe_name, hop_mode)""")
 def primary_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = predictions(spark, d).where("lang <> 'fr'").groupBy(F.col("lang").alias("probe_name"), F.col("hop").alias("hop_mode")).agg(F.avg("score").alias("value"))
+    m = predictions(spark, d).groupBy(F.col("lang").alias("probe_name"), F.col("hop").alias("hop_mode")).agg(F.avg("score").alias("value"))
     m = m.withColumns({"thinking_mode": F.lit("off"), "layer": F.lit(40), "metric": F.lit("mean")})
     spans = m.where("probe_name <> 'de'").withColumns({"low": F.col("value") - 0.1, "high": F.col("value") + 0.1}).drop("value")
     out = runs.primary_metrics(m.unionByName(m.withColumn("layer", F.lit(32))), spans, ["en", "de", "fr", "xx"], ["mean"])
@@ -149,13 +149,21 @@ def snapshot_rules(spark: SparkSession, d: str) -> DataFrame:
     return runs.snapshot_violations(rows, trajectories=5).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('id', 'S09'), ('allowed:gate', 'S02'), ('title', 'S03'), ('entrypoints', 'S04'), ('prerequisite', 'S01'), ('prerequisite', 'S04'), ('entrypoint_path', 'S02'), ('entrypoint_file', 'S02'), ('entrypoint_file', 'S09')) AS v(rule_id, stage)""")
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey - 1 AS place, CASE WHEN s_suppkey % 11 = 0 THEN 'X' || s_suppkey ELSE 'S' || lpad(CAST(s_suppkey - 1 AS VARCHAR), CAST(greatest(2, length(CAST(s_suppkey - 1 AS VARCHAR))) AS INT), '0') END AS id FROM supplier)
+    SELECT 'id' AS rule_id, id AS stage FROM s WHERE k % 11 = 0 UNION ALL SELECT 'allowed:gate', id FROM s WHERE k % 7 = 3 UNION ALL SELECT 'title', id FROM s WHERE k % 13 = 5 UNION ALL SELECT 'entrypoints', id FROM s WHERE k % 17 = 4
+    UNION ALL SELECT 'prerequisite', id FROM s WHERE k % 19 = 6 UNION ALL SELECT 'prerequisite', id FROM s WHERE k > 1 AND (k - 1) % 11 = 0 UNION ALL SELECT 'entrypoint_path', id FROM s WHERE k % 5 = 2 AND k % 17 <> 4 UNION ALL SELECT 'entrypoint_file', id FROM s WHERE k % 5 = 2 AND k % 17 <> 4""")
 def stage_rules(spark: SparkSession, d: str) -> DataFrame:
-    rows = [
-        (0, "S00", "none", "scan", [], ["a.py"]), (1, "S01", "review", "score", ["S02"], ["a.py", "b.py"]), (2, "S02", "odd", "plot", ["S01"], ["../c.py"]), (3, "S03", "none", " ", ["S00", "S01"], ["a.py"]), (4, "S04", "none", "x", ["S77"], []), (5, "S09", "none", "y", [], ["gone.py"]),
-    ]
-    stages = spark.createDataFrame(rows, "place int, stage_id string, gate string, title string, prerequisites array<string>, entrypoints array<string>")
-    return runs.stage_violations(stages, ["none", "review"], spark.createDataFrame([("a.py",), ("b.py",)], "path string")).select("rule_id", F.col("key").alias("stage"))
+    """A catalogue of stages, one for each supplier, each of which needs the one before it and runs a file of the supplier's
+    nation; ids, gates, titles, entry points and prerequisites of some are broken."""
+    k = F.col("s_suppkey")
+    name = lambda n: F.format_string("S%02d", n)
+    rows = table(spark, d, "supplier").select(
+        (k - 1).cast("int").alias("place"), F.when(k % 11 == 0, F.concat(F.lit("X"), k.cast("string"))).otherwise(name(k - 1)).alias("stage_id"), F.when(k % 7 == 3, "odd").when(k % 2 == 0, "none").otherwise("review").alias("gate"),
+        F.when(k % 13 == 5, " ").otherwise(F.col("s_name")).alias("title"), F.array_compact(F.array(F.when(k > 1, name(k - 2)), F.when(k % 19 == 6, name(k)))).alias("prerequisites"),
+        F.when(k % 17 == 4, F.array()).when(k % 5 == 2, F.array(F.lit("../run.py"))).otherwise(F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".py")))).cast("array<string>").alias("entrypoints"),
+    )
+    files = table(spark, d, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".py")).alias("path")).distinct()
+    return runs.stage_violations(rows, ["none", "review"], files).select("rule_id", F.col("key").alias("stage"))
 
 
 _LEX = ", ".join("('{}', [{}])".format(f, ", ".join(f"'{w}'" for w in ws)) for f, ws in LEXICON.items())
@@ -194,11 +202,13 @@ def workspace_summary(spark: SparkSession, d: str) -> DataFrame:
     return runs.workspace_summary(ledger_rows(spark, d), "app", "resource", "cost", "at").withColumn("cost", F.col("cost").cast("double"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN least(doc_id % 40, length(text)) END AS offset, CASE WHEN doc_id % 4 <> 3 THEN 1 END AS page, CASE WHEN doc_id % 4 = 3 THEN 'one_insertion' ELSE '' END AS errors FROM documents WHERE strpos(text, chr(12)) = 0 AND strpos(text, '~') = 0""")
+@query("""WITH d AS (SELECT doc_id, text, least(doc_id % 40, length(text)) AS o FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN o END AS offset, CASE WHEN doc_id % 4 <> 3 THEN 1 + length(substr(text, 1, o)) - length(replace(substr(text, 1, o), chr(12), '')) END AS page, CASE WHEN doc_id % 4 = 3 THEN 'one_insertion' ELSE '' END AS errors FROM d""")
 def grid_cells(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.contains("text", F.lit("\f")) & ~F.contains("text", F.lit("~"))).select("doc_id", "text")
+    """A payload between control signs that no text has, put into every document, or two of them, which is an error."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
     at = (F.col("doc_id") % 40).cast("int")
-    changed = F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("~"), "text", F.lit("~"))).otherwise(texts.spliced(F.col("text"), at, F.lit("~payload~")))
+    changed = F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("\x01"), "text", F.lit("\x02"))).otherwise(texts.spliced(F.col("text"), at, F.lit("\x01payload\x02")))
     cell = runs.grid_cell(F.col("text"), changed, texts.page_spans(F.col("text")))
     return docs.select("doc_id", cell.alias("c")).select("doc_id", F.col("c.offset").cast("long").alias("offset"), "c.page", F.array_join("c.errors", ",").alias("errors"))
 
@@ -208,9 +218,9 @@ def hold_out_split(spark: SparkSession, d: str) -> DataFrame:
     return runs.hold_out(predictions(spark, d), "doc_id", "toxic").groupBy("toxic", "is_test").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-@query("SELECT list(n_name ORDER BY n_nationkey) AS n_name, list(n_regionkey ORDER BY n_nationkey) AS n_regionkey FROM nation")
+@query("SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS l_linenumber, list(l_partkey ORDER BY l_linenumber, l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey")
 def columns_of_rows(spark: SparkSession, d: str) -> DataFrame:
-    return runs.columns_of(table(spark, d, "nation"), ["n_nationkey"], ["n_name", "n_regionkey"])
+    return runs.columns_of(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"], ["l_linenumber", "l_partkey"])
 
 
 @query(f"""WITH {P} SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS declared FROM p GROUP BY lang""")
