@@ -163,7 +163,7 @@ def _url_sql() -> str:
         a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-        b AS (SELECT *, list_transform(range(0, length(hex(encode(host || path))) // 2), lambda i: ('0x' || substr(hex(encode(host || path)), CAST(2 * i + 1 AS BIGINT), 2))::INT) AS b FROM h),
+        b AS (SELECT *, list_transform(range(1, length(host || path) + 1), lambda i: unicode(substr(host || path, CAST(i AS BIGINT), 1))::BIGINT) AS b FROM h),
         g AS (SELECT *, list_transform(range(1, greatest(len(b) - 1, 1)), lambda i: (b[i] * 961 + b[i + 1] * 31 + b[i + 2]) % {BUCKETS} + 1) AS g FROM b),
         r AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS rule_verdict
               FROM h JOIN (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
