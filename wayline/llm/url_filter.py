@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 GRAM = 3
 BUCKETS = 1021
-ROUNDS = 60
-RATE = 0.02
+ROUNDS = 30
+RATE = 0.03
 RIDGE = 0.1
 #: (pattern, verdict): a host, which also stands for its subdomains, and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
