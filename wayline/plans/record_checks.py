@@ -154,3 +154,40 @@ def token_alignments(spark: SparkSession, d: str) -> DataFrame:
     judged = rows.withColumn("token_alignment", changed).withColumn("key", F.struct("conv_id", "turn", "raw_poison_exposed", "told"))
     span = c("key.told.injection_token_span")
     return alignment.result_violations(judged, "key").select("key.conv_id", "key.turn", c("key.raw_poison_exposed").alias("once"), span["start_token"].alias("start_token"), span["end_token"].alias("end_token"), F.array_join("errors", " ").alias("errors"))
+
+
+_RUN = """r AS (SELECT conv_id, conv_id % 9 AS domain, min((turn, coalesce(text, '')))[2] AS t, count(*) AS n_turns FROM conversations GROUP BY 1),
+    x AS (SELECT *, regexp_extract(t, '^[^ ]+') AS w FROM r), y AS (SELECT *, w <> '' AND length(t) - length(replace(t, w, '')) = length(w) AS once FROM x)"""
+
+
+def _domain_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as runs of nine domains, the first word of the first text as what was put into it."""
+    from wayline.operators import packet
+
+    texts = table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.struct("turn", F.coalesce("text", F.lit("")).alias("t"))).alias("a"), F.count("*").alias("n_turns"))
+    rows = texts.select("conv_id", (F.col("conv_id") % 9).alias("domain"), F.col("a.t").alias("t"), "n_turns").withColumn("w", F.regexp_extract("t", "^[^ ]+", 0))
+    return rows.withColumn("position", packet.injected_position(F.col("t"), F.col("w")))
+
+
+@query(f"""WITH {_RUN} SELECT conv_id, domain, count(*) OVER v AS place, CAST(coalesce(sum(n_turns) OVER v, 0) AS BIGINT) AS n_turns_before, CASE WHEN once THEN 0 END AS start_char, CASE WHEN once THEN round(length(w) / 2 / length(t), 6) END AS normalized FROM y
+    WINDOW v AS (PARTITION BY domain ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def design_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Each run's place in its domain, the turns of the runs before it, and where the word stands in its prompt."""
+    from wayline.operators import packet
+
+    out = packet.prefix_sums(_domain_runs(spark, d), ["domain"], "conv_id", ["n_turns"], width=16)
+    return out.select("conv_id", "domain", "place", "n_turns_before", F.col("position.start_char").alias("start_char"), F.round("position.normalized", 6).alias("normalized"))
+
+
+@query(f"""WITH {_RUN}, p AS (SELECT *, unnest([1, 2]) AS slot FROM y), l AS (SELECT domain, slot, conv_id, '{{"conv_id":' || conv_id || ',"domain":' || domain || ',"n_turns":' || n_turns || ',"reviewer_slot":' || slot || ',"w_sha256":"' || sha256(w) || '"}}' AS line FROM p)
+    SELECT domain, slot AS reviewer_slot, count(*) AS n, sha256('[' || string_agg(line, ',' ORDER BY conv_id) || ']') AS rows_sha256, count(*) FILTER (conv_id % 5 = 1) AS n_broken FROM l GROUP BY 1, 2""")
+def review_packet(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of both reviewers' rows of each domain, and the seals that are broken where every fifth run's count was changed."""
+    from wayline.operators import packet
+
+    runs = _domain_runs(spark, d).withColumn("w_sha256", F.sha2("w", 256))
+    made = packet.packet(runs, ["conv_id", "domain"], ["n_turns", "w_sha256"], ["verdict"])
+    digests = packet.packet_digest(made, ["conv_id"], ["conv_id", "domain", "n_turns", "reviewer_slot", "w_sha256"], ["domain", "reviewer_slot"])
+    changed = made.withColumn("n_turns", F.when(F.col("conv_id") % 5 == 1, F.col("n_turns") + 1).otherwise(F.col("n_turns")))
+    broken = packet.broken_seals(changed, ["conv_id", "domain"], ["n_turns", "w_sha256"]).groupBy("domain", "reviewer_slot").agg(F.count("*").alias("n_broken"))
+    return digests.join(broken, ["domain", "reviewer_slot"], "left").withColumn("n_broken", F.coalesce("n_broken", F.lit(0).cast("long")))
