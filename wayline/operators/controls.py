@@ -48,3 +48,10 @@ def prompt_mismatches(rows: DataFrame, key: Sequence[str], side: str, low: str,
 
     p = paired(rows, key, side, low, high, [digest])
     return p.where(~(F.col("status") == "complete") | ~F.col(f"{digest}_low").eqNullSafe(F.col(f"{digest}_high"))).drop("n_low", "n_high", "status")
+
+
+def annotated(strata: DataFrame, states: DataFrame, on: Sequence[str], state: str = "state") -> DataFrame:
+    """``strata`` with the state of the control that was run for their mode and checkpoint, say; ``NOT AVAILABLE`` where there
+    was none, and ``AMBIGUOUS`` where several controls of one key differ."""
+    one = states.groupBy(*on).agg(F.when(F.countDistinct(state) > 1, "AMBIGUOUS").otherwise(F.max(state)).alias("_state"))
+    return strata.join(one, list(on), "left").withColumn(state, F.coalesce("_state", F.lit("NOT AVAILABLE"))).drop("_state")

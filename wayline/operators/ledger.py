@@ -92,3 +92,11 @@ def outcome_sizes(rows: DataFrame, treatment: str, outcome: str, agent: str, key
     """(kind, name, n): trajectories of each ``treatment:outcome``, and of each agent, in one pass."""
     each = F.explode(F.array(F.struct(F.lit("outcome").alias("kind"), F.concat_ws(":", treatment, outcome).alias("name")), F.struct(F.lit("agent").alias("kind"), F.col(agent).alias("name"))))
     return rows.select(key, each.alias("e")).groupBy("e.kind", "e.name").agg(F.countDistinct(key).alias("n"))
+
+
+def referenced(apps: DataFrame, harvest: DataFrame, app: str, files: str = "files") -> DataFrame:
+    """(app, cost and what else ``apps`` has, files, status): billed apps with the files that name them, ``referenced`` or
+    ``unreferenced``; ids in files that were never billed are ``not billed``. ``harvest`` has a row for each id."""
+    both = apps.join(harvest.select(app, F.col(files).alias("_files")), app, "full_outer").join(apps.select(app, F.lit(True).alias("_billed")).distinct(), app, "left")
+    status = F.when(F.col("_billed").isNull(), "not billed").when(F.size("_files") > 0, "referenced").otherwise("unreferenced")
+    return both.withColumn("status", status).withColumn(files, F.coalesce("_files", F.array().cast("array<string>"))).drop("_files", "_billed")

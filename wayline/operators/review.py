@@ -43,3 +43,25 @@ def form_violations(forms: DataFrame, expected: DataFrame, key: Sequence[str], s
         *[contracts.allowed(forms.where(F.col(f).isNotNull()), [*key, slot], f, values) for f, values in allowed.items()],
         contracts.holds(named, key, "distinct_reviewers", F.col("n") == reviewers, F.col("n")),
     )
+
+
+def joined_forms(blinded: DataFrame, unblinded: DataFrame, protocol: DataFrame, pair: Sequence[str], slot: str) -> DataFrame:
+    """(pair, slot, the fields of all three, status) of the forms that reviewers filled in before and after unblinding and of
+    the pairs' protocol: ``complete``, or what a cell lacks (``blinded``, ``unblinded``, ``protocol``), or ``repeated`` where a
+    form or a pair's protocol is there more than once. Fields keep their names, with ``_unblinded`` after those that both
+    forms have."""
+    key = [*pair, slot]
+    shared = {c for c in unblinded.columns if c in blinded.columns and c not in key}
+    after = unblinded.withColumnsRenamed({c: f"{c}_unblinded" for c in shared})
+
+    def one(frame: DataFrame, by: Sequence[str], mark: str) -> DataFrame:
+        rest = [c for c in frame.columns if c not in by]
+        return frame.groupBy(*by).agg(F.count("*").alias(mark), *[F.first(c).alias(c) for c in rest])
+
+    both = one(blinded, key, "_b").join(one(after, key, "_u"), key, "full_outer")
+    told = both.join(one(protocol.drop(slot), pair, "_p"), list(pair), "left")
+    status = (
+        F.when((F.col("_b") > 1) | (F.col("_u") > 1) | (F.col("_p") > 1), "repeated").when(F.col("_b").isNull(), "blinded").when(F.col("_u").isNull(), "unblinded")
+        .when(F.col("_p").isNull(), "protocol").otherwise("complete")
+    )
+    return told.withColumn("status", status).drop("_b", "_u", "_p")

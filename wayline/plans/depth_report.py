@@ -152,3 +152,17 @@ def seed_audit(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "conversations").select("conv_id", F.col("conv_id").alias("seed"), F.when(F.col("turn") % 5 != 3, F.col("conv_id")).alias("used"))
     return contracts.seeds_repeat(rows, "conv_id", "seed", "used")
+
+
+_KEYS = "thinking_mode, hop_mode, agent_id, probe_name, layer, domain"
+
+
+@query(f"""WITH {T}, r AS (SELECT thinking_mode, hop_mode, 'p' AS probe_name, 40 AS layer, domain, label, unnest(CASE hop_mode WHEN '2-hop' THEN ['planner_1', 'worker_1', 'executor_1'] ELSE ['planner_1', 'worker_1', 'worker_2', 'executor_1'] END) AS agent_id,
+        unnest(CASE hop_mode WHEN '2-hop' THEN [s0, s1, s2] ELSE [s0, s1, s2, s3] END) AS score FROM t WHERE label IS NOT NULL),
+    a AS (SELECT {_KEYS}, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) AS auroc FROM r x JOIN r y USING ({_KEYS}) WHERE x.label = 1 AND y.label = 0 GROUP BY ALL),
+    b AS (SELECT {_KEYS}, count(*) AS n, count(*) FILTER (label = 1) AS n_pos, avg((score - label) * (score - label)) AS brier, avg(((score >= 0.5)::INT = label)::INT) AS accuracy FROM r GROUP BY ALL)
+    SELECT thinking_mode, hop_mode, agent_id, probe_name, layer, domain AS domain_id, n, n_pos, {snapped_sql('auroc')} AS auroc, {snapped_sql('brier')} AS brier, {snapped_sql('accuracy')} AS accuracy FROM b LEFT JOIN a USING ({_KEYS})""")
+def domain_probe_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of every domain by mode, chain length, agent, probe and layer."""
+    out = metrics.snapshot(agent_scores(spark, d), ["thinking_mode", "hop_mode", "agent_id", "probe_name", "layer", "domain_id"])
+    return snapped(out.select("thinking_mode", "hop_mode", "agent_id", "probe_name", "layer", "domain_id", "n", "n_pos", "auroc", "brier", "accuracy"), "auroc", "brier", "accuracy")

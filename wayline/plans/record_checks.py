@@ -191,3 +191,41 @@ def review_packet(spark: SparkSession, d: str) -> DataFrame:
     changed = made.withColumn("n_turns", F.when(F.col("conv_id") % 5 == 1, F.col("n_turns") + 1).otherwise(F.col("n_turns")))
     broken = packet.broken_seals(changed, ["conv_id", "domain"], ["n_turns", "w_sha256"]).groupBy("domain", "reviewer_slot").agg(F.count("*").alias("n_broken"))
     return digests.join(broken, ["domain", "reviewer_slot"], "left").withColumn("n_broken", F.coalesce("n_broken", F.lit(0).cast("long")))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, o_orderkey % 2 + 1 AS slot FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, o_orderkey % 2 + 1 FROM orders WHERE o_orderkey % 33 = 1 AND o_orderkey % 5 <> 0), u AS (SELECT o_orderkey AS k, o_orderkey % 2 + 1 AS slot FROM orders WHERE o_orderkey % 7 <> 0),
+    p AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 11 <> 0), x AS (SELECT k, slot, count(*) AS nb FROM b GROUP BY ALL)
+    SELECT k AS o_orderkey, slot, CASE WHEN coalesce(nb, 0) > 1 THEN 'repeated' WHEN nb IS NULL THEN 'blinded' WHEN uk IS NULL THEN 'unblinded' WHEN pk IS NULL THEN 'protocol' ELSE 'complete' END AS status
+    FROM x FULL JOIN (SELECT k, slot, k AS uk FROM u) USING (k, slot) LEFT JOIN (SELECT k, k AS pk FROM p) USING (k)""")
+def joined_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as review cells, of which some forms and protocols are missing and some forms are there twice."""
+    from wayline.operators import review
+
+    k = F.col("o_orderkey")
+    forms = table(spark, d, "orders").select("o_orderkey", (k % 2 + 1).alias("slot"), F.col("o_orderpriority").alias("verdict"))
+    blinded = forms.where(k % 5 != 0)
+    return review.joined_forms(blinded.unionByName(blinded.where(k % 33 == 1)), forms.where(k % 7 != 0), forms.where(k % 11 != 0).select("o_orderkey", F.col("verdict").alias("protocol")), ["o_orderkey"], "slot").select("o_orderkey", "slot", "status")
+
+
+@query("""WITH a AS (SELECT p_partkey AS app, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey % 9 <> 0 GROUP BY 1),
+    h AS (SELECT l_partkey AS app, list_sort(list(DISTINCT l_returnflag)) AS files FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY 1)
+    SELECT app, cost, coalesce(array_to_string(files, ','), '') AS files, CASE WHEN cost IS NULL THEN 'not billed' WHEN files IS NULL THEN 'unreferenced' ELSE 'referenced' END AS status FROM a FULL JOIN h USING (app)""")
+def billing_references(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as billed apps, and return flags as the files that name them."""
+    from wayline.operators import ledger
+
+    items = table(spark, d, "lineitem").select(F.col("l_partkey").alias("app"), "l_returnflag", F.col("l_extendedprice").cast("decimal(18,2)").alias("cost"))
+    apps = items.where("app % 9 <> 0").groupBy("app").agg(F.sum("cost").cast("double").alias("cost"))
+    harvest = items.where("app % 4 <> 0").groupBy("app").agg(F.array_sort(F.collect_set("l_returnflag")).alias("files"))
+    return ledger.referenced(apps, harvest, "app").withColumn("files", F.array_join("files", ","))
+
+
+@query("""WITH s AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), c AS (SELECT lang, CASE WHEN max(doc_id % 3) > min(doc_id % 3) AND lang = 'de' THEN 'AMBIGUOUS' WHEN lang = 'de' THEN 'S' || max(doc_id % 3) ELSE 'PASS' END AS state FROM documents WHERE lang <> 'fr' GROUP BY lang)
+    SELECT source, lang, n, coalesce(state, 'NOT AVAILABLE') AS state FROM s LEFT JOIN c USING (lang)""")
+def annotated_strata(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of each language with the state of the language's control, which differs in one and lacks in another."""
+    from wayline.operators import controls
+
+    docs = table(spark, d, "documents")
+    states = docs.where("lang <> 'fr'").select("lang", F.when(F.col("lang") == "de", F.concat(F.lit("S"), (F.col("doc_id") % 3).cast("string"))).otherwise("PASS").alias("state"))
+    return controls.annotated(docs.groupBy("source", "lang").agg(F.count("*").alias("n")), states, ["lang"])
