@@ -229,3 +229,56 @@ def annotated_strata(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     states = docs.where("lang <> 'fr'").select("lang", F.when(F.col("lang") == "de", F.concat(F.lit("S"), (F.col("doc_id") % 3).cast("string"))).otherwise("PASS").alias("state"))
     return controls.annotated(docs.groupBy("source", "lang").agg(F.count("*").alias("n")), states, ["lang"])
+
+
+@query("""WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS t, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text), '') AS before, conv_id % 2 = 1 AS injected, ['planner_1', 'worker_1', 'worker_2', 'executor_1'][CAST(turn % 4 + 1 AS INT)] AS agent FROM conversations),
+    u AS (SELECT *, CASE agent WHEN 'planner_1' THEN t WHEN 'worker_1' THEN 'Original task:' || chr(10) || t || chr(10) || chr(10) || 'Planner message:' || chr(10) || CASE WHEN before = '' THEN '<planner-output-provided-at-runtime>' ELSE before END || chr(10) || chr(10) || 'Retrieved documents:' || chr(10) || 'DOCUMENT d' || conv_id || ':' || chr(10) || t
+        ELSE 'Original task:' || chr(10) || t || chr(10) || chr(10) || 'Upstream agent message:' || chr(10) || CASE WHEN before = '' THEN '<upstream-output-provided-at-runtime>' ELSE before END END AS content FROM m)
+    SELECT conv_id, turn, mode AS thinking_mode, sha256(content) AS content_sha256, injected AND agent = 'worker_1' AS raw_poison_exposed, agent = 'executor_1' AS has_tools FROM u CROSS JOIN (VALUES ('on'), ('off')) v(mode)""")
+def turn_requests(spark: SparkSession, d: str) -> DataFrame:
+    """A request for every turn and mode: turns take the parts of the agents in order, and are told the turn before them."""
+    from pyspark.sql import Window
+
+    from wayline.operators import requests
+
+    t = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    names = F.array(*[F.lit(a) for a in ("planner_1", "worker_1", "worker_2", "executor_1")])
+    turn = F.col("turn")
+    rows = t.select(
+        F.col("conv_id").cast("string").alias("trajectory_id"), turn.alias("step_index"), F.get(names, (turn % 4).cast("int")).alias("agent_id"), F.lit("worker").alias("agent_role"), turn.alias("hop_index"), F.lit("s").alias("system_prompt"), F.col("text").alias("user_message"),
+        F.array(F.struct(F.concat(F.lit("d"), F.col("conv_id").cast("string")).alias("doc_id"), "text")).alias("retrieved"), F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("upstream_message"),
+        (F.col("conv_id") % 2 == 1).alias("injection_present"), F.lit("bad").alias("injected_text"),
+    )
+    out = requests.request_plan(rows)
+    return out.select(F.col("trajectory_id").cast("long").alias("conv_id"), F.col("step_index").alias("turn"), "thinking_mode", F.sha2(F.col("messages")[1]["content"], 256).alias("content_sha256"), "raw_poison_exposed", (F.size("tools") > 0).alias("has_tools"))
+
+
+@query("""WITH l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS line, turn FROM conversations), v AS (SELECT *, (conv_id + line) % 7 AS b, CASE WHEN (conv_id + line) % 5 = 2 THEN line + 1 ELSE line END AS step FROM l)
+    SELECT conv_id, line, CASE WHEN b = 3 THEN 'role,trust_mode' WHEN b = 4 THEN '' ELSE '' END AS missing, CASE WHEN b <> 4 THEN step END AS step, b <> 4 AS readable FROM v WHERE b IN (3, 4) OR step <> line""")
+def logger_files(spark: SparkSession, d: str) -> DataFrame:
+    """A logger's file for each conversation, a line for each turn; some lines lack fields, tell another step or are cut."""
+    from pyspark.sql import Window
+
+    from wayline.operators import requests
+
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    rows = table(spark, d, "conversations").withColumn("line", place).withColumn("b", (F.col("conv_id") + F.col("line")) % 7)
+    step = F.when((F.col("conv_id") + F.col("line")) % 5 == 2, F.col("line") + 1).otherwise(F.col("line"))
+    record = lambda lacking: F.to_json(F.struct(*[(step if f == "step_index" else F.lit("x")).alias(f) for f in requests.LOGGED if f not in lacking]))
+    text = F.when(F.col("b") == 3, record(("role", "trust_mode"))).when(F.col("b") == 4, F.lit("{cut")).otherwise(record(()))
+    out = requests.logger_violations(rows.withColumn("record", text), "conv_id", "line", "record")
+    return out.withColumn("missing", F.array_join("missing", ","))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, o_custkey % 50 AS g FROM orders)
+    SELECT rule_id, n FROM (SELECT 'one_value:analysis_tier' AS rule_id, 1 AS n FROM r HAVING count(DISTINCT k % 101 = 0) > 1 UNION ALL SELECT 'design', count(DISTINCT g) FROM r WHERE g % 10 = 3 UNION ALL SELECT 'allowed:label', count(*) FROM r WHERE k % 23 = 0
+        UNION ALL SELECT 'allowed:thinking_mode', count(*) FROM r WHERE k % 29 = 1 UNION ALL SELECT 'required', count(*) FROM r WHERE k % 31 = 2) WHERE n > 0""")
+def index_design(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as rows of an activation index, some of which keep it from being scored."""
+    from wayline.operators import requests
+
+    k, g = F.col("o_orderkey"), F.col("o_custkey") % 50
+    fixed = {"thinking_mode": F.when(k % 29 == 1, "maybe").when(k % 2 == 0, "on").otherwise("off"), "delegation_depth": F.lit("2-hop"), "treatment": F.lit("clean"), "match_group_id": g.cast("string"), "local_path": F.when(k % 31 != 2, "p")}
+    rows = table(spark, d, "orders").select(k, F.when(k % 101 == 0, "other").alias("analysis_tier"), F.when(k % 23 != 0, (k % 2).cast("int")).alias("label"), *[fixed.get(f, F.lit("x")).alias(f) for f in requests.INDEXED])
+    designs = table(spark, d, "orders").where(g % 10 != 3).select(g.cast("string").alias("match_group_id")).distinct()
+    return requests.index_violations(rows, designs, ["o_orderkey"], "label").groupBy("rule_id").agg(F.count("*").alias("n"))
