@@ -72,3 +72,17 @@ def test_small_and_large_strata_agree(spark, gathered):
     got = models(probes.fitted(rows, ["s"], "g", "k", "y", "v", gathered=gathered))
     want = models(probes.fit_leaving_out(rows, ["s"], "g", "k", "y", "v"))
     assert set(got) == set(want) and all(np.abs(got[k] - want[k]).max() < 1e-6 for k in want)
+
+
+def test_evaluation_on_rows_that_were_held_out(spark):
+    from wayline.operators import runs
+
+    rows = rows_of(spark).where("s = 's'")
+    found = {r.probe_name: r for r in runs.hold_out_evaluation(rows, ["s"], "k", "y", "v").collect()}
+    dealt = {r.k: r for r in runs.hold_out(rows.where("y IS NOT NULL AND v IS NOT NULL"), "k", "y").collect()}
+    train, test = [r for r in dealt.values() if not r.is_test], [r for r in dealt.values() if r.is_test]
+    w, b = probes.fit_logistic(np.array([r.v for r in train]), np.array([r.y for r in train]), np.zeros(len(train)))
+    z, y = np.array([r.v for r in test]) @ w + b, np.array([r.y for r in test])
+    auc = np.mean([(p > q) + (p == q) / 2 for p in z[y == 1] for q in z[y == 0]])
+    assert found["logistic"].n == len(test) and found["logistic"].auroc == pytest.approx(auc) and set(found) == {"logistic", "centroid"}
+    assert found["logistic"].accuracy == pytest.approx(np.mean((z >= 0) == y))

@@ -88,3 +88,11 @@ def test_review_forms(spark):
     assert found == {
         ("coverage", "r|1"), ("coverage", "r|2"), ("coverage", "z|1"), ("required", "q|2"), ("allowed:verdict", "q|1"), ("distinct_reviewers", "q"), ("distinct_reviewers", "z"),
     }
+
+
+def test_a_second_worker_takes_the_place_before_the_executor(spark):
+    rows = spark.createDataFrame([(k, hop, "task", n, i, f"{n} said", "clean") for k, hop in (("a", "2-hop"), ("b", "3-hop"), ("c", None)) for i, n in enumerate(("planner", "worker", "executor"))], "k string, hop_mode string, user_task string, node string, place int, output_message string, step_label string")
+    got = sorted((r.k, r.place, r.node, r.output_message, r.step_label, [m.content for m in r.input_context]) for r in records.with_second_worker(rows).collect())
+    assert [g[:3] for g in got if g[0] == "b"] == [("b", 0, "planner"), ("b", 1, "worker"), ("b", 2, "worker2"), ("b", 3, "executor")]
+    assert [g for g in got if g[2] == "worker2"] == [("b", 2, "worker2", records.FORWARDED, "indeterminate", ["task", "worker said"])]
+    assert [g[:3] for g in got if g[0] in "ac"] == [(k, i, n) for k in "ac" for i, n in enumerate(("planner", "worker", "executor"))]

@@ -116,6 +116,22 @@ def normalized_steps(events: DataFrame, key: str, kind: str, order: Sequence[str
     return wide.select(key, F.explode(steps).alias("s")).select(key, "s.node", "s.place", *[F.col(f"s.e.{c}").alias(c) for c in columns])
 
 
+#: What the second worker of a longer chain is taken to have said where its turn was not recorded (a fixed value).
+FORWARDED = "Forwarded retrieved evidence to executor."
+
+
+def with_second_worker(steps: DataFrame, node: str = "node", place: str = "place", hop: str = "hop_mode", task: str = "user_task", output: str = "output_message", label: str = "step_label") -> DataFrame:
+    """Steps of runs that recorded a planner, a worker and an executor, with ``input_context``, what a step is taken to have
+    read. In a 3-hop run a place holder for the second worker comes before the executor: it has read the task and the
+    worker's output, forwards the evidence, and its label is indeterminate. Its other columns are the worker's."""
+    say = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    longer = F.col(hop).eqNullSafe(F.lit("3-hop"))
+    own = steps.withColumns({place: F.when(longer & (F.col(node) == "executor"), F.col(place) + 1).otherwise(F.col(place)), "input_context": F.array(say("user", F.col(task)))})
+    held = steps.where(longer & (F.col(node) == "worker")).withColumn("input_context", F.array(say("user", F.col(task)), say("assistant", F.col(output))))
+    made = held.withColumns({node: F.lit("worker2"), place: F.col(place) + 1, output: F.lit(FORWARDED), label: F.lit("indeterminate")})
+    return own.unionByName(made)
+
+
 def acceptance(steps: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """(key, errors, accepted): the names of the aggregate conditions that do not hold for a trajectory."""
     per = steps.groupBy(key).agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])

@@ -265,11 +265,23 @@ def grid_cell(clean: Column, changed: Column, pages: Column) -> Column:
 
 def hold_out(rows: DataFrame, key: str, label: str, share: float = 0.3, seed: int = 42) -> DataFrame:
     """Adds ``is_test``: within each class the share of rows whose hashes are the smallest, rounded up."""
-    from wayline.operators.splits import stratified_folds
+    from wayline.operators.splits import class_ranks
 
-    folds = 1000
-    dealt = stratified_folds(rows, key, label, folds, seed)
-    return dealt.withColumn("is_test", F.col("fold") < int(share * folds)).drop("fold")
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_n")).select(F.col(label).alias("_l"), "_n")  # a row for each class
+    dealt = class_ranks(rows, key, label, seed).join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l")))
+    return dealt.withColumn("is_test", F.col("_rank") < F.ceil(F.round(F.col("_n") * share, 9))).drop("_rank", "_l", "_n")
+
+
+def hold_out_evaluation(rows: DataFrame, by: Sequence[str], key: str, label: str, vector: str, probes: Sequence[str] = ("logistic", "centroid"), share: float = 0.3, seed: int = 42) -> DataFrame:
+    """(by, probe_name and the metrics of ``metrics.snapshot``) on a share of the rows that is held out within each class,
+    of probes fitted to the others."""
+    from wayline.operators import metrics
+    from wayline.operators.probes import fitted, held_out_scores
+
+    dealt = hold_out(rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()), key, label, share, seed)
+    parts = [held_out_scores(dealt, fitted(dealt, by, "is_test", key, label, vector, p).where("fold"), by, "is_test", vector).withColumn("probe_name", F.lit(p)) for p in probes]
+    scored = reduce(DataFrame.unionByName, parts).withColumnRenamed(label, "label")
+    return metrics.snapshot(scored, [*by, "probe_name"])
 
 
 def columns_of(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

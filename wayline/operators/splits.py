@@ -76,9 +76,9 @@ def fold_skips(rows: DataFrame, by: Sequence[str], group: str, label: str) -> Da
     return per.select(*by, reason.alias("reason"))
 
 
-def stratified_folds(rows: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
-    """Adds ``fold``, 0 to k - 1: within each class rows are dealt round in hash order. Rows are ranked among those that
-    share the beginning of their hash, and the beginnings, at most 4,096 of a class, by their numbers of rows."""
+def class_ranks(rows: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame:
+    """Adds ``_rank``, from 0, the place of a row in the hash order of its class. Rows are ranked among those that share
+    the beginning of their hash, and the beginnings, at most 4,096 of a class, by their numbers of rows."""
     shown = F.when(F.col(label).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(label).cast("string")))
     hashed = rows.withColumns({"_h": hash_key(seed, F.col(key)), "_c": shown}).withColumn("_p", F.left("_h", F.lit(3))).withColumn("_k", F.concat_ws(" ", "_p", "_c"))
     sizes = hashed.groupBy("_k").agg(F.min("_c").alias("_c"), F.min("_p").alias("_p"), F.count("*").alias("_size"))
@@ -86,7 +86,12 @@ def stratified_folds(rows: DataFrame, key: str, label: str, k: int, seed: int =
     starts = sizes.select("_k", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("_h", key)) - 1)
     placed = ranked.join(starts, "_k")  # on the dealing that the ranks have already
-    return placed.withColumn("fold", ((F.col("_start") + F.col("_r")) % k).cast("int")).drop("_h", "_p", "_c", "_k", "_start", "_r")
+    return placed.withColumn("_rank", F.col("_start") + F.col("_r")).drop("_h", "_p", "_c", "_k", "_start", "_r")
+
+
+def stratified_folds(rows: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
+    """Adds ``fold``, 0 to k - 1: within each class rows are dealt round in hash order."""
+    return class_ranks(rows, key, label, seed).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
 
 
 def group_folds(rows: DataFrame, group: str, k: int, seed: int = 0) -> DataFrame:

@@ -282,3 +282,21 @@ def index_design(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(k, F.when(k % 101 == 0, "other").alias("analysis_tier"), F.when(k % 23 != 0, (k % 2).cast("int")).alias("label"), *[fixed.get(f, F.lit("x")).alias(f) for f in requests.INDEXED])
     designs = table(spark, d, "orders").where(g % 10 != 3).select(g.cast("string").alias("match_group_id")).distinct()
     return requests.index_violations(rows, designs, ["o_orderkey"], "label").groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT conv_id AS k, conv_id % 2 = 0 AS long, min((turn, coalesce(text, '')))[2] AS task, max((turn, coalesce(text, '')))[2] AS out FROM conversations GROUP BY 1),
+    s AS (SELECT k, long, task, out, unnest(['planner', 'worker', 'worker2', 'executor']) AS node, unnest([0, 1, 2, 3]) AS i FROM r)
+    SELECT k AS conv_id, node, CASE WHEN node = 'executor' AND NOT long THEN 2 ELSE i END AS place, sha256(CASE WHEN node = 'worker2' THEN 'Forwarded retrieved evidence to executor.' ELSE node || ':' || out END) AS said, CASE WHEN node = 'worker2' THEN 'indeterminate' END AS step_label,
+        sha256(task || CASE WHEN node = 'worker2' THEN '|worker:' || out ELSE '' END) AS read FROM s WHERE node <> 'worker2' OR long""")
+def legacy_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Three recorded steps of each conversation, and the place holder of the second worker in every other one."""
+    from wayline.operators import records
+
+    t = F.struct("turn", F.coalesce("text", F.lit("")).alias("t"))
+    runs = table(spark, d, "conversations").groupBy("conv_id").agg(F.min(t).alias("a"), F.max(t).alias("b"))
+    node = F.explode(F.array(*[F.struct(F.lit(n).alias("node"), F.lit(i).alias("place")) for i, n in enumerate(("planner", "worker", "executor"))])).alias("n")
+    rows = runs.select("conv_id", F.when(F.col("conv_id") % 2 == 0, "3-hop").otherwise("2-hop").alias("hop_mode"), F.col("a.t").alias("user_task"), F.col("b.t").alias("out"), node).select("*", "n.*")
+    rows = rows.select("conv_id", "hop_mode", "user_task", "node", "place", F.concat("node", F.lit(":"), "out").alias("output_message"), F.lit(None).cast("string").alias("step_label"))
+    out = records.with_second_worker(rows)
+    read = F.array_join(F.transform("input_context", lambda m: m["content"]), "|")
+    return out.select("conv_id", "node", "place", F.sha2("output_message", 256).alias("said"), "step_label", F.sha2(read, 256).alias("read"))

@@ -526,6 +526,15 @@ def layer_scan_refits(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "pooled_auroc", "mean_auroc", "sd_auroc", "min_auroc", "max_auroc", places=4)
 
 
+@query()
+def hold_out_probes(spark: SparkSession, d: str) -> DataFrame:
+    """Two probes of every mode and layer on the 30 % of the vectors that they did not see."""
+    from wayline.operators import runs
+
+    out = runs.hold_out_evaluation(layered(spark, d).drop("pair"), ["mode", "layer"], "vec_id", "label", "embedding")
+    return rounded(out, "auroc", "brier", "accuracy", "ece", "mce", places=4)
+
+
 @query()
 def cohort_refits(spark: SparkSession, d: str) -> DataFrame:
     out = probes.cohort_refits(vector_rows(spark, d), {"all": list(range(9)), "seven": list(range(7)), "odd": [1, 3, 5, 7]}, "grp", "vec_id", "label", "embedding")

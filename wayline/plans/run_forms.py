@@ -213,7 +213,7 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", cell.alias("c")).select("doc_id", F.col("c.offset").cast("long").alias("offset"), "c.page", F.array_join("c.errors", ",").alias("errors"))
 
 
-@query(f"""WITH {P}, r AS (SELECT *, (row_number() OVER (PARTITION BY toxic ORDER BY sha256('42:' || doc_id), doc_id) - 1) % 1000 < 300 AS is_test FROM p) SELECT toxic, is_test, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM r GROUP BY ALL""")
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY sha256('42:' || doc_id), doc_id) - 1 < ceil(round(count(*) OVER (PARTITION BY toxic) * 0.3, 9)) AS is_test FROM p) SELECT toxic, is_test, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM r GROUP BY ALL""")
 def hold_out_split(spark: SparkSession, d: str) -> DataFrame:
     return runs.hold_out(predictions(spark, d), "doc_id", "toxic").groupBy("toxic", "is_test").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
