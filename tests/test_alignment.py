@@ -4,7 +4,6 @@ import bisect
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from wayline.operators import alignment, validators
@@ -41,19 +40,22 @@ def test_tokens_and_characters(spark):
 GOOD = {"injection_present_in_prompt": True, "char_span": {"start_char": 4, "end_char": 7}, "injection_token_span": {"start_token": 1, "end_token": 2}, "tokenizer_name": "n", "tokenizer_revision": "r", "truncation_removed_injection_tokens": False, "span_convention": alignment.CONVENTION}
 
 
-@pytest.mark.parametrize(("change", "code"), [
+CHANGES = [
     ((), ""), (("injection_present_in_prompt", False), "presence"), (("tokenizer_name", None), "tokenizer_name"), (("tokenizer_revision", "q"), "tokenizer_revision"), (("truncation_removed_injection_tokens", None), "truncated"), (("span_convention", "closed"), "convention"),
     (("char_span", None), "spans"), (("injection_token_span", None), "spans"), (("char_span.start_char", 3), "char_span"), (("char_span.end_char", None), "char_span"), (("char_span.end_char", 99), "char_span"), (("injection_token_span.end_token", 1), "token_span token_cover"),
     (("injection_token_span.end_token", 9), "token_span token_cover"), (("injection_token_span.start_token", -1), "token_span token_cover"), (("injection_token_span.start_token", 0), "token_cover"), (("rendered_prompt_hash", "x"), "prompt_hash"),
-])
-def test_one_changed_field_breaks_its_rule(spark, change, code):
+]
+
+
+def test_one_changed_field_breaks_its_rule(spark):
     text = "say bad now"
-    told = changed(GOOD, change) if change else GOOD
-    row = spark.range(1).select(
-        F.lit("t").alias("k"), F.lit(text).alias("rendered_input"), F.sha2(F.lit(text), 256).alias("rendered_input_sha256"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("input_token_ids"), F.lit("bad").alias("injection_text"), F.lit(True).alias("raw_poison_exposed"),
-        F.lit("n").alias("tokenizer_name"), F.lit("r").alias("tokenizer_revision"), F.array(F.lit(0), F.lit(4), F.lit(8)).alias("begins"), F.array(F.lit(3), F.lit(7), F.lit(11)).alias("ends"), F.from_json(F.lit(json.dumps(told)), alignment.ALIGNMENT).alias("token_alignment"),
+    told = [(i, json.dumps(changed(GOOD, change) if change else GOOD)) for i, (change, _) in enumerate(CHANGES)]
+    row = spark.createDataFrame(told, "k int, told string").select(
+        "k", F.lit(text).alias("rendered_input"), F.sha2(F.lit(text), 256).alias("rendered_input_sha256"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("input_token_ids"), F.lit("bad").alias("injection_text"), F.lit(True).alias("raw_poison_exposed"),
+        F.lit("n").alias("tokenizer_name"), F.lit("r").alias("tokenizer_revision"), F.array(F.lit(0), F.lit(4), F.lit(8)).alias("begins"), F.array(F.lit(3), F.lit(7), F.lit(11)).alias("ends"), F.from_json("told", alignment.ALIGNMENT).alias("token_alignment"),
     ).withColumn("token_alignment", F.col("token_alignment").withField("rendered_prompt_hash", F.coalesce(F.col("token_alignment.rendered_prompt_hash"), F.col("rendered_input_sha256"))))
-    assert " ".join(alignment.result_violations(row, "k").first().errors) == code
+    got = {r.k: " ".join(r.errors) for r in alignment.result_violations(row, "k").collect()}
+    assert got == {i: code for i, (_, code) in enumerate(CHANGES)}
 
 
 def test_results_without_injected_text(spark):
@@ -77,13 +79,17 @@ EVIDENCE = changed(
 R = "retrieval_trace."
 
 
-@pytest.mark.parametrize(("change", "code"), [
+EVIDENCE_CHANGES = [
     ([], ""), ([(R + "evidence_eligibility.determined_from", "text")], "evidence_source"), ([(R + "evidence_eligibility.all_pages_remain_indexed", None)], "evidence_source"), ([(R + "evidence_eligibility.non_evidence_pages.d.0.reason", " ")], "evidence_pages evidence_summary"),
     ([(R + "evidence_eligibility.non_evidence_pages.d", [{"page_number": 2, "reason": "a"}, {"page_number": 2, "reason": "b"}])], "evidence_pages"), ([(R + "evidence_eligibility.non_evidence_pages.x", [])], "evidence_unknown"),
     ([(R + "source_documents.0.non_evidence_page_numbers", [])], "evidence_summary"), ([(R + "source_documents.0.evidence_eligible_page_numbers", [1, 2])], "evidence_summary"), ([(R + "source_documents.1.excluded_candidate_chunk_count", None)], "evidence_summary evidence_counts"),
     ([(R + "selected_chunks.0.page_number", 2)], "evidence_chunk"), ([(R + "source_pdf_verification_required", True)], "pdf"), ([(R + "source_pdf_verification_required", True), (R + "source_pdf_verification", {"status": "verified"})], ""),
     ([(R + "document_token_budgets", {"d": 5})], "budgets"), ([(R + "document_token_budgets", {"d": 0, "e": 6})], "budgets"), ([(R + "document_token_budgets", {"d": 15, "e": 6})], "budgets"), ([(R + "document_token_budgets", {"d": 4, "e": 7})], "budget_each"), ([(R + "evidence_eligibility", None)], ""),
-])
-def test_one_change_of_the_evidence(spark, change, code):
-    row = spark.createDataFrame([(json.dumps(changed(EVIDENCE, *change)),)], "t string").select(F.from_json("t", f"struct<{rule_cases._as_struct(validators.DOCUMENT)}>").alias("v")).select("v.*")
-    assert " ".join(e.removeprefix("INV-11:") for e in validators.invariants(row).first().errors) == code
+]
+
+
+def test_one_change_of_the_evidence(spark):
+    rows = [(str(i), json.dumps(changed(EVIDENCE, *change))) for i, (change, _) in enumerate(EVIDENCE_CHANGES)]
+    parsed = spark.createDataFrame(rows, "i string, t string").select("i", F.from_json("t", f"struct<{rule_cases._as_struct(validators.DOCUMENT)}>").alias("v")).select(F.col("v").withField("trajectory_id", F.col("i")).alias("v")).select("v.*")
+    got = {r.trajectory_id: " ".join(e.removeprefix("INV-11:") for e in r.errors) for r in validators.invariants(parsed).collect()}
+    assert got == {str(i): code for i, (_, code) in enumerate(EVIDENCE_CHANGES)}
