@@ -630,7 +630,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {P}, c AS (SELECT lang, source, count(*) FILTER (label = 1) AS n1 FROM p WHERE label IS NOT NULL GROUP BY ALL),
     x AS (SELECT lang, r AS replicate, score, (row_number() OVER (PARTITION BY lang, source, r ORDER BY sha256('0:' || r || ':' || doc_id), doc_id) <= n1)::INT AS y FROM p JOIN c USING (lang, source) CROSS JOIN range({REPLICATES}) t(r) WHERE label IS NOT NULL),
     k AS (SELECT lang, score, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS place FROM p WHERE label IS NOT NULL),
-    b AS (SELECT lang, replicate, (sum(place) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auroc FROM x JOIN (SELECT DISTINCT * FROM k) USING (lang, score) GROUP BY ALL), o AS ({_pairs_sql('lang')})
+    b AS (SELECT lang, replicate, (sum(place) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auroc FROM x JOIN (SELECT DISTINCT * FROM k) USING (lang, score) GROUP BY ALL), o AS ({_pairs_sql('lang')})
     SELECT lang, count(b.auroc) AS n, {snapped_sql('avg(b.auroc)')} AS mean, {snapped_sql('stddev_pop(b.auroc)')} AS sd, {snapped_sql('quantile_cont(b.auroc, 0.5)')} AS q50, {snapped_sql('quantile_cont(b.auroc, 0.975)')} AS q975,
     count(*) FILTER (round(b.auroc, 9) >= round(o.auroc, 9)) AS n_reaching, {snapped_sql('(count(*) FILTER (round(b.auroc, 9) >= round(o.auroc, 9)) + 1) / (count(b.auroc) + 1)')} AS p FROM b LEFT JOIN o USING (lang) GROUP BY lang""")
 def null_summary(spark: SparkSession, d: str) -> DataFrame:
