@@ -31,7 +31,8 @@ def count_below(ordered: Column, value: Column) -> Column:
         less = F.get(ordered, middle) < value
         return F.when(s["low"] >= s["high"], s).when(less, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve, lambda s: s["low"])
+    steps = F.ceil(F.log2(F.size(ordered) + 1)).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), steps), start, halve, lambda s: s["low"])
 
 
 def token_range(begins: Column, ends: Column, begin: Column, end: Column) -> Column:
