@@ -303,6 +303,19 @@ def test_pages_and_anchors(spark):
     assert (r.page, r.a, r.m) == (2, "yxy", "USER: a\n\nX: b")
 
 
+def test_a_grid_cell_compares_its_texts_once(spark):
+    from wayline.operators import runs
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, "ab\fcd", "ab\fcXd"), (1, words, words[:120] + "XY" + words[120:]), (2, "abc", "XabcY"), (3, None, "a"), (4, "aaaa", "aabaa")]
+    df = spark.createDataFrame(rows, "k int, a string, b string").repartition(2)
+    cells = df.select("k", runs.grid_cell(F.col("a"), F.col("b"), text.page_spans(F.col("a"))).alias("c")).select("k", "c.offset", F.when(F.col("c.offset").isNotNull(), F.col("c.anchor")).alias("anchor"), "c.page", F.array_join("c.errors", ",").alias("errors"))
+    error = "one_insertion"
+    assert [tuple(r)[1:] for r in cells.orderBy("k").collect()] == [(4, "ab\fc", 2, ""), (120, words[40:120], 1, ""), (None, None, None, error), (None, None, None, error), (2, None, 1, "")]
+    # The comparison by halving, which names the middle four times, stands in the plan once, whatever of the cell is read.
+    assert cells._jdf.queryExecution().optimizedPlan().toString().lower().count("shiftright(") <= 4
+
+
 def test_digests(spark):
     import hashlib
 
