@@ -146,6 +146,15 @@ def test_three_hops_discriminate_worse(spark):
     assert [tuple(r) for r in depth.sampling_grid(p).collect()] == [(6, 2, 3, 6, True)] and depth.violations(p).count() == 0
 
 
+def test_metrics_without_replicates_hold_nothing_by_cluster(spark):
+    p = predictions(spark)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan(depth.depth_counts(p, ["hop_mode"])) and "Window" not in plan(depth.vectors(p, ["hop_mode"], replicates=0))
+    drawn = {r.hop_mode: r for r in depth.vectors(p, ["hop_mode"], replicates=2).collect()}
+    for r in depth.depth_metrics(p, ["hop_mode"]).collect():
+        assert [r[m] for m in depth.METRICS] == pytest.approx([drawn[r.hop_mode][m][0] for m in depth.METRICS])
+
+
 def test_without_positives_ranks_are_unknown(spark):
     p = predictions(spark, fired=lambda g, hop: False)
     r = {(x.hop_mode, x.metric): x for x in depth.report(p, replicates=8).collect()}
