@@ -155,6 +155,17 @@ def test_metrics_without_replicates_hold_nothing_by_cluster(spark):
         assert [r[m] for m in depth.METRICS] == pytest.approx([drawn[r.hop_mode][m][0] for m in depth.METRICS])
 
 
+def test_one_file_of_customers_is_many_tasks(spark, tmp_path):
+    from wayline.plans.depth_report import agent_scores
+    from wayline.plans.frames import dealt
+
+    c = spark.range(5000).select(F.col("id").alias("c_custkey"), (F.col("id") * 1.5).alias("c_acctbal"))
+    c.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = agent_scores(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.select("k").distinct().count() == 5000
+    assert dealt(spark.read.parquet(str(tmp_path / "customer.parquet")), "c_custkey", 4096).rdd.getNumPartitions() >= 8  # more for more bytes
+
+
 def test_without_positives_ranks_are_unknown(spark):
     p = predictions(spark, fired=lambda g, hop: False)
     r = {(x.hop_mode, x.metric): x for x in depth.report(p, replicates=8).collect()}
