@@ -74,6 +74,18 @@ def test_small_and_large_strata_agree(spark, gathered):
     assert set(got) == set(want) and all(np.abs(got[k] - want[k]).max() < 1e-6 for k in want)
 
 
+@pytest.mark.parametrize(("values", "tasks"), [(1 << 20, 4), (250, 10)])
+def test_tasks_of_a_pass_follow_the_rows(spark, monkeypatch, values, tasks):
+    """Not the number of partitions that a shuffle left."""
+    rows, seen, inner = rows_of(spark).repartition(40), [], fits._models
+    monkeypatch.setattr(fits, "VALUES", values, raising=False)
+    monkeypatch.setattr(fits, "_models", lambda frame, *rest: (seen.append((frame.rdd.getNumPartitions(), frame.count())), inner(frame, *rest))[1])
+    got = models(probes.fitted(rows, ["s"], "g", "k", "y", "v", gathered=0))
+    assert seen == [(tasks, 452)]
+    want = models(probes.fit_leaving_out(rows, ["s"], "g", "k", "y", "v"))
+    assert set(got) == set(want) and all(np.abs(got[k] - want[k]).max() < 1e-6 for k in want)
+
+
 def test_evaluation_on_rows_that_were_held_out(spark):
     from wayline.operators import runs
 

@@ -24,6 +24,8 @@ from wayline.operators.probes import COMPONENTS, sigmoid
 from wayline.operators.resample import _keyed, _runs
 from wayline.session import ship
 
+#: Values of vectors to a task at least, of all rows that are fitted: every pass sends a few kB a task to the driver.
+VALUES = 1 << 20
 #: Newton steps at most, and the step after which a fold is done: the error then is about its square.
 ROUNDS, CLOSE = 50, 1e-6
 _RIDGE_OF_INTERCEPT = 1e-9
@@ -193,9 +195,10 @@ def _step(at: np.ndarray, loss: float, slope: np.ndarray, curve: np.ndarray) ->
     return {"loss": [0.5 * float((ridge * at * at).sum()) + loss], "step": [np.linalg.solve(np.diag(ridge) + curve, ridge * at + slope)]}
 
 
-def fit_by_sums(rows: DataFrame, by: Sequence[str], group: str, label: str, vector: str, probe: str = "logistic", pair: str | None = None, residual: bool = False) -> DataFrame:
+def fit_by_sums(rows: DataFrame, by: Sequence[str], group: str, label: str, vector: str, probe: str = "logistic", pair: str | None = None, residual: bool = False, values: int | None = None) -> DataFrame:
     """(by, fold, weights, intercept): for each group a probe fitted to all labelled rows of the other groups. It is what
-    ``probes.fit_leaving_out`` gives for rows that fit into one task, and takes any number.
+    ``probes.fit_leaving_out`` gives for rows that fit into one task, and takes any number. If ``values``, the rows times
+    the places of a vector, is given, a pass has no more tasks than these need.
 
     Probes are ``logistic``, ``pca``, ``centroid`` and ``contrast`` (which needs ``pair``). With ``residual`` training rows
     are relative to their own group's mean, and a scored row to that of the training rows, which goes into the intercept.
@@ -204,8 +207,10 @@ def fit_by_sums(rows: DataFrame, by: Sequence[str], group: str, label: str, vect
     spark = rows.sparkSession
     ship(spark)
     frame = _frame(rows, by, group, label, vector, pair if probe == "contrast" else None).persist()
+    # What is persisted has the partitions that a shuffle was set to, however few the rows; passes read several in a task.
+    read = frame if values is None else frame.coalesce(max(spark.sparkContext.defaultParallelism, -(-values // VALUES)))
     try:
-        out = _models(frame, probe, residual)
+        out = _models(read, probe, residual)
     finally:
         frame.unpersist()
     models = spark.createDataFrame(out, "_key string, _fold string, weights array<double>, intercept double")

@@ -165,15 +165,15 @@ def fitted(
 
     if max_rows is not None:
         return fit_leaving_out(rows, by, group, key, label, vector, probe, pair, residual, max_rows)
-    sizes = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).groupBy(_keyed(by).alias("_key")).agg(F.count("*").alias("n")).collect()  # a design's strata
-    large = [r["_key"] for r in sizes if r["n"] > gathered]
+    sizes = rows.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).groupBy(_keyed(by).alias("_key")).agg(F.count("*").alias("n"), F.sum(F.size(vector)).alias("values")).collect()  # a design's strata
+    large = {r["_key"]: r["values"] for r in sizes if r["n"] > gathered}
     few = lambda part: fit_leaving_out(part, by, group, key, label, vector, probe, pair, residual, None)
-    many = lambda part: fit_by_sums(part, by, group, label, vector, probe, pair, residual)
+    many = lambda part: fit_by_sums(part, by, group, label, vector, probe, pair, residual, sum(large.values()))
     if not large:
         return few(rows)
     if len(large) == len(sizes):
         return many(rows)
-    is_large = _keyed(by).isin(large)
+    is_large = _keyed(by).isin(list(large))
     return few(rows.where(~is_large)).unionByName(many(rows.where(is_large)))
 
 
