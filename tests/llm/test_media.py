@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from wayline.llm.media import _CORNER, descriptors, edited, matches, media_copies, picture, pictures, read_pgm, resized, write_pgm
+from wayline.llm.media import _CORNER, descriptors, edited, matches, media_copies, near_pairs, picture, pictures, read_pgm, resized, write_pgm
 
 
 def test_pgm():
@@ -107,6 +107,28 @@ def _large(seed, rows=9, columns=10):
     return np.block([[picture(b"%d-%d-%d" % (seed, r, c)) for c in range(columns)] for r in range(rows)])
 
 
+@pytest.mark.parametrize("split", [None, 2_500])
+def test_a_large_bucket_finds_all_pairs_and_compares_few(monkeypatch, split):
+    """6,000 descriptors that agree in twelve bits, and of each tenth a copy with 10 or 11 other bits turned."""
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (6_000, 128), dtype=np.uint8)
+    bits[:, 36:48] = 1
+    free = np.concatenate([np.arange(36), np.arange(48, 128)])
+    for i in range(0, 3_000, 10):
+        bits[i + 3_001] = bits[i]
+        bits[i + 3_001, rng.choice(free, 10 + i // 10 % 2, replace=False)] ^= 1
+    words = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    wanted = {(i, i + 3_001) for i in range(0, 3_000, 20) if split is None or i < split}
+    assert all(split is None or j >= split for _, j in wanted)
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(np.size(x)) or count(x))
+    for told in ({}, {"shared": (36, 12)}):
+        compared.clear()
+        i, j = near_pairs(words, split, **told)
+        assert len(i) == len(wanted) and set(zip(i.tolist(), j.tolist(), strict=True)) == wanted
+        assert sum(compared) < 6_000**2 / 20
+
+
 def test_corners_grow_with_the_area():
     small, large = len(descriptors(picture(b"0-0-0"))[1]), descriptors(read_pgm(write_pgm(_large(0))))
     assert len(large[1]) > 45 * small

@@ -8,8 +8,9 @@ pixels in the disc around it, at pairs of places that lie across that orientatio
 
 Descriptors are joined by Hamming tables: ``DIFFERENT + 1`` chunks of 11 or 12 bits, so that two descriptors that differ
 in at most ``DIFFERENT`` bits share a chunk. Equal descriptors are one row to the tables. A bucket's descriptors travel as
-packed bytes, without identifiers, and all of them are compared with each other; a bucket with very many is dealt to tiles
-and compared by pairs of tiles. Each pair within the distance is found once. Only then are the corners that have these
+packed bytes, without identifiers. Those of a small bucket are all compared with each other, those of a larger one only
+where they also agree in two parts of the other bits, of which any two within the distance have some; a bucket with very
+many is dealt to tiles and compared by pairs of tiles. Each pair within the distance is found once. Only then are the corners that have these
 descriptors joined in. Matches vote for bins of rotation, scale and translation, and images with enough votes in one bin
 are linked: ``VOTES``, and more than chance may put there, as images with very many corners match at random in some.
 """
@@ -45,9 +46,14 @@ PLACE = 6
 #: Chunks of a descriptor; two that differ in fewer bits share one.
 CHUNKS = DIFFERENT + 1
 #: Descriptors of a bucket that one task compares; above it, tiles of half as many.
-BUCKET = 32_768
+BUCKET = 131_072
+#: Descriptors of a bucket that are all compared with each other; more are sorted by pairs of parts of their bits first,
+#: and those of a run of equal parts that is longer than ``RUN`` are compared as a block.
+INDEXED, RUN = 2_000, 200
 #: Descriptors that a task sorts into buckets.
 HELD = 100_000
+#: Tasks for a core that draw pictures.
+TASKS = 4
 #: Pixels of a cell's side, of a block's, and around a block what its corners may need at the smallest scale.
 CELL, BLOCK, AROUND = 128, 1024, 64
 _MARGIN = 18
@@ -91,11 +97,36 @@ def write_pgm(image: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (image.shape[1], image.shape[0]) + np.clip(np.rint(image), 0, 255).astype(np.uint8).tobytes()
 
 
-def _box(x: np.ndarray, r: int) -> np.ndarray:
-    """The mean of the square of 2r + 1 pixels around each pixel, edges repeated."""
-    p = np.pad(x, r + 1, mode="edge").cumsum(axis=0).cumsum(axis=1)
-    n = 2 * r + 1
-    return (p[n:-1, n:-1] - p[: -n - 1, n:-1] - p[n:-1, : -n - 1] + p[: -n - 1, : -n - 1]) / n**2
+def _box(x: np.ndarray, r: int, skip: int = 0) -> np.ndarray:
+    """The mean of the square of 2r + 1 pixels around each pixel, edges repeated; without the first ``skip`` rows and
+    columns."""
+    e, n = r + 1, 2 * r + 1
+    p = np.empty((x.shape[0] + 2 * e, x.shape[1] + 2 * e))
+    p[e:-e, e:-e] = x
+    p[e:-e, :e], p[e:-e, -e:] = x[:, :1], x[:, -1:]
+    p[:e], p[-e:] = p[e], p[-e - 1]
+    p = p.cumsum(axis=0).cumsum(axis=1)
+    near, far = slice(skip, -n - 1), slice(skip + n, -1)
+    out = p[far, far] - p[near, far]
+    out -= p[far, near]
+    out += p[near, near]
+    out /= n**2
+    return out
+
+
+def _slope(x: np.ndarray) -> np.ndarray:
+    """The slope along the columns of each row, one-sided at both ends."""
+    out = np.empty_like(x)
+    np.subtract(x[2:], x[:-2], out=out[1:-1])
+    out[1:-1] /= 2
+    out[0], out[-1] = x[1] - x[0], x[-1] - x[-2]
+    return out
+
+
+def _largest(x: np.ndarray) -> np.ndarray:
+    """The largest of each five neighbouring rows: two rows fewer at both ends."""
+    pair = np.maximum(x[:-1], x[1:])
+    return np.maximum(np.maximum(pair[:-3], pair[2:-1]), x[4:])
 
 
 def resized(x: np.ndarray, scale: float) -> np.ndarray:
@@ -103,8 +134,8 @@ def resized(x: np.ndarray, scale: float) -> np.ndarray:
     r, c = np.clip((np.arange(h) + 0.5) / scale - 0.5, 0, x.shape[0] - 1), np.clip((np.arange(w) + 0.5) / scale - 0.5, 0, x.shape[1] - 1)
     r0, c0 = r.astype(int), c.astype(int)
     r1, c1, fr, fc = np.minimum(r0 + 1, x.shape[0] - 1), np.minimum(c0 + 1, x.shape[1] - 1), (r - r0)[:, None], c - c0
-    top, low = x[r0][:, c0] * (1 - fc) + x[r0][:, c1] * fc, x[r1][:, c0] * (1 - fc) + x[r1][:, c1] * fc
-    return top * (1 - fr) + low * fr
+    wide = x[:, c0] * (1 - fc) + x[:, c1] * fc
+    return wide[r0] * (1 - fr) + wide[r1] * fr
 
 
 def _corners(x: np.ndarray, most: int, cells: tuple[int, int] = (1, 1)) -> np.ndarray:
@@ -112,26 +143,30 @@ def _corners(x: np.ndarray, most: int, cells: tuple[int, int] = (1, 1)) -> np.nd
     columns of cells."""
     if min(x.shape) <= 2 * _MARGIN:
         return np.empty((0, 2), dtype=int)
-    gy, gx = np.gradient(_box(x, 1))
-    xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-    r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-    top = r.copy()
-    for axis in (0, 1):
-        top = np.max([np.roll(top, k, axis) for k in range(-2, 3)], axis=0)
-    inside = np.zeros(x.shape, dtype=bool)
-    inside[_MARGIN:-_MARGIN, _MARGIN:-_MARGIN] = True
-    at = np.flatnonzero((r == top) & inside & (r > 1e-6))
-    row, column = np.unravel_index(at, x.shape)
+    # The response inside the margin and two pixels around it; what lies further right and below than its sums reach is cut.
+    smooth = _box(x[: 6 - _MARGIN, : 6 - _MARGIN], 1)
+    gy, gx = _slope(smooth), _slope(smooth.T).T
+    xx, yy, xy = (_box(g, 2, _MARGIN - 2)[:-4, :-4] for g in (gx * gx, gy * gy, gx * gy))
+    r = xx * yy
+    r -= xy * xy
+    xx += yy
+    xx *= xx
+    xx *= 0.05
+    r -= xx
+    top = _largest(_largest(r).T).T
+    r = r[2:-2, 2:-2]
+    row, column = np.nonzero((r == top) & (r > 1e-6))
+    strength = r[row, column]
+    row, column = row + _MARGIN, column + _MARGIN
     cell = row * cells[0] // x.shape[0] * cells[1] + column * cells[1] // x.shape[1]
     strongest = np.zeros(cells[0] * cells[1])
-    np.maximum.at(strongest, cell, r.flat[at])
-    strong = r.flat[at] > 0.005 * strongest[cell]
-    at, cell = at[strong], cell[strong]
-    order = np.lexsort((at, -r.flat[at], cell))
-    at, cell = at[order], cell[order]
+    np.maximum.at(strongest, cell, strength)
+    strong = np.flatnonzero(strength > 0.005 * strongest[cell])
+    order = strong[np.lexsort((strong, -strength[strong], cell[strong]))]
+    cell = cell[order]
     first = np.searchsorted(cell, cell, "left")
-    at = at[np.arange(len(at)) - first < most]
-    return np.stack(np.unravel_index(at, x.shape), axis=1)
+    order = order[np.arange(len(order)) - first < most]
+    return np.stack([row[order], column[order]], axis=1)
 
 
 def _blocks(size: int) -> list[tuple[int, int]]:
@@ -167,11 +202,11 @@ def _of_block(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndar
         if not len(at):
             continue
         smooth = _box(x, 2)
-        patch = smooth[at[:, :1] + _disc[:, 1], at[:, 1:] + _disc[:, 0]]
+        flat, width = smooth.ravel(), smooth.shape[1]
+        start = at[:, 0] * width + at[:, 1]
+        patch = flat[start[:, None] + (_disc[:, 1] * width + _disc[:, 0])]
         turn = np.rint(np.arctan2((patch * _disc[:, 1]).sum(axis=1), (patch * _disc[:, 0]).sum(axis=1)) / (2 * np.pi) * TURNS).astype(int) % TURNS
-        p = _turned[turn]
-        rows, columns = at[:, 0, None, None] + p[..., 1], at[:, 1, None, None] + p[..., 0]
-        value = smooth[rows, columns]
+        value = flat[start[:, None, None] + (_turned[..., 1] * width + _turned[..., 0])[turn]]
         places.append(at[:, ::-1] / scale)
         levels.append(np.full(len(at), level))
         turns.append(turn)
@@ -283,20 +318,100 @@ def _enter(tiles: dict[int, int]) -> Run:
 _PAIR = ["p0", "p1", "q0", "q1"]
 
 
-def near_pairs(words: np.ndarray, split: int | None = None, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """The places (i, j), i < j, of all descriptors (two words each) within ``DIFFERENT`` bits of each other; with
-    ``split`` only those with i before it and j from it on. Compares about ``cells`` pairs at a time."""
-    block = max(1, cells // max(len(words), 1))
-    d0, d1 = np.ascontiguousarray(words[:, 0]).view(np.uint64), np.ascontiguousarray(words[:, 1]).view(np.uint64)
+def _turned_bits(words: np.ndarray, by: int) -> np.ndarray:
+    """The descriptors with the bits from ``by`` on first, and the ones before it after them."""
+    low, high = (words[:, 0], words[:, 1]) if by < 64 else (words[:, 1], words[:, 0])
+    if shift := by % 64:
+        low, high = low >> np.uint64(shift) | high << np.uint64(64 - shift), high >> np.uint64(shift) | low << np.uint64(64 - shift)
+    return np.stack([low, high], axis=1)
+
+
+def _close(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Flat places of the pairs of descriptors (first words, second words; one shape, or one that is broadcast) within
+    the distance."""
+    apart = np.bitwise_count(left[0] ^ right[0]).ravel()
+    at = np.flatnonzero(apart <= DIFFERENT)
+    if not len(at):
+        return at
+    i, j = np.divmod(at, right[0].size) if left[0].ndim > 1 else (at, at)
+    return at[apart[at] + np.bitwise_count(left[1].ravel()[i] ^ right[1].ravel()[j]) <= DIFFERENT]
+
+
+def _all_pairs(d0: np.ndarray, d1: np.ndarray, split: int | None, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    block = max(1, cells // max(len(d0), 1))
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for at in range(0, len(d0) if split is None else split, block):
         end, begin = min(at + block, len(d0) if split is None else split), at if split is None else split
-        apart = np.bitwise_count(d0[at:end, None] ^ d0[None, begin:])
-        i, j = np.nonzero(apart <= DIFFERENT)
-        near = apart[i, j] + np.bitwise_count(d1[at + i] ^ d1[begin + j]) <= DIFFERENT
-        i, j = at + i[near], begin + j[near]
-        left.append(i[i < j])
-        right.append(j[i < j])
+        if begin < len(d0):
+            i, j = np.divmod(_close((d0[at:end, None], d1[at:end, None]), (d0[None, begin:], d1[None, begin:])), len(d0) - begin)
+            i, j = at + i, begin + j
+            left.append(i[i < j])
+            right.append(j[i < j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _short_runs(d: tuple[np.ndarray, np.ndarray], low: np.ndarray, high: np.ndarray, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near ones of the pairs of each place and the places from ``low`` to before ``high`` that belong to it."""
+    n = np.maximum(high - low, 0)
+    total = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        before = total[at] - n[at]
+        end = max(at + 1, int(np.searchsorted(total, before + cells, "right")))
+        if total[end - 1] > before:
+            left = np.repeat(np.arange(at, end), n[at:end])
+            right = np.arange(len(left)) + np.repeat(low[at:end] - (total[at:end] - n[at:end] - before), n[at:end])
+            near = _close((d[0][left], d[1][left]), (d[0][right], d[1][right]))
+            yield left[near], right[near]
+        at = end
+
+
+def near_pairs(words: np.ndarray, split: int | None = None, cells: int = 1 << 16, shared: tuple[int, int] = (0, 0), indexed: int = INDEXED) -> tuple[np.ndarray, np.ndarray]:
+    """The places (i, j), i < j, of all descriptors (two words each) within ``DIFFERENT`` bits of each other; with
+    ``split`` only those with i before it and j from it on. ``shared`` is the chunk (first bit, number of bits) in which
+    all agree, if they do.
+
+    Up to ``indexed`` descriptors are all compared with each other, about ``cells`` pairs at a time. Of more, the other
+    bits are cut into ``DIFFERENT + 6`` parts: two within the distance agree in at least six, and so, as the parts are in
+    five groups, in two parts of one group. Those that agree in both parts of a pair are compared with each other, and a
+    pair of descriptors is given by the first pair of parts that it agrees in.
+    """
+    d0, d1 = (np.ascontiguousarray(words[:, k]).view(np.uint64) for k in (0, 1))
+    if len(d0) <= indexed:
+        return _all_pairs(d0, d1, split, cells)
+    turned = _turned_bits(np.stack([d0, d1], axis=1), sum(shared) % BITS)
+    sizes = [len(x) for x in np.array_split(np.arange(BITS - shared[1]), DIFFERENT + 6)]
+    parts = [chunk_of(turned, first, size).astype(np.uint16) for first, size in zip(np.cumsum([0, *sizes[:-1]]).tolist(), sizes, strict=True)]
+    pairs = [(a, b) for group in np.array_split(np.arange(len(parts)), 5) for k, a in enumerate(group) for b in group[k + 1 :]]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k, (a, b) in enumerate(pairs):
+        value = parts[a] << np.uint16(8) | parts[b]
+        order = np.argsort(value, kind="stable")
+        value, own = value[order], (d0[order], d1[order])
+        begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        size = np.diff(np.append(begin, len(value)))
+        # In a run the places are in order, so that those before the split are the first of it.
+        inner = size if split is None else np.diff(np.concatenate([[0], np.cumsum(order < split)])[np.append(begin, len(value))])
+        long = size > RUN
+        found = []
+        for at, n, m in zip(begin[long].tolist(), size[long].tolist(), inner[long].tolist(), strict=True):
+            i, j = _all_pairs(own[0][at : at + n], own[1][at : at + n], None if split is None else m, cells)
+            found.append((at + i, at + j))
+        here = np.repeat(begin, size)
+        high = np.where(np.repeat(long, size), 0, here + np.repeat(size, size))
+        place = np.arange(len(value))
+        if split is None:
+            low = place + 1
+        else:
+            low = here + np.repeat(inner, size)
+            high = np.where(place < low, high, 0)
+        found.extend(_short_runs(own, low, high, cells))
+        i, j = (order[np.concatenate([f[side] for f in found])] if found else np.empty(0, np.int64) for side in (0, 1))
+        first = np.ones(len(i), dtype=bool)
+        for x, y in pairs[:k]:
+            first &= (parts[x][i] != parts[x][j]) | (parts[y][i] != parts[y][j])
+        left.append(i[first])
+        right.append(j[first])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -309,10 +424,11 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = group.column("tile_a")[0].as_py(), group.column("tile_b")[0].as_py()
         sides = [np.frombuffer(b"".join(p for p, o in zip(packed, own, strict=True) if o == t), "<u8").reshape(-1, 2) for t in dict.fromkeys((a, b))]
         words = np.concatenate(sides)
-        i, j = near_pairs(words, None if a == b else len(sides[0]))
+        chunk = int(group.column("key")[0].as_py()) >> 44
+        i, j = near_pairs(words, None if a == b else len(sides[0]), shared=chunks[chunk])
         x = words[i] ^ words[j]
         first = np.ones(len(i), dtype=bool)
-        for begin, size in chunks[: int(group.column("key")[0].as_py()) >> 44]:
+        for begin, size in chunks[:chunk]:
             first &= chunk_of(x, begin, size) != 0
         i, j = i[first], j[first]
         for at in range(0, len(i), 50_000):
@@ -451,5 +567,7 @@ def pictures(embeddings: DataFrame) -> DataFrame:
     prepare(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").alias("id"), "embedding")
     before = rows.where("id % 10 = 2").select((F.col("id") + 1).alias("id"), F.col("embedding").alias("earlier"))
-    joined = rows.join(before.hint("merge"), "id", "left").select("id", F.coalesce("earlier", "embedding").alias("embedding"))
+    # Short rows that are much work: several tasks for a core, whatever the size in bytes.
+    tasks = TASKS * embeddings.sparkSession.sparkContext.defaultParallelism
+    joined = rows.repartition(tasks, "id").join(before.repartition(tasks, "id").hint("merge"), "id", "left").select("id", F.coalesce("earlier", "embedding").alias("embedding"))
     return joined.mapInArrow(released(_pictures), "media_id long, media binary")
