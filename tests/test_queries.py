@@ -66,3 +66,17 @@ def test_texts_of_every_language_and_length(spark):
     for r in registry.QUERIES["tag_values"](spark, str(FOLDER)).collect():
         clean = re.sub(r"[^A-Za-z0-9._-]+", "-", docs[r.doc_id]).strip("-_.")
         assert r.tag == (clean if len(clean) <= 63 else clean[:52].rstrip("-_.") + "-" + digest[r.doc_id][:10])
+
+
+def test_grid_cells_of_odd_texts_and_ids(spark, tmp_path):
+    """Texts that hold the signs, are empty or missing, and ids that are missing or negative, by the query's SQL; its types too."""
+    texts = [None, "", "a", "\x01", "\x02", "\x01\x01\x02", "\x02" * 50, "\x01" * 50, "\x01payload\x02" * 5, "ab\x01" * 20, "\f" * 45, "ab\fcd\fef" * 9, "é\U0001f600" * 30, "a\x00b" * 20]
+    rows = [(i, t) for i in [None, -45, -3, *range(44), 10**10 + 3] for t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.SQL["grid_cells"])
+    got = registry.QUERIES["grid_cells"](spark, str(tmp_path))
+    assert [(d[0], str(d[1])) for d in want.description] == list(zip(got.columns, ["BIGINT", "BIGINT", "BIGINT", "VARCHAR"], strict=True))
+    assert [t for _, t in got.dtypes] == ["bigint", "bigint", "bigint", "string"]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.fetchall()))
