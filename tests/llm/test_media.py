@@ -129,6 +129,18 @@ def test_a_large_bucket_finds_all_pairs_and_compares_few(monkeypatch, split):
         assert sum(compared) < 6_000**2 / 20
 
 
+def test_a_bucket_of_nearly_equal_descriptors_is_compared_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    bits = np.zeros((2_200, 128), dtype=np.uint8)
+    for row in bits:
+        row[rng.choice(128, 3, replace=False)] = 1
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(np.size(x)) or count(x))
+    i, j = near_pairs(np.packbits(bits, axis=1, bitorder="little").view("<u8"))
+    assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i) == 2_200 * 2_199 // 2
+    assert sum(compared) < 3 * 2_200**2
+
+
 def test_corners_grow_with_the_area():
     small, large = len(descriptors(picture(b"0-0-0"))[1]), descriptors(read_pgm(write_pgm(_large(0))))
     assert len(large[1]) > 45 * small

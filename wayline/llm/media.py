@@ -383,6 +383,9 @@ def near_pairs(words: np.ndarray, split: int | None = None, cells: int = 1 << 16
     sizes = [len(x) for x in np.array_split(np.arange(BITS - shared[1]), DIFFERENT + 6)]
     parts = [chunk_of(turned, first, size).astype(np.uint16) for first, size in zip(np.cumsum([0, *sizes[:-1]]).tolist(), sizes, strict=True)]
     pairs = [(a, b) for group in np.array_split(np.arange(len(parts)), 5) for k, a in enumerate(group) for b in group[k + 1 :]]
+    met = [float((np.bincount(parts[a] << np.uint16(8) | parts[b]).astype(float) ** 2).sum()) for a, b in pairs[::4]]
+    if 4 * np.mean(met) * len(pairs) > len(d0) ** 2:  # very many are alike in most parts: once is less than by each pair of parts
+        return _all_pairs(d0, d1, split, cells)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for k, (a, b) in enumerate(pairs):
         value = parts[a] << np.uint16(8) | parts[b]
